@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,3 +80,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application.
+
+    The same as starting with ``--py-files``; harmless where it is installed.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_textmatch_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    if package.parent.is_dir():
+        folder = tempfile.mkdtemp(prefix="textmatch-pkg-")
+        archive = shutil.make_archive(
+            os.path.join(folder, package.name), "zip", package.parent, package.name
+        )
+        context.addPyFile(archive)
+    context._textmatch_shipped = True
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a small input before expensive per-row work.
+
+    A scan that already has a few splits per core, as any large input does, is left as it
+    is. Call it on a scan, not on a shuffled plan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(cores, key)

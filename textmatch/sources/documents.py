@@ -38,7 +38,13 @@ def scan_folder(
     spark: SparkSession, folder: str, extensions: tuple[str, ...] = LISTED
 ) -> DataFrame:
     """The documents of a folder with their contents."""
-    files = spark.read.format("binaryFile").load(folder)
+    # A glob in both cases keeps other files from being read at all.
+    names = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions]
+    files = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", f"*{{{','.join(names)}}}")
+        .load(folder)
+    )
     return files.filter(is_document(F.col("path"), extensions))
 
 
