@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 # Ranks per block of the running counts, and ranks per predicted cluster.
 BLOCK = 8192
 CLUSTER = 5
+METRICS = ("ndcg", "precision", "recall", "mrr", "map", "ari", "nmi", "purity")
 
 
 def relevant(relevance: Column, threshold: float) -> Column:
@@ -200,87 +201,98 @@ def evaluate(
     truth: DataFrame,
     k_values: Sequence[int] = (3, 5, 10),
     thresholds: Sequence[float] = (1.0,),
+    metrics: Sequence[str] = METRICS,
     queries: DataFrame | None = None,
     distinct_items: bool = False,
 ) -> DataFrame:
-    """Every metric per query: ``(query_id, metric, k, threshold, value, valid)``.
+    """Metrics per query: ``(query_id, metric, k, threshold, value, valid)``.
 
     Queries without truth are left out. ``queries`` names evaluated queries that may have
     returned nothing; by default those in the ranking. ``valid`` tells whether the query
-    counts in the divisor of the average.
+    counts in the divisor of the average. Only what ``metrics`` needs is computed.
     """
+    unknown = set(metrics) - set(METRICS)
+    if unknown:
+        raise ValueError(f"unknown metrics: {sorted(unknown)}")
     thresholds = [float(t) for t in thresholds]
     judged = judge(ranking, truth, distinct_items)
     asked = (ranking if queries is None else queries).select("query_id").distinct()
-    wide = (
-        asked.join(_truth_stats(truth, k_values, thresholds), "query_id")
-        .join(_hits(judged, k_values, thresholds), "query_id", "left")
+    parts = []
+    if set(metrics) & {"ndcg", "precision", "recall", "mrr", "map"}:
+        stats = _truth_stats(truth, k_values, thresholds)
+        wide = asked.join(stats, "query_id").join(
+            _hits(judged, k_values, thresholds), "query_id", "left"
+        )
+        rows = _list_metrics(metrics, k_values, thresholds)
+        parts.append(wide.select("query_id", F.inline(F.array(*rows))))
+    clusters = [m for m in ("ari", "nmi", "purity") if m in metrics]
+    if clusters:
+        grades = F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold")
+        keys = ["query_id", "threshold"]
+        known = truth.select("query_id").distinct()
+        wide = asked.join(known, "query_id", "left_semi").select("query_id", grades)
+        if "ari" in clusters or "nmi" in clusters:
+            wide = wide.join(_agreement(judged, thresholds), keys, "left")
+        if "purity" in clusters:
+            wide = wide.join(_purity(judged, thresholds), keys, "left")
+        rows = [_row(m, None, F.col("threshold"), F.col(m)) for m in clusters]
+        parts.append(wide.select("query_id", F.inline(F.array(*rows))))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _row(
+    metric: str, k: int | None, threshold: Column, value: Column, valid: Column | None = None
+) -> Column:
+    return F.struct(
+        F.lit(metric).alias("metric"),
+        F.lit(k).cast("int").alias("k"),
+        threshold.cast("double").alias("threshold"),
+        F.coalesce(value, F.lit(0.0)).alias("value"),
+        (F.lit(True) if valid is None else valid).alias("valid"),
     )
-    one = F.lit(True)
+
+
+def _list_metrics(
+    metrics: Sequence[str], k_values: Sequence[int], thresholds: Sequence[float]
+) -> list[Column]:
+    """The per-query rows of the metrics that read the list in order."""
     rows = []
 
-    def row(metric: str, k: int | None, t: float | None, value: Column, valid: Column):
-        rows.append(
-            F.struct(
-                F.lit(metric).alias("metric"),
-                F.lit(k).cast("int").alias("k"),
-                F.lit(t).cast("double").alias("threshold"),
-                F.coalesce(value, F.lit(0.0)).alias("value"),
-                valid.alias("valid"),
-            )
-        )
+    def add(metric: str, *args) -> None:
+        if metric in metrics:
+            rows.append(_row(metric, *args))
 
     for i, k in enumerate(k_values):
         idcg = F.col(f"idcg{i}")
-        row("ndcg", k, None, F.when(idcg > 0, F.col(f"dcg{i}") / idcg), idcg > 0)
+        gain = F.when(idcg > 0, F.col(f"dcg{i}") / idcg)
+        add("ndcg", k, F.lit(None), gain, idcg > 0)
         returned = F.coalesce(F.col(f"ret{i}"), F.lit(0))
         for j, t in enumerate(thresholds):
             hits, known = F.col(f"hit{i}_{j}"), F.col(f"rel{j}")
-            row("precision", k, t, F.when(returned > 0, hits / returned), returned > 0)
-            row("recall", k, t, F.when(known == 0, 1.0).otherwise(hits / known), one)
+            share = F.when(returned > 0, hits / returned)
+            add("precision", k, F.lit(t), share, returned > 0)
+            found = F.when(known == 0, 1.0).otherwise(hits / known)
+            add("recall", k, F.lit(t), found)
     for j, t in enumerate(thresholds):
         known = F.col(f"rel{j}")
-        row("mrr", None, t, 1.0 / F.col(f"first{j}"), one)
-        row("map", None, t, F.when(known == 0, 1.0).otherwise(F.col(f"ap{j}") / known), one)
-    listed = wide.select("query_id", F.inline(F.array(*rows)))
-
-    grades = F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold")
-    keys = ["query_id", "threshold"]
-    clusters = (
-        wide.select("query_id", grades)
-        .join(_agreement(judged, thresholds), keys, "left")
-        .join(_purity(judged, thresholds), keys, "left")
-        .select(
-            "query_id",
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(m).alias("metric"),
-                            F.lit(None).cast("int").alias("k"),
-                            F.col("threshold"),
-                            F.coalesce(F.col(m), F.lit(0.0)).alias("value"),
-                            one.alias("valid"),
-                        )
-                        for m in ("ari", "nmi", "purity")
-                    ]
-                )
-            ),
-        )
-    )
-    return listed.unionByName(clusters)
+        add("mrr", None, F.lit(t), 1.0 / F.col(f"first{j}"))
+        mean = F.when(known == 0, 1.0).otherwise(F.col(f"ap{j}") / known)
+        add("map", None, F.lit(t), mean)
+    return rows
 
 
 def averages(
     metrics: DataFrame,
     k_values: Sequence[int] = (3, 5, 10),
     thresholds: Sequence[float] = (1.0,),
+    names: Sequence[str] = METRICS,
 ) -> DataFrame:
     """``(metric, k, threshold, value, queries)``; 0 where no query counts."""
     grid = [("ndcg", k, None) for k in k_values]
     for t in thresholds:
         grid += [(m, k, float(t)) for m in ("precision", "recall") for k in k_values]
         grid += [(m, None, float(t)) for m in ("mrr", "map", "ari", "nmi", "purity")]
+    grid = [g for g in grid if g[0] in names]
     empty = metrics.sparkSession.createDataFrame(
         grid, "metric string, k int, threshold double"
     ).select("*", F.lit(0.0).alias("value"), F.lit(False).alias("valid"))

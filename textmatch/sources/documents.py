@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 from collections.abc import Callable, Iterator
 
@@ -26,9 +25,13 @@ def is_document(path: Column, extensions: tuple[str, ...] = LISTED) -> Column:
     return extension(path).isin(*extensions)
 
 
-def list_files(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
-    """``(path, modificationTime, length)`` of a folder's own files; contents stay unread."""
+def list_files(
+    spark: SparkSession, folder: str, pattern: str | None = None, recursive: bool = True
+) -> DataFrame:
+    """``(path, modificationTime, length)`` of a folder's files; contents stay unread."""
     reader = spark.read.format("binaryFile")
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(folder).select("path", "modificationTime", "length")
@@ -67,13 +70,14 @@ def file_details(files: DataFrame) -> DataFrame:
 
 
 def latest_artifact(
-    files: DataFrame, pattern: str = "*", prefix: str = "tfidf_enhanced_"
+    spark: SparkSession, folder: str, pattern: str = "*", prefix: str = "tfidf_enhanced_"
 ) -> DataFrame:
-    """The newest file or folder content that matches, directly or below ``prefix*``."""
-    name = fnmatch.translate(pattern).replace("(?s:", "(?s)(?:")
-    below = F.col("path").rlike(rf"/{re.escape(prefix)}[^/]*/")
-    wanted = base_name(F.col("path")).rlike(name) | below
-    return files.filter(wanted).agg(
+    """One row ``(path, modified)``: the newest file matching ``pattern`` in the folder
+    itself or in one of its ``prefix*`` folders; null when there is none."""
+    root = re.escape(folder.rstrip("/").rsplit("/", 1)[-1])
+    place = rf"/{root}/(?:{re.escape(prefix)}[^/]*/)?[^/]+$"
+    found = list_files(spark, folder, pattern).filter(F.col("path").rlike(place))
+    return found.agg(
         F.max_by("path", F.struct("modificationTime", "path")).alias("path"),
         F.max("modificationTime").alias("modified"),
     )

@@ -205,10 +205,11 @@ def truth_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def metric_rows(spark: SparkSession, sf_dir: str, thresholds=(1.0,)) -> DataFrame:
-    return M.evaluate(
-        ranking_of(spark, sf_dir), truth_of(spark, sf_dir), K_VALUES, thresholds
-    )
+def metric_rows(
+    spark: SparkSession, sf_dir: str, thresholds=(1.0,), names=M.METRICS
+) -> DataFrame:
+    ranking, truth = ranking_of(spark, sf_dir), truth_of(spark, sf_dir)
+    return M.evaluate(ranking, truth, K_VALUES, thresholds, names)
 
 
 def metric_means(spark: SparkSession, sf_dir: str, thresholds=(1.0,)) -> DataFrame:
@@ -517,7 +518,7 @@ def match_profiles(spark, sf_dir):
 
 
 def _one_metric(spark, sf_dir, name):
-    rows = metric_rows(spark, sf_dir).filter(F.col("metric") == name)
+    rows = metric_rows(spark, sf_dir, names=(name,))
     return rows.select("query_id", "k", round6(F.col("value")).alias("value"), "valid")
 
 
@@ -611,8 +612,8 @@ def evaluation_report(spark, sf_dir):
 
 @query
 def best_threshold(spark, sf_dir):
-    means = materialize(metric_means(spark, sf_dir, THRESHOLDS), "averages")
-    best = M.best_threshold(means, K_VALUES)
+    rows = metric_rows(spark, sf_dir, THRESHOLDS, ("precision", "recall"))
+    best = M.best_threshold(M.averages(rows, K_VALUES, THRESHOLDS, ("precision", "recall")), K_VALUES)
     return best.select(
         "threshold", *[round6(F.col(c)).alias(c) for c in ("f1", "precision", "recall")]
     )
@@ -786,7 +787,8 @@ def person_csv_corpus(spark, sf_dir):
     for key, name in names.items():
         df = tables[key]
         if "seq" in df.columns:
-            df = df.orderBy("seq").drop("seq")
+            value = next(c for c in df.columns if c not in ("person_id", "seq"))
+            df = df.orderBy("seq", value).drop("seq")
         write_csv(df, f"{folder}/{name}")
     corpus = prepare_corpus(**read_person_tables(spark, folder))
     write_csv(corpus, f"{folder}/processed.csv")
@@ -828,7 +830,7 @@ def artifact_inventory(spark, sf_dir):
     corpus = corpus_of(spark, sf_dir)
     path = scratch_path(spark, "index")
     build_index(corpus, path, CFG)
-    return file_formats(list_files(spark, f"{path}/*")).select("ext", "files", "size_mb")
+    return file_formats(list_files(spark, path))
 
 
 @query
@@ -836,7 +838,7 @@ def newest_artifact(spark, sf_dir):
     path = scratch_path(spark, "artifacts")
     write_json(table(spark, sf_dir, "benchmark"), f"{path}/tfidf_enhanced_a")
     write_json(table(spark, sf_dir, "labels"), f"{path}/other")
-    return latest_artifact(list_files(spark, f"{path}/*", "*.json"), "embeddings_*")
+    return latest_artifact(spark, path, "part-*.json")
 
 
 @query
