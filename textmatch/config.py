@@ -83,12 +83,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship_package(spark: SparkSession) -> None:
+def ship_package(spark: SparkSession | None = None) -> None:
     """Give the Python workers this package, once per application.
 
-    The same as starting with ``--py-files``; harmless where it is installed.
+    The same as starting with ``--py-files``; harmless where it is installed. Operators
+    that run Python in tasks call it.
     """
-    context = spark.sparkContext
+    context = (spark or SparkSession.active()).sparkContext
     if getattr(context, "_textmatch_shipped", False):
         return
     package = Path(__file__).resolve().parent

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmatch.config import EngineConfig
+from textmatch.config import EngineConfig, ship_package
 
 CHARS_PER_TOKEN = 4
 
@@ -27,6 +27,7 @@ def _pieces(text: str, window: int, overlap: int):
 
 def chunk_text(text: Column, cfg: EngineConfig = EngineConfig()) -> Column:
     """``array<string>``: overlapping chunks of a text; a short text is its only chunk."""
+    ship_package()
     window = cfg.chunk_size * CHARS_PER_TOKEN
     overlap = cfg.chunk_overlap * CHARS_PER_TOKEN
 

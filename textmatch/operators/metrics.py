@@ -21,9 +21,9 @@ CLUSTER = 5
 METRICS = ("ndcg", "precision", "recall", "mrr", "map", "ari", "nmi", "purity")
 
 
-def relevant(relevance: Column, threshold: float) -> Column:
+def relevant(threshold: float) -> str:
     """Whether a judged item counts; an unjudged one does not."""
-    return F.coalesce(relevance >= threshold, F.lit(False))
+    return f"coalesce(relevance >= {float(threshold)!r}D, false)"
 
 
 def judge(ranking: DataFrame, truth: DataFrame, distinct_items: bool = False) -> DataFrame:
@@ -39,54 +39,52 @@ def judge(ranking: DataFrame, truth: DataFrame, distinct_items: bool = False) ->
     )
 
 
-def _n(column: Column) -> Column:
-    return F.sum(column.cast("bigint"))
-
-
 def _hits(
     judged: DataFrame, k_values: Sequence[int], thresholds: Sequence[float]
 ) -> DataFrame:
     """Per query: returned and relevant counts, gains, first hits, precision sums."""
-    rank, rel = F.col("rank"), F.col("relevance")
-    block = Window.partitionBy("query_id", "block").orderBy("rank", "item_id")
-    running = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = judged.withColumn("block", F.floor((rank - 1) / BLOCK))
-    for j, t in enumerate(thresholds):
-        rows = rows.withColumn(
-            f"run{j}", F.sum(relevant(rel, t).cast("bigint")).over(running)
-        )
-    aggs = []
+    running = (
+        "PARTITION BY query_id, block ORDER BY rank, item_id "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    )
+    rows = judged.selectExpr("*", f"floor((rank - 1) / {BLOCK}) AS block").selectExpr(
+        "*",
+        *[
+            f"sum(CAST({relevant(t)} AS bigint)) OVER ({running}) AS run{j}"
+            for j, t in enumerate(thresholds)
+        ],
+    )
+    aggs, total, before = [], [], []
     for i, k in enumerate(k_values):
-        aggs.append(_n(rank <= k).alias(f"ret{i}"))
-        gain = F.coalesce(rel, F.lit(0.0)) / F.log2(rank + 1.0)
-        aggs.append(F.sum(F.when(rank <= k, gain).otherwise(0.0)).alias(f"dcg{i}"))
+        top = f"FILTER (WHERE rank <= {k})"
+        aggs += [
+            f"count(*) {top} AS ret{i}",
+            f"sum(coalesce(relevance, 0D) / log2(rank + 1D)) {top} AS dcg{i}",
+        ]
+        total += [f"sum(ret{i}) AS ret{i}", f"sum(dcg{i}) AS dcg{i}"]
         for j, t in enumerate(thresholds):
-            aggs.append(_n((rank <= k) & relevant(rel, t)).alias(f"hit{i}_{j}"))
+            hit = f"rank <= {k} AND {relevant(t)}"
+            aggs.append(f"count(*) FILTER (WHERE {hit}) AS hit{i}_{j}")
+            total.append(f"sum(hit{i}_{j}) AS hit{i}_{j}")
     for j, t in enumerate(thresholds):
-        hit = relevant(rel, t)
+        hit = f"FILTER (WHERE {relevant(t)})"
         aggs += [
-            F.min(F.when(hit, rank)).alias(f"first{j}"),
-            _n(hit).alias(f"n{j}"),
-            F.sum(F.when(hit, 1.0 / rank).otherwise(0.0)).alias(f"inv{j}"),
-            F.sum(F.when(hit, F.col(f"run{j}") / rank).otherwise(0.0)).alias(f"prec{j}"),
+            f"min(rank) {hit} AS first{j}",
+            f"count(*) {hit} AS n{j}",
+            f"coalesce(sum(1D / rank) {hit}, 0D) AS inv{j}",
+            f"coalesce(sum(run{j} / rank) {hit}, 0D) AS prec{j}",
         ]
-    blocks = rows.groupBy("query_id", "block").agg(*aggs)
-    earlier = (
-        Window.partitionBy("query_id")
-        .orderBy("block")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        # The blocks before a hit add their hits to its running count.
+        earlier = (
+            f"coalesce(sum(n{j}) OVER (PARTITION BY query_id ORDER BY block "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+        )
+        before.append(f"{earlier} * inv{j} + prec{j} AS ap{j}")
+        total += [f"min(first{j}) AS first{j}", f"sum(ap{j}) AS ap{j}"]
+    blocks = rows.groupBy("query_id", "block").agg(*map(F.expr, aggs))
+    return (
+        blocks.selectExpr("*", *before).groupBy("query_id").agg(*map(F.expr, total))
     )
-    total = []
-    for i in range(len(k_values)):
-        total += [F.sum(f"ret{i}").alias(f"ret{i}"), F.sum(f"dcg{i}").alias(f"dcg{i}")]
-        total += [
-            F.sum(f"hit{i}_{j}").alias(f"hit{i}_{j}") for j in range(len(thresholds))
-        ]
-    for j in range(len(thresholds)):
-        before = F.coalesce(F.sum(f"n{j}").over(earlier), F.lit(0))
-        blocks = blocks.withColumn(f"ap{j}", before * F.col(f"inv{j}") + F.col(f"prec{j}"))
-        total += [F.min(f"first{j}").alias(f"first{j}"), F.sum(f"ap{j}").alias(f"ap{j}")]
-    return blocks.groupBy("query_id").agg(*total)
 
 
 def _truth_stats(
@@ -95,21 +93,20 @@ def _truth_stats(
     """Per query: relevant items by threshold, and the gain of the ideal ranking by k."""
     counts = truth.groupBy("query_id").agg(
         *[
-            _n(relevant(F.col("relevance"), t)).alias(f"rel{j}")
+            F.expr(f"count(*) FILTER (WHERE {relevant(t)}) AS rel{j}")
             for j, t in enumerate(thresholds)
         ]
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "item_id")
-    place = F.col("place")
     ideal = (
-        truth.withColumn("place", F.row_number().over(best))
-        .filter(place <= max(k_values))
+        truth.select("query_id", "relevance", F.row_number().over(best).alias("place"))
+        .filter(F.col("place") <= max(k_values))
         .groupBy("query_id")
         .agg(
             *[
-                F.sum(
-                    F.when(place <= k, F.col("relevance") / F.log2(place + 1.0)).otherwise(0.0)
-                ).alias(f"idcg{i}")
+                F.expr(
+                    f"sum(relevance / log2(place + 1D)) FILTER (WHERE place <= {k}) AS idcg{i}"
+                )
                 for i, k in enumerate(k_values)
             ]
         )
@@ -126,10 +123,10 @@ def _cells(rows: DataFrame, thresholds: Sequence[float]) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     t = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")
-    hit = relevant(F.col("relevance"), F.col("threshold"))
+    label = F.expr("CASE WHEN relevance >= threshold THEN CAST(relevance AS int) ELSE 0 END")
     return (
         raw.select("*", t)
-        .withColumn("label", F.when(hit, F.col("relevance").cast("int")).otherwise(0))
+        .withColumn("label", label)
         .groupBy("query_id", "threshold", "pred", "label")
         .agg(F.sum("n").alias("n"))
     )
@@ -142,46 +139,36 @@ def _agreement(judged: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     )
     keys = [F.col(c) for c in ("query_id", "threshold", "pred", "label")]
     q, t, p, l = keys
+    # Counts by cell, by predicted cluster (1) and by truth label (2).
     sides = (
         _cells(last, thresholds)
         .groupingSets([[q, t, p, l], [q, t, p], [q, t, l]], *keys)
-        .agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
+        .agg(F.sum("n").cast("double").alias("n"), F.grouping_id().alias("g"))
     )
-    n = F.col("n").cast("double")
-
-    def over(g: int, value: Column) -> Column:
-        return F.sum(F.when(F.col("g") == g, value).otherwise(0.0))
-
     sums = sides.groupBy("query_id", "threshold").agg(
-        over(0, n).alias("n"),
-        over(0, n * n).alias("s"),
-        over(2, n * n).alias("a"),
-        over(1, n * n).alias("b"),
-        over(0, n * F.log(n)).alias("hs"),
-        over(2, n * F.log(n)).alias("ha"),
-        over(1, n * F.log(n)).alias("hb"),
-        over(2, F.lit(1.0)).alias("labels"),
-        over(1, F.lit(1.0)).alias("preds"),
+        F.expr("sum(n) FILTER (WHERE g = 0) AS n"),
+        F.expr("sum(n * n) FILTER (WHERE g = 0) AS s"),
+        F.expr("sum(n * n) FILTER (WHERE g = 2) AS a"),
+        F.expr("sum(n * n) FILTER (WHERE g = 1) AS b"),
+        F.expr("sum(n * ln(n)) FILTER (WHERE g = 0) AS hs"),
+        F.expr("sum(n * ln(n)) FILTER (WHERE g = 2) AS ha"),
+        F.expr("sum(n * ln(n)) FILTER (WHERE g = 1) AS hb"),
+        F.expr("count(*) FILTER (WHERE g = 2) AS labels"),
+        F.expr("count(*) FILTER (WHERE g = 1) AS preds"),
     )
-    n, s, a, b = (F.col(c) for c in "nsab")
-    tp, u, v, tn = s - n, a - s, b - s, n * n - a - b + s
-    ari = F.when((u == 0) & (v == 0), 1.0).otherwise(
-        2 * (tp * tn - u * v) / ((tp + u) * (u + tn) + (tp + v) * (v + tn))
+    counted = sums.selectExpr(
+        "query_id", "threshold", "n", "labels", "preds",
+        "s - n AS tp", "a - s AS u", "b - s AS v", "n * n - a - b + s AS tn",
+        "(hs - ha - hb) / n + ln(n) AS mutual",
+        "ln(n) - ha / n AS h_true", "ln(n) - hb / n AS h_pred",
     )
-    h_true = F.log(n) - F.col("ha") / n
-    h_pred = F.log(n) - F.col("hb") / n
-    mutual = (F.col("hs") - F.col("ha") - F.col("hb")) / n + F.log(n)
-    nmi = (
-        F.when((F.col("labels") == 1) & (F.col("preds") == 1), 1.0)
-        .when(mutual <= 1e-12, 0.0)
-        .otherwise(mutual / ((h_true + h_pred) / 2))
-    )
-    few = n < 2
-    return sums.select(
+    return counted.selectExpr(
         "query_id",
         "threshold",
-        F.when(few, 0.0).otherwise(ari).alias("ari"),
-        F.when(few, 0.0).otherwise(nmi).alias("nmi"),
+        "CASE WHEN n < 2 THEN 0D WHEN u = 0 AND v = 0 THEN 1D ELSE 2 * (tp * tn - u * v) / "
+        "((tp + u) * (u + tn) + (tp + v) * (v + tn)) END AS ari",
+        "CASE WHEN n < 2 THEN 0D WHEN labels = 1 AND preds = 1 THEN 1D WHEN mutual <= 1e-12 "
+        "THEN 0D ELSE mutual / ((h_true + h_pred) / 2) END AS nmi",
     )
 
 
@@ -224,7 +211,7 @@ def evaluate(
             _hits(judged, k_values, thresholds), "query_id", "left"
         )
         rows = _list_metrics(metrics, k_values, thresholds)
-        parts.append(wide.select("query_id", F.inline(F.array(*rows))))
+        parts.append(wide.selectExpr("query_id", f"inline(array({', '.join(rows)}))"))
     clusters = [m for m in ("ari", "nmi", "purity") if m in metrics]
     if clusters:
         grades = F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold")
@@ -235,50 +222,41 @@ def evaluate(
             wide = wide.join(_agreement(judged, thresholds), keys, "left")
         if "purity" in clusters:
             wide = wide.join(_purity(judged, thresholds), keys, "left")
-        rows = [_row(m, None, F.col("threshold"), F.col(m)) for m in clusters]
-        parts.append(wide.select("query_id", F.inline(F.array(*rows))))
+        rows = [_row(m, None, "threshold", m) for m in clusters]
+        parts.append(wide.selectExpr("query_id", f"inline(array({', '.join(rows)}))"))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def _row(
-    metric: str, k: int | None, threshold: Column, value: Column, valid: Column | None = None
-) -> Column:
-    return F.struct(
-        F.lit(metric).alias("metric"),
-        F.lit(k).cast("int").alias("k"),
-        threshold.cast("double").alias("threshold"),
-        F.coalesce(value, F.lit(0.0)).alias("value"),
-        (F.lit(True) if valid is None else valid).alias("valid"),
+    metric: str, k: int | None, threshold: object, value: str, valid: str = "true"
+) -> str:
+    """SQL for one output row."""
+    return (
+        f"named_struct('metric', '{metric}', 'k', CAST({'NULL' if k is None else k} AS int), "
+        f"'threshold', CAST({threshold} AS double), 'value', coalesce({value}, 0D), "
+        f"'valid', {valid})"
     )
 
 
 def _list_metrics(
     metrics: Sequence[str], k_values: Sequence[int], thresholds: Sequence[float]
-) -> list[Column]:
+) -> list[str]:
     """The per-query rows of the metrics that read the list in order."""
     rows = []
-
-    def add(metric: str, *args) -> None:
-        if metric in metrics:
-            rows.append(_row(metric, *args))
-
     for i, k in enumerate(k_values):
-        idcg = F.col(f"idcg{i}")
-        gain = F.when(idcg > 0, F.col(f"dcg{i}") / idcg)
-        add("ndcg", k, F.lit(None), gain, idcg > 0)
-        returned = F.coalesce(F.col(f"ret{i}"), F.lit(0))
+        gain = f"CASE WHEN idcg{i} > 0 THEN dcg{i} / idcg{i} END"
+        rows.append(("ndcg", k, "NULL", gain, f"idcg{i} > 0"))
+        returned = f"coalesce(ret{i}, 0) > 0"
         for j, t in enumerate(thresholds):
-            hits, known = F.col(f"hit{i}_{j}"), F.col(f"rel{j}")
-            share = F.when(returned > 0, hits / returned)
-            add("precision", k, F.lit(t), share, returned > 0)
-            found = F.when(known == 0, 1.0).otherwise(hits / known)
-            add("recall", k, F.lit(t), found)
+            share = f"CASE WHEN ret{i} > 0 THEN hit{i}_{j} / ret{i} END"
+            found = f"CASE WHEN rel{j} = 0 THEN 1D ELSE hit{i}_{j} / rel{j} END"
+            rows.append(("precision", k, t, share, returned))
+            rows.append(("recall", k, t, found))
     for j, t in enumerate(thresholds):
-        known = F.col(f"rel{j}")
-        add("mrr", None, F.lit(t), 1.0 / F.col(f"first{j}"))
-        mean = F.when(known == 0, 1.0).otherwise(F.col(f"ap{j}") / known)
-        add("map", None, F.lit(t), mean)
-    return rows
+        rows.append(("mrr", None, t, f"1D / first{j}"))
+        mean = f"CASE WHEN rel{j} = 0 THEN 1D ELSE ap{j} / rel{j} END"
+        rows.append(("map", None, t, mean))
+    return [_row(*r) for r in rows if r[0] in metrics]
 
 
 def averages(

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textmatch.config import ship_package
+
 MAX_BROADCAST_QUERIES = 2048
 MAX_BROADCAST_BYTES = 128 << 20
 GRID_QUERIES = 2048
@@ -208,8 +210,9 @@ def top_k(
     """
     if kind not in ("dense", "sparse", "sparse_cosine"):
         raise ValueError(f"unknown kind: {kind}")
+    ship_package(corpus.sparkSession)
     queries = queries.select("query_id", "vector")
-    corpus = corpus.select("id", "vector")
+    corpus = corpus.select("id", F.col("vector").alias("item"))
     schema = T.StructType(
         [
             T.StructField("query_id", queries.schema["query_id"].dataType),
@@ -239,7 +242,7 @@ def _by_broadcast(
         scorer = _scorer(kind, vectors) if len(query_ids) else None
         for batch in batches:
             if scorer is not None and batch.num_rows:
-                _feed(best, scorer, _column(batch, "id"), _column(batch, "vector"))
+                _feed(best, scorer, _column(batch, "id"), _column(batch, "item"))
         if best.held:
             yield pa.RecordBatch.from_pydict(_result(best, query_ids))
 
@@ -272,7 +275,7 @@ def _by_grid(
         best = _Best(len(query_ids), k)
         if q.num_rows and c.num_rows:
             scorer = _scorer(kind, _column(q, "vector"))
-            _feed(best, scorer, _column(c, "id"), _column(c, "vector"))
+            _feed(best, scorer, _column(c, "id"), _column(c, "item"))
             return pa.table(_result(best, query_ids))
         empty = pa.array([], pa.float64())
         return pa.table(

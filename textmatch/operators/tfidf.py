@@ -16,12 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmatch.config import EngineConfig, materialize
+from textmatch.config import EngineConfig, materialize, ship_package
 from textmatch.functions.text import round6
 from textmatch.functions.tokens import count_terms, terms
 
 VECTOR = "array<struct<term:string,weight:double>>"
-_VECTOR_ARROW = pa.list_(pa.struct([("term", pa.string()), ("weight", pa.float64())]))
+_FLOATS = pa.list_(pa.float32())
+# Documents whose dense chunk vectors a task holds at once.
+_EMBED_ROWS = 256
 
 
 def term_statistics(
@@ -94,6 +96,14 @@ class _Lookup:
         length = np.sqrt(np.bincount(rows, weight * weight, len(found)))
         return rows, pos, weight / length[rows]
 
+    def embed(self, found: pa.Array) -> np.ndarray:
+        """Pooled hashed vectors of documents given as lists of chunks."""
+        owner, per_chunk = _flat(found)
+        rows, pos, weight = self.weigh(per_chunk)
+        dense = np.zeros((len(per_chunk), self.dim))
+        np.add.at(dense, (rows, self.slot[pos]), weight * self.sign[pos])
+        return pool_unit(dense, owner, len(found))
+
     def vectors(self, rows: np.ndarray, pos: np.ndarray, weight: np.ndarray, n: int):
         items = pa.StructArray.from_arrays(
             [self.terms.take(pa.array(pos)), pa.array(weight, pa.float64())],
@@ -111,6 +121,7 @@ class TfidfModel:
         cfg: EngineConfig = EngineConfig(),
         stop_words: Sequence[str] | None = None,
     ):
+        ship_package(table.sparkSession)
         self.table = table
         self.cfg = cfg
         self.stop_words = stop_words
@@ -174,14 +185,11 @@ class TfidfModel:
         @F.arrow_udf("array<float>")
         def embed(found: pa.Array) -> pa.Array:
             model = shared.value
-            owner, per_chunk = _flat(found)
-            rows, pos, weight = model.weigh(per_chunk)
-            dense = np.bincount(
-                rows * model.dim + model.slot[pos],
-                weight * model.sign[pos],
-                len(per_chunk) * model.dim,
-            ).reshape(-1, model.dim)
-            return to_float_lists(pool_unit(dense, owner, len(found)))
+            parts = [
+                to_float_lists(model.embed(found.slice(lo, _EMBED_ROWS)))
+                for lo in range(0, len(found), _EMBED_ROWS)
+            ]
+            return pa.concat_arrays(parts) if parts else pa.array([], _FLOATS)
 
         return embed(F.transform(chunks, self.terms))
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmatch.config import EngineConfig
+from textmatch.config import EngineConfig, ship_package
 from textmatch.functions.text import clean_text
 from textmatch.operators.chunking import chunk_text
 from textmatch.operators.ranking import average_similarity, present_matches
@@ -33,6 +33,7 @@ def boosted(df: DataFrame, model: TfidfModel, text: str, cfg: EngineConfig) -> D
 
 def encode_chunks(chunks: Column, encoder: EncoderFactory) -> Column:
     """Pooled unit vectors of a user's encoder; the model is made once per worker."""
+    ship_package()
 
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmatch.config import ship_package
 from textmatch.functions.text import base_name, base_stem, clean_text, extension
 from textmatch.functions.text import fingerprint, preview
 
@@ -102,6 +103,7 @@ def extract_text(
     Pages are joined by a blank and line ends become blanks. A blank or failing result is
     tried again with the fallback. A document that fails keeps its row, with the reason.
     """
+    ship_package(documents.sparkSession)
 
     def one(extractor: Extractor, content: bytes) -> str:
         return " ".join(extractor(content)).replace("\n", " ").strip()

@@ -5,6 +5,7 @@ Every table carries the record id; nothing depends on row positions.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -46,6 +47,7 @@ def build_index(
     stop_words: Sequence[str] | None = None,
     encoder: EncoderFactory | None = None,
     use_chunking: bool = True,
+    encoder_name: str = "hashing",
 ) -> Index:
     """Write every table of the index under ``path`` and load it."""
     spark = corpus.sparkSession
@@ -65,6 +67,7 @@ def build_index(
         embedded.select("id", "embedding"),
         f"{path}/embeddings",
         {
+            "model_name": encoder_name,
             "embedding_dim": cfg.dim,
             "chunking_enabled": use_chunking,
             "chunk_size": cfg.chunk_size,
@@ -91,20 +94,33 @@ def load_index(
     return Index(corpus, vocab, vectors, embeddings, TfidfModel(vocab, cfg, stop_words))
 
 
+def index_version(
+    corpus: DataFrame,
+    cfg: EngineConfig = EngineConfig(),
+    stop_words: Sequence[str] | None = None,
+    encoder_name: str = "hashing",
+) -> str:
+    """A folder name that stands for the corpus, the settings and the encoder."""
+    parts = [*corpus_fingerprint(corpus).first(), cfg, sorted(stop_words or []), encoder_name]
+    return hashlib.md5(repr(parts).encode()).hexdigest()[:16]
+
+
 def open_index(
     corpus: DataFrame,
     path: str,
     cfg: EngineConfig = EngineConfig(),
     stop_words: Sequence[str] | None = None,
     encoder: EncoderFactory | None = None,
+    encoder_name: str = "hashing",
 ) -> Index:
-    """Reuse the stored index if it was built from this very corpus, else rebuild it."""
+    """Reuse the index built from this very corpus and settings, else build it.
+
+    Each version has its own folder under ``path``: building one never touches what a
+    running job reads.
+    """
     spark = corpus.sparkSession
+    folder = f"{path}/{index_version(corpus, cfg, stop_words, encoder_name)}"
     try:
-        require_files(spark, [f"{path}/fingerprint"])
+        return load_index(spark, folder, cfg, stop_words)
     except FileNotFoundError:
-        return build_index(corpus, path, cfg, stop_words, encoder)
-    stored = spark.read.parquet(f"{path}/fingerprint").first()
-    if stored == corpus_fingerprint(corpus).first():
-        return load_index(spark, path, cfg, stop_words)
-    return build_index(corpus, path, cfg, stop_words, encoder)
+        return build_index(corpus, folder, cfg, stop_words, encoder, encoder_name=encoder_name)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmatch.config import EngineConfig, materialize, scratch_path, ship_package, spread
+from textmatch.config import EngineConfig, materialize, scratch_path, spread
 from textmatch.functions.text import (
     base_stem,
     clean_text,
@@ -88,13 +88,8 @@ REGISTRY: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    @functools.wraps(fn)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
-        return fn(spark, sf_dir)
-
-    REGISTRY[fn.__name__] = run
-    return run
+    REGISTRY[fn.__name__] = fn
+    return fn
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -810,7 +805,7 @@ def index_roundtrip(spark, sf_dir):
     """The index written, reopened without a rebuild, and used."""
     corpus = corpus_of(spark, sf_dir)
     path = scratch_path(spark, "index")
-    build_index(corpus, path, CFG)
+    open_index(corpus, path, CFG)
     index = open_index(corpus, path, CFG)
     matches = match_documents(
         queries_of(spark, sf_dir), index.corpus, index.model, CFG, index.embeddings
