@@ -19,6 +19,7 @@ class EngineConfig:
     # corpus preparation
     max_person_id: int | None = None
     title_repeat: int = 3
+    title_sep: str = ""
     # term statistics
     max_features: int = 10_000
     min_df: int = 5
@@ -31,6 +32,7 @@ class EngineConfig:
     chunk_overlap: int = 50
     # embedding
     dim: int = 1024
+    encode_batch: int = 32
     # matching
     top_n: int = 5
     overfetch: int = 3

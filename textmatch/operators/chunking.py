@@ -51,6 +51,6 @@ def chunk_docs(
     cfg: EngineConfig = EngineConfig(),
 ) -> DataFrame:
     """``(id, chunk_idx, chunk)``, one row per chunk."""
-    return docs.select(
-        id_col, F.posexplode(chunk_text(F.col(text_col), cfg)).alias("chunk_idx", "chunk")
-    )
+    pieces = F.posexplode_outer(chunk_text(F.col(text_col), cfg))
+    rows = docs.select(id_col, pieces.alias("chunk_idx", "chunk"))
+    return rows.filter(F.col("chunk").isNotNull())

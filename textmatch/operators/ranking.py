@@ -17,7 +17,8 @@ def dedup_titles(
     id_col: str = "id",
     value: str = "similarity_percentage",
 ) -> DataFrame:
-    """Per query, the best row of each normalised title, then the best ``n`` rows.
+    """Per query, the best row of each normalised title; with ``n``, the best ``n`` of
+    these with their ``rank``.
 
     Titles are taken as standardised. A table without a title passes unchanged. Ordering
     is by ``value``, then by score where there is one, then by id.
@@ -40,9 +41,10 @@ def dedup_titles(
         .filter(F.col("copy") == 1)
         .drop("copy", "normalized_title", "rank")
     )
+    if n is None:
+        return kept
     place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    ranked = kept.withColumn("rank", place)
-    return ranked if n is None else ranked.filter(F.col("rank") <= n)
+    return kept.withColumn("rank", place).filter(F.col("rank") <= n)
 
 
 def present_matches(

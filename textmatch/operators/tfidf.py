@@ -248,8 +248,13 @@ def boost_text(text: Column, vector: Column, n: int = 20, sep: str = "") -> Colu
 
 
 def postings(docs: DataFrame, vector_col: str = "vector", id_col: str = "id") -> DataFrame:
-    """The document-term matrix as ``(id, term, weight)`` rows."""
-    return docs.select(id_col, F.inline(vector_col))
+    """The document-term matrix as ``(id, term, weight)`` rows.
+
+    The outer form keeps Spark from inferring a filter on the vector, which would compute
+    the vector a second time.
+    """
+    rows = docs.select(id_col, F.inline_outer(vector_col))
+    return rows.filter(F.col("term").isNotNull())
 
 
 def load_model(

@@ -22,15 +22,11 @@ EMPLOYMENT = ["firm", "start_date", "end_date", "location"]
 
 
 def text_representation(
-    ability: Column, title: Column, skill: Column, repeat: int = 3
+    ability: Column, title: Column, skill: Column, repeat: int = 3, sep: str = ""
 ) -> Column:
-    """``ability | title title title | skill``, the titles without a blank between them."""
-    return F.concat_ws(
-        " | ",
-        clean_text(ability),
-        F.repeat(clean_title_text(title), repeat),
-        clean_text(skill),
-    )
+    """``ability | titles | skill``; the title is repeated, by default without a blank."""
+    titles = F.array_join(F.array_repeat(clean_title_text(title), repeat), sep)
+    return F.concat_ws(" | ", clean_text(ability), titles, clean_text(skill))
 
 
 def join_profiles(
@@ -77,6 +73,6 @@ def prepare_corpus(
         F.coalesce("skill", F.lit("Unknown skill")).alias("skill"),
     )
     text = text_representation(
-        F.col("ability"), F.col("title"), F.col("skill"), cfg.title_repeat
+        F.col("ability"), F.col("title"), F.col("skill"), cfg.title_repeat, cfg.title_sep
     )
     return filled.withColumn("embedding_text", text)

@@ -10,13 +10,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmatch.config import EngineConfig, ship_package
 from textmatch.functions.text import clean_text
 from textmatch.operators.chunking import chunk_text
-from textmatch.operators.ranking import average_similarity, present_matches
+from textmatch.operators.ranking import present_matches
 from textmatch.operators.similarity import top_k
 from textmatch.operators.tfidf import TfidfModel, boost_text, pool_unit
 
@@ -24,6 +24,11 @@ from textmatch.operators.tfidf import TfidfModel, boost_text, pool_unit
 EncoderFactory = Callable[[], Callable[[Sequence[str]], np.ndarray]]
 
 
+def text_queries(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
+    """A few texts given in the program as queries."""
+    return spark.createDataFrame(list(texts.items()), "query_id string, text string")
+
+
 def boosted(df: DataFrame, model: TfidfModel, text: str, cfg: EngineConfig) -> DataFrame:
     """Replace ``text`` by itself with its heaviest terms appended."""
     weighted = df.withColumn("_vector", model.vector(F.col(text)))
@@ -31,8 +36,9 @@ def boosted(df: DataFrame, model: TfidfModel, text: str, cfg: EngineConfig) -> D
     return weighted.withColumn(text, new).drop("_vector")
 
 
-def encode_chunks(chunks: Column, encoder: EncoderFactory) -> Column:
-    """Pooled unit vectors of a user's encoder; the model is made once per worker."""
+def encode_chunks(chunks: Column, encoder: EncoderFactory, batch_size: int = 32) -> Column:
+    """Pooled unit vectors of a user's encoder; the model is made once per worker and is
+    given ``batch_size`` texts at a time."""
     ship_package()
 
     @F.pandas_udf("array<float>")
@@ -42,7 +48,11 @@ def encode_chunks(chunks: Column, encoder: EncoderFactory) -> Column:
             lists = [list(x) for x in batch]
             owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             flat = [text for x in lists for text in x]
-            vectors = np.asarray(run(flat), dtype=float)
+            if not flat:
+                yield pd.Series([None] * len(lists), dtype=object)
+                continue
+            parts = [run(flat[i : i + batch_size]) for i in range(0, len(flat), batch_size)]
+            vectors = np.concatenate([np.asarray(p, dtype=float) for p in parts])
             pooled = pool_unit(vectors, owner, len(lists)).astype(np.float32)
             yield pd.Series(list(pooled))
 
@@ -63,7 +73,10 @@ def embed(
     chunks = chunk_text(F.col("_text"), cfg) if use_chunking else F.array("_text")
     df = df.withColumn("_chunks", chunks)
     value = F.col("_chunks")
-    vector = model.embedding(value) if encoder is None else encode_chunks(value, encoder)
+    if encoder is None:
+        vector = model.embedding(value)
+    else:
+        vector = encode_chunks(value, encoder, cfg.encode_batch)
     return df.withColumn("embedding", vector).drop("_text", "_chunks")
 
 
@@ -130,5 +143,6 @@ def similar_documents(
 
 
 def with_average(matches: DataFrame) -> DataFrame:
-    """Matches next to their query's average similarity."""
-    return matches.join(average_similarity(matches), "query_id")
+    """Matches next to their query's average similarity; a query has a few rows only."""
+    mean = F.avg("similarity_percentage").over(Window.partitionBy("query_id"))
+    return matches.withColumn("avg_similarity", mean)

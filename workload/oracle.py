@@ -925,7 +925,7 @@ ORACLES: dict[str, str] = {
     ),
     "dedup_titles_lite": statement(
         BRANDS + deduped("brands", None, False, False),
-        "SELECT query_id, rank, id, title, similarity_percentage FROM shown",
+        "SELECT query_id, id, title, similarity_percentage FROM shown",
     ),
     "group_concat": statement(
         concat_by("a", "orders", "o_custkey", "o_orderpriority", "o_orderkey")

@@ -113,6 +113,11 @@ def corpus_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus written once, for plans that read it for terms, vectors and texts."""
+    return materialize(corpus_of(spark, sf_dir), "corpus")
+
+
 def queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as the documents to match."""
     return table(spark, sf_dir, "benchmark").select(
@@ -125,7 +130,7 @@ def fitted(corpus: DataFrame) -> TfidfModel:
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = corpus_of(spark, sf_dir)
+    corpus = stored_corpus(spark, sf_dir)
     return match_documents(queries_of(spark, sf_dir), corpus, fitted(corpus), CFG)
 
 
@@ -271,10 +276,7 @@ def dedup_titles_full(spark, sf_dir):
 
 @query
 def dedup_titles_lite(spark, sf_dir):
-    return dedup_titles(_brand_titles(spark, sf_dir), None, "lite").select(
-        "query_id", F.col("rank").cast("bigint").alias("rank"), "id", "title",
-        "similarity_percentage",
-    )
+    return dedup_titles(_brand_titles(spark, sf_dir), None, "lite")
 
 
 @query
@@ -360,8 +362,8 @@ def top_terms_docs(spark, sf_dir):
     model = fitted(corpus)
     vectors = corpus.select("id", model.vector(F.col("embedding_text")).alias("vector"))
     return vectors.select(
-        "id", F.posexplode(top_terms(F.col("vector"), CFG.boost_terms))
-    ).select(
+        "id", F.posexplode_outer(top_terms(F.col("vector"), CFG.boost_terms))
+    ).filter(F.col("pos").isNotNull()).select(
         "id",
         (F.col("pos") + 1).cast("bigint").alias("place"),
         F.col("col.term").alias("term"),
@@ -453,7 +455,7 @@ def hash_embed(spark, sf_dir):
     corpus = corpus_of(spark, sf_dir)
     embedded = embed(corpus, fitted(corpus), "embedding_text", CFG)
     return (
-        embedded.select("id", F.posexplode("embedding").alias("pos", "value"))
+        embedded.select("id", F.posexplode_outer("embedding").alias("pos", "value"))
         .filter(F.abs(F.col("value")) > 0.001)
         .select(
             "id",
@@ -485,7 +487,7 @@ def _shown(matches: DataFrame) -> DataFrame:
 
 @query
 def match_lite_documents(spark, sf_dir):
-    corpus = corpus_of(spark, sf_dir)
+    corpus = stored_corpus(spark, sf_dir)
     return _shown(match_lite(queries_of(spark, sf_dir), corpus, fitted(corpus), CFG))
 
 
@@ -654,7 +656,7 @@ def sampled_truth(spark, sf_dir):
 
 @query
 def evaluated_model(spark, sf_dir):
-    corpus = corpus_of(spark, sf_dir)
+    corpus = stored_corpus(spark, sf_dir)
     return evaluate_model(corpus, fitted(corpus)).withColumn("value", round6(F.col("value")))
 
 
@@ -722,7 +724,7 @@ def extract_pages(spark, sf_dir):
 
 @query
 def scan_pages(spark, sf_dir):
-    corpus = corpus_of(spark, sf_dir)
+    corpus = stored_corpus(spark, sf_dir)
     model = fitted(corpus)
     _, matches = process_documents(
         _page_files(spark, sf_dir),
