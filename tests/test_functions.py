@@ -51,6 +51,7 @@ FULL = {
     "fronten d backen d": "Frontend Backend",
     "Éand and b": "Éand / B",
     "Data Senior Analyst": "Data Analyst",
+    "ßung clerk": "Ssung Clerk",
 }
 
 

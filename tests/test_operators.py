@@ -348,3 +348,12 @@ def test_evaluate_model_with_given_truth(spark, small):
     got = {(r.metric, r.k): r.value for r in rows}
     assert got[("mrr", None)] == 1.0 and got[("ndcg", 1)] == 1.0
     assert all(r.queries == 2 for r in rows)
+
+
+def test_rows_without_a_vector_take_no_part(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])]
+    corpus = spark.createDataFrame(rows, "id int, vector array<double>")
+    queries = corpus.withColumnRenamed("id", "query_id")
+    for how in ({}, {"max_broadcast": 0, "grid": (1, 1)}):
+        got = ranked(top_k(queries, corpus, 5, **how))
+        assert got == {1: [(1, 1.0), (3, 0.0)], 3: [(3, 1.0), (1, 0.0)]}

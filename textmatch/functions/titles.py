@@ -96,9 +96,10 @@ def _replace_all(text: Column, steps: list[tuple[str, str]]) -> Column:
 
 
 def _capitalize(word: Column) -> Column:
-    return F.concat(
-        F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 2_147_483_647))
-    )
+    # A letter whose capital is two letters keeps only the first of them large.
+    first = F.upper(F.substring(word, 1, 1))
+    rest = F.concat(F.substring(first, 2, 9), F.substring(word, 2, 2_147_483_647))
+    return F.concat(F.substring(first, 1, 1), F.lower(rest))
 
 
 def _style_word(word: Column) -> Column:

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmatch.config import materialize
 from textmatch.functions.text import percentage
 from textmatch.functions.titles import normalize_title, normalize_title_lite
 
+# Candidate rows (three small columns each) that are broadcast against a corpus.
+MAX_BROADCAST_ROWS = 2_000_000
+
 
 def dedup_titles(
     matches: DataFrame,
@@ -52,11 +56,13 @@ def present_matches(
 ) -> DataFrame:
     """Attach titles and texts to the candidates, as percentages, and keep the best ``n``.
 
-    The candidates are a few rows per query, so the corpus is only scanned here.
+    The candidates, a few rows per query, are written and counted; while they are few they
+    are broadcast, so that the texts of the corpus are scanned and never shuffled.
     """
-    rows = candidates.select("query_id", "id", "score").join(
-        corpus.select("id", "title", "embedding_text"), "id"
-    )
+    found = materialize(candidates.select("query_id", "id", "score"), "candidates")
+    if found.count() <= MAX_BROADCAST_ROWS:
+        found = F.broadcast(found)
+    rows = corpus.select("id", "title", "embedding_text").join(found, "id")
     rows = rows.withColumn("similarity_percentage", percentage(F.col("score")))
     return dedup_titles(rows, n, profile).select(
         "query_id", "rank", "id", "title", "similarity_percentage", "embedding_text", "score"

@@ -33,6 +33,12 @@ def _column(table: pa.Table | pa.RecordBatch, name: str) -> pa.Array:
     return col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
 
 
+def _present(table: pa.Table, name: str) -> pa.Table:
+    """The rows that have a vector. Done here, as a filter in the plan would make Spark
+    compute a vector that comes from Python twice."""
+    return table.filter(pc.is_valid(table.column(name)))
+
+
 def _list_rows(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     return np.repeat(np.arange(len(lists)), sizes), lists.flatten()
@@ -124,6 +130,8 @@ class _Best:
 
     def __init__(self, n_queries: int, k: int):
         self.k, self.n = k, n_queries
+        # Per query, the key a row must reach once k better ones are held.
+        self.floor: np.ndarray | None = None
         self.query: list[np.ndarray] = []
         self.ids: list[pa.Array] = []
         self.score: list[np.ndarray] = []
@@ -134,20 +142,27 @@ class _Best:
         order = np.argsort(_codes(ids), kind="stable")
         ids, scores = ids.take(pa.array(order)), scores[order]
         key = np.floor(scores * 1e6 + 0.5)
-        n, k = key.shape[0], self.k
-        if n > k:
-            kth = np.partition(key, n - k, axis=0)[n - k]
-            above = key > kth
-            level = key == kth
-            room = k - above.sum(axis=0)
-            keep = above | (level & (np.cumsum(level, axis=0) <= room))
-        else:
-            keep = np.ones(key.shape, bool)
+        keep = self._candidates(key)
         row, query = np.nonzero(keep)
         self._push(query, ids.take(pa.array(row)), scores[row, query])
-        if self.held > 8 * self.k * self.n + 1_000_000:
+        if self.floor is None or self.held > 4 * self.k * self.n + 1_000_000:
             self.settle()
 
+    def _candidates(self, key: np.ndarray) -> np.ndarray:
+        """Which cells can still be among the best; rows are in id order."""
+        n, k = key.shape[0], self.k
+        if self.floor is not None:
+            keep = key >= self.floor
+            if np.count_nonzero(keep) <= 2 * k * self.n:
+                return keep
+        if n <= k:
+            return np.ones(key.shape, bool)
+        kth = np.partition(key, n - k, axis=0)[n - k]
+        above = key > kth
+        level = key == kth
+        room = k - above.sum(axis=0)
+        return above | (level & (np.cumsum(level, axis=0) <= room))
+
     def _push(self, query: np.ndarray, ids: pa.Array, score: np.ndarray) -> None:
         self.query.append(query)
         self.ids.append(ids)
@@ -164,12 +179,19 @@ class _Best:
         first = np.searchsorted(sorted_query, sorted_query, "left")
         order = order[np.arange(len(order)) - first < self.k]
         out = query[order], ids.take(pa.array(order)), score[order]
+        self.floor = np.full(self.n, -np.inf)
+        full = np.flatnonzero(np.bincount(out[0], minlength=self.n) == self.k)
+        last = np.searchsorted(out[0], full, "right") - 1
+        self.floor[full] = np.floor(out[2][last] * 1e6 + 0.5)
         self.query, self.ids, self.score = [out[0]], [out[1]], [out[2]]
         self.held = len(out[0])
         return out
 
 
 def _feed(best: _Best, scorer, ids: pa.Array, vectors: pa.Array) -> None:
+    if vectors.null_count:
+        there = vectors.is_valid()
+        ids, vectors = ids.filter(there), vectors.filter(there)
     step = max(1, _CELLS // max(best.n, 1))
     for lo in range(0, len(ids), step):
         part = vectors.slice(lo, step)
@@ -206,7 +228,8 @@ def top_k(
     ``queries`` is ``(query_id, vector)`` and ``corpus`` is ``(id, vector)``. ``kind`` is
     ``dense`` (cosine of number arrays), ``sparse`` or ``sparse_cosine`` (arrays of
     ``struct<term, weight>``). Rows are ranked by score to six places, then by id; a
-    corpus row sharing nothing with a query takes part with score 0.
+    corpus row sharing nothing with a query takes part with score 0. Rows without a vector
+    take no part.
     """
     if kind not in ("dense", "sparse", "sparse_cosine"):
         raise ValueError(f"unknown kind: {kind}")
@@ -232,6 +255,7 @@ def top_k(
 def _by_broadcast(
     block: pa.Table, corpus: DataFrame, k: int, kind: str, schema: T.StructType
 ) -> DataFrame:
+    block = _present(block, "vector")
     shared = corpus.sparkSession.sparkContext.broadcast(
         (_column(block, "query_id"), _column(block, "vector"))
     )
@@ -271,6 +295,7 @@ def _by_grid(
     right = spread(corpus, "id", "cb", "qb", n_c, n_q)
 
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        q = _present(q, "vector")
         query_ids = _column(q, "query_id")
         best = _Best(len(query_ids), k)
         if q.num_rows and c.num_rows:

@@ -153,6 +153,7 @@ def standard(x: str, full: bool = True, strict: bool = False) -> str:
     style = (
         f"CASE WHEN lower(w) = 'to' THEN 'to' WHEN lower(w) IN ({names(SPECIAL_UPPER)}) "
         f"THEN upper(w) WHEN contains(w, {P}) THEN {kept} "
+        f"WHEN substr(w, 1, 1) = '\u00df' THEN 'Ss' || lower(substr(w, 2)) "
         f"ELSE upper(substr(w, 1, 1)) || lower(substr(w, 2)) END"
     )
     done = f"array_to_string(list_transform({words}, lambda w: {style}), ' ')"
