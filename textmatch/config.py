@@ -66,12 +66,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
 
     The setting must name storage every executor reaches. Only where it is unset (tests)
-    is a folder made for it.
+    is a folder made, once per application.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="textmatch-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        base = getattr(context, "_textmatch_scratch", None)
+        if base is None:
+            base = tempfile.mkdtemp(prefix="textmatch-")
+            context._textmatch_scratch = base
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 

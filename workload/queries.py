@@ -498,7 +498,7 @@ def match_benchmark(spark, sf_dir):
 
 @query
 def match_profiles(spark, sf_dir):
-    """The whole pipeline: person tables to corpus, corpus titles matched for each item."""
+    """Person tables to a corpus, and the persons matched for each kind of part."""
     corpus = materialize(prepare_corpus(**person_tables(spark, sf_dir)), "corpus").select(
         F.col("person_id").alias("id"), "title", "embedding_text"
     )
