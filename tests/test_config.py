@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 from types import SimpleNamespace
 
+import pytest
+
 from textmatch.config import materialize, scratch_path, spread
 
 
-def stand_in(base):
+def stand_in(base, master="local[2]"):
     conf = SimpleNamespace(get=lambda key, default=None: base or default)
-    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace())
+    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
 
 
 def test_scratch_follows_the_setting():
@@ -23,6 +25,13 @@ def test_scratch_without_a_setting_is_made_once():
     assert first != second and os.path.dirname(first) == os.path.dirname(second)
 
 
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[3,2,1000]"])
+def test_other_sessions_need_a_shared_folder(master):
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_path(stand_in(None, master), "t")
+    assert scratch_path(stand_in("hdfs:///x/", master), "t").startswith("hdfs:///x/t-")
+
+
 def test_materialize_keeps_schema_and_rows(spark):
     df = spark.range(5).selectExpr("id", "array(id) AS v")
     out = materialize(df, "t")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -65,17 +66,23 @@ def local_session(cpus: int = 8, app: str = "textmatch", **conf: str) -> SparkSe
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
 
-    The setting must name storage every executor reaches. Only where it is unset (tests)
-    is a folder made, once per application.
+    The setting must name storage every executor reaches. Only in a local session (tests,
+    the bench) may it be unset: then a folder is made once per application and removed when
+    the program ends. Any other session without it is refused before a job starts.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError(
+                "set spark.checkpoint.dir to a folder that the driver and all executors share"
+            )
         base = getattr(context, "_textmatch_scratch", None)
         if base is None:
             base = tempfile.mkdtemp(prefix="textmatch-")
             context._textmatch_scratch = base
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

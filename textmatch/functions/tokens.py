@@ -3,20 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textmatch.functions.stopwords import ENGLISH
 from textmatch.functions.text import WORD, let
 
 
-@lru_cache(maxsize=1)
 def default_stop_words() -> tuple[str, ...]:
     """Spark's own English list; pass another list to any operator to replace it."""
-    from pyspark.ml.feature import StopWordsRemover
-
-    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
+    return ENGLISH
 
 
 def words(text: Column, stop_words: Sequence[str] | None = None) -> Column:

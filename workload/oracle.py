@@ -5,11 +5,7 @@ Assembled from named common table expressions; every string in ORACLES is one st
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-
-import pyspark
+from textmatch.functions.stopwords import ENGLISH
 
 W = r"\p{L}\p{N}_"
 S = (
@@ -21,13 +17,6 @@ O, C, P = "chr(1)", "chr(2)", "chr(57344)"
 O_RE, C_RE, P_RE = r"\x01", r"\x02", r"\x{e000}"
 
 
-def stop_words() -> list[str]:
-    """Spark's English list, read from the library that ships it."""
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*"))
-    with zipfile.ZipFile(jar[0]) as z:
-        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
-
-
 def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -202,7 +191,7 @@ ASKED = [("asked", f"SELECT item_id AS id, {clean('text')} AS text FROM benchmar
 
 def term_rows(name: str, source: str, keys: str, text: str = "text") -> list[tuple[str, str]]:
     """``<name>_tf (keys, term, tf)`` of the unigrams and bigrams without stop words."""
-    stop = names(stop_words())
+    stop = names(ENGLISH)
     found = (
         f"list_filter(regexp_extract_all(lower({text}), '[{W}]{{2,}}'), "
         f"lambda w: w NOT IN ({stop}))"
@@ -896,7 +885,7 @@ SUMMARY = (
     "min(similarity_percentage) AS low FROM shown GROUP BY query_id)"
 )
 
-STOP = names(stop_words())
+STOP = names(ENGLISH)
 SHORT_CLEAN = cut(clean("text"), 30)
 
 ORACLES: dict[str, str] = {
