@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from textmatch.llm.decontaminate import OP2_SQL, op2_decontaminate
+from textmatch.llm.minhash import OP3_SQL, op3_minhash
 from textmatch.llm.quality import OP6_SQL, op6_quality
 
 REGISTRY = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_minhash": op3_minhash,
     "op6_quality": op6_quality,
 }
 
 ORACLES = {
     "op2_decontaminate": OP2_SQL,
+    "op3_minhash": OP3_SQL,
     "op6_quality": OP6_SQL,
 }
