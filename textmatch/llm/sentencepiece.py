@@ -45,7 +45,9 @@ class DoubleArray:
         size = 4096
         base, check, value = [0] * size, [-1] * size, [-1] * size
         check[0] = 0
-        start_at = 1  # nearly all slots before this one are taken
+        # No usable slot before the one is free, none after the other taken. The first usable
+        # slot lies beyond every byte, so that no base is negative.
+        free, top = 258, 258
         todo = [(0, 0, len(keys), 0)]
         while todo:
             node, low, high, depth = todo.pop()
@@ -62,26 +64,25 @@ class DoubleArray:
             if not spans:
                 continue
             first = spans[0][0]
-            slot, taken = max(start_at, first + 1), 0
-            begun = slot
+            # Few children go into the first holes, many beyond what is taken.
+            slot = free if len(spans) < 2 else max(free, top - 64)
             while True:
                 if slot + 257 >= size:
                     base += [0] * size
                     check += [-1] * size
                     value += [-1] * size
                     size *= 2
-                if check[slot] >= 0:
-                    taken += 1
-                elif all(check[slot - first + c] < 0 for c, _, _ in spans):
+                if check[slot] < 0 and all(check[slot - first + c] < 0 for c, _, _ in spans):
                     break
                 slot += 1
-            if begun == start_at and taken >= 0.9 * (slot - begun + 1):
-                start_at = slot
             base[node] = slot - first
             for c, start, end in spans:
                 child = base[node] + c
                 check[child] = node
                 todo.append((child, start, end, depth + 1))
+                top = max(top, child)
+            while check[free] >= 0:
+                free += 1
         return cls(base, check, value)
 
 
