@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 from textmatch.llm.decontaminate import OP2_SQL, op2_decontaminate
+from textmatch.llm.line_dedup import OP1_SQL, op1_line_dedup
 from textmatch.llm.minhash import OP3_SQL, op3_minhash
 from textmatch.llm.quality import OP6_SQL, op6_quality
+from textmatch.llm.sentencepiece import op5_sentencepiece
+from textmatch.llm.sharding import op9_sharding
+from textmatch.llm.token_counts import op4_token_counts
 
 REGISTRY = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_minhash": op3_minhash,
+    "op4_token_counts": op4_token_counts,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_quality": op6_quality,
+    "op9_sharding": op9_sharding,
 }
 
 ORACLES = {
+    "op1_line_dedup": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
     "op3_minhash": OP3_SQL,
     "op6_quality": OP6_SQL,
