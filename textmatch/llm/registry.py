@@ -8,6 +8,8 @@ from textmatch.llm.minhash import OP3_SQL, op3_minhash
 from textmatch.llm.quality import OP6_SQL, op6_quality
 from textmatch.llm.sentencepiece import op5_sentencepiece
 from textmatch.llm.sharding import op9_sharding
+from textmatch.llm.substring_dedup import op7_substring_dedup
+from textmatch.llm.suffix_dedup import op10_suffix_array
 from textmatch.llm.token_counts import op4_token_counts
 
 REGISTRY = {
@@ -17,7 +19,9 @@ REGISTRY = {
     "op4_token_counts": op4_token_counts,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality": op6_quality,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_sharding": op9_sharding,
+    "op10_suffix_array": op10_suffix_array,
 }
 
 ORACLES = {
