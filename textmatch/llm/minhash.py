@@ -8,14 +8,20 @@ contiguous slice per shingle serves every coordinate. ``BANDS`` bands of ``ROWS`
 give a document its buckets: two documents at the limit of 0.75 miss each other in all of them
 once in fifty thousand, and less with every further similarity.
 
-Equal sets collapse first, by their digest. Then rounds go over the buckets. A round compares a
-few representatives of each bucket with its other members that aren't yet known to be in the
-same component, confirms by the sets themselves, joins components, and takes those
-representatives out; a bucket leaves when all its members are in one component. So every pair
-that shares a bucket is either compared or already connected, the first round settles groups of
-near copies with one comparison per member, and no bucket is expanded into all its pairs. The
-number of representatives doubles from round to round, which bounds the rounds by the logarithm
-of the largest bucket. A comparison with a popular representative is split into blocks.
+Equal sets collapse first, by their digest. Then every member of a bucket is compared with the
+bucket's first one; that settles most groups of copies with one comparison per member. A bucket
+whose members aren't in one component yet is open, and each of its pairs that spans two
+components is still to be compared:
+
+* A member is left out of an open bucket if it can't be linked to any other there: its shingles
+  that no other member of an open bucket has can't be shared, and a link needs
+  ``percent * (n + m) / (100 + percent)`` shared ones, ``m`` being the least set in the bucket.
+* Buckets left with the same members are one. A bucket is dealt into cells of two blocks of at
+  most about ``BLOCK`` members, so that any two members meet in a cell, and a cell counts all overlaps
+  of its sets at once, as products of incidence matrices. Only links leave it.
+
+So every pair that shares a bucket is compared on whole sets, is shown not to be similar by a
+bound, or is connected already; pairs are never rows, however large a group is.
 
 Defined results: a null text, an empty text and one without words have an empty set, linked
 with nothing. A null id is never a component; its row takes the component of an equal text, or
@@ -25,6 +31,7 @@ texts is. Ties go to the smaller id. Empty tables give empty results. Extra colu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -41,8 +48,8 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 40, 5
 PLACES = 1 << 20
 SEED = 20_231
-#: members that one representative's set is compared with in a task, and new ones per round
-BLOCK, REPRESENTATIVES = 512, 8
+#: members that are compared with one set, or with each other, in one place
+BLOCK = 512
 
 
 @lru_cache(maxsize=1)
@@ -118,7 +125,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
         return [pa.array(found, pa.list_(pa.int64()))]
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("body"))
-    rows = rows.join(wanted, "id", "left_semi")
+    # The ids grow with the input: the same join at every size.
+    rows = rows.join(wanted.hint("merge"), "id", "left_semi")
     fields = [T.StructField("shingles", T.ArrayType(T.LongType()))]
     return rows_with(rows, ["body"], fields, run, carry=["id"])
 
@@ -172,42 +180,124 @@ def near_duplicates(
 
 def _settle(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of all links between members of a bucket."""
-    forest, done, many = None, None, 1
-    while True:
-        named = members
-        if forest is not None:
-            named = named.join(forest.withColumnRenamed("node", "id"), "id", "left")
-            named = named.withColumn("component", F.coalesce("component", "id"))
-        else:
-            named = named.withColumn("component", F.col("id"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        open_ = named.join(mixed.where("lo < hi").select("key"), "key", "left_semi")
-        if forest is not None:
-            open_ = materialize(open_, "open")
-            if open_.isEmpty():
-                return forest
-        heads = open_.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(many)).alias("seat")).agg(
-            F.min(F.struct("id", "component", "n_shingles")).alias("h")
-        )
-        n, m = F.col("n_shingles"), F.col("h.n_shingles")
-        pairs = (
-            open_.join(heads, "key")
-            .where(F.col("component") != F.col("h.component"))
-            .where(100 * F.least(n, m) >= percent * F.greatest(n, m))
-            .select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"))
-            .distinct()
+    heads = members.groupBy("key").agg(F.min(F.struct("id", "n_shingles")).alias("h"))
+    n, m = F.col("n_shingles"), F.col("h.n_shingles")
+    pairs = (
+        members.join(heads, "key")
+        .where((F.col("id") != F.col("h.id")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)))
+        .select(F.col("h.id").alias("a"), F.col("id").alias("b"))
+        .distinct()
+    )
+    links = _confirmed(materialize(pairs, "pairs"), sets, percent)
+    forest = components(links, "a", "b")
+    named = members.join(forest.withColumnRenamed("node", "id"), "id", "left").withColumn(
+        "component", F.coalesce("component", "id")
+    )
+    open_ = materialize(_open(named), "open")
+    within = _within(_possible(open_, sets, percent), sets, percent)
+    more = within.union(forest.select(F.col("component").alias("a"), F.col("node").alias("b")))
+    return components(more, "a", "b")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The buckets whose members are in several components."""
+    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return members.join(mixed.where("lo < hi").select("key"), "key", "left_semi")
+
+
+def _possible(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id, component) of the members that could be linked within their bucket."""
+    involved = sets.join(open_.select("id").distinct(), "id", "left_semi")
+    only_once = (
+        involved.select("id", F.explode("shingles").alias("shingle"))
+        .groupBy("shingle")
+        .agg(F.min("id").alias("id"), F.max("id").alias("last"))
+        .where("id = last")
+        .groupBy("id")
+        .agg(F.count("*").alias("alone"))
+    )
+    least = open_.groupBy("key").agg(F.min("n_shingles").alias("least"))
+    n = F.col("n_shingles")
+    partner = F.greatest(F.col("least"), F.floor(n * percent / 100))
+    able = open_.join(only_once, "id", "left").join(least, "key").where(
+        (100 + percent) * (n - F.coalesce("alone", F.lit(0))) >= percent * (n + partner)
+    )
+    return materialize(_open(able.select("key", "id", "component")), "able")
+
+
+def _within(able: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each member and each other component in its bucket, a link if there is one."""
+    alike = able.groupBy("key").agg(
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("print"),
+        F.min("id").alias("lo"), F.max("id").alias("hi"),
+    )
+    chosen = alike.groupBy("size", "print", "lo", "hi").agg(F.min("key").alias("key"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = able.join(chosen.select("key", "size"), "key").select(
+        "key", "id", "component", blocks.alias("blocks"),
+        F.pmod(F.xxhash64("id"), blocks).cast("int").alias("mine"),
+    )
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = dealt.select("*", other.alias("other")).select(
+        "key", "id", "component",
+        F.least("mine", "other").alias("row"), F.greatest("mine", "other").alias("column"),
+    )
+    filled = (
+        cells.join(sets, "id")
+        .repartition("key", "row", "column")
+        .sortWithinPartitions("key", "row", "column")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+        found: list[tuple[int, int]] = []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("key", "row", "column"))))
+            ids = batch.column("id").to_pylist()
+            named = batch.column("component").to_pylist()
+            lists = batch.column("shingles")
+            for i, key in enumerate(keys):
+                if key != cell:
+                    found += linked(held, percent)
+                    cell, held = key, []
+                held.append((ids[i], named[i], lists[i].values.to_numpy()))
+        found += linked(held, percent)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["a", "b"]
         )
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        done = pairs if done is None else done.union(pairs)
-        links = _confirmed(pairs, sets, percent)
-        if forest is not None:
-            links = links.union(forest.select(F.col("component").alias("a"), F.col("node").alias("b")))
-        forest = components(links, "a", "b")
-        gone = heads.select("key", F.col("h.id").alias("id"))
-        members = open_.join(gone, ["key", "id"], "left_anti").select("key", "id", "n_shingles")
-        many = REPRESENTATIVES if many == 1 else 2 * many
+
+    return filled.mapInArrow(run, "a bigint, b bigint")
+
+
+def linked(members: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links between (id, component, set) of different components: at most one for each member
+    and component, and none whose two ends are both in the most frequent component."""
+    if len(members) < 2:
+        return []
+    ids, named = np.array([m[0] for m in members]), np.array([m[1] for m in members])
+    sizes = np.array([len(m[2]) for m in members])
+    kinds, which, times = np.unique(named, return_inverse=True, return_counts=True)
+    rest = np.flatnonzero(which != np.argmax(times))
+    owner = np.repeat(np.arange(len(members)), sizes)
+    _, column, count = np.unique(
+        np.concatenate([m[2] for m in members]), return_inverse=True, return_counts=True
+    )
+    number = np.cumsum(count > 1) - 1  # shingles of one member only need no column
+    several = count[column] > 1
+    owner, column = owner[several], number[column[several]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    overlap = np.zeros((len(rest), len(members)), np.float32)
+    for low in range(0, int(number[-1]) + 1, 2048):
+        part = slice(*np.searchsorted(column, [low, low + 2048]))
+        dense = np.zeros((len(members), 2048), np.float32)
+        dense[owner[part], column[part] - low] = 1
+        overlap += dense[rest] @ dense.T
+    total = sizes[rest][:, None] + sizes[None, :]
+    fits = (100 * overlap >= percent * (total - overlap)) & (which[rest][:, None] != which[None, :])
+    x, y = np.nonzero(fits)
+    _, first = np.unique(x * len(kinds) + which[y], return_index=True)
+    return list(zip(ids[rest[x[first]]].tolist(), ids[y[first]].tolist()))
 
 
 def op3_minhash(spark, sf_dir):
