@@ -17,6 +17,7 @@ as the result is replaced. Ids outside the vocabulary, and special ones, decode
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from textmatch.llm.common import rows_with, table
 from textmatch.llm.pieces import MARK, MODEL, Pieces, load_pieces
 
-REMEMBERED = 300_000
+REMEMBERED = 400_000  # pre-tokens of a generation; two are kept
 
 
 @dataclass(frozen=True)
@@ -92,6 +93,7 @@ class Encoder(dict):
     def __init__(self, pieces: Pieces):
         super().__init__()
         self.pieces = pieces
+        self.older: dict[str, bytes] = {}
         keys = sorted(p.encode() for p in pieces.scores)
         self.trie = DoubleArray.build(keys)
         entries = [pieces.scores[k.decode()] for k in keys]
@@ -103,8 +105,11 @@ class Encoder(dict):
             self.units[i] = bytes([byte])
 
     def __missing__(self, pre_token: str) -> bytes:
-        found = np.array(self.best_path(pre_token), np.int32).tobytes()
+        found = self.older.get(pre_token)
+        if found is None:
+            found = array("i", self.best_path(pre_token)).tobytes()
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
         if len(pre_token) <= 64:
             self[pre_token] = found
@@ -112,10 +117,12 @@ class Encoder(dict):
 
     def best_path(self, pre_token: str) -> list[int]:
         """The ids of the best spelling of one pre-token."""
-        characters = self.pieces.characters(pre_token)
         own_mark = MARK.encode()
-        # A mark of the text itself is the byte 0xFF here: in no UTF-8 text, so in no piece.
-        data = b"".join([c.encode() or b"\xff" for c in characters])
+        data = pre_token.encode()
+        if own_mark in data:
+            # The byte 0xFF is in no UTF-8 text, so in no piece.
+            data = data.replace(own_mark, b"\xff")
+        data = data.replace(b" ", own_mark)
         base, check, value = self.trie.base, self.trie.check, self.trie.value
         scores, unknown = self.scores, self.pieces.unknown_score
         n = len(data)

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from textmatch.llm.common import rows_with, table
 from textmatch.llm.pieces import MODEL, Pieces, load_pieces
 
-NODES = 400_000
+NODES = 1_000_000
 
 
 class CountingTrie:
@@ -32,6 +32,13 @@ class CountingTrie:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.scores = {p: s for p, (_, s) in pieces.scores.items()}
+        #: the pieces spelled backwards, as nested tables; a score lies under None
+        self.endings: dict = {}
+        for piece, score in self.scores.items():
+            below = self.endings
+            for character in reversed(piece):
+                below = below.setdefault(character, {})
+            below[None] = score
         self._begin()
 
     def _begin(self) -> None:
@@ -65,26 +72,25 @@ class CountingTrie:
 
     def _node(self, characters: list[str], depth: int, path: list[int]) -> int:
         """Add the prefix of ``depth`` characters below the last node of ``path``."""
-        best, tokens, scores = self.best, self.tokens, self.scores
+        best, tokens = self.best, self.tokens
         last = characters[depth - 1]
         top = count = None
-        if last:
-            first = max(0, depth - self.pieces.longest)
-            suffix = "".join(characters[first:depth])
-            if "" in characters[first:depth]:  # a mark of the text itself: in no piece
-                first = depth - 1 - characters[first:depth][::-1].index("") + 1
-                suffix = "".join(characters[first:depth])
-            for start in range(first, depth):
-                score = scores.get(suffix[start - first :])
-                if score is not None:
-                    score += best[path[start]]
-                    if top is None or score > top:
-                        top, count = score, tokens[path[start]] + 1
-        if last not in scores:
-            score = best[path[-1]] + self.pieces.unknown_score
+        piece = self.endings
+        # Pieces that end here, from the shortest to the longest; of equals the longest counts,
+        # as a search from left to right would find it first.
+        for start in range(depth - 1, -1, -1):
+            piece = piece.get(characters[start])
+            if piece is None:
+                break
+            score = piece.get(None)
+            if score is not None:
+                score = best[path[start]] + score
+                if top is None or score >= top:
+                    top, count = score, tokens[path[start]] + 1
+        if last not in self.scores:
+            score = best[path[depth - 1]] + self.pieces.unknown_score
             if top is None or score > top:
-                width = len(last.encode()) or 3
-                top, count = score, tokens[path[-1]] + width
+                top, count = score, tokens[path[depth - 1]] + (len(last.encode()) or 3)
         self.children.append(None)
         best.append(top)
         tokens.append(count)
