@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from textmatch.llm.decontaminate import OP2_SQL, op2_decontaminate
+from textmatch.llm.html_extract import op8_html_extraction
 from textmatch.llm.line_dedup import OP1_SQL, op1_line_dedup
 from textmatch.llm.minhash import OP3_SQL, op3_minhash
 from textmatch.llm.quality import OP6_SQL, op6_quality
@@ -20,6 +21,7 @@ REGISTRY = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality": op6_quality,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_html_extraction": op8_html_extraction,
     "op9_sharding": op9_sharding,
     "op10_suffix_array": op10_suffix_array,
 }
