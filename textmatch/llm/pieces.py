@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -30,13 +31,23 @@ class Pieces:
 
     @cached_property
     def _splitter(self) -> re.Pattern | None:
-        """No piece may cross a cut, or the cut would change the best path."""
+        """Cuts before blanks, around line ends and before marks, where the pieces allow each.
+
+        No piece may cross a cut, or the cut would change the best path. The marks are those of
+        ASCII and, as long as there are any, the characters that a piece has before a mark.
+        """
         inner = [p for p in self.scores if len(p) > 1]
         if any(MARK in p.lstrip(MARK) for p in inner):
             return None
-        if any("\n" in p for p in inner):
-            return re.compile(r" *[^ ]+| +")
-        return re.compile(r" *[^ \n]+|\n| +")
+        line = "" if any("\n" in p for p in inner) else "\n"
+        marks, before = set(), set(string.punctuation)
+        while before:
+            marks |= before
+            before = {a for p in inner for a, b in zip(p, p[1:]) if b in marks} - marks - {MARK}
+        if any(c.isalpha() or c.isspace() for c in marks):
+            return re.compile(f" *[^ {line}]+|\n| +")
+        mark = "".join(map(re.escape, sorted(marks)))
+        return re.compile(f" *[{mark}]*[^ {line}{mark}]+| *[{mark}]+|\n| +")
 
     def pre_tokens(self, text: str) -> list[str]:
         """The text after one leading blank, cut where no piece can cross; '' gives none."""
@@ -44,12 +55,6 @@ class Pieces:
             return []
         return self._splitter.findall(" " + text) if self._splitter else [" " + text]
 
-    def characters(self, pre_token: str) -> list[str]:
-        """As pieces spell it: blanks as marks, and a mark of the text itself as '' (bytes)."""
-        if MARK in pre_token:
-            return ["" if c == MARK else MARK if c == " " else c for c in pre_token]
-        return list(pre_token.replace(" ", MARK))
-
 
 def load_pieces(model_file: str = MODEL) -> Pieces:
     """Read a SentencePiece model.

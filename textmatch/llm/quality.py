@@ -195,18 +195,34 @@ def judge(
     )
 
 
-def quality_thresholds(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """The limits learned from ``docs`` (lang, source, text), written once: a small table."""
-    counted = text_counts(docs.select("lang", "source", "text"), carry=["lang", "source"])
+def quality_thresholds(
+    docs: DataFrame,
+    min_rows: int = MIN_ROWS,
+    lang_col: str = "lang",
+    source_col: str = "source",
+    text_col: str = "text",
+) -> DataFrame:
+    """The limits learned from ``docs``, written once: a small table."""
+    plain = docs.select(
+        F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("body")
+    )
+    counted = text_counts(plain, "body", carry=["lang", "source"])
     limits = thresholds(materialize(sketches(counted), "sketches"), min_rows)
     return materialize(limits, "thresholds")
 
 
-def quality_filter(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+def quality_filter(
+    docs: DataFrame,
+    min_rows: int = MIN_ROWS,
+    lang_col: str = "lang",
+    source_col: str = "source",
+    text_col: str = "text",
+) -> DataFrame:
     """``docs`` with its counts, ``base_failed`` and ``kept``; texts are not shuffled."""
+    limits = quality_thresholds(docs, min_rows, lang_col, source_col, text_col)
     if "kept" in docs.columns:
         docs = docs.drop("kept")
-    return judge(text_counts(docs), quality_thresholds(docs, min_rows))
+    return judge(text_counts(docs, text_col), limits, lang_col, source_col)
 
 
 def op6_quality(spark, sf_dir):

@@ -87,6 +87,9 @@ class DoubleArray:
         return cls(base, check, value)
 
 
+_NOWHERE = float("-inf")
+
+
 class Encoder(dict):
     """Pre-token to the bytes of its ids (32-bit). Ask it by ``encoder[pre_token]``."""
 
@@ -97,7 +100,12 @@ class Encoder(dict):
         keys = sorted(p.encode() for p in pieces.scores)
         self.trie = DoubleArray.build(keys)
         entries = [pieces.scores[k.decode()] for k in keys]
-        self.ids, self.scores = [i for i, _ in entries], [s for _, s in entries]
+        # By node: where its children begin for byte 0, and the score and id that end there.
+        self.first = [b + 1 for b in self.trie.base]
+        self.ends = [entries[v][1] if v >= 0 else None for v in self.trie.value]
+        self.node_ids = [entries[v][0] if v >= 0 else -1 for v in self.trie.value]
+        self.singles = {p.encode() for p in pieces.scores if len(p) == 1}
+        self.plain = [bytes([b]) in self.singles for b in range(256)]
         self.units: list[bytes] = [b""] * pieces.size
         for piece, (i, _) in pieces.scores.items():
             self.units[i] = piece.replace(MARK, " ").encode()
@@ -123,45 +131,41 @@ class Encoder(dict):
             # The byte 0xFF is in no UTF-8 text, so in no piece.
             data = data.replace(own_mark, b"\xff")
         data = data.replace(b" ", own_mark)
-        base, check, value = self.trie.base, self.trie.check, self.trie.value
-        scores, unknown = self.scores, self.pieces.unknown_score
+        base, check, ends = self.first, self.trie.check, self.ends
         n = len(data)
-        best: list[float | None] = [None] * (n + 1)
-        came: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        best = [_NOWHERE] * (n + 1)
+        came, piece = [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         for start in range(n):
             here = best[start]
-            if here is None:  # inside a character
+            if here == _NOWHERE:  # inside a character
                 continue
-            lead = data[start]
-            width = 1 if lead < 0x80 or lead == 0xFF else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            one, node = False, 0
-            for end in range(start, n):
-                child = base[node] + data[end] + 1
+            node, end = 0, start
+            for byte in data[start:]:
+                child = base[node] + byte
                 if check[child] != node:
                     break
                 node = child
-                which = value[node]
-                if which >= 0:
-                    if end + 1 == start + width:
-                        one = True
-                    score = here + scores[which]
-                    known = best[end + 1]
-                    if known is None or score > known:
-                        best[end + 1] = score
-                        came[end + 1] = (start, which)
-            if not one:
-                score = here + unknown
-                known = best[start + width]
-                if known is None or score > known:
-                    best[start + width] = score
-                    came[start + width] = (start, -1)
+                end += 1
+                score = ends[node]
+                if score is not None:
+                    score += here
+                    if score > best[end]:
+                        best[end], came[end], piece[end] = score, start, node
+            lead = data[start]
+            if not self.plain[lead]:  # a character that may have no piece
+                width = 1 if lead < 0x80 or lead == 0xFF else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+                if data[start : start + width] not in self.singles:
+                    score = here + self.pieces.unknown_score
+                    end = start + width
+                    if score > best[end]:
+                        best[end], came[end], piece[end] = score, start, -1
         out: list[int] = []
         at = n
         while at > 0:
-            start, which = came[at]
-            if which >= 0:
-                out.append(self.ids[which])
+            start, node = came[at], piece[at]
+            if node >= 0:
+                out.append(self.node_ids[node])
             else:
                 spelled = own_mark if data[start:at] == b"\xff" else data[start:at]
                 out.extend(self.pieces.byte_ids[b] for b in reversed(spelled))

@@ -21,28 +21,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmatch.llm.common import rows_with, table
-from textmatch.llm.pieces import MODEL, Pieces, load_pieces
+from textmatch.llm.pieces import MARK, MODEL, Pieces, load_pieces
 
 NODES = 1_000_000
 
 
+_SPAN = 0x110000  # more than any code point
+
+
 class CountingTrie:
-    """Prefix nodes with forward scores and token counts."""
+    """Prefix nodes with forward scores and token counts, in flat tables.
+
+    Node numbers count up; ``children`` maps ``node * _SPAN + code point`` to a node.
+    """
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.scores = {p: s for p, (_, s) in pieces.scores.items()}
+        self.single = {ord(p) for p in pieces.scores if len(p) == 1}
         #: the pieces spelled backwards, as nested tables; a score lies under None
         self.endings: dict = {}
-        for piece, score in self.scores.items():
+        for piece, (_, score) in pieces.scores.items():
             below = self.endings
             for character in reversed(piece):
-                below = below.setdefault(character, {})
+                below = below.setdefault(ord(character), {})
             below[None] = score
         self._begin()
 
     def _begin(self) -> None:
-        self.children: list[dict[str, int] | None] = [None]
+        self.children: dict[int, int] = {}
         self.best, self.tokens = [0.0], [0]
         self.counted: dict[str, int] = {}
 
@@ -52,46 +58,48 @@ class CountingTrie:
             return known
         if len(self.best) >= NODES or len(self.counted) >= NODES:
             self._begin()
-        node = self._insert(self.pieces.characters(pre_token))
+        # A blank is spelled as a mark. A mark of the text itself becomes a code point that no
+        # text has, so that no piece covers it; it takes as many bytes.
+        spelled = pre_token.replace(MARK, "\ud800").replace(" ", MARK)
+        tokens = self._insert(list(map(ord, spelled)))
         if len(pre_token) <= 64:
-            self.counted[pre_token] = self.tokens[node]
-        return self.tokens[node]
+            self.counted[pre_token] = tokens
+        return tokens
 
-    def _insert(self, characters: list[str]) -> int:
+    def _insert(self, codes: list[int]) -> int:
         children, path, node = self.children, [0], 0
-        for depth, character in enumerate(characters, 1):
-            below = children[node]
-            if below is None:
-                below = children[node] = {}
-            child = below.get(character)
-            if child is None:
-                child = below[character] = self._node(characters, depth, path)
-            path.append(child)
-            node = child
-        return node
-
-    def _node(self, characters: list[str], depth: int, path: list[int]) -> int:
-        """Add the prefix of ``depth`` characters below the last node of ``path``."""
+        for last, code in enumerate(codes):
+            key = node * _SPAN + code
+            node = children.get(key)
+            if node is None:
+                node = children[key] = self._node(codes, last, path)
+            path.append(node)
+        return self.tokens[node]
+
+    def _node(self, codes: list[int], last: int, path: list[int]) -> int:
+        """Add the prefix that ends with character ``last``, below the last node of ``path``."""
         best, tokens = self.best, self.tokens
-        last = characters[depth - 1]
         top = count = None
         piece = self.endings
         # Pieces that end here, from the shortest to the longest; of equals the longest counts,
         # as a search from left to right would find it first.
-        for start in range(depth - 1, -1, -1):
-            piece = piece.get(characters[start])
+        for start in range(last, -1, -1):
+            piece = piece.get(codes[start])
             if piece is None:
                 break
             score = piece.get(None)
             if score is not None:
-                score = best[path[start]] + score
+                before = path[start]
+                score = best[before] + score
                 if top is None or score >= top:
-                    top, count = score, tokens[path[start]] + 1
-        if last not in self.scores:
-            score = best[path[depth - 1]] + self.pieces.unknown_score
+                    top, count = score, tokens[before] + 1
+        code = codes[last]
+        if code not in self.single:
+            before = path[last]
+            score = best[before] + self.pieces.unknown_score
             if top is None or score > top:
-                top, count = score, tokens[path[depth - 1]] + (len(last.encode()) or 3)
-        self.children.append(None)
+                width = 1 if code < 0x80 else 2 if code < 0x800 else 3 if code < 0x10000 else 4
+                top, count = score, tokens[before] + width
         best.append(top)
         tokens.append(count)
         return len(best) - 1
