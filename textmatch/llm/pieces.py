@@ -59,8 +59,9 @@ class Pieces:
 def load_pieces(model_file: str = MODEL) -> Pieces:
     """Read a SentencePiece model.
 
-    The scores of a model of merges are ranks, not logarithms (0, -1, -2, ...). Such a rank
-    ``r`` is read as the log probability of Zipf's law, ``-log(r + 1) - log(H)``.
+    The scores of a model of merges are whole numbers that order its pieces, not logarithms.
+    There a piece's rank ``r``, its place among the ordinary pieces, is read as the log
+    probability of Zipf's law, ``-log(r + 1) - log(H)``.
     """
     import sentencepiece
 
@@ -70,7 +71,7 @@ def load_pieces(model_file: str = MODEL) -> Pieces:
     byte_ids = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
     plain = [i for i in range(size) if not skip[i] and not model.is_byte(i)]
     raw = [model.get_score(i) for i in plain]
-    if raw == [-float(r) for r in range(len(raw))]:
+    if all(s == round(s) for s in raw):
         total = math.log(sum(1 / (r + 1) for r in range(len(raw))))
         raw = [-math.log(r + 1) - total for r in range(len(raw))]
     if len(byte_ids) != 256:

@@ -41,7 +41,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_rep
 RATES = {
     "symbol_rate": ("n_symbols", "word_chars", 1_000_000, 4_000, False),
     "word_length": ("word_chars", "n_words", 1_000, 500, True),
-    "dup_line_rate": ("n_dup_lines", "n_lines", 1_000_000, 60_000, False),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 1_000_000, 100_000, False),
     "repeat_rate": ("n_repeat_words", "n_words", 1_000_000, 60_000, False),
 }
 
