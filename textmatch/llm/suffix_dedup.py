@@ -10,9 +10,10 @@ farthest that a shared passage can go on without meeting the next shared anchor.
 2. The kept suffixes are grouped by anchor and context. Suffixes with one context are repeated
    as far as it reaches; the first stays.
 3. Of an anchor with several contexts, one suffix of each is sorted, once by the words that
-   follow (the suffix array of that anchor) and once by the words before it, read backwards. Each is compared
-   with the ``NEIGHBOURS`` before it and extended word by word to the left and right; a match of
-   ``MIN_WORDS`` or more marks the later document. A popular anchor is dealt in blocks.
+   follow (the suffix array of that anchor) and once by the words before it, read backwards.
+   Each is compared with the ``NEIGHBOURS`` before it, and with the anchor's first suffix, and
+   extended word by word to the left and right; a match of ``MIN_WORDS`` or more marks the later
+   place. A popular anchor is dealt in blocks, each of which also gets that first suffix.
 4. The marked pieces of a document that overlap make one span.
 
 The texts are read twice and shuffled once, for the suffixes of step 3 only; all else moves
@@ -25,6 +26,8 @@ smaller (id, position). An empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -116,11 +119,11 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _surroundings(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``wanted`` (id, at, key, block) with the words before, backwards, and after each anchor.
+    """``wanted`` (id, at, key, block, lead) with the words before, backwards, and after each anchor.
 
     Outside the text the words are BEFORE and BEYOND, which equal nothing.
     """
-    mine = wanted.groupBy("id").agg(F.collect_list(F.struct("at", "key", "block")).alias("asked"))
+    mine = wanted.groupBy("id").agg(F.collect_list(F.struct("at", "key", "block", "lead")).alias("asked"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("body"))
     rows = rows.join(mine, "id")
 
@@ -135,20 +138,18 @@ def _surroundings(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
                 if a["at"] + ANCHOR <= len(words):  # else another row of the same id
                     found.append(
                         {
-                            "at": a["at"], "key": a["key"], "block": a["block"],
+                            "at": a["at"], "key": a["key"], "block": a["block"], "lead": a["lead"],
                             "left": padded[p - REACH : p][::-1],
                             "right": padded[p + ANCHOR : p + ANCHOR + REACH],
                         }
                     )
             out.append(found)
-        fields = [("at", pa.int64()), ("key", pa.int64()), ("block", pa.int64())]
+        fields = [(n, pa.int64()) for n in ("at", "key", "block", "lead")]
         return [pa.array(out, pa.list_(pa.struct([*fields, ("left", _LIST), ("right", _LIST)])))]
 
     kind = T.StructType(
         [
-            T.StructField("at", T.LongType()),
-            T.StructField("key", T.LongType()),
-            T.StructField("block", T.LongType()),
+            *[T.StructField(n, T.LongType()) for n in ("at", "key", "block", "lead")],
             T.StructField("left", _LONGS),
             T.StructField("right", _LONGS),
         ]
@@ -163,59 +164,54 @@ def _surroundings(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
 _SPAN = "id bigint, start bigint, end bigint, first_id bigint"
 
 
-def _compare(suffixes: DataFrame, order: list[str]) -> DataFrame:
-    """Spans of the matches between each suffix and the ones just before it in the order."""
+def _compare(suffixes: DataFrame, order: str) -> DataFrame:
+    """Spans of the matches between each suffix and the ones just before it in the order, and
+    between it and the first of its anchor."""
     sorted_ = suffixes.repartition("key", "block").sortWithinPartitions(
-        "key", "block", *order, "id", "at"
+        "key", "block", F.col("lead").desc(), order, "id", "at"
     )
 
-    def run(batches):
-        tail = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None  # the rows that the next batch is compared with; the first is a lead
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, at, key, block = (
-                batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("id", "at", "key", "block")
-            )
-            left, right = (
-                batch.column(batch.schema.get_field_index(c)).flatten().to_numpy().reshape(-1, REACH)
-                for c in ("left", "right")
-            )
-            here = [ids, at, key, block, left, right]
+            here = [batch.column(c).to_numpy() for c in ("id", "at", "key", "block", "lead")]
+            here += [batch.column(c).flatten().to_numpy().reshape(-1, REACH) for c in ("left", "right")]
             old = 0 if tail is None else len(tail[0])
             if old:
-                here = [np.concatenate([a, b]) for a, b in zip(tail, here)]
-            spans = []
+                here = [np.concatenate([x, y]) for x, y in zip(tail, here)]
             n = len(here[0])
+            every = np.arange(n)
+            lead = np.maximum.accumulate(np.where(here[4] == 1, every, 0))
+            spans = [_matches(here, lead[old:], every[old:])]
             for back in range(1, NEIGHBOURS + 1):
-                b = np.arange(max(old, back), n)
-                if not len(b):
-                    break
-                a = b - back
-                b = b[(here[2][a] == here[2][b]) & (here[3][a] == here[3][b])]
-                a = b - back
-                same = (here[4][a] == here[4][b]) & (here[4][a] != BEFORE)
-                before = np.cumprod(same, axis=1).sum(axis=1)
-                same = (here[5][a] == here[5][b]) & (here[5][a] != BEYOND)
-                after = np.cumprod(same, axis=1).sum(axis=1)
-                match = before + ANCHOR + after >= MIN_WORDS
-                a, b, before, after = a[match], b[match], before[match], after[match]
-                later = (here[0][b] > here[0][a]) | ((here[0][b] == here[0][a]) & (here[1][b] > here[1][a]))
-                x, y = np.where(later, b, a), np.where(later, a, b)
-                spans.append(
-                    np.stack(
-                        [here[0][x], here[1][x] - before, here[1][x] + ANCHOR + after, here[0][y]]
-                    )
-                )
-            tail = [column[-NEIGHBOURS:] for column in here]
-            if spans:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in np.concatenate(spans, axis=1)], names=["id", "start", "end", "first_id"]
-                )
+                b = every[max(old, back) :]
+                spans.append(_matches(here, b - back, b))
+            last = np.concatenate([lead[-1:], every[-NEIGHBOURS:]])
+            tail = [column[last] for column in here]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in np.concatenate(spans, axis=1)],
+                names=["id", "start", "end", "first_id"],
+            )
 
     return sorted_.mapInArrow(run, _SPAN)
 
 
+def _matches(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(id, start, end, first id) for the pairs of rows that share enough words."""
+    ids, at, key, block, _, left, right = rows
+    alike = (key[a] == key[b]) & (block[a] == block[b])
+    a, b = a[alike], b[alike]
+    before = np.cumprod((left[a] == left[b]) & (left[a] != BEFORE), axis=1).sum(axis=1)
+    after = np.cumprod((right[a] == right[b]) & (right[a] != BEYOND), axis=1).sum(axis=1)
+    match = (before + ANCHOR + after >= MIN_WORDS) & ((ids[a] != ids[b]) | (at[a] != at[b]))
+    a, b, before, after = a[match], b[match], before[match], after[match]
+    later = (ids[b] > ids[a]) | ((ids[b] == ids[a]) & (at[b] > at[a]))
+    x, y = np.where(later, b, a), np.where(later, a, b)
+    return np.stack([ids[x], at[x] - before, at[x] + ANCHOR + after, ids[y]]).astype(np.int64)
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, first_id): spans of words that an earlier place has too."""
     ship_package(docs.sparkSession)
@@ -251,13 +247,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("id", low.alias("start"), high.alias("end"), F.col("first.id").alias("first_id"))
         .where(F.col("end") - F.col("start") >= MIN_WORDS)
     )
-    several = contexts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    asked = contexts.join(several, "key").select(
-        "key", F.col("first.id").alias("id"), F.col("first.at").alias("at"),
-        F.pmod(F.xxhash64("first"), F.ceil(F.col("m") / BLOCK)).alias("block"),
-    )
+    several = contexts.groupBy("key").agg(F.count("*").alias("m"), F.min("first").alias("least"))
+    several = materialize(several.where("m > 1"), "several")
+    blocks = F.ceil(F.col("m") / BLOCK)
+    each = contexts.join(several, "key").select(
+        "key", "first.*", F.pmod(F.xxhash64("first"), blocks).alias("block"), F.lit(0).alias("lead")
+    )
+    leads = several.select("key", "least.*", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"), F.lit(1).alias("lead"))
+    asked = each.unionByName(leads)
     around = materialize(_surroundings(docs, asked, id_col, text_col), "around")
-    pieces = copies.union(same).union(_compare(around, ["right"])).union(_compare(around, ["left"]))
+    pieces = copies.union(same).union(_compare(around, "right")).union(_compare(around, "left"))
     return _joined(pieces)
 
 
