@@ -48,8 +48,8 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 40, 5
 PLACES = 1 << 20
 SEED = 20_231
-#: members that are compared with one set, or with each other, in one place
-BLOCK = 512
+#: members that are compared with each other in one place, and blocks of partners of one set
+BLOCK, DEALT = 512, 256
 
 
 @lru_cache(maxsize=1)
@@ -132,12 +132,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. A popular ``a`` is dealt in blocks."""
-    popular = pairs.groupBy("a").agg(F.count("*").alias("times"))
-    blocks = F.ceil(F.col("times") / BLOCK)
-    dealt = pairs.join(popular, "a").select(
-        "a", "b", F.pmod(F.xxhash64("b"), blocks).alias("block")
-    )
+    """The pairs (a, b) whose sets are similar enough. The partners of an ``a`` are dealt into
+    up to ``DEALT`` blocks, each with a copy of its set."""
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(DEALT)).alias("block"))
     ours = dealt.select("a", "block").distinct().join(
         sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a"
     )
