@@ -12,7 +12,7 @@ from textmatch.config import EngineConfig
 from textmatch.functions import text as X
 from textmatch.functions.titles import normalize_title, standardize_title
 from textmatch.functions.tokens import count_terms, ngrams, terms, words
-from textmatch.functions.vectors import cosine, densify, l2_normalize, zero_vector
+from textmatch.functions.vectors import cosine, l2_normalize
 from textmatch.operators.chunking import chunk_text
 
 
@@ -156,11 +156,6 @@ def test_vectors(spark):
         l2_normalize(F.expr("array(0.0D, 0.0D)")).alias("zero"),
         cosine(F.expr("array(0.0D)"), F.expr("array(3.0D)")).alias("none"),
         cosine(F.expr("array(1.0D, 1.0D)"), F.expr("array(2.0D, 0.0D)")).alias("half"),
-        densify(
-            F.expr("array(struct(1 AS pos, 2.0D AS value), struct(4 AS pos, 3.0D AS value))"), 6
-        ).alias("dense"),
-        zero_vector(2).alias("blank"),
     ).first()
     assert row.unit == [0.6, 0.8] and row.zero == [0.0, 0.0] and row.none == 0.0
     assert math.isclose(row.half, math.sqrt(0.5))
-    assert row.dense == [0.0, 2.0, 0.0, 0.0, 3.0, 0.0] and row.blank == [0.0, 0.0]

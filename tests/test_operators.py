@@ -23,7 +23,7 @@ from textmatch.operators.relational import (
     require_columns,
 )
 from textmatch.operators.sampling import sample_texts, sample_truth
-from textmatch.operators.similarity import top_k
+from textmatch.operators.similarity import all_scores, top_k
 from textmatch.operators.summary import overall_summary
 from textmatch.operators.tfidf import TfidfModel, boost_text, top_terms, vocabulary
 from textmatch.plans.corpus import prepare_corpus
@@ -174,7 +174,7 @@ def test_dense_top_k_with_a_third_of_the_rows_alike(spark):
     want = {
         q: [int(i) for i in np.lexsort((np.arange(900), -key[q]))[:7]] for q in range(40)
     }
-    for how in ({}, {"max_broadcast": 3, "grid": (9, 100)}):
+    for how in ({}, {"block": 3}):
         got = ranked(top_k(queries, corpus, 7, **how))
         assert {q: [i for i, _ in v] for q, v in got.items()} == want
 
@@ -206,7 +206,7 @@ def test_sparse_top_k_matches_brute_force(spark):
         for q, v in asks.items():
             all_scores = [(d, math.floor(score(v, w, cosine) * 1e6 + 0.5)) for d, w in docs.items()]
             want[q] = [d for d, _ in sorted(all_scores, key=lambda x: (-x[1], x[0]))[:6]]
-        for how in ({}, {"max_broadcast": 3, "grid": (7, 50)}):
+        for how in ({}, {"block": 7}):
             got = ranked(top_k(queries, corpus, 6, name, **how))
             assert {q: [i for i, _ in v] for q, v in got.items()} == want
 
@@ -251,6 +251,34 @@ def test_rank_results(spark):
     assert got == ["c", "a"]
 
 
+def test_full_ranking_of_long_lists(spark):
+    rng = random.Random(4)
+    rows = [("long", f"i{n:05}", float(rng.choice([rng.randint(0, 50), 7]))) for n in range(6000)]
+    rows += [("short", f"i{n}", 1.0) for n in range(3)] + [("one", "x", 0.0)]
+    df = spark.createDataFrame(rows, "query_id string, item_id string, score double")
+    got = {(r.query_id, r.item_id): r["rank"] for r in rank_results(df).collect()}
+    want = {}
+    for q in ("long", "short", "one"):
+        mine = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))
+        want.update({(q, r[1]): place for place, r in enumerate(mine, 1)})
+    assert got == want
+
+
+def test_all_scores_hold_every_pair(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(30)]
+    corpus = spark.createDataFrame(rows, "id int, vector array<double>")
+    asked = corpus.filter("id < 5").withColumnRenamed("id", "query_id")
+    got = {(r.query_id, r.id): r.score for r in all_scores(asked, corpus, block=2).collect()}
+    assert len(got) == 150 and all(abs(got[(q, q)] - 1) < 1e-9 for q in range(5))
+
+
+def test_a_vocabulary_is_never_cut(spark):
+    table = spark.range(30).selectExpr("concat('t', id) AS term", "1.0D AS idf")
+    assert len(TfidfModel(table, EngineConfig(max_features=30)).lookup.value.terms) == 30
+    with pytest.raises(ValueError, match="max_features"):
+        TfidfModel(table, EngineConfig(max_features=10))
+
+
 def test_best_overlap(spark):
     items = spark.createDataFrame(
         [("j1", "Data Analyst", 1), ("j2", "data engineer", 2), ("j3", "DATA ANALYST", 3)],
@@ -354,6 +382,6 @@ def test_rows_without_a_vector_take_no_part(spark):
     rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])]
     corpus = spark.createDataFrame(rows, "id int, vector array<double>")
     queries = corpus.withColumnRenamed("id", "query_id")
-    for how in ({}, {"max_broadcast": 0, "grid": (1, 1)}):
+    for how in ({}, {"block": 1}):
         got = ranked(top_k(queries, corpus, 5, **how))
         assert got == {1: [(1, 1.0), (3, 0.0)], 3: [(3, 1.0), (1, 0.0)]}

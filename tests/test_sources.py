@@ -23,10 +23,11 @@ from textmatch.sources.documents import (
     list_files,
     reject_unsupported,
 )
-from textmatch.sources.index import build_index, corpus_fingerprint, open_index
+from textmatch.sources.index import build_index, corpus_fingerprint, load_index, open_index
 from textmatch.sources.tables import (
     load_ground_truth,
     load_processed,
+    read_csv,
     read_envelope,
     read_person_tables,
     require_files,
@@ -149,10 +150,51 @@ def test_index_is_reused_only_for_its_corpus(spark, tmp_path, corpus):
     second = open_index(changed, path, CFG)
     open_index(corpus, path, replace(CFG, dim=32))
     assert len(versions()) == 3 and built.items() <= versions().items()
+    retitled = corpus.withColumn("title", F.concat("title", F.lit(" new")))
+    assert {r.title for r in open_index(retitled, path, CFG).corpus.collect()} == {
+        r.title for r in retitled.collect()
+    }
+    open_index(corpus, path, CFG, stop_words=["alpha1"])
+    open_index(corpus, path, CFG, use_chunking=False)
+    assert len(versions()) == 6
     # The first version still serves whoever reads it.
     assert first.embeddings.count() == second.embeddings.count() == 12
 
 
+def test_index_keeps_its_settings(spark, tmp_path, corpus):
+    path = f"{tmp_path}/index"
+    build_index(corpus, path, CFG, stop_words=["alpha1"])
+    index = load_index(spark, path)
+    assert index.cfg == CFG and index.model.stop_words == ["alpha1"]
+    asked = spark.createDataFrame([("q", "beta3")], "query_id string, text string")
+    wide = index_matcher(index, replace(CFG, dim=7, top_n=3))(asked)
+    assert wide.count() == 3 and wide.filter("rank = 1").first().id == 3
+    os.remove(f"{path}/settings/_SUCCESS")
+    with pytest.raises(FileNotFoundError, match="settings"):
+        load_index(spark, path)
+    with pytest.raises(ValueError, match="encoder_name"):
+        build_index(corpus, path, CFG, encoder=lambda: None)
+
+
+def test_line_breaks_in_csv_fields(spark, tmp_path):
+    (tmp_path / "p.csv").write_text('person_id,skill\n1,"two\nlines"\n2,"a ""b"", c"\n')
+    schema = "person_id int, skill string"
+    rows = read_csv(spark, f"{tmp_path}/p.csv", schema, multi_line=True).collect()
+    assert [(r.person_id, r.skill) for r in rows] == [(1, "two\nlines"), (2, 'a "b", c')]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_csv(spark, f"{tmp_path}/p.csv", schema).collect()
+
+
+def test_matches_are_read_back(spark, tmp_path):
+    schema = "query_id string, rank int, id int"
+    rows = [(f"q{n % 9}", n // 9, n) for n in range(40)]
+    matches = spark.createDataFrame(rows, schema)
+    sinks.write_matches(matches, f"{tmp_path}/m")
+    assert sorted(map(tuple, sinks.read_matches(spark, f"{tmp_path}/m", schema).collect())) == sorted(rows)
+    one = sinks.read_matches(spark, f"{tmp_path}/m", schema, "q3").collect()
+    assert sorted(map(tuple, one)) == sorted(r for r in rows if r[0] == "q3")
+
+
 def test_stream_equals_batch(spark, tmp_path, corpus):
     index = build_index(corpus, f"{tmp_path}/index", CFG)
     asked = spark.createDataFrame(

@@ -37,30 +37,3 @@ def l2_normalize(v: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 when either vector is zero."""
     return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
-
-
-def zero_vector(dim: int) -> Column:
-    """The fallback for a text without content."""
-    return F.array_repeat(F.lit(0.0).cast("float"), dim)
-
-
-def densify(entries: Column, dim: int) -> Column:
-    """``array<float>`` of length ``dim`` from ``array<struct<pos, value>>`` in pos order."""
-
-    def fill(e: Column) -> Column:
-        parts = F.transform(
-            e,
-            lambda x, i: F.concat(
-                F.array_repeat(
-                    F.lit(0.0),
-                    x["pos"] - F.coalesce(F.get(e, i - 1)["pos"] + 1, F.lit(0)),
-                ),
-                F.array(x["value"]),
-            ),
-        )
-        last = F.coalesce(F.get(e, F.size(e) - 1)["pos"] + 1, F.lit(0))
-        return F.concat(F.flatten(parts), F.array_repeat(F.lit(0.0), F.lit(dim) - last))
-
-    return let(
-        F.coalesce(entries, F.array().cast("array<struct<pos:int,value:double>>")), fill
-    ).cast("array<float>")

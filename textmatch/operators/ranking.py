@@ -9,10 +9,6 @@ from textmatch.config import materialize
 from textmatch.functions.text import percentage
 from textmatch.functions.titles import normalize_title, normalize_title_lite
 
-# Candidate rows (three small columns each) that are broadcast against a corpus.
-MAX_BROADCAST_ROWS = 2_000_000
-
-
 def dedup_titles(
     matches: DataFrame,
     n: int | None = None,
@@ -54,31 +50,46 @@ def dedup_titles(
 def present_matches(
     candidates: DataFrame, corpus: DataFrame, n: int, profile: str = "full"
 ) -> DataFrame:
-    """Attach titles and texts to the candidates, as percentages, and keep the best ``n``.
+    """Attach titles to the candidates, as percentages, keep the best ``n``, then fetch texts.
 
-    The candidates, a few rows per query, are written and counted; while they are few they
-    are broadcast, so that the texts of the corpus are scanned and never shuffled.
+    Texts are fetched for the rows that are shown only, by a plain join on the id.
     """
-    found = materialize(candidates.select("query_id", "id", "score"), "candidates")
-    if found.count() <= MAX_BROADCAST_ROWS:
-        found = F.broadcast(found)
-    rows = corpus.select("id", "title", "embedding_text").join(found, "id")
-    rows = rows.withColumn("similarity_percentage", percentage(F.col("score")))
-    return dedup_titles(rows, n, profile).select(
+    found = candidates.select("query_id", "id", "score").join(corpus.select("id", "title"), "id")
+    found = found.withColumn("similarity_percentage", percentage(F.col("score")))
+    best = dedup_titles(found, n, profile)
+    return best.join(corpus.select("id", "embedding_text"), "id").select(
         "query_id", "rank", "id", "title", "similarity_percentage", "embedding_text", "score"
     )
 
 
-def average_similarity(matches: DataFrame) -> DataFrame:
-    """Mean of the returned percentages per query."""
-    return matches.groupBy("query_id").agg(
-        F.avg("similarity_percentage").alias("avg_similarity")
-    )
+# Rank blocks of a full list. Their bounds are estimates; the ranks are exact.
+RANK_BLOCKS = 64
 
 
-def rank_results(results: DataFrame, depth: int, query: str = "query_id") -> DataFrame:
-    """``rank`` from 1 by score, ties by item id, down to ``depth``."""
-    order = Window.partitionBy(query).orderBy(F.desc("score"), "item_id")
-    return results.withColumn("rank", F.row_number().over(order)).filter(
-        F.col("rank") <= depth
+def rank_results(
+    results: DataFrame, depth: int | None = None, query: str = "query_id"
+) -> DataFrame:
+    """``rank`` from 1 by score, ties by item id, down to ``depth`` or to the end.
+
+    A full list may be any share of the table. It is cut at estimated quantiles of its scores
+    into ``RANK_BLOCKS`` blocks, which are sorted apart and begin where the blocks above end.
+    """
+    order = [F.desc("score"), F.col("item_id")]
+    if depth is not None:
+        place = F.row_number().over(Window.partitionBy(query).orderBy(*order))
+        return results.withColumn("rank", place).filter(F.col("rank") <= depth)
+    steps = F.array(*[F.lit(i / RANK_BLOCKS) for i in range(1, RANK_BLOCKS)])
+    bounds = results.groupBy(query).agg(
+        F.percentile_approx("score", steps, F.lit(1000)).alias("_bounds")
+    )
+    above = F.size(F.filter("_bounds", lambda b: b > F.col("score")))
+    dealt = results.join(bounds, query).withColumn("_block", above).drop("_bounds")
+    dealt = materialize(dealt, "dealt")
+    sizes = dealt.groupBy(query, "_block").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(query).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(query, "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(query, "_block").orderBy(*order))
+    ranked = dealt.withColumn("_inside", inside).join(starts, [query, "_block"])
+    return ranked.withColumn("rank", (F.col("_start") + F.col("_inside")).cast("bigint")).drop(
+        "_block", "_inside", "_start"
     )

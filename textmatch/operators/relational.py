@@ -39,6 +39,10 @@ def clean_columns(df: DataFrame, keep: Sequence[str] = ("person_id",)) -> DataFr
     )
 
 
+def _order(column: str | Column) -> Column:
+    return F.col(column) if isinstance(column, str) else column
+
+
 def group_concat_distinct(
     df: DataFrame,
     key: str,
@@ -51,13 +55,15 @@ def group_concat_distinct(
 
     The first aggregation reduces each (key, column, value) to its earliest position and
     combines on the map side, so a key that holds much of the table reaches the second
-    one as its distinct values only.
+    one as its distinct values only. With one order column its minimum is a hash aggregate;
+    several make a struct, which is sorted. The result holds all distinct values of a key in
+    one string, so the second aggregation does as well.
     """
     if not columns:
         return df.select(key).distinct()
     cells = df.select(
         F.col(key).alias("key"),
-        F.struct(*order_by).alias("seq"),
+        (F.struct(*order_by) if len(order_by) > 1 else _order(order_by[0])).alias("seq"),
         F.explode(
             F.array(
                 *[
@@ -86,16 +92,28 @@ def group_concat_distinct(
 def content_dedup(df: DataFrame, id_col: str = "person_id") -> DataFrame:
     """One row per distinct content, the one with the lowest id; nulls count as equal.
 
-    A grouped minimum, so copies collapse before the shuffle however many there are.
+    Contents are grouped by digest, so that ids and digests are shuffled, combined on the map
+    side, and not the texts. ``df`` has one row per id.
     """
-    content = [c for c in df.columns if c != id_col]
-    return df.groupBy(*content).agg(F.min(id_col).alias(id_col)).select(*df.columns)
+    marked = df.withColumn("_digest", content_digest(df, id_col))
+    first = marked.groupBy("_digest").agg(F.min(id_col).alias(id_col)).select(id_col)
+    return df.join(first, id_col, "left_semi")
+
+
+def content_digest(df: DataFrame, id_col: str) -> Column:
+    """SHA-256 of all columns but the id; null and every text differ."""
+    marked = []
+    for c in sorted(c for c in df.columns if c != id_col):
+        text = F.col(f"`{c}`").cast("string")
+        size = F.octet_length(text).cast("string")
+        marked.append(F.coalesce(F.concat(size, F.lit("="), text), F.lit("~")))
+    return F.unhex(F.sha2(F.concat_ws("|", *marked), 256))
 
 
 def dedup_stats(df: DataFrame, id_col: str = "person_id") -> DataFrame:
     """Rows before and after :func:`content_dedup`, and the share it removes."""
-    content = [c for c in df.columns if c != id_col]
-    sizes = df.groupBy(*content).agg(F.count(F.lit(1)).alias("copies"))
+    digests = df.select(content_digest(df, id_col).alias("digest"))
+    sizes = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
     total = sizes.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("initial_rows"),
         F.count(F.lit(1)).alias("kept_rows"),

@@ -2,14 +2,16 @@
 
 The corpus stays where it is: each task multiplies its Arrow batches with the queries and
 keeps the best ``k`` per query, so what is shuffled is ``k`` rows per query and task,
-never a row per pair. Queries are broadcast while they fit ``MAX_BROADCAST_*``; a larger
-query set meets the corpus in a grid of bounded blocks, which gives the same result.
+never a row per pair. Queries are broadcast in blocks whose rows and cells are bounded by
+``BLOCK_*``, dealt by hash; the corpus is scanned once per block and never copied or moved.
+One block or many, the plan of each is the same.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +20,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmatch.config import ship_package
+from textmatch.config import materialize, ship_package
 
-MAX_BROADCAST_QUERIES = 2048
-MAX_BROADCAST_BYTES = 128 << 20
-GRID_QUERIES = 2048
-GRID_CORPUS = 32_768
+# Queries, and numbers or terms of their vectors, that are broadcast at a time.
+BLOCK_QUERIES = 2048
+BLOCK_CELLS = 16 << 20
 # Score cells held at once by a task (queries x corpus rows of one step).
 _CELLS = 2_000_000
 
@@ -188,14 +189,19 @@ class _Best:
         return out
 
 
-def _feed(best: _Best, scorer, ids: pa.Array, vectors: pa.Array) -> None:
+def _steps(scorer, n: int, ids: pa.Array, vectors: pa.Array):
+    """(ids, scores) of a few rows at a time; rows without a vector are left out."""
     if vectors.null_count:
         there = vectors.is_valid()
         ids, vectors = ids.filter(there), vectors.filter(there)
-    step = max(1, _CELLS // max(best.n, 1))
+    step = max(1, _CELLS // max(n, 1))
     for lo in range(0, len(ids), step):
-        part = vectors.slice(lo, step)
-        best.offer(ids.slice(lo, step), scorer.scores(part))
+        yield ids.slice(lo, step), scorer.scores(vectors.slice(lo, step))
+
+
+def _feed(best: _Best, scorer, ids: pa.Array, vectors: pa.Array) -> None:
+    for some, scores in _steps(scorer, best.n, ids, vectors):
+        best.offer(some, scores)
 
 
 def _result(best: _Best, query_ids: pa.Array) -> dict[str, pa.Array]:
@@ -220,8 +226,7 @@ def top_k(
     corpus: DataFrame,
     k: int,
     kind: str = "dense",
-    max_broadcast: int = MAX_BROADCAST_QUERIES,
-    grid: tuple[int, int] = (GRID_QUERIES, GRID_CORPUS),
+    block: int = BLOCK_QUERIES,
 ) -> DataFrame:
     """``(query_id, id, score, rank)``: the ``k`` corpus rows most like each query.
 
@@ -231,10 +236,24 @@ def top_k(
     corpus row sharing nothing with a query takes part with score 0. Rows without a vector
     take no part.
     """
+    return _final(_block_scores(queries, corpus, k, kind, block), k)
+
+
+def all_scores(
+    queries: DataFrame, corpus: DataFrame, kind: str = "dense", block: int = BLOCK_QUERIES
+) -> DataFrame:
+    """``(query_id, id, score)`` of every query and corpus row, for judging whole lists."""
+    return _block_scores(queries, corpus, None, kind, block)
+
+
+def _block_scores(
+    queries: DataFrame, corpus: DataFrame, k: int | None, kind: str, block: int
+) -> DataFrame:
+    """The tasks' best (or all) scores, one block of queries after another."""
     if kind not in ("dense", "sparse", "sparse_cosine"):
         raise ValueError(f"unknown kind: {kind}")
     ship_package(corpus.sparkSession)
-    queries = queries.select("query_id", "vector")
+    queries = materialize(queries.select("query_id", "vector"), "queries")
     corpus = corpus.select("id", F.col("vector").alias("item"))
     schema = T.StructType(
         [
@@ -243,17 +262,18 @@ def top_k(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    # One row more than allowed tells whether the whole set fits.
-    block = queries.limit(max_broadcast + 1).toArrow()
-    if block.num_rows <= max_broadcast and block.nbytes <= MAX_BROADCAST_BYTES:
-        partial = _by_broadcast(block, corpus, k, kind, schema)
-    else:
-        partial = _by_grid(queries, corpus, k, kind, schema, grid)
-    return _final(partial, k)
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("vector")).alias("cells")).first()
+    blocks = max(1, math.ceil(size.n / block), math.ceil((size.cells or 0) / BLOCK_CELLS))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [
+        _by_broadcast(queries.where(part == b).toArrow(), corpus, k, kind, schema)
+        for b in range(blocks)
+    ]
+    return reduce(DataFrame.union, parts)
 
 
 def _by_broadcast(
-    block: pa.Table, corpus: DataFrame, k: int, kind: str, schema: T.StructType
+    block: pa.Table, corpus: DataFrame, k: int | None, kind: str, schema: T.StructType
 ) -> DataFrame:
     block = _present(block, "vector")
     shared = corpus.sparkSession.sparkContext.broadcast(
@@ -262,57 +282,29 @@ def _by_broadcast(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, vectors = shared.value
-        best = _Best(len(query_ids), k)
+        best = _Best(len(query_ids), k or 1)
         scorer = _scorer(kind, vectors) if len(query_ids) else None
         for batch in batches:
-            if scorer is not None and batch.num_rows:
-                _feed(best, scorer, _column(batch, "id"), _column(batch, "item"))
+            if scorer is None or not batch.num_rows:
+                continue
+            ids, items = _column(batch, "id"), _column(batch, "item")
+            if k is None:
+                yield from _every(scorer, best.n, query_ids, ids, items)
+            else:
+                _feed(best, scorer, ids, items)
         if best.held:
             yield pa.RecordBatch.from_pydict(_result(best, query_ids))
 
     return corpus.mapInArrow(run, schema)
 
 
-def _by_grid(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    kind: str,
-    schema: T.StructType,
-    grid: tuple[int, int],
-) -> DataFrame:
-    """Every query block meets every corpus block in a task of bounded size."""
-    n_q = max(1, math.ceil(queries.count() / grid[0]))
-    n_c = max(1, math.ceil(corpus.count() / grid[1]))
-
-    def spread(df: DataFrame, key: str, own: str, other: str, n_own: int, n_other: int):
-        copies = F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint"))
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own))).withColumn(
-            other, F.explode(copies)
-        )
-
-    left = spread(queries, "query_id", "qb", "cb", n_q, n_c)
-    right = spread(corpus, "id", "cb", "qb", n_c, n_q)
-
-    def run(q: pa.Table, c: pa.Table) -> pa.Table:
-        q = _present(q, "vector")
-        query_ids = _column(q, "query_id")
-        best = _Best(len(query_ids), k)
-        if q.num_rows and c.num_rows:
-            scorer = _scorer(kind, _column(q, "vector"))
-            _feed(best, scorer, _column(c, "id"), _column(c, "item"))
-            return pa.table(_result(best, query_ids))
-        empty = pa.array([], pa.float64())
-        return pa.table(
+def _every(scorer, n: int, query_ids: pa.Array, ids: pa.Array, vectors: pa.Array):
+    for ids, scores in _steps(scorer, n, ids, vectors):
+        row, query = np.indices(scores.shape).reshape(2, -1)
+        yield pa.RecordBatch.from_pydict(
             {
-                "query_id": query_ids.slice(0, 0),
-                "id": _column(c, "id").slice(0, 0),
-                "score": empty,
+                "query_id": query_ids.take(pa.array(query)),
+                "id": ids.take(pa.array(row)),
+                "score": pa.array(scores.reshape(-1), pa.float64()),
             }
         )
-
-    return (
-        left.groupBy("qb", "cb")
-        .cogroup(right.groupBy("qb", "cb"))
-        .applyInArrow(run, schema)
-    )

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmatch.config import EngineConfig, materialize, ship_package
@@ -125,8 +125,12 @@ class TfidfModel:
         self.table = table
         self.cfg = cfg
         self.stop_words = stop_words
-        # At most cfg.max_features rows: the one corpus statistic that is broadcast.
-        kept = table.select("term", "idf").orderBy("term").limit(cfg.max_features).toArrow()
+        # At most cfg.max_features rows: the one corpus statistic that is broadcast. A table
+        # with more was fitted with other settings and isn't cut.
+        kept = table.select("term", "idf").limit(cfg.max_features + 1).toArrow()
+        if kept.num_rows > cfg.max_features:
+            raise ValueError(f"the vocabulary has more than max_features = {cfg.max_features} terms")
+        kept = kept.sort_by("term")
         lookup = _Lookup(
             kept["term"].to_pylist(), kept["idf"].to_numpy().astype(float), cfg.dim
         )
@@ -255,11 +259,3 @@ def postings(docs: DataFrame, vector_col: str = "vector", id_col: str = "id") ->
     """
     rows = docs.select(id_col, F.inline_outer(vector_col))
     return rows.filter(F.col("term").isNotNull())
-
-
-def load_model(
-    spark: SparkSession, path: str, cfg: EngineConfig = EngineConfig(),
-    stop_words: Sequence[str] | None = None,
-) -> TfidfModel:
-    """A model from a stored vocabulary table."""
-    return TfidfModel(spark.read.parquet(path), cfg, stop_words)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = "1.0"
@@ -31,13 +31,33 @@ def write_json(df: DataFrame, path: str, metadata: dict[str, object] | None = No
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header."""
-    df.write.mode("overwrite").csv(path, header=True, escape='"')
+    """CSV with a header; blanks at the ends of a field stay."""
+    df.write.mode("overwrite").csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+
+
+MATCH_BUCKETS = 64
+
+
+def _bucket(query_id: Column) -> Column:
+    return F.pmod(F.xxhash64(query_id.cast("string")), F.lit(MATCH_BUCKETS))
 
 
 def write_matches(matches: DataFrame, path: str) -> None:
-    """Matches of all queries, one folder per query."""
-    matches.write.mode("overwrite").partitionBy("query_id").json(path)
+    """Matches of all queries as JSON, the queries dealt to a bounded number of folders."""
+    rows = matches.withColumn("bucket", _bucket(F.col("query_id")))
+    rows.write.mode("overwrite").partitionBy("bucket").option("ignoreNullFields", "false").json(path)
+
+
+def read_matches(spark: SparkSession, path: str, schema: str, query_id: object = None) -> DataFrame:
+    """What :func:`write_matches` wrote; of one query only its folder is read."""
+    rows = spark.read.schema(f"{schema}, bucket bigint").json(path)
+    if query_id is not None:
+        rows = rows.where(
+            (F.col("bucket") == _bucket(F.lit(query_id))) & (F.col("query_id") == F.lit(query_id))
+        )
+    return rows.drop("bucket")
 
 
 def write_metrics(average: DataFrame, path: str) -> None:

@@ -56,10 +56,21 @@ def with_file_order(df: DataFrame) -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+def csv_rows(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The rows of a CSV file as strings; a malformed row fails the job.
+
+    With ``multi_line`` quoted fields may hold line breaks. A file is then read by one task,
+    so large tables are better stored in several files.
+    """
+    return spark.read.csv(path, header=True, multiLine=multi_line, escape='"', mode="FAILFAST")
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: str | T.StructType, multi_line: bool = False
+) -> DataFrame:
     """A CSV table with a header; the columns are matched by name, not by place."""
     wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    found = spark.read.csv(path, header=True, multiLine=False, escape='"')
+    found = csv_rows(spark, path, multi_line)
     require_columns(found, [f.name for f in wanted.fields if f.name in ("person_id",)])
     return with_file_order(found).select(
         *[
@@ -71,21 +82,23 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
     )
 
 
-def read_person_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def read_person_tables(
+    spark: SparkSession, folder: str, multi_line: bool = False
+) -> dict[str, DataFrame]:
     """The four person tables of a folder, each with ``seq``."""
     require_files(spark, [f"{folder}/{name}" for name, _ in FILES.values()])
     tables = {
-        key: read_csv(spark, f"{folder}/{name}", schema)
+        key: read_csv(spark, f"{folder}/{name}", schema, multi_line)
         for key, (name, schema) in FILES.items()
     }
     tables["people"] = tables["people"].drop("seq")
     return tables
 
 
-def load_ground_truth(spark: SparkSession, path: str) -> DataFrame:
+def load_ground_truth(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """``(query_id, item_id, relevance[, item_title], seq)``; of a repeated pair the last
     row wins."""
-    found = spark.read.csv(path, header=True, escape='"')
+    found = csv_rows(spark, path, multi_line)
     require_columns(found, TRUTH_COLUMNS)
     rows = with_file_order(found)
     keys = [
@@ -104,12 +117,9 @@ def load_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy(*keys).agg(*aggs, F.min(place).alias("seq"))
 
 
-def load_processed(spark: SparkSession, path: str) -> DataFrame:
+def load_processed(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """A stored corpus, Parquet or CSV by extension, with its required columns checked."""
-    reader = spark.read
-    df = reader.csv(path, header=True, escape='"') if path.endswith(".csv") else (
-        reader.parquet(path)
-    )
+    df = csv_rows(spark, path, multi_line) if path.endswith(".csv") else spark.read.parquet(path)
     require_columns(df, CORPUS_COLUMNS)
     return df.withColumn("person_id", F.col("person_id").cast("int"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
@@ -17,7 +18,9 @@ Matcher = Callable[[DataFrame], DataFrame]
 def index_matcher(
     index: Index, cfg: EngineConfig = EngineConfig(), lite: bool = False
 ) -> Matcher:
-    """Queries to matches against a stored index."""
+    """Queries to matches against a stored index. Of ``cfg`` only the length of the lists
+    counts; all that shaped the stored vectors comes from the index."""
+    cfg = replace(index.cfg, top_n=cfg.top_n, overfetch=cfg.overfetch)
     if lite:
         return lambda q: match_lite(q, index.corpus, index.model, cfg, index.vectors)
     return lambda q: match_documents(q, index.corpus, index.model, cfg, index.embeddings)
