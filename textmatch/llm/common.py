@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmatch.config import ship_package
@@ -68,6 +69,24 @@ def rows_with(
     return source.mapInArrow(run, schema)
 
 
+# A group with at least this part of all rows is hot; there can be no more such groups.
+HOT = 1024
+
+
+def join_groups(
+    rows: DataFrame, groups: DataFrame, keys: list[str], total: int, how: str = "inner"
+) -> DataFrame:
+    """``rows`` joined with ``groups``, one row per key, whose ``n`` counts the key's rows.
+
+    The ``HOT`` groups at most that hold a ``HOT``th of the ``total`` rows are broadcast, so
+    their rows stay where they are; all others are small parts of a shuffled join.
+    """
+    large = F.col("n") * HOT >= total
+    hot, rest = F.broadcast(groups.where(large).drop("n")), groups.where(~large).drop("n")
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys, how)
+    return rows.join(hot, keys).unionByName(cold)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = x ^ (x >> np.uint64(33))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmatch.config import materialize
-from textmatch.llm.common import table
+from textmatch.llm.common import join_groups, table
 
 MIN_SITES = 10
 LG_K = 12  # 4,096 registers: a standard error of 1.6 %
@@ -54,15 +54,18 @@ def _lines(docs: DataFrame, id_col: str, site_col: str, text_col: str) -> DataFr
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(line, first) of the lines to remove; ``first`` is the (id, pos) that stays."""
+    """(line, first, n) of the lines to remove; ``first`` is the (id, pos) that stays, ``n``
+    the number of occurrences."""
     frequent = materialize(
         lines.groupBy("line")
         .agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first"))
-        .where(F.col("n") >= min_sites)
-        .select("line", "first"),
+        .where(F.col("n") >= min_sites),
         "frequent",
     )
-    mine = lines.join(frequent.select("line"), "line").select("line", "site", "content")
+    total = lines.count()
+    mine = join_groups(lines, frequent.select("line", "n"), ["line"], total).select(
+        "line", "site", "content"
+    )
     estimated = mine.groupBy("line").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"),
         F.hll_sketch_estimate(F.hll_sketch_agg("content", F.lit(LG_K))).alias("texts"),
@@ -93,7 +96,7 @@ def line_dedup(
     lines = materialize(_lines(docs, id_col, site_col, text_col), "lines")
     found = materialize(boilerplate(lines, min_sites), "boilerplate")
     gone = (
-        lines.join(found, "line")
+        join_groups(lines, found, ["line"], lines.count())
         .where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("pos") == F.col("first.pos"))))
         .groupBy("id", "content")
         .agg(F.collect_set("pos").alias("gone"))

@@ -41,7 +41,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmatch.config import materialize
-from textmatch.llm.common import WordHashes, mix64, rows_with, run_hashes, table, utf8
+from textmatch.llm.common import (
+    WordHashes,
+    join_groups,
+    mix64,
+    rows_with,
+    run_hashes,
+    table,
+    utf8,
+)
 from textmatch.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -170,7 +178,9 @@ def near_duplicates(
     ).select("digest", F.coalesce("component", "first").alias("component"), "copies", "first")
     # Only sets that are shared or linked say anything about another row.
     found = found.where((F.col("copies") > 1) | (F.col("component") != F.col("first")))
-    return signed.join(found.select("digest", "component"), "digest", "left").select(
+    found = found.select("digest", "component", F.col("copies").alias("n"))
+    rows = signed.select("id", "n_shingles", "digest")
+    return join_groups(rows, found, ["digest"], rows.count(), "left").select(
         "id", "n_shingles", F.coalesce("component", "id").alias("component_id")
     )
 

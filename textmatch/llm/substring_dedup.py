@@ -8,11 +8,11 @@ Neighbouring marked units of a document make one passage; a passage of ``min_wor
 more is removed, shorter ones (a greeting, a common phrase) stay.
 
 A text goes once through Arrow to be cut into units; then only digests, ids and offsets move.
-The join of units with repeated digests is of small rows, which adaptive execution splits where
-a digest is hot; the units gathered in one place are those of one document.
+Digests with a large part of all units are joined by broadcast (a bounded number), all others
+by shuffle; the units gathered in one place are those of one document.
 
 Defined results: a null, an empty or a blank text has no units. Equal texts are repeated from
-their first row on; rows that repeat an id and text count as one. A null id ranks first. An
+their first row on; rows that repeat an id and text count as one. A null id ranks last. An
 empty table gives no rows. Extra columns are ignored.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmatch.config import materialize
-from textmatch.llm.common import rows_with, table
+from textmatch.llm.common import join_groups, rows_with, table
 
 MIN_WORDS = 20
 LINE = re.compile(r"[^\n]+")
@@ -54,22 +54,34 @@ _UNIT = T.StructType(
         T.StructField("start", T.IntegerType()),
         T.StructField("end", T.IntegerType()),
         T.StructField("words", T.IntegerType()),
+        T.StructField("again", T.BooleanType()),
     ]
 )
 
 
 def _all_units(docs: DataFrame, id_col: str, text_col: str, sentences: bool) -> DataFrame:
-    """(id, content, at, digest, start, end, words)."""
+    """(id, content, at, digest, start, end, words, again); ``again``: not the first in its text."""
 
     def run(columns: list[pa.Array]) -> list[pa.Array]:
         kind = pa.list_(
             pa.struct(
-                [("digest", pa.binary()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]
+                [
+                    ("digest", pa.binary()), ("start", pa.int32()), ("end", pa.int32()),
+                    ("words", pa.int32()), ("again", pa.bool_()),
+                ]
             )
-        )
-        names = ("digest", "start", "end", "words")
-        found = [[dict(zip(names, u)) for u in units(t, sentences)] for t in columns[0].to_pylist()]
-        return [pa.array(found, kind)]
+        )
+        out = []
+        for text in columns[0].to_pylist():
+            seen: set[bytes] = set()
+            mine = []
+            for digest, start, end, words in units(text, sentences):
+                mine.append(
+                    {"digest": digest, "start": start, "end": end, "words": words, "again": digest in seen}
+                )
+                seen.add(digest)
+            out.append(mine)
+        return [pa.array(out, kind)]
 
     rows = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("body")
@@ -94,18 +106,13 @@ def repeated_passages(
     ``first_id`` is the document with the earliest occurrence of the passage's first unit.
     """
     found = materialize(_all_units(docs, id_col, text_col, sentences), "units")
-    place = F.struct("id", "at", "content")
-    first = (
-        found.groupBy("digest")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where(~F.col("first").eqNullSafe(F.col("last")))
-        .select("digest", "first")
-    )
-    marked = found.join(first, "digest").where(
-        ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("at") == F.col("first.at")))
+    groups = found.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
+    groups = materialize(groups.where("n > 1"), "repeated")
+    marked = join_groups(found, groups, ["digest"], found.count()).where(
+        F.col("again") | ~F.col("id").eqNullSafe(F.col("first_id"))
     )
     # The marked units of one document; units are neighbours if nothing lies between them.
-    unit = F.struct("at", "start", "end", "words", F.col("first.id").alias("first_id"))
+    unit = F.struct("at", "start", "end", "words", "first_id")
     mine = marked.groupBy("id", "content").agg(F.array_sort(F.collect_set(unit)).alias("units"))
 
     kind = T.ArrayType(

@@ -35,7 +35,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmatch.config import materialize, ship_package
-from textmatch.llm.common import WordHashes, mix64, rows_with, run_hashes, table, utf8
+from textmatch.llm.common import (
+    WordHashes,
+    join_groups,
+    mix64,
+    rows_with,
+    run_hashes,
+    table,
+    utf8,
+)
 
 MIN_WORDS = 50
 ANCHOR = 32
@@ -217,12 +225,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ship_package(docs.sparkSession)
     scanned = materialize(_scan(docs, id_col, text_col), "scanned")
     texts = scanned.where("content IS NOT NULL")
+    rows = texts.count()
     first = materialize(
         texts.groupBy("content").agg(F.min("id").alias("first"), F.count("*").alias("n")), "texts"
     )
     copies = (
-        texts.select("id", "content", "n_words")
-        .join(first.where("n > 1"), "content")
+        join_groups(texts.select("id", "content", "n_words"), first.where("n > 1"), ["content"], rows)
         .where((F.col("id") != F.col("first")) & (F.col("n_words") >= MIN_WORDS))
         .select("id", F.lit(0).cast("bigint").alias("start"), F.col("n_words").alias("end"),
                 F.col("first").alias("first_id"))
@@ -234,15 +242,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = F.struct("id", "at")
     contexts = materialize(
         suffixes.groupBy("key", "context").agg(
-            F.min(place).alias("first"), F.max(place).alias("last")
+            F.min(place).alias("first"), F.count("*").alias("n")
         ),
         "contexts",
     )
-    twice = contexts.where("first <> last").select("key", "context", "first")
+    twice = contexts.where("n > 1")
+    total = contexts.agg(F.sum("n")).first()[0] or 0
     low = F.greatest(F.col("at") - REACH, F.lit(0))
     high = F.least(F.col("at") + ANCHOR + REACH, F.col("n_words"))
     same = (
-        suffixes.join(twice, ["key", "context"])
+        join_groups(suffixes, twice, ["key", "context"], total)
         .where((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at")))
         .select("id", low.alias("start"), high.alias("end"), F.col("first.id").alias("first_id"))
         .where(F.col("end") - F.col("start") >= MIN_WORDS)
