@@ -6,6 +6,13 @@ Assembled from named common table expressions; every string in ORACLES is one st
 from __future__ import annotations
 
 from textmatch.functions.stopwords import ENGLISH
+from textmatch.functions.titles import (
+    COMPARISON_MAP,
+    COMPARISON_STOP,
+    PRESERVED,
+    SENIORITY,
+    SPECIAL,
+)
 
 W = r"\p{L}\p{N}_"
 S = (
@@ -63,16 +70,7 @@ def hash32(x: str) -> str:
 
 # --- titles -----------------------------------------------------------------------------
 
-PRESERVED = {
-    "devops": "DevOps", "mysql": "MySQL", "postgresql": "PostgreSQL", "mongodb": "MongoDB",
-    "javascript": "JavaScript", "typescript": "TypeScript", "nodejs": "NodeJS",
-    "reactjs": "ReactJS", "vuejs": "VueJS", "angularjs": "AngularJS", "dotnet": ".NET",
-    "aspnet": "ASP.NET", "fullstack": "Fullstack", "frontend": "Frontend",
-    "backend": "Backend", "nosql": "NoSQL", "graphql": "GraphQL", "restapi": "RESTful API",
-    "cicd": "CI/CD", "android": "Android", "ios": "iOS",
-}
-SPECIAL_UPPER = "xml mean js php css html ui ux api aws gcp qa sre ml ai ci cd it".split()
-SENIORITY = "senior sr. sr junior jr. jr lead principal staff intern".split()
+SPECIAL_UPPER = [w for w, shown in SPECIAL.items() if shown == w.upper()]
 
 
 def mark_words(x: str) -> str:
@@ -149,19 +147,11 @@ def standard(x: str, full: bool = True, strict: bool = False) -> str:
     return f"CASE WHEN coalesce({x}, '') = '' THEN 'Unknown Title' ELSE {done} END"
 
 
-VARIANTS = {
-    "front": "frontend", "frontenddev": "frontend developer", "back": "backend",
-    "full": "fullstack", "ui": "user interface", "ux": "user experience",
-    "dev": "developer", "eng": "engineer", "engg": "engineering", "arch": "architect",
-    "cons": "consultant",
-}
-
-
 def normal(standardized: str, title: str) -> str:
     t = collapse(sub(f"lower({standardized})", f"[^{W}{S}]", "''"))
-    stop = names("and or the a an in on at for with to".split())
+    stop = names(COMPARISON_STOP)
     words = f"list_filter(string_split({t}, ' '), lambda w: w <> '' AND w NOT IN ({stop}))"
-    cases = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in VARIANTS.items())
+    cases = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in COMPARISON_MAP.items())
     mapped = f"list_transform({words}, lambda w: CASE w {cases} ELSE w END)"
     return f"CASE WHEN coalesce({title}, '') = '' THEN '' ELSE array_to_string({mapped}, ' ') END"
 
@@ -366,14 +356,14 @@ def cosines(q: str, d: str, qs: str, ds: str, key: str, value: str) -> list[tupl
     ]
 
 
-def best(k: int) -> list[tuple[str, str]]:
+def best(k: int | None) -> list[tuple[str, str]]:
     """``best (query_id, id, score, rank)``."""
     return [
         (
             "best",
             "SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY "
             "query_id ORDER BY floor(score * 1000000 + 0.5) DESC, id) AS rank FROM scored) "
-            f"WHERE rank <= {k}",
+            + (f"WHERE rank <= {k}" if k else ""),
         )
     ]
 
@@ -535,7 +525,7 @@ RANKED = (
         ("item_ids_s", "SELECT id::VARCHAR AS id FROM item_ids"),
     ]
     + cosines("centre", "item_s", "centre_ids", "item_ids_s", "pos", "v")
-    + best(50)
+    + best(None)
     + [
         ("ranking", "SELECT query_id::VARCHAR AS query_id, id AS item_id, rank FROM best"),
         (
@@ -549,9 +539,8 @@ RANKED = (
 BY_SOURCE = [
     (
         "ranking",
-        "SELECT * FROM (SELECT source AS query_id, doc_id AS item_id, row_number() OVER "
-        "(PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) "
-        "WHERE rank <= 50",
+        "SELECT source AS query_id, doc_id AS item_id, row_number() OVER "
+        "(PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents",
     ),
     (
         "truth",
@@ -928,12 +917,14 @@ ORACLES: dict[str, str] = {
     "prepared_corpus": statement(PREPARED, PREPARED_FINAL),
     "person_csv_corpus": statement(PREPARED, PREPARED_FINAL),
     "content_dedup_docs": (
-        "SELECT min(doc_id) AS doc_id, lang, md5(text) AS h FROM documents GROUP BY text, lang"
+        "SELECT min(doc_id) AS doc_id, lang, source, n_chars, md5(text) AS h FROM documents "
+        "GROUP BY text, lang, source, n_chars"
     ),
     "dedup_statistics": (
         "SELECT n AS initial_rows, d AS kept_rows, n - d AS removed_rows, "
         f"{r2('(n - d) * 100.0::DOUBLE / n')} AS removed_percent FROM (SELECT count(*) AS n, "
-        "count(DISTINCT text) AS d FROM documents)"
+        "(SELECT count(*) FROM (SELECT DISTINCT text, lang, source, n_chars FROM documents)) AS d "
+        "FROM documents)"
     ),
     "profile_columns": " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) AS row_count, count(DISTINCT {c}) AS "
@@ -948,7 +939,7 @@ ORACLES: dict[str, str] = {
         ] + [
             (c, f"CASE WHEN count(DISTINCT {c}) < 0.5 * count(*) THEN 'dictionary' ELSE "
                 "'string' END")
-            for c in ("lang", "source")
+            for c in ("text", "lang", "source")
         ]
     ),
     "tokenize_ngrams": statement(
@@ -1015,7 +1006,7 @@ ORACLES: dict[str, str] = {
         + boost("corpus", "corpus")
         + chunks("corpus", "corpus_boosted")
         + embeddings("corpus"),
-        f"SELECT id, pos, {r6('value')} AS value FROM corpus_emb WHERE abs(value) > 0.001",
+        f"SELECT id, pos, {r6('value')} AS value FROM corpus_emb WHERE {r6('value')} <> 0",
     ),
     "tfidf_topk": statement(
         VOCAB
@@ -1173,8 +1164,9 @@ ORACLES: dict[str, str] = {
     "scan_pages": statement(
         PAGE_TEXT
         + matched_lite([("asked", "SELECT path[7:] AS id, text FROM page_texts")]),
-        "SELECT query_id AS cv_file, rank, title AS match_title, similarity_percentage AS "
-        "similarity FROM shown",
+        "SELECT f.path[7:] AS cv_file, CASE WHEN f.path LIKE '%.txt' THEN "
+        "'Unsupported file format: .txt' END AS error, rank, title AS match_title, "
+        "similarity_percentage AS similarity FROM files f LEFT JOIN shown ON query_id = f.path[7:]",
     ),
     "file_kinds": statement(
         PAGE_FILES,
@@ -1190,4 +1182,90 @@ ORACLES: dict[str, str] = {
         "SELECT source AS query_id, doc_id::VARCHAR AS item_id, (quality + toxic)::DOUBLE AS "
         "relevance FROM labels JOIN documents USING (doc_id)"
     ),
+    "corpus_prints": statement(
+        CORPUS
+        + [
+            (
+                "h",
+                "SELECT ('0x' || substr(md5(concat_ws(chr(31), coalesce('=' || text, '~'), "
+                "coalesce('=' || id, '~'), coalesce('=' || title, '~'))), 1, 15))::BIGINT AS h "
+                "FROM corpus",
+            )
+        ],
+        "SELECT count(*) AS n_rows, bit_xor(h) AS hash_xor, sum(h % 1000003)::BIGINT AS hash_sum "
+        "FROM h",
+    ),
+    "artifact_inventory": (
+        "SELECT artifact, ext FROM (VALUES ('corpus', '.parquet'), ('vocab', '.parquet'), "
+        "('vectors', '.parquet'), ('vectors_meta', '.json'), ('embeddings', '.parquet'), "
+        "('embeddings_meta', '.json'), ('settings', '.parquet'), ('fingerprint', '.parquet')) "
+        "x(artifact, ext) WHERE (SELECT count(*) FROM documents) > 0"
+    ),
+    "newest_artifact": (
+        "SELECT 'tfidf_enhanced_b' AS artifact, item_id, md5(text) AS text_md5 FROM benchmark"
+    ),
+    "batch_summary_written": statement(
+        matched(),
+        "SELECT query_id AS cv_file, rank, title AS match_title, similarity_percentage AS "
+        "similarity, substr(embedding_text, 1, 200) AS match_details FROM shown",
+    ),
+    "overall_summary_written": statement(matched(), SUMMARY),
+    "metrics_written": statement(
+        ONE, f"SELECT metric, k, threshold, {r6('value')} AS value, queries FROM means"
+    ),
+    "threshold_written": statement(
+        MANY + f1_rows(),
+        f"SELECT threshold, {r6('f1')} AS f1, {r6('precision')} AS precision, {r6('recall')} "
+        "AS recall FROM chosen",
+    ),
+    "csv_line_breaks": "SELECT doc_id, md5(text) AS text_md5, source FROM documents",
+    "processed_corpus_load": statement(PREPARED, PREPARED_FINAL),
+    "capped_profiles": statement(
+        PROFILES,
+        "SELECT * FROM profiles WHERE person_id <= (SELECT floor(avg(c_custkey)) FROM customer)",
+    ),
+    "fallback_extraction": statement(
+        PAGE_TEXT,
+        "SELECT f.path[7:] AS name, regexp_replace(f.path[7:], '[.][^.]*$', '') AS stem, "
+        "length(text) AS n_chars, substr(md5(text), 1, 8) AS text_hash, CASE WHEN text IS NULL "
+        "THEN 'Unsupported file format: .txt' END AS error FROM files f LEFT JOIN page_texts t "
+        "ON t.path = f.path",
+    ),
+    "folder_scan": (
+        "SELECT 'i' || item_id || ['doc', 'txt'][item_id % 2 + 1] AS name, "
+        "md5(text || chr(10)) AS content_md5 FROM benchmark"
+    ),
+    "inline_texts": statement(
+        matched_lite(
+            [
+                (
+                    "asked",
+                    f"SELECT 't' || item_id AS id, {clean('text')} AS text FROM benchmark "
+                    "ORDER BY item_id LIMIT 5",
+                )
+            ]
+        ),
+        SHOWN,
+    ),
+    "user_encoder": statement(
+        CORPUS
+        + [
+            (
+                "cells",
+                "SELECT id, pos, (1 + length(text) - length(replace(text, letter, '')))::DOUBLE "
+                "AS v FROM corpus, (SELECT unnest(range(0, 8)) AS pos, "
+                "unnest(['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h']) AS letter)",
+            )
+        ],
+        "SELECT id, pos, round((v / sqrt(sum(v * v) OVER (PARTITION BY id)))::FLOAT::DOUBLE, 4) "
+        "AS value FROM cells",
+    ),
+    "unchunked_embedding": statement(
+        VOCAB
+        + vectors("corpus", "id")
+        + boost("corpus", "corpus")
+        + [("corpus_chunks", "SELECT id, 0 AS chunk_idx, text AS chunk FROM corpus_boosted")]
+        + embeddings("corpus"),
+        f"SELECT id, pos, {r6('value')} AS value FROM corpus_emb WHERE {r6('value')} <> 0",
+    ),
 }

@@ -38,7 +38,7 @@ from textmatch.operators.relational import (
     group_concat_distinct,
 )
 from textmatch.operators.sampling import sample_truth
-from textmatch.operators.similarity import top_k
+from textmatch.operators.similarity import all_scores, top_k
 from textmatch.operators.summary import (
     comparison_series,
     overall_summary,
@@ -56,8 +56,15 @@ from textmatch.operators.tfidf import (
 )
 from textmatch.plans.corpus import join_profiles, prepare_corpus
 from textmatch.plans.evaluate import evaluate_model
-from textmatch.plans.match import embed, match_documents, match_lite, similar_documents
-from textmatch.plans.match import with_average
+from textmatch.plans.match import (
+    embed,
+    encode_chunks,
+    match_documents,
+    match_lite,
+    similar_documents,
+    text_queries,
+    with_average,
+)
 from textmatch.plans.scan import process_documents
 from textmatch.sources.documents import (
     describe_texts,
@@ -67,21 +74,33 @@ from textmatch.sources.documents import (
     latest_artifact,
     list_files,
     reject_unsupported,
+    scan_folder,
 )
 from textmatch.sources.index import build_index, corpus_fingerprint, open_index
-from textmatch.sources.sinks import write_csv, write_json, write_matches
+from textmatch.sources.sinks import (
+    read_matches,
+    write_csv,
+    write_json,
+    write_matches,
+    write_metrics,
+    write_table,
+    write_threshold,
+)
 from textmatch.sources.tables import (
     load_ground_truth,
     load_processed,
+    csv_rows,
     read_lines,
     read_person_tables,
 )
-from textmatch.streaming.match import index_matcher, match_stream
+from textmatch.streaming.match import match_stream
 
 CFG = EngineConfig()
 K_VALUES = (3, 5, 10)
+MATCH_SCHEMA = (
+    "query_id bigint, rank bigint, id bigint, title string, similarity_percentage double"
+)
 THRESHOLDS = CFG.thresholds
-RANK_DEPTH = 50
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -187,11 +206,9 @@ def ranking_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = vectors.select(
         F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector")
     )
-    best = top_k(centres, corpus, RANK_DEPTH)
-    return materialize(
-        best.select("query_id", F.col("rank"), F.col("id").alias("item_id"), "score"),
-        "ranking",
-    )
+    scores = all_scores(centres, corpus).withColumnRenamed("id", "item_id")
+    rounded = scores.withColumn("score", F.floor(F.col("score") * 1000000 + 0.5))
+    return materialize(rank_results(rounded), "ranking")
 
 
 def truth_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,19 +323,18 @@ def prepared_corpus(spark, sf_dir):
 
 @query
 def content_dedup_docs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return content_dedup(docs, "doc_id").select("doc_id", "lang", F.md5("text").alias("h"))
+    kept = content_dedup(table(spark, sf_dir, "documents"), "doc_id")
+    return kept.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("h"))
 
 
 @query
 def dedup_statistics(spark, sf_dir):
-    return dedup_stats(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return dedup_stats(table(spark, sf_dir, "documents"), "doc_id")
 
 
 @query
 def profile_columns(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").drop("text")
-    return column_profile(docs, exact=True)
+    return column_profile(table(spark, sf_dir, "documents"), exact=True)
 
 
 # --- terms ----------------------------------------------------------------------------
@@ -350,7 +366,7 @@ def vocabulary_terms(spark, sf_dir):
 
 @query
 def tfidf_vectors(spark, sf_dir):
-    corpus = corpus_of(spark, sf_dir)
+    corpus = stored_corpus(spark, sf_dir)
     model = fitted(corpus)
     vectors = corpus.select("id", model.vector(F.col("embedding_text")).alias("vector"))
     return postings(vectors).withColumn("weight", round6(F.col("weight")))
@@ -358,7 +374,7 @@ def tfidf_vectors(spark, sf_dir):
 
 @query
 def top_terms_docs(spark, sf_dir):
-    corpus = corpus_of(spark, sf_dir)
+    corpus = stored_corpus(spark, sf_dir)
     model = fitted(corpus)
     vectors = corpus.select("id", model.vector(F.col("embedding_text")).alias("vector"))
     return vectors.select(
@@ -373,7 +389,7 @@ def top_terms_docs(spark, sf_dir):
 
 @query
 def tfidf_boost(spark, sf_dir):
-    corpus = corpus_of(spark, sf_dir)
+    corpus = stored_corpus(spark, sf_dir)
     model = fitted(corpus)
     text = F.col("embedding_text")
     vectors = corpus.select("id", "embedding_text", model.vector(text).alias("v"))
@@ -397,7 +413,7 @@ def chunk_documents(spark, sf_dir):
 
 @query
 def chunk_mean_tfidf(spark, sf_dir):
-    corpus = corpus_of(spark, sf_dir)
+    corpus = stored_corpus(spark, sf_dir)
     model = fitted(corpus)
     chunked = corpus.select("id", chunk_text(F.col("embedding_text")).alias("chunks"))
     means = chunked.select("id", model.mean_vector(F.col("chunks")).alias("vector"))
@@ -447,27 +463,27 @@ def cosine_topk(spark, sf_dir):
 
 @query
 def cosine_topk_blocked(spark, sf_dir):
-    return _label_search(spark, sf_dir, max_broadcast=4, grid=(4, 1000))
+    return _label_search(spark, sf_dir, block=4)
 
 
 @query
 def hash_embed(spark, sf_dir):
-    corpus = corpus_of(spark, sf_dir)
+    corpus = stored_corpus(spark, sf_dir)
     embedded = embed(corpus, fitted(corpus), "embedding_text", CFG)
     return (
         embedded.select("id", F.posexplode_outer("embedding").alias("pos", "value"))
-        .filter(F.abs(F.col("value")) > 0.001)
         .select(
             "id",
             F.col("pos").cast("bigint").alias("pos"),
             round6(F.col("value").cast("double")).alias("value"),
         )
+        .filter(F.col("value") != 0)
     )
 
 
 @query
 def tfidf_topk(spark, sf_dir):
-    corpus = corpus_of(spark, sf_dir)
+    corpus = stored_corpus(spark, sf_dir)
     return similar_documents(queries_of(spark, sf_dir), corpus, fitted(corpus), 5).select(
         "query_id", F.col("rank").cast("bigint").alias("rank"), "id",
         round6(F.col("score")).alias("score"),
@@ -568,13 +584,14 @@ def source_metrics(spark, sf_dir):
         F.col("doc_id").alias("item_id"),
         F.col("n_chars").cast("double").alias("score"),
     )
-    ranking = materialize(rank_results(results, RANK_DEPTH), "ranking")
+    ranking = materialize(rank_results(results), "ranking")
     labels = table(spark, sf_dir, "labels").join(docs, "doc_id")
     truth = labels.select(
         F.col("source").alias("query_id"),
         F.col("doc_id").alias("item_id"),
         (F.col("quality") + F.col("toxic")).cast("double").alias("relevance"),
     )
+    truth = materialize(truth, "truth")
     return M.evaluate(ranking, truth, K_VALUES, (1.0, 2.0)).select(
         "query_id", "metric", "k", "threshold", round6(F.col("value")).alias("value"), "valid"
     )
@@ -726,13 +743,14 @@ def extract_pages(spark, sf_dir):
 def scan_pages(spark, sf_dir):
     corpus = stored_corpus(spark, sf_dir)
     model = fitted(corpus)
-    _, matches = process_documents(
+    documents, matches = process_documents(
         _page_files(spark, sf_dir),
         lambda q: match_lite(q, corpus, model, CFG),
         html_pages,
     )
-    return scan_summary(matches).select(
-        "cv_file", F.col("rank").cast("bigint").alias("rank"), "match_title", "similarity"
+    every = documents.select(F.col("query_id").alias("cv_file"), "error")
+    return every.join(scan_summary(matches), "cv_file", "left").select(
+        "cv_file", "error", F.col("rank").cast("bigint").alias("rank"), "match_title", "similarity"
     )
 
 
@@ -798,8 +816,7 @@ def person_csv_corpus(spark, sf_dir):
 def json_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "matches")
     write_json(matched(spark, sf_dir), path, {"top_n": CFG.top_n})
-    schema = "query_id bigint, rank bigint, id bigint, title string, similarity_percentage double"
-    return read_lines(spark, path, schema)
+    return read_lines(spark, path, MATCH_SCHEMA)
 
 
 @query
@@ -813,8 +830,8 @@ def index_roundtrip(spark, sf_dir):
         queries_of(spark, sf_dir), index.corpus, index.model, CFG, index.embeddings
     )
     out = f"{path}/matches"
-    write_matches(matches, out)
-    return _shown(matches)
+    write_matches(matches.drop("embedding_text", "score"), out)
+    return _shown(read_matches(spark, out, MATCH_SCHEMA))
 
 
 @query
@@ -824,26 +841,173 @@ def corpus_prints(spark, sf_dir):
 
 @query
 def artifact_inventory(spark, sf_dir):
-    corpus = corpus_of(spark, sf_dir)
+    """The artifacts of an index by kind; how many files a task writes doesn't show."""
     path = scratch_path(spark, "index")
-    build_index(corpus, path, CFG)
-    return file_formats(list_files(spark, path))
+    build_index(corpus_of(spark, sf_dir), path, CFG)
+    files = list_files(spark, path).filter(F.col("length") > 0)
+    part = F.regexp_extract("path", r"/(\w+)/[^/]+$", 1)
+    return files.select(part.alias("artifact"), extension(F.col("path")).alias("ext")).distinct()
 
 
 @query
 def newest_artifact(spark, sf_dir):
+    """The newest of several artifacts, by its folder and its rows."""
     path = scratch_path(spark, "artifacts")
-    write_json(table(spark, sf_dir, "benchmark"), f"{path}/tfidf_enhanced_a")
-    write_json(table(spark, sf_dir, "labels"), f"{path}/other")
-    return latest_artifact(spark, path, "part-*.json")
+    for name, folder in (("labels", "tfidf_enhanced_a"), ("benchmark", "tfidf_enhanced_b")):
+        table(spark, sf_dir, name).write.json(f"{path}/{folder}")
+    newest = latest_artifact(spark, path, "part-*.json").first().path
+    folder = newest.rsplit("/", 2)[-2]
+    rows = read_lines(spark, f"{path}/{folder}", "item_id bigint, text string")
+    return rows.select(F.lit(folder).alias("artifact"), "item_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def batch_summary_written(spark, sf_dir):
+    """The rows of the batch summary as written and read back."""
+    path = scratch_path(spark, "summary")
+    write_csv(scan_summary(matched(spark, sf_dir)), path)
+    return csv_rows(spark, path, multi_line=True).select(
+        F.col("cv_file").cast("bigint").alias("cv_file"),
+        F.col("rank").cast("bigint").alias("rank"),
+        "match_title",
+        F.col("similarity").cast("double").alias("similarity"),
+        "match_details",
+    )
+
+
+@query
+def overall_summary_written(spark, sf_dir):
+    path = scratch_path(spark, "overall")
+    write_table(overall_summary(matched(spark, sf_dir)), path, {"top_n": CFG.top_n})
+    return spark.read.parquet(path)
+
+
+@query
+def metrics_written(spark, sf_dir):
+    """The averages as written with their time, and read back without it."""
+    path = scratch_path(spark, "metrics")
+    write_metrics(metric_means(spark, sf_dir), path)
+    schema = "metric string, k bigint, threshold double, value double, queries bigint, written_at timestamp"
+    rows = read_lines(spark, path, schema).filter(F.col("written_at").isNotNull())
+    return rows.select("metric", "k", "threshold", round6(F.col("value")).alias("value"), "queries")
+
+
+@query
+def threshold_written(spark, sf_dir):
+    rows = metric_rows(spark, sf_dir, THRESHOLDS, ("precision", "recall"))
+    means = M.averages(rows, K_VALUES, THRESHOLDS, ("precision", "recall"))
+    path = scratch_path(spark, "threshold")
+    write_threshold(M.best_threshold(means, K_VALUES), path, K_VALUES)
+    names = ("threshold", "f1", "precision", "recall")
+    found = read_lines(spark, path, ", ".join(f"{n} double" for n in names))
+    return found.select("threshold", *[round6(F.col(c)).alias(c) for c in names[1:]])
+
+
+@query
+def csv_line_breaks(spark, sf_dir):
+    """Whole texts, line breaks and quotes included, through CSV files."""
+    path = scratch_path(spark, "texts")
+    write_csv(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path)
+    rows = csv_rows(spark, path, multi_line=True)
+    return rows.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("text_md5"), "source"
+    )
+
+
+@query
+def processed_corpus_load(spark, sf_dir):
+    """A processed corpus stored as Parquet, loaded with its columns checked."""
+    path = scratch_path(spark, "processed")
+    prepare_corpus(**person_tables(spark, sf_dir)).write.parquet(path)
+    return load_processed(spark, path).select(
+        "person_id", "ability", "title", "skill", "embedding_text"
+    )
+
+
+@query
+def capped_profiles(spark, sf_dir):
+    """Profiles of the persons up to a highest id."""
+    half = table(spark, sf_dir, "customer").agg(F.floor(F.avg("c_custkey"))).first()[0]
+    return join_profiles(**person_tables(spark, sf_dir), cfg=EngineConfig(max_person_id=int(half)))
+
+
+@query
+def fallback_extraction(spark, sf_dir):
+    """Pages that the first extractor can't read, or finds empty, go to the second."""
+
+    def first(content: bytes) -> list[str]:
+        if len(content) % 3 == 0:
+            raise ValueError("unreadable")
+        return [] if len(content) % 3 == 1 else html_pages(content)
+
+    documents = reject_unsupported(_page_files(spark, sf_dir))
+    extracted = extract_text(documents, first, html_pages)
+    return describe_texts(materialize(extracted, "extracted")).select(
+        "name", "stem", F.col("n_chars").cast("bigint").alias("n_chars"), "text_hash", "error"
+    )
+
+
+@query
+def folder_scan(spark, sf_dir):
+    """Documents written as files, one per passage, and found again by the folder scan."""
+    path = scratch_path(spark, "folder")
+    items = table(spark, sf_dir, "benchmark")
+    name = F.concat(F.lit("i"), F.col("item_id"), F.element_at(F.array(F.lit("doc"), F.lit("txt")), (F.col("item_id") % 2 + 1).cast("int")))
+    items.select(F.col("text").alias("value"), name.alias("name")).write.partitionBy("name").text(path)
+    found = scan_folder(spark, f"{path}/*", (".txt",))
+    return found.select(
+        F.regexp_extract("path", r"name=(\w+)/", 1).alias("name"),
+        F.md5("content").alias("content_md5"),
+    )
+
+
+@query
+def inline_texts(spark, sf_dir):
+    """Texts given in the program, here five benchmark passages, matched like stored ones."""
+    corpus = stored_corpus(spark, sf_dir)
+    turns = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(5).collect()
+    asked = text_queries(spark, {f"t{r.item_id}": r.text for r in turns})
+    return _shown(match_lite(asked, corpus, fitted(corpus), CFG))
+
+
+def letter_encoder():
+    """A stand-in for a user's encoder: how often each letter from a to h occurs."""
+    import numpy as np
+
+    return lambda texts: np.array([[1.0 + t.count(c) for c in "abcdefgh"] for t in texts])
+
+
+@query
+def user_encoder(spark, sf_dir):
+    """Whole texts, not cut into chunks, embedded by an encoder that the user brings."""
+    corpus = stored_corpus(spark, sf_dir)
+    vectors = corpus.select("id", encode_chunks(F.array("embedding_text"), letter_encoder).alias("v"))
+    return vectors.select("id", F.posexplode("v").alias("pos", "value")).select(
+        "id", F.col("pos").cast("bigint").alias("pos"), F.round(F.col("value").cast("double"), 4).alias("value")
+    )
+
+
+@query
+def unchunked_embedding(spark, sf_dir):
+    """The built-in encoder over whole boosted texts."""
+    corpus = stored_corpus(spark, sf_dir)
+    embedded = embed(corpus, fitted(corpus), "embedding_text", CFG, use_chunking=False)
+    cells = embedded.select("id", F.posexplode_outer("embedding").alias("pos", "value"))
+    return cells.select(
+        "id",
+        F.col("pos").cast("bigint").alias("pos"),
+        round6(F.col("value").cast("double")).alias("value"),
+    ).filter(F.col("value") != 0)
 
 
 @query
 def match_streamed(spark, sf_dir):
-    """Conversation turns arriving as a stream, matched against a stored index."""
-    corpus = corpus_of(spark, sf_dir)
+    """Conversation turns arriving as a stream, matched against stored vectors."""
     path = scratch_path(spark, "stream")
-    index = build_index(corpus, f"{path}/index", CFG)
+    corpus = stored_corpus(spark, sf_dir)
+    model = fitted(corpus)
+    vectors = corpus.select("id", model.vector(F.col("embedding_text")).alias("vector"))
+    vectors = materialize(vectors, "vectors")
     turns = table(spark, sf_dir, "conversations")
     arrivals = (
         spark.readStream.schema(turns.schema)
@@ -851,6 +1015,9 @@ def match_streamed(spark, sf_dir):
         .select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), "text")
     )
     match_stream(
-        arrivals, index_matcher(index, CFG, lite=True), f"{path}/out", f"{path}/state"
+        arrivals,
+        lambda batch: match_lite(batch, corpus, model, CFG, vectors),
+        f"{path}/out",
+        f"{path}/state",
     ).awaitTermination()
     return _shown(spark.read.parquet(f"{path}/out"))
