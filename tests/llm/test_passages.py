@@ -100,17 +100,18 @@ def plain_units(rows, min_words):
             first.setdefault(u[0], (i, at))
     out = set()
     for i, text in rows:
-        run = None
+        run = source = None
         for at, (digest, start, end, words) in enumerate([*units(text), (None, 0, 0, 0)]):
-            again = digest is not None and first[digest] != (i, at)
-            if again and run:
+            there = first.get(digest)
+            if there == (i, at):
+                there = None
+            if run and there and there[0] == source[0] and there[1] - source[1] in (0, 1):
                 run = [run[0], end, run[2] + words, run[3]]
-            elif again:
-                run = [start, end, words, first[digest][0]]
-            elif run:
-                if run[2] >= min_words:
+            else:
+                if run and run[2] >= min_words:
                     out.add((i, run[0], run[1], run[2], run[3]))
-                run = None
+                run = [start, end, words, there[0]] if there else None
+            source = there
     return out
 
 

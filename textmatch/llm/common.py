@@ -102,7 +102,7 @@ class WordHashes(dict):
     The memory only saves time: a forgotten word is hashed again, to the same value.
     """
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         from xxhash import xxh3_64_intdigest
 

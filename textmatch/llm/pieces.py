@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import string
@@ -21,6 +22,11 @@ class Pieces:
     byte_ids: tuple[int, ...]
     size: int
 
+    @cached_property
+    def digest(self) -> str:
+        """The same for the same pieces, ids and scores, in every process."""
+        return hashlib.md5(repr((sorted(self.scores.items()), self.byte_ids)).encode()).hexdigest()
+
     @cached_property
     def unknown_score(self) -> float:
         return min(s for _, s in self.scores.values()) - UNKNOWN_PENALTY

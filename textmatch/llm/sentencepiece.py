@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from textmatch.llm.common import rows_with, table
 from textmatch.llm.pieces import MARK, MODEL, Pieces, load_pieces
 
-REMEMBERED = 400_000  # pre-tokens of a generation; two are kept
+REMEMBERED = 150_000  # pre-tokens of a generation; two are kept
 
 
 @dataclass(frozen=True)
@@ -188,26 +188,21 @@ class Encoder(dict):
         return data.decode("utf-8", "replace")
 
 
-_encoders: dict[int, Encoder] = {}
-
-
-def _worker_encoder(shared) -> Encoder:
-    """One encoder per Python worker."""
-    if shared.id not in _encoders:
-        _encoders[shared.id] = Encoder(shared.value)
-    return _encoders[shared.id]
+_encoders: dict[str, Encoder] = {}
 
 
 class _Shared:
-    """The broadcast pieces with a name that outlives pickling."""
+    """The broadcast pieces; a Python worker has one encoder, that of the last pieces."""
 
     def __init__(self, spark, pieces: Pieces):
         self.handle = spark.sparkContext.broadcast(pieces)
-        self.id = id(self.handle)
+        self.digest = pieces.digest
 
-    @property
-    def value(self) -> Pieces:
-        return self.handle.value
+    def encoder(self) -> Encoder:
+        if self.digest not in _encoders:
+            _encoders.clear()
+            _encoders[self.digest] = Encoder(self.handle.value)
+        return _encoders[self.digest]
 
 
 IDS = T.ArrayType(T.IntegerType())
@@ -230,7 +225,7 @@ def encode(
     shared = _Shared(docs.sparkSession, pieces)
 
     def run(columns: list[pa.Array]) -> list[pa.Array]:
-        encoder = _worker_encoder(shared)
+        encoder = shared.encoder()
         texts = columns[0].to_pylist()
         return [_ids_array([None if t is None else encoder.encode(t) for t in texts])]
 
@@ -244,7 +239,7 @@ def decode(
     shared = _Shared(docs.sparkSession, pieces)
 
     def run(columns: list[pa.Array]) -> list[pa.Array]:
-        encoder = _worker_encoder(shared)
+        encoder = shared.encoder()
         texts = [
             None if ids is None else encoder.decode([i for i in ids if i is not None])
             for ids in columns[0].to_pylist()
@@ -262,7 +257,7 @@ def encode_and_check(
     shared = _Shared(docs.sparkSession, pieces)
 
     def run(columns: list[pa.Array]) -> list[pa.Array]:
-        encoder = _worker_encoder(shared)
+        encoder = shared.encoder()
         texts = columns[0].to_pylist()
         found = [None if t is None else encoder.encode(t) for t in texts]
         same = [None if t is None else encoder.decode(x.tolist()) == t for t, x in zip(texts, found)]

@@ -3,9 +3,10 @@
 A unit is a line or, with ``sentences``, a line cut after ``.``, ``!`` and ``?``, so that a
 passage in the middle of a line is found too. A unit is compared by the 128-bit digest of its
 words, A-Z lower-cased, blanks collapsed. Digests are grouped globally (combined on the map
-side); the earliest occurrence, by document id and then place, stays and all others are marked.
-Neighbouring marked units of a document make one passage; a passage of ``min_words`` words or
-more is removed, shorter ones (a greeting, a common phrase) stay.
+side); the earliest occurrence, by document id and then place, stays and all others are
+marked. Marked units that are neighbours in their document, and whose first occurrences are
+neighbours too, make one passage; a passage of ``min_words`` words or more is removed. Shorter
+ones stay: a greeting, a common phrase, a license line after a common heading.
 
 A text goes once through Arrow to be cut into units; then only digests, ids and offsets move.
 Digests with a large part of all units are joined by broadcast (a bounded number), all others
@@ -13,7 +14,7 @@ by shuffle; the units gathered in one place are those of one document.
 
 Defined results: a null, an empty or a blank text has no units. Equal texts are repeated from
 their first row on; rows that repeat an id and text count as one. A null id ranks last. An
-empty table gives no rows. Extra columns are ignored.
+empty table gives no rows. Extra columns are ignored. Ids are integers.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from textmatch.config import materialize
 from textmatch.llm.common import join_groups, rows_with, table
 
 MIN_WORDS = 20
+_PLACES = 1 << 31
 LINE = re.compile(r"[^\n]+")
 SENTENCE = re.compile(r"[^\n.!?]+(?:[.!?](?=[^\s.!?])[^\n.!?]*)*[.!?]*|[.!?]+")
 
@@ -84,7 +86,7 @@ def _all_units(docs: DataFrame, id_col: str, text_col: str, sentences: bool) ->
         return [pa.array(out, kind)]
 
     rows = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("body")
+        F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("body")
     )
     cut = rows_with(
         rows, ["body"], [T.StructField("units", T.ArrayType(_UNIT))], run, carry=["id", "content"]
@@ -103,16 +105,23 @@ def repeated_passages(
 ) -> DataFrame:
     """(id, start, end, n_units, n_words, first_id): the passages to remove.
 
-    ``first_id`` is the document with the earliest occurrence of the passage's first unit.
+    ``first_id`` is the document with the earliest occurrence of the passage's units.
     """
     found = materialize(_all_units(docs, id_col, text_col, sentences), "units")
-    groups = found.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
-    groups = materialize(groups.where("n > 1"), "repeated")
+    # The place (id, at) as one number, whose minimum is a hash aggregate.
+    place = F.expr(f"cast(id AS decimal(20, 0)) * {_PLACES}BD + at")
+    groups = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    first_at = F.expr(f"pmod(first, {_PLACES}BD)")
+    groups = groups.where("n > 1").select(
+        "digest", "n", first_at.cast("int").alias("first_at"),
+        ((F.col("first") - first_at) / F.expr(f"{_PLACES}BD")).cast("bigint").alias("first_id"),
+    )
+    groups = materialize(groups, "repeated")
     marked = join_groups(found, groups, ["digest"], found.count()).where(
         F.col("again") | ~F.col("id").eqNullSafe(F.col("first_id"))
     )
-    # The marked units of one document; units are neighbours if nothing lies between them.
-    unit = F.struct("at", "start", "end", "words", "first_id")
+    # The marked units of one document.
+    unit = F.struct("at", "start", "end", "words", "first_id", "first_at")
     mine = marked.groupBy("id", "content").agg(F.array_sort(F.collect_set(unit)).alias("units"))
 
     kind = T.ArrayType(
@@ -122,7 +131,7 @@ def repeated_passages(
                 T.StructField("end", T.LongType()),
                 T.StructField("n_units", T.LongType()),
                 T.StructField("n_words", T.LongType()),
-                T.StructField("first_id", docs.schema[id_col].dataType),
+                T.StructField("first_id", T.LongType()),
             ]
         )
     )
@@ -133,7 +142,7 @@ def repeated_passages(
             runs: list[dict] = []
             last = None
             for u in row:
-                if last is not None and u["at"] == last + 1:
+                if last is not None and _goes_on(last, u):
                     run = runs[-1]
                     run["end"], run["n_units"] = u["end"], run["n_units"] + 1
                     run["n_words"] += u["words"]
@@ -144,7 +153,7 @@ def repeated_passages(
                             "n_words": u["words"], "first_id": u["first_id"],
                         }
                     )
-                last = u["at"]
+                last = u
             out.append([r for r in runs if r["n_words"] >= min_words])
         from pyspark.sql.pandas.types import to_arrow_type
 
@@ -154,6 +163,13 @@ def repeated_passages(
     return runs.select("id", F.inline("runs"))
 
 
+def _goes_on(last: dict, unit: dict) -> bool:
+    """Whether two marked units are neighbours here and where they first occur, or the second
+    repeats the first."""
+    step = unit["first_at"] - last["first_at"] if unit["first_id"] == last["first_id"] else None
+    return unit["at"] == last["at"] + 1 and step in (0, 1)
+
+
 def op7_substring_dedup(spark, sf_dir):
     found = repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(

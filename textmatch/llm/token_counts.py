@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from textmatch.llm.common import rows_with, table
 from textmatch.llm.pieces import MARK, MODEL, Pieces, load_pieces
 
-NODES = 1_000_000
+NODES = 500_000
 
 
 _SPAN = 0x110000  # more than any code point
@@ -105,16 +105,17 @@ class CountingTrie:
         return len(best) - 1
 
 
-_tries: dict[int, CountingTrie] = {}
+_tries: dict[str, CountingTrie] = {}
 
 
 def token_counts(docs: DataFrame, pieces: Pieces, text_col: str = "text", carry=None) -> DataFrame:
     """``docs`` with ``n_pre_tokens`` and ``n_tokens``."""
     handle = docs.sparkSession.sparkContext.broadcast(pieces)
-    name = id(handle)
+    name = pieces.digest
 
     def run(columns: list[pa.Array]) -> list[pa.Array]:
         if name not in _tries:
+            _tries.clear()
             _tries[name] = CountingTrie(handle.value)
         trie = _tries[name]
         split = [trie.pieces.pre_tokens(t) if t else [] for t in columns[0].to_pylist()]
