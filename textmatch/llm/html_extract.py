@@ -25,6 +25,7 @@ import math
 import random
 import re
 import zlib
+from functools import lru_cache
 from html import escape
 
 import numpy as np
@@ -54,6 +55,20 @@ HINTS = {
     "share": "share sharing social tools tags meta byline author toolbar print rating follow",
 }
 _HINT_OF = {w: i for i, words in enumerate(HINTS.values()) for w in words.split()}
+_LONG_HINTS = sorted((w for w in _HINT_OF if len(w) >= 5), key=lambda w: (-len(w), w))
+
+
+@lru_cache(maxsize=20_000)
+def hint_of(token: str) -> int | None:
+    """The role of an attribute word, or of a longer word that begins or ends with one."""
+    known = _HINT_OF.get(token)
+    if known is None:
+        for word in _LONG_HINTS:
+            if token.startswith(word) or token.endswith(word):
+                return _HINT_OF[word]
+    return known
+
+
 TAGS = {
     "article": 0, "main": 0, "nav": 1, "menu": 1, "header": 2, "hgroup": 2, "footer": 3, "aside": 4,
     "form": 5, "fieldset": 5, "legend": 5, "dialog": 5, "ul": 6, "ol": 6, "dl": 6, "li": 7, "dt": 7,
@@ -65,7 +80,7 @@ BAD_TAGS = (1, 3, 4, 5)
 NUMBERS = (
     "depth", "log_chars", "link_share", "log_nodes", "log_paragraphs", "chars_per_leaf", "ends_sentence",
     "place", "log_siblings", "like_siblings", "share_of_parent", "share_of_page", "hidden",
-    "in_article", "in_bad_tag", "in_bad_hint", "parent_chars_per_leaf", "parent_link_share",
+    "in_article", "in_header", "in_bad_tag", "in_bad_hint", "parent_chars_per_leaf", "parent_link_share",
 )
 WIDTH = N_TAGS + N_HINTS + len(NUMBERS)
 _SENTENCE_END = re.compile(r"[.!?…:;。！？]['\"”»)]*$")
@@ -97,7 +112,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     for i in range(1, n):
         mine = alike[nodes[i].parent]
         mine[kinds[i]] = mine.get(kinds[i], 0) + 1
-    flags = [(0, 0, 0)] * n
+    flags = [(0, 0, 0, 0)] * n
     place = [0] * n
     for i, node in enumerate(nodes):
         for k, child in enumerate(node.children):
@@ -107,21 +122,22 @@ def features(nodes: list[Node]) -> np.ndarray:
         row = rows[i - 1]
         kind = kinds[i]
         row[kind] = 1
-        hints = {_HINT_OF[t] for t in node.tokens if t in _HINT_OF}
+        hints = {hint_of(t) for t in node.tokens} - {None}
         for h in hints:
             row[N_TAGS + h] = 1
-        article, bad_tag, bad_hint = flags[p]
+        article, header, bad_tag, bad_hint = flags[p]
         siblings = len(nodes[p].children)
         row[N_TAGS + N_HINTS :] = (
             node.depth, math.log1p(chars[i]), links[i] / max(chars[i], 1), math.log1p(count[i]),
             math.log1p(paragraphs[i]), math.log1p(chars[i] / max(leaves[i], 1)),
             ends[i] / max(leaves[i], 1), place[i] / siblings, math.log1p(siblings),
             alike[p][kind] / siblings, chars[i] / max(chars[p], 1), chars[i] / total, node.hidden,
-            article, bad_tag, bad_hint, math.log1p(chars[p] / max(leaves[p], 1)),
+            article, header, bad_tag, bad_hint, math.log1p(chars[p] / max(leaves[p], 1)),
             links[p] / max(chars[p], 1),
         )
         flags[i] = (
             int(article or kind == 0 or 0 in hints),
+            int(header or kind == 2),
             int(bad_tag or kind in BAD_TAGS or node.hidden),
             int(bad_hint or bool(hints - {0})),
         )
@@ -215,19 +231,21 @@ def compose(paragraphs: list[str], title: str, rng: random.Random) -> str:
         at, size = rng.randrange(len(words)), rng.randint(low, high)
         return escape(" ".join(words[at : at + size])) or "text"
 
+    bare = rng.random() < 0.25  # a page without telling elements or attributes
+
     def attributes(role: str) -> str:
         how = rng.random()
-        if how < 0.2:
+        if bare or how < 0.2:
             return ""
         word = rng.choice(HINTS[role].split())
         if how < 0.4:
-            word += rng.choice(["-box", "-wrap", "_list", " wide", "-area"])
+            word += rng.choice(["-box", "-wrap", "_list", " wide", "-area", "list", "block"])
         return f' {rng.choice(["class", "id", "class"])}="{word}"'
 
     def box(role: str, tags: str, inner: str) -> str:
-        tag = rng.choice(tags.split())
+        tag = "div" if bare else rng.choice(tags.split())
         marks = attributes(role)
-        if tag in ("div", "section") and not marks:
+        if tag in ("div", "section") and not marks and not bare:
             marks = f' class="{rng.choice(HINTS[role].split())}"'
         return f'<{tag}{marks} data-label="0">{inner}</{tag}>'
 
@@ -237,25 +255,30 @@ def compose(paragraphs: list[str], title: str, rng: random.Random) -> str:
         ) + "</ul>"
 
     def remarks() -> str:
-        one = lambda: f'<div{attributes("comments")}><p><b>{some(1, 2)}</b></p><p>{some(4, 50)}.</p></div>'
+        tag = rng.choice(["div", "div", "li", "article"])
+        one = lambda: f'<{tag}{attributes("comments")}><p><b>{some(1, 2)}</b></p><p>{some(4, 50)}.</p></{tag}>'
         return f"<h3>{some(1, 3)}</h3>" + "".join(one() for _ in range(rng.randint(1, 4)))
 
     furniture = {
         "menu": lambda: box("menu", "nav nav div", link_list(3, 9)),
-        "header": lambda: box("header", "header header div", f'<a href="/">{some(1, 3)}</a><p>{some(2, 8)}</p>'),
+        "header": lambda: box("header", "header header div", rng.choice([f'<a href="/">{some(1, 3)}</a>', f"<h1>{some(1, 4)}</h1>"]) + f"<p>{some(2, 8)}.</p>"),
         "advert": lambda: box("advert", "div div aside section", rng.choice([some(3, 14), f"<p>{some(3, 20)}.</p>"])),
         "notice": lambda: box("notice", "div div section dialog", f"<p>{some(6, 30)}.</p>"),
         "sidebar": lambda: box("sidebar", "aside aside div", f"<h3>{some(1, 3)}</h3>" + rng.choice([link_list(2, 6), f"<p>{some(8, 40)}.</p>"])),
         "form": lambda: box("form", "form form div", f"<p>{some(2, 10)}</p><label>{some(1, 3)}</label><input>"),
         "share": lambda: box("share", "div ul", link_list(2, 5)),
-        "comments": lambda: box("comments", "section div div", remarks()),
+        "comments": lambda: box("comments", "section div ol", remarks()),
         "footer": lambda: box("footer", "footer footer div", f"&copy; {some(1, 10)} &middot; {some(2, 14)}."),
     }
-    before = [furniture[k]() for k in ("header", "menu", "notice", "advert", "sidebar") if rng.random() < 0.6]
-    after = [furniture[k]() for k in ("share", "comments", "sidebar", "advert", "form", "notice") if rng.random() < 0.5]
-    after += [furniture["footer"]()] if rng.random() < 0.9 else []
+    first = ("menu", "share") if bare else ("header", "menu", "notice", "advert", "sidebar")
+    then = ("share", "menu") if bare else ("share", "comments", "sidebar", "advert", "form", "notice")
+    before = [furniture[k]() for k in first if rng.random() < 0.6]
+    after = [furniture[k]() for k in then if rng.random() < 0.5]
+    after += [furniture["footer"]()] if rng.random() < 0.9 and not bare else []
     rng.shuffle(before)
     body = [f"<h1>{escape(title)}</h1>"] if title and rng.random() < 0.8 else []
+    if body and not bare and rng.random() < 0.2:
+        body = [f"<header>{body[0]}</header>"]
     for text in paragraphs:
         style = rng.random()
         if style < 0.8:
@@ -264,15 +287,17 @@ def compose(paragraphs: list[str], title: str, rng: random.Random) -> str:
             body.append(f"<p><b>{escape(text)}<br><p>")
         elif style < 0.92:
             body.append(f"<h2>{escape(' '.join(text.split()[:6]))}</h2><p>{escape(text)}</p>")
-        elif style < 0.96:
+        elif style < 0.95:
             body.append(f"<blockquote>{escape(text)}</blockquote>")
+        elif style < 0.97:
+            body.append(f"<p>{escape(text)}</p><figure><img src=x><figcaption>{some(3, 12)}.</figcaption></figure>")
         else:
             items = "".join(f"<li>{escape(x)}</li>" for x in text.split(". "))
             body.append(f"<ul>{items}</ul>")
-        if rng.random() < 0.04:
-            body.append(furniture[rng.choice(["advert", "share"])]())
-    tag = rng.choice(["article", "article", "main", "div", "section"])
-    marks = attributes("article") if tag != "div" else f' class="{rng.choice(HINTS["article"].split())}"'
+        if rng.random() < 0.04 and not bare:
+            body.append(furniture[rng.choice(["advert", "share", "notice", "form"])]())
+    tag = "div" if bare else rng.choice(["article", "article", "main", "div", "section"])
+    marks = attributes("article") if bare or tag != "div" else f' class="{rng.choice(HINTS["article"].split())}"'
     main = f'<{tag}{marks} data-label="1">{"".join(body)}</{tag}>'
     parts = [*before, main, *after]
     if rng.random() < 0.4:
