@@ -42,6 +42,8 @@ def test_even_packing_is_near_the_mean():
         load[b] += s
     assert len(load) == 40 and max(load.values()) <= 1.01 * sum(sizes) / 40
     assert sorted(pack_even([5, 5, 5], 2)) in ([0, 0, 1], [0, 1, 1])
+    assert len(set(pack_even([900, 10, 10, 10, 9, 9, 9, 1], 4))) == 4
+    assert pack_even([], 3) == [] and pack_even([7], 3) == [0]
 
 
 def check(rows, found, shards):

@@ -111,14 +111,23 @@ def pack(sizes: list[int], capacity: int, bins: int | None = None) -> list[int]
 
 
 def pack_even(sizes: list[int], bins: int) -> list[int]:
-    """A bin for each size: the least capacity, of a rising series, at which all fit."""
-    total = sum(sizes)
-    capacity = max(-(-total // bins), max(sizes, default=0))
-    slack = 1e-4
-    while (found := pack(sizes, capacity, bins)) is None:
-        capacity = max(capacity + 1, int(-(-total // bins) * (1 + slack)))
+    """A bin for each size, all near the mean: the least capacity, of a rising series, at which
+    all fit. What is larger than an even share of what is left has a bin of its own."""
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    out, left, alone = [0] * len(sizes), sum(sizes), 0
+    while alone < min(bins - 1, len(order)) and sizes[order[alone]] * (bins - alone) > left:
+        out[order[alone]] = alone
+        left -= sizes[order[alone]]
+        alone += 1
+    rest = order[alone:]
+    mean = -(-left // (bins - alone))
+    capacity, slack = max([mean, *[sizes[i] for i in rest[:1]]]), 1e-4
+    while (found := pack([sizes[i] for i in rest], capacity, bins - alone)) is None:
+        capacity = max(capacity + 1, int(mean * (1 + slack)))
         slack *= 1.7
-    return found
+    for i, b in zip(rest, found):
+        out[i] = alone + b
+    return out
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
