@@ -3,20 +3,30 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
 
 from textmatch.config import materialize, scratch_path, spread
 
+REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def stand_in(base, master="local[2]"):
     conf = SimpleNamespace(get=lambda key, default=None: base or default)
-    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+    context = SimpleNamespace(master=master, applicationId="app-1")
+    return SimpleNamespace(conf=conf, sparkContext=context)
+
+
+@pytest.fixture(autouse=True)
+def no_exit_hooks(monkeypatch):
+    monkeypatch.setattr("textmatch.config.atexit.register", lambda *a: None)
 
 
 def test_scratch_follows_the_setting():
-    assert scratch_path(stand_in("/shared/x"), "t").startswith("/shared/x/t-")
+    assert scratch_path(stand_in("/shared/x/"), "t").startswith("/shared/x/textmatch-app-1/t-")
 
 
 def test_scratch_without_a_setting_is_made_once():
@@ -29,7 +39,23 @@ def test_scratch_without_a_setting_is_made_once():
 def test_other_sessions_need_a_shared_folder(master):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch_path(stand_in(None, master), "t")
-    assert scratch_path(stand_in("hdfs:///x/", master), "t").startswith("hdfs:///x/t-")
+    assert scratch_path(stand_in("hdfs:///x/", master), "t").startswith("hdfs:///x/textmatch-")
+
+
+def test_what_was_written_goes_with_the_program(tmp_path):
+    code = f"""
+from textmatch.config import local_session, materialize
+spark = local_session(1, "t", **{{"spark__checkpoint__dir": "{tmp_path}/shared"}})
+assert materialize(spark.range(3), "t").count() == 3
+import os
+assert any(x.startswith("textmatch-") for x in os.listdir("{tmp_path}/shared"))
+spark.stop()
+"""
+    run = subprocess.run(
+        [sys.executable, "-c", code], cwd=REPO, capture_output=True, text=True, timeout=120
+    )
+    assert run.returncode == 0, run.stderr
+    assert not any(x.startswith("textmatch-") for x in os.listdir(f"{tmp_path}/shared"))
 
 
 def test_materialize_keeps_schema_and_rows(spark):

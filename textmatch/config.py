@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -64,25 +65,38 @@ def local_session(cpus: int = 8, app: str = "textmatch", **conf: str) -> SparkSe
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
+    """A fresh path in the application's part of the folder named by ``spark.checkpoint.dir``.
 
     The setting must name storage every executor reaches. Only in a local session (tests,
-    the bench) may it be unset: then a folder is made once per application and removed when
-    the program ends. Any other session without it is refused before a job starts.
+    the bench) may it be unset: then a folder is made once per application. Any other session
+    without it is refused before a job starts. What was written is removed when the program
+    ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        if not context.master.split("[")[0] == "local":
+    context = spark.sparkContext
+    folder = getattr(context, "_textmatch_scratch", None)
+    if folder is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base:
+            folder = f"{base.rstrip('/')}/textmatch-{context.applicationId}"
+        elif context.master.split("[")[0] == "local":
+            folder = tempfile.mkdtemp(prefix="textmatch-")
+        else:
             raise RuntimeError(
                 "set spark.checkpoint.dir to a folder that the driver and all executors share"
             )
-        base = getattr(context, "_textmatch_scratch", None)
-        if base is None:
-            base = tempfile.mkdtemp(prefix="textmatch-")
-            context._textmatch_scratch = base
-            atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        context._textmatch_scratch = folder
+        atexit.register(_remove, context, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(context, folder: str) -> None:
+    """Delete the application's scratch folder; a JVM that has ended already leaves it."""
+    try:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        conf = context._jvm.org.apache.hadoop.conf.Configuration()
+        path.getFileSystem(conf).delete(path, True)
+    except Exception as e:
+        print(f"scratch folder {folder} was not removed: {e}", file=sys.stderr)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
