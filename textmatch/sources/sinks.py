@@ -30,6 +30,22 @@ def write_json(df: DataFrame, path: str, metadata: dict[str, object] | None = No
     write_meta(df, f"{path}_meta", metadata)
 
 
+def write_envelope(report: DataFrame, path: str, metadata: dict[str, object] | None = None) -> None:
+    """A report as one JSON document ``{data: [...], metadata, created_at, version}``.
+
+    The format is one value, so this is for reports of a few rows; tables go to
+    :func:`write_table` or :func:`write_json`.
+    """
+    pairs = [F.lit(str(x)) for pair in (metadata or {}).items() for x in pair]
+    document = report.agg(F.collect_list(F.struct(*report.columns)).alias("data")).select(
+        "data",
+        (F.create_map(*pairs) if pairs else F.expr("map()")).cast("map<string,string>").alias("metadata"),
+        F.current_timestamp().alias("created_at"),
+        F.lit(VERSION).alias("version"),
+    )
+    document.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; blanks at the ends of a field stay."""
     df.write.mode("overwrite").csv(

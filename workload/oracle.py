@@ -1210,6 +1210,7 @@ ORACLES: dict[str, str] = {
         "similarity, substr(embedding_text, 1, 200) AS match_details FROM shown",
     ),
     "overall_summary_written": statement(matched(), SUMMARY),
+    "report_envelope": statement(matched(), SUMMARY),
     "metrics_written": statement(
         ONE, f"SELECT metric, k, threshold, {r6('value')} AS value, queries FROM means"
     ),

@@ -80,6 +80,7 @@ from textmatch.sources.index import build_index, corpus_fingerprint, open_index
 from textmatch.sources.sinks import (
     read_matches,
     write_csv,
+    write_envelope,
     write_json,
     write_matches,
     write_metrics,
@@ -90,6 +91,7 @@ from textmatch.sources.tables import (
     load_ground_truth,
     load_processed,
     csv_rows,
+    read_envelope,
     read_lines,
     read_person_tables,
 )
@@ -882,6 +884,15 @@ def overall_summary_written(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query
+def report_envelope(spark, sf_dir):
+    """The overall summary as one JSON document with its metadata, read back."""
+    path = scratch_path(spark, "report")
+    summary = overall_summary(matched(spark, sf_dir))
+    write_envelope(summary, path, {"top_n": CFG.top_n})
+    return read_envelope(spark, path, ", ".join(f"{n}: {kind}" for n, kind in summary.dtypes))
+
+
 @query
 def metrics_written(spark, sf_dir):
     """The averages as written with their time, and read back without it."""
