@@ -41,16 +41,20 @@ def normal_line(line: Column) -> Column:
 
 def _lines(docs: DataFrame, id_col: str, site_col: str, text_col: str) -> DataFrame:
     """(id, content, site, pos, line): one row per line that isn't blank."""
-    split = docs.where(F.col(text_col).isNotNull()).select(
+    # What belongs to the document is worked out before its lines multiply the row.
+    whole = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"),
         F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("content"),
         F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit("")).alias("site"),
-        F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "raw"),
+        F.split(text_col, "\n", -1).alias("all_lines"),
     )
-    plain = split.select("id", "content", "site", "pos", normal_line(F.col("raw")).alias("raw"))
-    return plain.where("raw <> ''").select(
-        "id", "content", "site", "pos", F.unhex(F.md5(F.col("raw").cast("binary"))).alias("line")
+    # The outer form keeps Spark from splitting the text again for an inferred filter.
+    split = whole.select(
+        "id", "content", "site", F.posexplode_outer("all_lines").alias("pos", "raw")
     )
+    there = split.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
+    line = normal_line(F.col("raw")).cast("binary")
+    return there.select("id", "content", "site", "pos", F.unhex(F.md5(line)).alias("line"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
