@@ -122,8 +122,7 @@ def _codes(ids: pa.Array) -> np.ndarray:
     """Integers in the order of the ids."""
     if pa.types.is_integer(ids.type):
         return ids.to_numpy(zero_copy_only=False).astype(np.int64)
-    values = np.array(ids.to_pylist(), dtype=object)
-    return np.unique(values, return_inverse=True)[1]
+    return pc.rank(ids, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
 
 
 class _Best:
