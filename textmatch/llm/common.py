@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,6 +69,22 @@ def rows_with(
     return source.mapInArrow(run, schema)
 
 
+_PLACES = 1 << 31
+
+
+def place(id_col: str = "id", at_col: str = "at") -> Column:
+    """(id, place in the document) as one number, so that its minimum is a hash aggregate."""
+    return F.expr(f"cast({id_col} AS decimal(20, 0)) * {_PLACES}BD + {at_col}")
+
+
+def place_at(number: str) -> Column:
+    return F.expr(f"cast(pmod({number}, {_PLACES}BD) AS bigint)")
+
+
+def place_id(number: str) -> Column:
+    return F.expr(f"cast(({number} - pmod({number}, {_PLACES}BD)) / {_PLACES}BD AS bigint)")
+
+
 # A group with at least this part of all rows is hot; there can be no more such groups.
 HOT = 1024
 

@@ -27,10 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmatch.config import materialize
-from textmatch.llm.common import join_groups, rows_with, table
+from textmatch.llm.common import join_groups, place, place_at, place_id, rows_with, table
 
 MIN_WORDS = 20
-_PLACES = 1 << 31
 LINE = re.compile(r"[^\n]+")
 SENTENCE = re.compile(r"[^\n.!?]+(?:[.!?](?=[^\s.!?])[^\n.!?]*)*[.!?]*|[.!?]+")
 
@@ -108,13 +107,10 @@ def repeated_passages(
     ``first_id`` is the document with the earliest occurrence of the passage's units.
     """
     found = materialize(_all_units(docs, id_col, text_col, sentences), "units")
-    # The place (id, at) as one number, whose minimum is a hash aggregate.
-    place = F.expr(f"cast(id AS decimal(20, 0)) * {_PLACES}BD + at")
-    groups = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    first_at = F.expr(f"pmod(first, {_PLACES}BD)")
+    groups = found.groupBy("digest").agg(F.min(place()).alias("first"), F.count("*").alias("n"))
     groups = groups.where("n > 1").select(
-        "digest", "n", first_at.cast("int").alias("first_at"),
-        ((F.col("first") - first_at) / F.expr(f"{_PLACES}BD")).cast("bigint").alias("first_id"),
+        "digest", "n", place_at("first").cast("int").alias("first_at"),
+        place_id("first").alias("first_id"),
     )
     groups = materialize(groups, "repeated")
     marked = join_groups(found, groups, ["digest"], found.count()).where(

@@ -39,6 +39,9 @@ from textmatch.llm.common import (
     WordHashes,
     join_groups,
     mix64,
+    place,
+    place_at,
+    place_id,
     rows_with,
     run_hashes,
     table,
@@ -239,13 +242,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     suffixes = own.select("id", "n_words", F.arrays_zip("at", "key", "context").alias("z")).select(
         "id", "n_words", F.inline("z")
     )
-    place = F.struct("id", "at")
-    contexts = materialize(
-        suffixes.groupBy("key", "context").agg(
-            F.min(place).alias("first"), F.count("*").alias("n")
-        ),
-        "contexts",
+    contexts = suffixes.groupBy("key", "context").agg(
+        F.min(place()).alias("first"), F.count("*").alias("n")
     )
+    first = F.struct(place_id("first").alias("id"), place_at("first").alias("at"))
+    contexts = materialize(contexts.withColumn("first", first), "contexts")
     twice = contexts.where("n > 1")
     total = contexts.agg(F.sum("n")).first()[0] or 0
     low = F.greatest(F.col("at") - REACH, F.lit(0))
