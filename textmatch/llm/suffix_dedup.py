@@ -134,42 +134,45 @@ def _surroundings(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
 
     Outside the text the words are BEFORE and BEYOND, which equal nothing.
     """
-    mine = wanted.groupBy("id").agg(F.collect_list(F.struct("at", "key", "block", "lead")).alias("asked"))
+    names = ("at", "key", "block", "lead")
+    mine = wanted.groupBy("id").agg(F.collect_list(F.struct(*names)).alias("asked"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("body"))
     rows = rows.join(mine, "id")
+    back, ahead = np.arange(-1, -REACH - 1, -1), np.arange(ANCHOR, ANCHOR + REACH)
 
-    def run(columns: list[pa.Array]) -> list[pa.Array]:
-        out = []
-        for text, asked in zip(utf8(columns[0]), columns[1].to_pylist()):
-            words = word_hashes(text).view(np.int64)
-            padded = np.concatenate([np.full(REACH, BEFORE), words, np.full(REACH, BEYOND)])
-            found = []
-            for a in asked:
-                p = a["at"] + REACH
-                if a["at"] + ANCHOR <= len(words):  # else another row of the same id
-                    found.append(
-                        {
-                            "at": a["at"], "key": a["key"], "block": a["block"], "lead": a["lead"],
-                            "left": padded[p - REACH : p][::-1],
-                            "right": padded[p + ANCHOR : p + ANCHOR + REACH],
-                        }
-                    )
-            out.append(found)
-        fields = [(n, pa.int64()) for n in ("at", "key", "block", "lead")]
-        return [pa.array(out, pa.list_(pa.struct([*fields, ("left", _LIST), ("right", _LIST)])))]
-
-    kind = T.StructType(
-        [
-            *[T.StructField(n, T.LongType()) for n in ("at", "key", "block", "lead")],
-            T.StructField("left", _LONGS),
-            T.StructField("right", _LONGS),
-        ]
-    )
-    cut = rows_with(
-        rows, ["body", "asked"], [T.StructField("found", T.ArrayType(kind))], run, carry=["id"],
-        slice_rows=128,
-    )
-    return cut.select("id", F.inline("found"))
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        flat = np.concatenate([np.empty((0, REACH), np.int64), *parts]).reshape(-1)
+        return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, REACH, dtype=np.int32), flat)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 64):
+                part = whole.slice(start, 64)
+                asked = part.column("asked")
+                starts = asked.offsets.to_numpy()
+                fields = {n: asked.values.field(n).to_numpy() for n in names}
+                out = {n: [] for n in ("id", *names)}
+                left, right = [], []
+                for i, (doc, text) in enumerate(zip(part.column("id").to_pylist(), utf8(part.column("body")))):
+                    words = word_hashes(text).view(np.int64)
+                    padded = np.concatenate([np.full(REACH, BEFORE), words, np.full(REACH, BEYOND)])
+                    here = slice(starts[i], starts[i + 1])
+                    at = fields["at"][here]
+                    # A place beyond the text is that of another row of the same id.
+                    inside = at + ANCHOR <= len(words)
+                    at = at[inside] + REACH
+                    left.append(padded[at[:, None] + back])
+                    right.append(padded[at[:, None] + ahead])
+                    out["id"].append(np.full(len(at), doc, np.int64))
+                    for n in names:
+                        out[n].append(fields[n][here][inside])
+                columns = [pa.array(np.concatenate(out[n])) for n in ("id", *names)]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, lists(left), lists(right)], names=["id", *names, "left", "right"]
+                )
+
+    longs = ", ".join(f"{n} bigint" for n in ("id", *names))
+    return rows.mapInArrow(run, f"{longs}, left array<bigint>, right array<bigint>")
 
 
 _SPAN = "id bigint, start bigint, end bigint, first_id bigint"
@@ -263,7 +266,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each = contexts.join(several, "key").select(
         "key", "first.*", F.pmod(F.xxhash64("first"), blocks).alias("block"), F.lit(0).alias("lead")
     )
-    leads = several.select("key", "least.*", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"), F.lit(1).alias("lead"))
+    leads = several.select("key", "least.*", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"), F.lit(1).cast("bigint").alias("lead"))
     asked = each.unionByName(leads)
     around = materialize(_surroundings(docs, asked, id_col, text_col), "around")
     pieces = copies.union(same).union(_compare(around, "right")).union(_compare(around, "left"))
