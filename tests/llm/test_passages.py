@@ -67,6 +67,27 @@ def test_blocks_and_neighbours(documents, monkeypatch):
     assert all(w == set(range(30, 100)) for w in got.values())
 
 
+def test_a_common_phrase_with_many_surroundings(documents):
+    """Documents that share words beyond a phrase of all are far apart in any order by one side."""
+    rng = random.Random(7)
+    some = lambda n: " ".join(f"r{rng.random()}" for _ in range(n))
+    sides = [[some(7) for _ in range(10)] for _ in range(2)]
+    # A phrase whose least run is the anchor of the windows around it, whatever the other words.
+    keys = lambda text: set(anchors(word_hashes(text.encode()))[1].tolist())
+    phrase = next(p for p in (some(40) for _ in range(10_000)) if set.intersection(*(keys(f"{a} {p} {b}") for a, b in zip(*sides))))
+    rows = [(i, " ".join([some(30), rng.choice(sides[0]), phrase, rng.choice(sides[1]), some(30)])) for i in range(400)]
+    assert covered(repeated_spans(documents(rows)).collect()) == {i: w for i, w in repeated_words(rows).items() if w}
+
+
+def test_the_source_is_that_of_the_longest_passage(documents):
+    rng = random.Random(8)
+    some = lambda n: [f"r{rng.random()}" for _ in range(n)]
+    a, b = some(60), some(90)
+    rows = [(1, some(20) + a), (2, some(5) + b + some(9)), (3, some(3) + a + b)]
+    found = repeated_spans(documents([(i, " ".join(words)) for i, words in rows])).collect()
+    assert [tuple(r) for r in found] == [(3, 3, 153, 2)]
+
+
 def test_shared_windows_share_an_anchor():
     rng = random.Random(6)
     passage = [str(rng.random()) for _ in range(suffix_dedup.MIN_WORDS)]

@@ -9,15 +9,15 @@ farthest that a shared passage can go on without meeting the next shared anchor.
 1. Texts that are equal collapse to the smallest id; the others are repeated as wholes.
 2. The kept suffixes are grouped by anchor and context. Suffixes with one context are repeated
    as far as it reaches; the first stays.
-3. Of an anchor with several contexts, one suffix of each is sorted, once by the words that
-   follow (the suffix array of that anchor) and once by the words before it, read backwards.
-   Each is compared with the ``NEIGHBOURS`` before it, and with the anchor's first suffix, and
-   extended word by word to the left and right; a match of ``MIN_WORDS`` or more marks the later
-   place. A popular anchor is dealt in blocks, each of which also gets that first suffix.
+3. Of an anchor with several contexts, one suffix of each gives the hashes of the windows of
+   ``MIN_WORDS`` words whose least run is that anchor, at most ``GRAMS``. Every window of a text
+   belongs to one anchor, which equal windows have at the same place. The windows are grouped by
+   anchor and hash (combined on the map side); the first stays and all others are repeated.
 4. The marked pieces of a document that overlap make one span.
 
-The texts are read twice and shuffled once, for the suffixes of step 3 only; all else moves
-hashes and positions. What is gathered in one place belongs to one document.
+The texts are read twice and not shuffled, but for the documents of step 3, which meet their
+anchors by id; all else moves hashes and positions. What is gathered in one place belongs to one
+document.
 
 Defined results: a null, empty or blank text has no words. Repeated rows of an id and text are
 one document. Null ids rank first among equal texts and are left out elsewhere. Ties go to the
@@ -52,8 +52,7 @@ MIN_WORDS = 50
 ANCHOR = 32
 GRAMS = MIN_WORDS - ANCHOR + 1
 REACH = GRAMS - 1
-NEIGHBOURS, BLOCK = 8, 4_096
-BEFORE, BEYOND = -1, -2
+BLOCK = 64  # texts taken at a time
 
 _hashes: list[WordHashes] = []
 
@@ -64,30 +63,39 @@ def word_hashes(text: bytes | None) -> np.ndarray:
     return _hashes[0].of(text.lower().split() if text else [])
 
 
-def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and keys of the anchors of a document with at least ``MIN_WORDS`` words."""
+def _least(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of ``MIN_WORDS`` words the place of its anchor, and the keys of all runs."""
     keys = run_hashes(words, ANCHOR)
     if len(words) < MIN_WORDS:
-        return np.empty(0, np.int64), keys[:0]
+        return np.empty(0, np.int64), keys
     order = mix64(keys ^ np.uint64(0xA24BAED4963EE407))
     windows = np.lib.stride_tricks.sliding_window_view(order, GRAMS)
     # The rightmost of equal ones, so that a repeating text keeps few.
-    least = GRAMS - 1 - np.argmin(windows[:, ::-1], axis=1) + np.arange(len(windows))
+    return GRAMS - 1 - np.argmin(windows[:, ::-1], axis=1) + np.arange(len(windows)), keys
+
+
+def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and keys of the anchors of a document with at least ``MIN_WORDS`` words."""
+    least, keys = _least(words)
     at = np.unique(least)
     return at, keys[at]
 
 
-def _contexts(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of the words around each anchor, and of how far they reach."""
+def _sums(words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A hash of the words of each range, the same wherever the range is."""
     sums = np.zeros(len(words) + 1, np.uint64)
     power = np.cumprod(np.full(len(words) + 1, 0x9E3779B97F4A7C15, np.uint64))
     np.cumsum(mix64(words) * power[:-1], out=sums[1:])
+    # The sum of word * power[i], brought to a common power.
+    return (sums[high] - sums[low]) * power[len(words) - low] * _inverse(len(words))
+
+
+def _contexts(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the words around each anchor, and of how far they reach."""
     low = np.maximum(at - REACH, 0)
     high = np.minimum(at + ANCHOR + REACH, len(words))
-    # The sum of word * power[i], brought to a common power.
-    there = (sums[high] - sums[low]) * power[len(words) - low]
     shape = ((at - low) * 1000 + (high - at)).astype(np.uint64)
-    return mix64(there * _inverse(len(words)) + shape * np.uint64(0xD6E8FEB86659FD93))
+    return mix64(_sums(words, low, high) + shape * np.uint64(0xD6E8FEB86659FD93))
 
 
 def _inverse(n: int) -> np.uint64:
@@ -129,101 +137,39 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows_with(rows, ["body"], fields, run, carry=["id"])
 
 
-def _surroundings(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``wanted`` (id, at, key, block, lead) with the words before, backwards, and after each anchor.
-
-    Outside the text the words are BEFORE and BEYOND, which equal nothing.
-    """
-    names = ("at", "key", "block", "lead")
-    mine = wanted.groupBy("id").agg(F.collect_list(F.struct(*names)).alias("asked"))
+def _windows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, at, key, window): the windows that belong to the ``wanted`` (id, at, key) anchors."""
+    mine = wanted.groupBy("id").agg(F.collect_list(F.struct("at", "key")).alias("asked"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("body"))
     rows = rows.join(mine, "id")
-    back, ahead = np.arange(-1, -REACH - 1, -1), np.arange(ANCHOR, ANCHOR + REACH)
-
-    def lists(parts: list[np.ndarray]) -> pa.Array:
-        flat = np.concatenate([np.empty((0, REACH), np.int64), *parts]).reshape(-1)
-        return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, REACH, dtype=np.int32), flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 64):
-                part = whole.slice(start, 64)
+            for start in range(0, whole.num_rows, BLOCK):
+                part = whole.slice(start, BLOCK)
                 asked = part.column("asked")
                 starts = asked.offsets.to_numpy()
-                fields = {n: asked.values.field(n).to_numpy() for n in names}
-                out = {n: [] for n in ("id", *names)}
-                left, right = [], []
+                places, wants = (asked.values.field(n).to_numpy() for n in ("at", "key"))
+                out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
                 for i, (doc, text) in enumerate(zip(part.column("id").to_pylist(), utf8(part.column("body")))):
-                    words = word_hashes(text).view(np.int64)
-                    padded = np.concatenate([np.full(REACH, BEFORE), words, np.full(REACH, BEYOND)])
+                    words = word_hashes(text)
+                    least, keys = _least(words)
+                    keys = keys.view(np.int64)
                     here = slice(starts[i], starts[i + 1])
-                    at = fields["at"][here]
-                    # A place beyond the text is that of another row of the same id.
-                    inside = at + ANCHOR <= len(words)
-                    at = at[inside] + REACH
-                    left.append(padded[at[:, None] + back])
-                    right.append(padded[at[:, None] + ahead])
-                    out["id"].append(np.full(len(at), doc, np.int64))
-                    for n in names:
-                        out[n].append(fields[n][here][inside])
-                columns = [pa.array(np.concatenate(out[n])) for n in ("id", *names)]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, lists(left), lists(right)], names=["id", *names, "left", "right"]
-                )
-
-    longs = ", ".join(f"{n} bigint" for n in ("id", *names))
-    return rows.mapInArrow(run, f"{longs}, left array<bigint>, right array<bigint>")
-
-
-_SPAN = "id bigint, start bigint, end bigint, first_id bigint"
-
-
-def _compare(suffixes: DataFrame, order: str) -> DataFrame:
-    """Spans of the matches between each suffix and the ones just before it in the order, and
-    between it and the first of its anchor."""
-    sorted_ = suffixes.repartition("key", "block").sortWithinPartitions(
-        "key", "block", F.col("lead").desc(), order, "id", "at"
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None  # the rows that the next batch is compared with; the first is a lead
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            here = [batch.column(c).to_numpy() for c in ("id", "at", "key", "block", "lead")]
-            here += [batch.column(c).flatten().to_numpy().reshape(-1, REACH) for c in ("left", "right")]
-            old = 0 if tail is None else len(tail[0])
-            if old:
-                here = [np.concatenate([x, y]) for x, y in zip(tail, here)]
-            n = len(here[0])
-            every = np.arange(n)
-            lead = np.maximum.accumulate(np.where(here[4] == 1, every, 0))
-            spans = [_matches(here, lead[old:], every[old:])]
-            for back in range(1, NEIGHBOURS + 1):
-                b = every[max(old, back) :]
-                spans.append(_matches(here, b - back, b))
-            last = np.concatenate([lead[-1:], every[-NEIGHBOURS:]])
-            tail = [column[last] for column in here]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in np.concatenate(spans, axis=1)],
-                names=["id", "start", "end", "first_id"],
-            )
-
-    return sorted_.mapInArrow(run, _SPAN)
-
-
-def _matches(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(id, start, end, first id) for the pairs of rows that share enough words."""
-    ids, at, key, block, _, left, right = rows
-    alike = (key[a] == key[b]) & (block[a] == block[b])
-    a, b = a[alike], b[alike]
-    before = np.cumprod((left[a] == left[b]) & (left[a] != BEFORE), axis=1).sum(axis=1)
-    after = np.cumprod((right[a] == right[b]) & (right[a] != BEYOND), axis=1).sum(axis=1)
-    match = (before + ANCHOR + after >= MIN_WORDS) & ((ids[a] != ids[b]) | (at[a] != at[b]))
-    a, b, before, after = a[match], b[match], before[match], after[match]
-    later = (ids[b] > ids[a]) | ((ids[b] == ids[a]) & (at[b] > at[a]))
-    x, y = np.where(later, b, a), np.where(later, a, b)
-    return np.stack([ids[x], at[x] - before, at[x] + ANCHOR + after, ids[y]]).astype(np.int64)
+                    at, want = places[here], wants[here]
+                    # An anchor that isn't here is that of another row of the same id.
+                    inside = at < len(keys)
+                    at, want = at[inside], want[inside]
+                    mark = np.zeros(len(keys), bool)
+                    mark[at[keys[at] == want]] = True
+                    low = np.flatnonzero(mark[least])
+                    sums = mix64(_sums(words, low, low + MIN_WORDS)).view(np.int64)
+                    for column, value in zip(out, (np.full(len(low), doc, np.int64), low, keys[least[low]], sums)):
+                        column.append(value)
+                columns = [pa.array(np.concatenate(column)) for column in out]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "at", "key", "window"])
+
+    return rows.mapInArrow(run, "id bigint, at bigint, key bigint, window bigint")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,7 +185,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         join_groups(texts.select("id", "content", "n_words"), first.where("n > 1"), ["content"], rows)
         .where((F.col("id") != F.col("first")) & (F.col("n_words") >= MIN_WORDS))
         .select("id", F.lit(0).cast("bigint").alias("start"), F.col("n_words").alias("end"),
-                F.col("first").alias("first_id"))
+                F.col("first").alias("first_id"), F.lit(0).cast("bigint").alias("shift"))
     )
     own = texts.join(first.select("content", F.col("first").alias("id")), ["content", "id"], "left_semi")
     suffixes = own.select("id", "n_words", F.arrays_zip("at", "key", "context").alias("z")).select(
@@ -257,45 +203,54 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same = (
         join_groups(suffixes, twice, ["key", "context"], total)
         .where((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at")))
-        .select("id", low.alias("start"), high.alias("end"), F.col("first.id").alias("first_id"))
+        .select("id", low.alias("start"), high.alias("end"), F.col("first.id").alias("first_id"),
+                (F.col("first.at") - F.col("at")).alias("shift"))
         .where(F.col("end") - F.col("start") >= MIN_WORDS)
+    )
+    several = contexts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    several = materialize(several, "several")
+    each = join_groups(contexts.select("key", "first.*"), several, ["key"], contexts.count())
+    windows = materialize(_windows(docs, each, id_col, text_col), "windows")
+    groups = windows.groupBy("key", "window").agg(F.min(place()).alias("first"), F.count("*").alias("n"))
+    groups = groups.where("n > 1").select(
+        "key", "window", "n", place_id("first").alias("first_id"), place_at("first").alias("first_at")
     )
-    several = contexts.groupBy("key").agg(F.count("*").alias("m"), F.min("first").alias("least"))
-    several = materialize(several.where("m > 1"), "several")
-    blocks = F.ceil(F.col("m") / BLOCK)
-    each = contexts.join(several, "key").select(
-        "key", "first.*", F.pmod(F.xxhash64("first"), blocks).alias("block"), F.lit(0).alias("lead")
-    )
-    leads = several.select("key", "least.*", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"), F.lit(1).cast("bigint").alias("lead"))
-    asked = each.unionByName(leads)
-    around = materialize(_surroundings(docs, asked, id_col, text_col), "around")
-    pieces = copies.union(same).union(_compare(around, "right")).union(_compare(around, "left"))
-    return _joined(pieces)
+    groups = materialize(groups, "repeated")
+    again = (
+        join_groups(windows, groups, ["key", "window"], windows.count())
+        .where((F.col("id") != F.col("first_id")) | (F.col("at") != F.col("first_at")))
+        .select("id", F.col("at").alias("start"), (F.col("at") + MIN_WORDS).alias("end"), "first_id",
+                (F.col("first_at") - F.col("at")).alias("shift"))
+    )
+    return _joined(copies.union(same).union(again))
 
 
 def _joined(pieces: DataFrame) -> DataFrame:
     """Pieces of a document that overlap or touch make one span; its source is that of the
-    longest piece, and the smallest among those."""
+    longest passage from one place, and the smallest among those."""
     mine = pieces.groupBy("id").agg(
-        F.array_sort(F.collect_set(F.struct("start", "end", "first_id"))).alias("pieces")
+        F.array_sort(F.collect_set(F.struct("start", "end", "first_id", "shift"))).alias("pieces")
     )
 
     def run(columns: list[pa.Array]) -> list[pa.Array]:
         out = []
         for row in columns[0].to_pylist():
             spans: list[dict] = []
+            since: dict[tuple, list[int]] = {}  # the passage that goes on, by its source
             for p in row:
-                length = p["end"] - p["start"]
+                passage = since.setdefault((p["first_id"], p["shift"]), [p["start"], p["end"]])
+                if p["start"] > passage[1]:
+                    passage[:] = p["start"], p["end"]
+                passage[1] = max(passage[1], p["end"])
+                best = (passage[1] - passage[0], -p["first_id"])
                 if spans and p["start"] <= spans[-1]["end_word"]:
                     span = spans[-1]
                     span["end_word"] = max(span["end_word"], p["end"])
+                    span["best"] = max(span["best"], best)
                 else:
-                    span = {"start_word": p["start"], "end_word": p["end"], "first_id": None, "best": (0, 0)}
-                    spans.append(span)
-                if (length, -p["first_id"]) > span["best"] or span["first_id"] is None:
-                    span["best"], span["first_id"] = (length, -p["first_id"]), p["first_id"]
+                    spans.append({"start_word": p["start"], "end_word": p["end"], "best": best})
             for span in spans:
-                del span["best"]
+                span["first_id"] = -span.pop("best")[1]
             out.append(spans)
         names = ("start_word", "end_word", "first_id")
         return [pa.array(out, pa.list_(pa.struct([(n, pa.int64()) for n in names])))]
