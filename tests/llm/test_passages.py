@@ -10,7 +10,7 @@ from brute import repeated_words
 
 from textmatch.llm import suffix_dedup
 from textmatch.llm.spans import cut_spans
-from textmatch.llm.substring_dedup import repeated_passages, units
+from textmatch.llm.substring_dedup import op7_substring_dedup, repeated_passages, units
 from textmatch.llm.suffix_dedup import anchors, repeated_spans, word_hashes
 
 
@@ -145,6 +145,60 @@ def test_units_equal_the_plain_rule(documents, min_words):
     assert {(r.id, r.start, r.end, r.n_words, r.first_id) for r in found} == plain_units(rows, min_words)
 
 
+def pair_units(rows, min_words):
+    """(id, start, end, words, first id) by dictionaries of units and neighbours."""
+    first, pairs = {}, {}
+    for i, text in sorted(rows):
+        cut = [u[0] for u in units(text)]
+        for at, digest in enumerate(cut):
+            first.setdefault(digest, (i, at))
+            pairs.setdefault(tuple(cut[at : at + 2]), (i, at))
+    out = set()
+    for i, text in rows:
+        cut, runs = units(text), []
+        for at, (digest, start, end, words) in enumerate(cut):
+            there = first[digest]
+            if there == (i, at):
+                continue
+            near = at and runs and runs[-1][-1] == at - 1
+            before = first[cut[at - 1][0]] if near else None
+            parts = [[words, there[0]]]
+            if near and before[0] == there[0] and there[1] - before[1] in (0, 1):
+                parts = runs[-1][3]
+                parts[-1][0] += words
+                runs[-1][1:] = [end, runs[-1][2] + words, parts, at]
+            elif near and pairs[cut[at - 1][0], digest] != (i, at - 1):
+                runs[-1][1:] = [end, runs[-1][2] + words, runs[-1][3] + parts, at]
+            else:
+                runs.append([start, end, words, parts, at])
+        out |= {(i, *r[:3], max(r[3], key=lambda p: p[0])[1]) for r in runs if r[2] >= min_words}
+    return out
+
+
+@pytest.mark.parametrize("min_words", [1, 12])
+def test_pairs_equal_the_plain_rule(documents, min_words):
+    rng = random.Random(9)
+    sentences = [" ".join(f"s{rng.randrange(900)}" for _ in range(rng.randint(1, 9))) + "." for _ in range(25)]
+    rows = [(i, " ".join(rng.choice(sentences) for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    found = repeated_passages(documents(rows), min_words=min_words, by_pairs=True).collect()
+    assert {(r.id, r.start, r.end, r.n_words, r.first_id) for r in found} == pair_units(rows, min_words)
+
+
+def test_a_copied_passage_is_whole_though_a_sentence_is_older(spark, tmp_path):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(18)) + "." for x in "abc")
+    rows = [(1, f"Old. {b} Words."), (2, f"Here. {a} {b} {c} More."), (3, f"There. {a} {b} {c} Else."), (4, f"New. {b} End.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = [tuple(r) for r in op7_substring_dedup(spark, str(tmp_path)).collect()]
+    assert found == [(3, 7, 7 + len(f"{a} {b} {c}"), 3, 54, 2)]
+
+
+def test_pairs_in_texts_without_an_id(documents):
+    rows = [(None, "one two. three four. one two. three four."), (None, "x")]
+    found = repeated_passages(documents(rows), min_words=1, by_pairs=True).collect()
+    assert sum(r.n_words for r in found) == 4
+
+
 def test_units_and_their_offsets():
     text = "  One two. Three 3.14 four!  Five\n\n...\nsix seven"
     cut = [text[s:e] for _, s, e, _ in units(text)]
