@@ -42,6 +42,19 @@ def test_reader():
     assert len(deep) == 20_002 and len(decode(deep, np.zeros(len(deep) - 1))) == len(deep)
 
 
+def test_elements_without_text_take_no_other_text():
+    assert leaves("<html><head><title>x</title><body><article><p>a</p>") == ["a"]
+    assert leaves("<article><p>a <svg/> b</p><p>rest") == ["a b", "rest"]
+    for tag in ("iframe", "select", "button", "noscript", "template", "svg", "textarea", "title"):
+        assert leaves(f"<p>a</p><{tag}>no<p>b</p><div>c</div>") == ["a", "b", "c"]
+        assert leaves(f"<p>a<{tag} />b</p><p>c") == ["a b", "c"]
+        assert leaves(f"<p>a<{tag}>no</{tag}>b</p><p>c") == ["a b", "c"]
+    assert leaves("<div><button>no</div><p>b</p><button><div>no</div></button>c") == ["b", "c"]
+    assert leaves("<p>a</p><svg><p>b</p></svg><p>c</p><svg><g><svg>no</svg>no</g></svg>") == ["a", "b", "c"]
+    assert leaves("<p>x <math><mi>y</mi></math> z</p><object><p>in</p></object>") == ["x y z", "in"]
+    assert leaves("<object data=x><p>rest") == ["rest"]
+
+
 def test_attributes():
     nodes = parse('<div class="sideBar main-col" id=top hidden><p style="display: none">x</div>')
     assert nodes[1].tokens == ("side", "bar", "main", "col", "top") and nodes[1].hidden

@@ -3,9 +3,11 @@
 Only elements that make blocks are nodes; inline markup is transparent, apart from links, whose
 characters are counted. A block that may not be nested in its like closes the open one (a
 paragraph by any block, list items, table cells); an end tag closes up to its start or is
-ignored. Scripts, styles, controls and the like, comments and the head have no text. Character
-references are decoded, white space within a run becomes one blank, and runs without text are
-no leaves.
+ignored. Scripts, styles, titles, controls, graphics and the like and comments have no text. One
+of them that isn't closed, or not within its block, has none up to the next block; one that
+closes itself has none at all. Only a script or style that is never closed goes on to the end of
+the page. Character references are decoded, white space within a run becomes one blank, and runs
+without text are no leaves.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ BLOCKS = frozenset(
     "fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-SILENT = "script style noscript template svg math iframe object textarea select button datalist head title"
+RAW = frozenset("script style textarea title".split())
+SILENT = "noscript template svg iframe select button datalist annotation"
+_SILENT_TAGS = frozenset(SILENT.split())
 CLOSED_BY_ITSELF = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"),
     "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -29,12 +33,14 @@ SCOPES = frozenset("ul ol menu dl table body html article section div".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({SILENT.replace(' ', '|')})(?=[\s/>]).*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
+_SILENT = re.compile(rf"<(/?)({SILENT.replace(' ', '|')})(?=[\s/>])[^>]*(?:>|\Z)", re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -70,6 +76,32 @@ def _attributes(node: Node, source: str) -> None:
     node.tokens = tuple(words)
 
 
+def _silent_ends(html: str) -> dict[int, tuple[int, int]]:
+    """Where the end tag of each silent element starts and ends, by the start of the element."""
+    ends, starts = {}, {}
+    for match in _SILENT.finditer(html):
+        tag = match[2].lower()
+        if not match[1]:
+            if not match[0].endswith("/>"):
+                starts.setdefault(tag, []).append(match.start())
+        elif starts.get(tag):
+            ends[starts[tag].pop()] = match.span()
+    return ends
+
+
+def _within_block(tag: str, inner: str) -> bool:
+    """Whether what a silent element holds ends no block around it; a block ends a graphic."""
+    opened: dict[str, int] = {}
+    embeds = tag != "svg" or "foreignobject" in inner.lower()
+    for match in _TAG.finditer(inner):
+        name = match[2].lower()
+        if name in BLOCKS:
+            opened[name] = opened.get(name, 0) + (-1 if match[1] else 1)
+            if opened[name] < 0 or not embeds:
+                return False
+    return True
+
+
 def parse(html: str | None, labels: bool = False) -> list[Node]:
     """The nodes in page order; the first is the page. Parents come before their children."""
     nodes = [Node("#page", -1, 0)]
@@ -102,25 +134,49 @@ def parse(html: str | None, labels: bool = False) -> list[Node]:
 
     at = 0
     html = html or ""
-    for match in _TOKEN.finditer(html):
-        if match.start() > at:
+    silent_ends = None
+    silent = False  # in an element without text that isn't closed, until the next block
+    while match := _TOKEN.search(html, at):
+        if match.start() > at and not silent:
             text.append(html[at : match.start()])
             if links:
                 link_chars += match.start() - at
         at = match.end()
-        tag = match[3] or match[6]
+        tag = match[2] or match[5]
         if not tag:
-            if match[1]:
-                text.append(" ")
             continue
         tag = tag.lower()
-        ends = bool(match[2] or match[5])
+        ends = bool(match[1] or match[4])
+        source = match[3] if match[2] else match[6]
+        if tag in RAW or tag in _SILENT_TAGS:
+            if ends:
+                continue
+            text.append(" ")
+            itself = source.endswith("/")
+            if tag in RAW:
+                end = _RAW_END[tag].search(html, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style") and not itself:
+                    at = len(html)
+                else:
+                    silent = silent or not itself
+            elif not itself:
+                if silent_ends is None:
+                    silent_ends = _silent_ends(html)
+                low, high = silent_ends.get(match.start(), (-1, -1))
+                if low >= at and _within_block(tag, html[at:low]):
+                    at = high
+                else:
+                    silent = True
+            continue
         if tag == "a":
             links = 0 if ends else 1
         elif tag in ("br", "hr", "img", "input"):
             text.append(" ")
         if tag not in BLOCKS:
             continue
+        silent = False
         if ends:
             close((tag,))
             continue
@@ -132,7 +188,6 @@ def parse(html: str | None, labels: bool = False) -> list[Node]:
             continue
         parent = open_[-1]
         node = Node(tag, parent, nodes[parent].depth + 1)
-        source = match[4] if match[3] else match[7]
         if source and source.strip("/ "):
             _attributes(node, source)
             if not labels:
@@ -140,7 +195,7 @@ def parse(html: str | None, labels: bool = False) -> list[Node]:
         nodes[parent].children.append(len(nodes))
         open_.append(len(nodes))
         nodes.append(node)
-    if at < len(html):
+    if at < len(html) and not silent:
         text.append(html[at:])
     flush()
     return nodes
