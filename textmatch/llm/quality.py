@@ -11,7 +11,8 @@ the relative error is under 1/64.
 A rate's fences are taken from the documents that pass the base rule:
 ``median + FENCE * max(median - tenth percentile, floor)`` above and, for word length,
 the mirror image below. Only the cleaner side of the distribution sets the width, so junk that
-makes up less than half of a source doesn't widen the fence. A (language, source) with fewer
+makes up less than half of a source doesn't widen the fence. Where the spread is under the floor,
+as it is for most rates of clean sources, the floor decides. A (language, source) with fewer
 than ``min_rows`` such rows takes the merged sketch of its language, a language with fewer the
 merged sketch of all. The thresholds are joined to the documents by language and source.
 
