@@ -12,6 +12,7 @@ from textmatch.llm.sharding import op9_sharding
 from textmatch.llm.substring_dedup import op7_substring_dedup
 from textmatch.llm.suffix_dedup import op10_suffix_array
 from textmatch.llm.token_counts import op4_token_counts
+from textmatch.llm.vector_codes import OP11_SQL, op11_vector_codes
 
 REGISTRY = {
     "op1_line_dedup": op1_line_dedup,
@@ -24,6 +25,7 @@ REGISTRY = {
     "op8_html_extraction": op8_html_extraction,
     "op9_sharding": op9_sharding,
     "op10_suffix_array": op10_suffix_array,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 ORACLES = {
@@ -31,4 +33,5 @@ ORACLES = {
     "op2_decontaminate": OP2_SQL,
     "op3_minhash": OP3_SQL,
     "op6_quality": OP6_SQL,
+    "op11_vector_codes": OP11_SQL,
 }
