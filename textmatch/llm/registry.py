@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from textmatch.llm.decontaminate import OP2_SQL, op2_decontaminate
+from textmatch.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from textmatch.llm.html_extract import op8_html_extraction
 from textmatch.llm.line_dedup import OP1_SQL, op1_line_dedup
 from textmatch.llm.minhash import OP3_SQL, op3_minhash
@@ -26,6 +27,7 @@ REGISTRY = {
     "op9_sharding": op9_sharding,
     "op10_suffix_array": op10_suffix_array,
     "op11_vector_codes": op11_vector_codes,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLES = {
@@ -34,4 +36,5 @@ ORACLES = {
     "op3_minhash": OP3_SQL,
     "op6_quality": OP6_SQL,
     "op11_vector_codes": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
