@@ -5,6 +5,7 @@ from __future__ import annotations
 from textmatch.llm.decontaminate import OP2_SQL, op2_decontaminate
 from textmatch.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from textmatch.llm.html_extract import op8_html_extraction
+from textmatch.llm.language_id import op13_language_id
 from textmatch.llm.line_dedup import OP1_SQL, op1_line_dedup
 from textmatch.llm.minhash import OP3_SQL, op3_minhash
 from textmatch.llm.quality import OP6_SQL, op6_quality
@@ -28,6 +29,7 @@ REGISTRY = {
     "op10_suffix_array": op10_suffix_array,
     "op11_vector_codes": op11_vector_codes,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLES = {
