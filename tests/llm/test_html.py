@@ -178,3 +178,34 @@ def test_trees_equal_the_fitted_model(spark, pages):
     assert np.corrcoef(ours, [r.m for r in got])[0, 1] > 0.99
     assert np.mean((ours > 0) == (np.array([r.m for r in got]) > 0)) > 0.995
     assert isinstance(trees, Trees)
+
+
+def test_pages_with_labels_of_their_own(spark):
+    marks = ['data-label="Price"', "data-label", 'data-label=""', 'data-label="1"', 'data-label="0"']
+    cells = "".join(f"<td {m}>cell {i}</td>" for i, m in enumerate(marks))
+    page = f"<html><body><article><p>One two.</p><table><tr>{cells}</tr></table></article></body></html>"
+    assert leaves(page) == ["One two.", *[f"cell {i}" for i in range(5)]]
+    assert {x.label for x in parse(page)} == {None}
+    assert [x.label for x in parse("<div data-label=1><p data-label=x>a", labels=True)][1:3] == [1, None]
+    pages = spark.createDataFrame([(1, "u", page), (2, "u", page), (3, "u", None)], "page_id long, url string, html string")
+    rows = extract(pages, fit_trees(training_rows(pages)), carry=["page_id"]).orderBy("page_id").collect()
+    assert len(rows) == 3 and rows[0].text == rows[1].text and rows[2].text == ""
+    assert "One two." in rows[0].text and "cell 4" in rows[0].text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 20_000 + "</p>" * 20_000 + "x",
+        "<svg><p>" * 20_000 + "x" + "</svg>" * 20_000,
+        "<noscript></p>" * 20_000 + "</noscript>" * 20_000 + "x",
+        "<title>a" * 30_000 + "<p>x",
+        "<ul><li><div>" + "<blockquote>" * 20_000 + "<li></li>" * 20_000 + "x",
+    ],
+)
+def test_time_grows_with_the_page(page):
+    import time
+
+    begin = time.process_time()
+    assert leaves(page)[-1].endswith("x")
+    assert time.process_time() - begin < 5

@@ -13,6 +13,7 @@ without text are no leaves.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -29,6 +30,8 @@ CLOSED_BY_ITSELF = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"),
     "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
 }
+# Names the label of an element in composed training pages; elsewhere it is as any attribute.
+LABEL = "data-label"
 SCOPES = frozenset("ul ol menu dl table body html article section div".split())
 
 _TOKEN = re.compile(
@@ -61,7 +64,7 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
-def _attributes(node: Node, source: str) -> None:
+def _attributes(node: Node, source: str, labels: bool) -> None:
     words: list[str] = []
     for match in _ATTRIBUTE.finditer(source):
         name, value = match[1].lower(), unescape((match[2] or "").strip("\"'"))
@@ -71,41 +74,98 @@ def _attributes(node: Node, source: str) -> None:
             node.hidden = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             node.hidden = True
-        elif name == "data-label":  # only in composed training pages
+        elif labels and name == LABEL and value in ("0", "1"):
             node.label = int(value)
     node.tokens = tuple(words)
 
 
-def _silent_ends(html: str) -> dict[int, tuple[int, int]]:
-    """Where the end tag of each silent element starts and ends, by the start of the element."""
-    ends, starts = {}, {}
+def _silent_ends(html: str) -> dict[int, int]:
+    """Where each silent element ends that is closed within the block it is in, by its start.
+
+    A block's end tag inside it must not close a block from before it, and a graphic without
+    foreign content holds no block at all. One pass finds the matching tags, a second one,
+    in which each start waits until something speaks against it, the elements that fail.
+    """
+    pairs, starts = [], {}
     for match in _SILENT.finditer(html):
         tag = match[2].lower()
         if not match[1]:
             if not match[0].endswith("/>"):
-                starts.setdefault(tag, []).append(match.start())
+                starts.setdefault(tag, []).append(match)
         elif starts.get(tag):
-            ends[starts[tag].pop()] = match.span()
-    return ends
+            start = starts[tag].pop()
+            pairs.append((start.end(), match.start(), match.end(), start.start(), tag))
+    if not pairs:
+        return {}
+    pairs.sort()
+    foreign = [x.start() for x in re.finditer("foreignobject", html, re.I)]
+    broken: dict[int, int] = {}  # where a block breaks out, by the end of the start tag
+    waiting: list[int] = []  # ends of start tags, rising
+    graphics: list[int] = []
+    opened: dict[str, list[int]] = {}
+    k = 0
+    for match in _TAG.finditer(html):
+        name = match[2].lower()
+        if name not in BLOCKS:
+            continue
+        while k < len(pairs) and pairs[k][0] <= match.start():
+            inner, low, _, _, tag = pairs[k]
+            waiting.append(inner)
+            if tag == "svg":
+                at = bisect_left(foreign, inner)
+                if at == len(foreign) or foreign[at] >= low:
+                    graphics.append(inner)
+            k += 1
+        for inner in graphics:
+            broken.setdefault(inner, match.start())
+        graphics.clear()
+        if not match[1]:
+            opened.setdefault(name, []).append(match.start())
+            continue
+        begun = opened[name].pop() if opened.get(name) else -1
+        while waiting and waiting[-1] > begun:
+            broken.setdefault(waiting.pop(), match.start())
+    return {start: end for inner, low, end, start, _ in pairs if broken.get(inner, low) >= low}
 
 
-def _within_block(tag: str, inner: str) -> bool:
-    """Whether what a silent element holds ends no block around it; a block ends a graphic."""
-    opened: dict[str, int] = {}
-    embeds = tag != "svg" or "foreignobject" in inner.lower()
-    for match in _TAG.finditer(inner):
-        name = match[2].lower()
-        if name in BLOCKS:
-            opened[name] = opened.get(name, 0) + (-1 if match[1] else 1)
-            if opened[name] < 0 or not embeds:
-                return False
-    return True
+class _Open:
+    """The open elements, innermost last, and where each kind of them is."""
+
+    def __init__(self):
+        self.nodes = [0]
+        self.tags = [""]
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        if tag in SCOPES:
+            self.scopes.append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def innermost(self, tags: tuple[str, ...], scoped: bool) -> int:
+        """The place of the innermost of ``tags``, or 0; if ``scoped``, in the innermost scope."""
+        at = max(self.places[t][-1] if self.places.get(t) else 0 for t in tags)
+        return at if not scoped or not self.scopes or at >= self.scopes[-1] else 0
+
+    def cut(self, at: int) -> None:
+        while len(self.nodes) > at:
+            self.nodes.pop()
+            tag = self.tags.pop()
+            self.places[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
 
 
 def parse(html: str | None, labels: bool = False) -> list[Node]:
-    """The nodes in page order; the first is the page. Parents come before their children."""
+    """The nodes in page order; the first is the page. Parents come before their children.
+
+    Only with ``labels``, for pages composed here, are labels read. The time grows with the
+    length of the page, however its elements are nested.
+    """
     nodes = [Node("#page", -1, 0)]
-    open_ = [0]
+    open_ = _Open()
     text: list[str] = []
     links = link_chars = 0
 
@@ -114,7 +174,7 @@ def parse(html: str | None, labels: bool = False) -> list[Node]:
         if text:
             run = " ".join(unescape("".join(text)).split())
             if run:
-                parent = open_[-1]
+                parent = open_.nodes[-1]
                 leaf = Node("#text", parent, nodes[parent].depth + 1, text=run)
                 leaf.link_chars = min(link_chars, len(run))
                 nodes[parent].children.append(len(nodes))
@@ -122,19 +182,16 @@ def parse(html: str | None, labels: bool = False) -> list[Node]:
             text.clear()
         link_chars = 0
 
-    def close(tags: tuple[str, ...], stop: frozenset[str] = frozenset()) -> None:
-        for at in range(len(open_) - 1, 0, -1):
-            tag = nodes[open_[at]].tag
-            if tag in tags:
-                flush()
-                del open_[at:]
-                return
-            if tag in stop:
-                return
+    def close(tags: tuple[str, ...], scoped: bool = False) -> None:
+        found = open_.innermost(tags, scoped)
+        if found:
+            flush()
+            open_.cut(found)
 
     at = 0
     html = html or ""
     silent_ends = None
+    endless: set[str] = set()  # raw elements that have no end tag from here on
     silent = False  # in an element without text that isn't closed, until the next block
     while match := _TOKEN.search(html, at):
         if match.start() > at and not silent:
@@ -154,19 +211,20 @@ def parse(html: str | None, labels: bool = False) -> list[Node]:
             text.append(" ")
             itself = source.endswith("/")
             if tag in RAW:
-                end = _RAW_END[tag].search(html, at)
+                end = None if tag in endless else _RAW_END[tag].search(html, at)
                 if end:
                     at = end.end()
                 elif tag in ("script", "style") and not itself:
                     at = len(html)
                 else:
+                    endless.add(tag)
                     silent = silent or not itself
             elif not itself:
                 if silent_ends is None:
                     silent_ends = _silent_ends(html)
-                low, high = silent_ends.get(match.start(), (-1, -1))
-                if low >= at and _within_block(tag, html[at:low]):
-                    at = high
+                end = silent_ends.get(match.start(), -1)
+                if end >= at:
+                    at = end
                 else:
                     silent = True
             continue
@@ -181,19 +239,17 @@ def parse(html: str | None, labels: bool = False) -> list[Node]:
             close((tag,))
             continue
         flush()
-        close(("p",), SCOPES)
+        close(("p",), True)
         if tag in CLOSED_BY_ITSELF:
-            close(CLOSED_BY_ITSELF[tag], SCOPES)
+            close(CLOSED_BY_ITSELF[tag], True)
         if tag == "hr":
             continue
-        parent = open_[-1]
+        parent = open_.nodes[-1]
         node = Node(tag, parent, nodes[parent].depth + 1)
         if source and source.strip("/ "):
-            _attributes(node, source)
-            if not labels:
-                node.label = None
+            _attributes(node, source, labels)
         nodes[parent].children.append(len(nodes))
-        open_.append(len(nodes))
+        open_.push(len(nodes), tag)
         nodes.append(node)
     if at < len(html) and not silent:
         text.append(html[at:])
