@@ -208,3 +208,12 @@ def test_the_model_path_is_a_parameter(tmp_path):
     copy = tmp_path / "own.model"
     shutil.copyfile(MODEL, copy)
     assert load_pieces(str(copy)).scores == load_pieces().scores
+
+
+def test_time_grows_with_the_text(encoder):
+    import time
+
+    begin = time.process_time()
+    ids = encoder.best_path("abcdefgh" * 100_000)
+    assert time.process_time() - begin < 8
+    assert encoder.decode(ids) == "abcdefgh" * 100_000

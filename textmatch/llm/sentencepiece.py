@@ -99,6 +99,7 @@ class Encoder(dict):
         self.older: dict[str, bytes] = {}
         keys = sorted(p.encode() for p in pieces.scores)
         self.trie = DoubleArray.build(keys)
+        self.longest = max(map(len, keys), default=0)
         entries = [pieces.scores[k.decode()] for k in keys]
         # By node: where its children begin for byte 0, and the score and id that end there.
         self.first = [b + 1 for b in self.trie.base]
@@ -141,7 +142,7 @@ class Encoder(dict):
             if here == _NOWHERE:  # inside a character
                 continue
             node, end = 0, start
-            for byte in data[start:]:
+            for byte in data[start : start + self.longest]:
                 child = base[node] + byte
                 if check[child] != node:
                     break
