@@ -6,11 +6,16 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from textmatch.config import EngineConfig
-from textmatch.operators.overlap import best_overlap, overlap_score, title_map
+from textmatch.operators import cells
+from textmatch.operators.cells import in_cells
+from textmatch.operators.chunking import chunks, register_chunks
+from textmatch.operators.nearest import build_inverted_file, scored_pairs, search
+from textmatch.operators.overlap import best_overlap, overlap_candidates, overlap_score, title_map
 from textmatch.operators.pooling import mean_pool
 from textmatch.operators.ranking import dedup_titles, rank_results
 from textmatch.operators.relational import (
@@ -385,3 +390,82 @@ def test_rows_without_a_vector_take_no_part(spark):
     for how in ({}, {"block": 1}):
         got = ranked(top_k(queries, corpus, 5, **how))
         assert got == {1: [(1, 1.0), (3, 0.0)], 3: [(3, 1.0), (1, 0.0)]}
+
+
+def test_best_overlap_by_brute_force(spark):
+    rng = random.Random(11)
+    words = ["data", "senior"] + [f"w{i}" for i in range(60)]
+
+    def title():
+        some = [rng.choice(words[2:]) for _ in range(rng.randint(0, 4))]
+        return " ".join(rng.sample(["Data", "senior", "data"], rng.randint(0, 3)) + some)
+
+    listed = [(f"j{i}", title(), i) for i in range(400)]
+    asked = [title() for _ in range(200)] + ["", "data", "none of these"]
+    mapping = title_map(spark.createDataFrame(listed, "item_id string, title string, seq int"))
+    seqs = {r.title: (r.seq, r.item_id) for r in mapping.collect()}
+    titles = spark.createDataFrame([(t,) for t in asked], "title string")
+    got = {r.title: (r.item_id, r.overlap) for r in best_overlap(titles, mapping).collect()}
+    assert set(got) == {t.lower() for t in asked}
+    for t in got:
+        scores = {m: len(set(t.split()) & set(m.split())) for m in seqs}
+        most = max(scores.values())
+        if most:
+            first = min(seqs[m] for m, n in scores.items() if n == most)
+            assert got[t] == (first[1], most), t
+        else:
+            assert got[t][1] == 0 and got[t][0].startswith("job_")
+    compared = overlap_candidates(titles, mapping).count()
+    assert compared < 0.35 * len(got) * len(seqs)
+
+
+def test_an_inverted_file_holds_every_row_and_finds_most(spark):
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 16))
+    points[100:1100] = points[7]  # a third of all rows alike
+    rows = [(i, v.tolist()) for i, v in enumerate(points)] + [(5000, None), (5001, [0.0] * 16)]
+    corpus = spark.createDataFrame(rows, "id int, vector array<double>").repartition(6)
+    index = build_inverted_file(corpus, k=5)
+    assert index.lists.count() == 3001 and index.sizes.agg(F.sum("n")).first()[0] == 3001
+    asked = corpus.where("id % 40 = 3").withColumnRenamed("id", "query_id")
+    for how in ({}, {"part_rows": 100, "part_queries": 7}):
+        found = {(r.query_id, r.id): r.score for r in search(index, asked, 5, **how).collect()}
+        exact = {(r.query_id, r.id): r.score for r in top_k(asked, corpus, 5).collect()}
+        both = found.keys() & exact.keys()
+        assert len(found) == len(exact) and len(both) >= 0.9 * len(exact)
+        assert all(abs(found[x] - exact[x]) < 1e-9 for x in both)
+    every = {(r.query_id, r.id) for r in search(index, asked, 5, probes=len(index.centres)).collect()}
+    assert every == exact.keys()
+    assert scored_pairs(index, asked) < asked.count() * 3001
+
+
+def test_an_inverted_file_of_nothing(spark):
+    none = spark.createDataFrame([], "id int, vector array<double>")
+    some = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "id int, vector array<double>")
+    asked = some.withColumnRenamed("id", "query_id")
+    assert search(build_inverted_file(none), asked.limit(0), 3).count() == 0
+    found = search(build_inverted_file(some), asked, 3, probes=9).collect()
+    assert {(r.query_id, r.id) for r in found} == {(1, 1), (1, 2), (2, 1), (2, 2)}
+
+
+def test_cells_in_rounds_hold_every_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(cells, "COPIES", 2)
+    queries = spark.range(50).withColumnRenamed("id", "query_id")
+    items = spark.range(300).union(spark.range(5))
+
+    def pairs(a, b):
+        left, right = np.meshgrid(a.column("query_id").to_numpy(), b.column("id").to_numpy())
+        return pa.table({"q": left.ravel(), "i": right.ravel()})
+
+    for query_rows in (7, 25, 100):
+        got = in_cells(queries, items, pairs, "q bigint, i bigint", 50, 305, query_rows, 60)
+        assert got.count() == 50 * 305 and got.distinct().count() == 50 * 300
+
+
+def test_chunks_from_sql(spark):
+    docs = spark.createDataFrame([(1, "aa bb cc dd"), (2, ""), (3, None), (4, "x" * 25)], "id int, text string")
+    register_chunks(spark)
+    sql = "SELECT id, chunk_idx, chunk FROM {docs}, LATERAL text_chunks(text, 6, 2)"
+    got = sorted(tuple(r) for r in spark.sql(sql, docs=docs).collect())
+    want = [(i, *pair) for i, t in ((1, "aa bb cc dd"), (2, ""), (3, None), (4, "x" * 25)) for pair in enumerate(chunks(t, 6, 2))]
+    assert got == want and got[0][2] == "aa bb" and got[-1][0] == 4

@@ -3,7 +3,9 @@
 Both sides are dealt into groups of a bounded size; a cell is one group of queries with one
 group of rows, and one task at a time holds one cell. Queries are copied to each group of rows
 and rows to each group of queries, so what is moved grows with the number of groups, not with
-the pairs; nothing passes through the driver and the plan has the same size for any input.
+the pairs. Nothing passes through the driver. One job holds at most ``COPIES`` copies of the
+rows; with more groups of queries, jobs follow one another, each written before the next, and
+the plan that reads them is one scan.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmatch.config import ship_package
+from textmatch.config import materialize, scratch_path, ship_package
 
 # Rows below which a side isn't cut only to give more cores a share.
 SMALL = 2048
 # Partitions of the shuffle; more cells than that take turns.
 MOST_PARTITIONS = 20_000
+# Groups of queries, so copies of the rows, in one job.
+COPIES = 8
 
 
 def groups_of(rows: int, most: int, cores: int) -> int:
@@ -58,24 +62,39 @@ def in_cells(
     across = groups_of(n_items, item_rows, cores)
     down = max(1, math.ceil(n_queries / query_rows))
 
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-
-    left = queries.withColumn("_down", _dealt(queries, down, query_key))
-    left = left.withColumn("_across", every(across))
-    right = items.withColumn("_across", _dealt(items, across, item_key))
-    right = right.withColumn("_down", every(down) if down > 1 else F.lit(0).cast("bigint"))
-    parts = min(across * down, MOST_PARTITIONS)
-
-    def put(df: DataFrame) -> DataFrame:
-        cell = (F.col("_down") * across + F.col("_across")).alias("_cell")
-        dealt = df.select(*[c for c in df.columns if c not in ("_down", "_across")], cell)
-        return dealt.repartitionById(parts, F.pmod("_cell", F.lit(parts)).cast("int"))
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    empty = items.sparkSession.createDataFrame([], schema).toArrow()
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
         return fn(a, b) if a.num_rows and b.num_rows else empty
 
-    if isinstance(schema, str):
-        schema = T.StructType.fromDDL(schema)
-    empty = items.sparkSession.createDataFrame([], schema).toArrow()
-    return put(left).groupBy("_cell").cogroup(put(right).groupBy("_cell")).applyInArrow(cell, schema)
+    def every(low: int, high: int) -> Column:
+        return F.explode(F.sequence(F.lit(low).cast("bigint"), F.lit(high - 1).cast("bigint")))
+
+    def job(low: int, high: int) -> DataFrame:
+        """The cells of the query groups from ``low`` to before ``high``."""
+        left = queries.withColumn("_down", _dealt(queries, down, query_key))
+        if high - low < down:
+            left = left.where(F.col("_down").between(low, high - 1))
+        left = left.withColumn("_across", every(0, across))
+        right = items.withColumn("_across", _dealt(items, across, item_key))
+        one = F.lit(low).cast("bigint")
+        right = right.withColumn("_down", every(low, high) if high - low > 1 else one)
+        parts = min(across * (high - low), MOST_PARTITIONS)
+
+        def put(df: DataFrame) -> DataFrame:
+            number = ((F.col("_down") - low) * across + F.col("_across")).alias("_cell")
+            dealt = df.select(*[c for c in df.columns if c not in ("_down", "_across")], number)
+            return dealt.repartitionById(parts, F.pmod("_cell", F.lit(parts)).cast("int"))
+
+        grouped = put(left).groupBy("_cell").cogroup(put(right).groupBy("_cell"))
+        return grouped.applyInArrow(cell, schema)
+
+    if down <= COPIES:
+        return job(0, down)
+    queries, items = materialize(queries, "queries"), materialize(items, "items")
+    path = scratch_path(items.sparkSession, "cells")
+    for low in range(0, down, COPIES):
+        job(low, min(low + COPIES, down)).write.mode("append").parquet(path)
+    return items.sparkSession.read.schema(schema).parquet(path)

@@ -1,17 +1,16 @@
 """Exact top-k by cosine or inner product, for dense and sparse vectors.
 
-The corpus stays where it is: each task multiplies its Arrow batches with the queries and
-keeps the best ``k`` per query, so what is shuffled is ``k`` rows per query and task,
-never a row per pair. Queries are broadcast in blocks whose rows and cells are bounded by
-``BLOCK_*``, dealt by hash; the corpus is scanned once per block and never copied or moved.
-One block or many, the plan of each is the same.
+A few queries, one block of ``BLOCK_*`` rows and cells at most, are broadcast: the corpus stays
+where it is, each task multiplies its Arrow batches with the queries and keeps the best ``k`` per
+query, so what is shuffled is ``k`` rows per query and task, never a row per pair. More queries
+than that never come to the driver: queries and corpus meet in bounded cells
+(:mod:`textmatch.operators.cells`), and each cell gives ``k`` rows per query. The plan has the
+same size for any number of queries.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmatch.config import materialize, ship_package
+from textmatch.operators.cells import in_cells
 
-# Queries, and numbers or terms of their vectors, that are broadcast at a time.
+# Queries, and numbers or terms of their vectors, that are broadcast.
 BLOCK_QUERIES = 2048
 BLOCK_CELLS = 16 << 20
+# Queries, and corpus rows, in a cell; and numbers or terms of each side.
+CELL_ROWS = 16_384
+CELL_CELLS = 8 << 20
+# Pairs in a cell when all of them are wanted.
+CELL_PAIRS = 1 << 20
 # Score cells held at once by a task (queries x corpus rows of one step).
 _CELLS = 2_000_000
 
@@ -34,32 +39,27 @@ def _column(table: pa.Table | pa.RecordBatch, name: str) -> pa.Array:
     return col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
 
 
-def _present(table: pa.Table, name: str) -> pa.Table:
-    """The rows that have a vector. Done here, as a filter in the plan would make Spark
-    compute a vector that comes from Python twice."""
-    return table.filter(pc.is_valid(table.column(name)))
-
-
 def _list_rows(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     return np.repeat(np.arange(len(lists)), sizes), lists.flatten()
 
 
+def unit_rows(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of length 1; a zero vector stays one."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    m = flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 1)
+    length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
 class _Dense:
     """Cosine against a block of dense queries; a zero vector scores 0."""
 
     def __init__(self, vectors: pa.Array):
-        self.q = self._unit(vectors)
-
-    @staticmethod
-    def _unit(vectors: pa.Array) -> np.ndarray:
-        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        m = flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 1)
-        length = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+        self.q = unit_rows(vectors)
 
     def scores(self, vectors: pa.Array) -> np.ndarray:
-        return self._unit(vectors) @ self.q.T
+        return unit_rows(vectors) @ self.q.T
 
 
 class _Sparse:
@@ -212,7 +212,19 @@ def _result(best: _Best, query_ids: pa.Array) -> dict[str, pa.Array]:
     }
 
 
-def _final(partial: DataFrame, k: int) -> DataFrame:
+def best_in_table(queries: pa.Table, items: pa.Table, k: int, kind: str = "dense") -> pa.Table:
+    """(query_id, id, score): the best ``k`` of (id, vector) for each (query_id, vector)."""
+    query_ids = _column(queries, "query_id")
+    best = _Best(len(query_ids), k)
+    scorer = _scorer(kind, _column(queries, "vector"))
+    _feed(best, scorer, _column(items, "id"), _column(items, "vector"))
+    if best.held:
+        return pa.table(_result(best, query_ids))
+    none = _column(items, "id").slice(0, 0)
+    return pa.table({"query_id": query_ids.slice(0, 0), "id": none, "score": pa.array([], pa.float64())})
+
+
+def merge_best(partial: DataFrame, k: int) -> DataFrame:
     """Merge the tasks' candidates; the rank filter becomes a group limit per task."""
     best = Window.partitionBy("query_id").orderBy(
         F.desc(F.floor(F.col("score") * 1000000 + 0.5)), "id"
@@ -225,7 +237,7 @@ def top_k(
     corpus: DataFrame,
     k: int,
     kind: str = "dense",
-    block: int = BLOCK_QUERIES,
+    block: int | None = None,
 ) -> DataFrame:
     """``(query_id, id, score, rank)``: the ``k`` corpus rows most like each query.
 
@@ -233,27 +245,28 @@ def top_k(
     ``dense`` (cosine of number arrays), ``sparse`` or ``sparse_cosine`` (arrays of
     ``struct<term, weight>``). Rows are ranked by score to six places, then by id; a
     corpus row sharing nothing with a query takes part with score 0. Rows without a vector
-    take no part.
+    take no part. ``block`` bounds the queries that are broadcast, or are in a cell.
     """
-    return _final(_block_scores(queries, corpus, k, kind, block), k)
+    return merge_best(_scores(queries, corpus, k, kind, block), k)
 
 
 def all_scores(
-    queries: DataFrame, corpus: DataFrame, kind: str = "dense", block: int = BLOCK_QUERIES
+    queries: DataFrame, corpus: DataFrame, kind: str = "dense", block: int | None = None
 ) -> DataFrame:
     """``(query_id, id, score)`` of every query and corpus row, for judging whole lists."""
-    return _block_scores(queries, corpus, None, kind, block)
+    return _scores(queries, corpus, None, kind, block)
 
 
-def _block_scores(
-    queries: DataFrame, corpus: DataFrame, k: int | None, kind: str, block: int
+def _scores(
+    queries: DataFrame, corpus: DataFrame, k: int | None, kind: str, block: int | None
 ) -> DataFrame:
-    """The tasks' best (or all) scores, one block of queries after another."""
+    """The tasks' best (or all) scores."""
     if kind not in ("dense", "sparse", "sparse_cosine"):
         raise ValueError(f"unknown kind: {kind}")
     ship_package(corpus.sparkSession)
     queries = materialize(queries.select("query_id", "vector"), "queries")
-    corpus = corpus.select("id", F.col("vector").alias("item"))
+    queries = queries.where(F.col("vector").isNotNull())
+    corpus = corpus.select("id", "vector")
     schema = T.StructType(
         [
             T.StructField("query_id", queries.schema["query_id"].dataType),
@@ -262,19 +275,28 @@ def _block_scores(
         ]
     )
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("vector")).alias("cells")).first()
-    blocks = max(1, math.ceil(size.n / block), math.ceil((size.cells or 0) / BLOCK_CELLS))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    parts = [
-        _by_broadcast(queries.where(part == b).toArrow(), corpus, k, kind, schema)
-        for b in range(blocks)
-    ]
-    return reduce(DataFrame.union, parts)
+    if size.n <= (block or BLOCK_QUERIES) and (size.cells or 0) <= BLOCK_CELLS:
+        return _by_broadcast(queries.toArrow(), corpus, k, kind, schema)
+    wide = max(1, size.cells // size.n)
+    rows = max(1, min(CELL_ROWS, CELL_CELLS // wide))
+    asked = min(block or CELL_ROWS, rows)
+    if k is None:
+        asked = min(asked, max(1, CELL_PAIRS // rows))
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        if k is not None:
+            return best_in_table(a, b, k, kind)
+        ids, scorer = _column(a, "query_id"), _scorer(kind, _column(a, "vector"))
+        found = list(_every(scorer, len(ids), ids, _column(b, "id"), _column(b, "vector")))
+        return pa.Table.from_batches(found) if found else best_in_table(a, b.slice(0, 0), 1, kind)
+
+    total = corpus.select("id").count()
+    return in_cells(queries, corpus, cell, schema, size.n, total, query_rows=asked, item_rows=rows)
 
 
 def _by_broadcast(
     block: pa.Table, corpus: DataFrame, k: int | None, kind: str, schema: T.StructType
 ) -> DataFrame:
-    block = _present(block, "vector")
     shared = corpus.sparkSession.sparkContext.broadcast(
         (_column(block, "query_id"), _column(block, "vector"))
     )
@@ -286,7 +308,7 @@ def _by_broadcast(
         for batch in batches:
             if scorer is None or not batch.num_rows:
                 continue
-            ids, items = _column(batch, "id"), _column(batch, "item")
+            ids, items = _column(batch, "id"), _column(batch, "vector")
             if k is None:
                 yield from _every(scorer, best.n, query_ids, ids, items)
             else:

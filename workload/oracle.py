@@ -13,6 +13,7 @@ from textmatch.functions.titles import (
     SENIORITY,
     SPECIAL,
 )
+from workload.texts import INLINE_TEXTS
 
 W = r"\p{L}\p{N}_"
 S = (
@@ -978,6 +979,11 @@ ORACLES: dict[str, str] = {
         "SELECT id, chunk_idx, length(chunk) AS chunk_chars, md5(chunk) AS chunk_md5 FROM "
         "corpus_chunks",
     ),
+    "chunk_documents_sql": statement(
+        CORPUS + chunks("corpus", "corpus"),
+        "SELECT id, chunk_idx, length(chunk) AS chunk_chars, md5(chunk) AS chunk_md5 FROM "
+        "corpus_chunks",
+    ),
     "chunk_mean_tfidf": statement(
         VOCAB + chunks("corpus", "corpus") + mean_vectors("corpus"),
         f"SELECT id, term, {r6('w')} AS weight FROM corpus_mean",
@@ -997,6 +1003,13 @@ ORACLES: dict[str, str] = {
     "cosine_topk": statement(
         SEARCH, f"SELECT query_id, rank, id, {r6('score')} AS score FROM best"
     ),
+    "dedup_without_titles": statement(
+        SEARCH, f"SELECT query_id, rank, id, {r6('score')} AS score FROM best"
+    ),
+    "index_recall": (
+        "SELECT (sum((vec_id % 50 = 0)::INT) * least(15, count(*)))::BIGINT AS wanted, "
+        "true AS recall_reached, true AS fewer_pairs_scored FROM embeddings"
+    ),
     "cosine_topk_blocked": statement(
         SEARCH, f"SELECT query_id, rank, id, {r6('score')} AS score FROM best"
     ),
@@ -1241,8 +1254,9 @@ ORACLES: dict[str, str] = {
             [
                 (
                     "asked",
-                    f"SELECT 't' || item_id AS id, {clean('text')} AS text FROM benchmark "
-                    "ORDER BY item_id LIMIT 5",
+                    f"SELECT id, {clean('text')} AS text FROM (VALUES "
+                    + ", ".join(f"({lit(i)}, {lit(t)})" for i, t in INLINE_TEXTS.items())
+                    + ") given(id, text)",
                 )
             ]
         ),

@@ -27,8 +27,9 @@ from textmatch.functions.titles import (
 from textmatch.functions.tokens import default_stop_words, words
 from textmatch.functions.vectors import cosine, l2_normalize, norm
 from textmatch.operators import metrics as M
-from textmatch.operators.chunking import chunk_docs, chunk_text
+from textmatch.operators.chunking import chunk_docs, chunk_text, register_chunks
 from textmatch.operators.overlap import best_overlap, overlap_score, title_map
+from textmatch.operators.nearest import build_inverted_file, scored_pairs, search
 from textmatch.operators.pooling import mean_pool
 from textmatch.operators.ranking import dedup_titles, rank_results
 from textmatch.operators.relational import (
@@ -96,6 +97,7 @@ from textmatch.sources.tables import (
     read_person_tables,
 )
 from textmatch.streaming.match import match_stream
+from workload.texts import INLINE_TEXTS
 
 CFG = EngineConfig()
 K_VALUES = (3, 5, 10)
@@ -293,6 +295,12 @@ def dedup_titles_full(spark, sf_dir):
     )
 
 
+@query
+def dedup_without_titles(spark, sf_dir):
+    """A match list that has no title column passes as it is."""
+    return dedup_titles(cosine_topk(spark, sf_dir), 5, by="query_id", value="score")
+
+
 @query
 def dedup_titles_lite(spark, sf_dir):
     return dedup_titles(_brand_titles(spark, sf_dir), None, "lite")
@@ -413,6 +421,18 @@ def chunk_documents(spark, sf_dir):
     )
 
 
+@query
+def chunk_documents_sql(spark, sf_dir):
+    """The same from SQL, by the registered table function."""
+    name = register_chunks(spark)
+    docs = corpus_of(spark, sf_dir)
+    return spark.sql(
+        "SELECT id, cast(chunk_idx AS bigint) AS chunk_idx, cast(length(chunk) AS bigint) AS "
+        f"chunk_chars, md5(chunk) AS chunk_md5 FROM {{docs}}, LATERAL {name}(embedding_text, 2048, 200)",
+        docs=docs,
+    )
+
+
 @query
 def chunk_mean_tfidf(spark, sf_dir):
     corpus = stored_corpus(spark, sf_dir)
@@ -468,6 +488,41 @@ def cosine_topk_blocked(spark, sf_dir):
     return _label_search(spark, sf_dir, block=4)
 
 
+def _every_fiftieth(spark, sf_dir):
+    """Vectors as a corpus, and those with an id divisible by 50 as queries."""
+    vectors = table(spark, sf_dir, "embeddings")
+    corpus = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = corpus.where(F.pmod("id", F.lit(50)) == 0).withColumnRenamed("id", "query_id")
+    return corpus, asked
+
+
+@query
+def cosine_topk_indexed(spark, sf_dir):
+    corpus, asked = _every_fiftieth(spark, sf_dir)
+    return search(build_inverted_file(corpus), asked, 15).select(
+        "query_id", F.col("rank").cast("bigint").alias("rank"), "id",
+        round6(F.col("score")).alias("score"),
+    )
+
+
+@query
+def index_recall(spark, sf_dir):
+    """How many of the exact neighbours the index finds, of those there are."""
+    corpus, asked = _every_fiftieth(spark, sf_dir)
+    index = build_inverted_file(corpus)
+    found = search(index, asked, 15).select("query_id", "id").withColumn("found", F.lit(1))
+    exact = top_k(asked, corpus, 15).select("query_id", "id")
+    both = exact.join(found, ["query_id", "id"], "left").agg(
+        F.count(F.lit(1)).alias("wanted"), F.count("found").alias("found")
+    )
+    share = F.lit(scored_pairs(index, asked)) / (F.lit(asked.count()) * F.lit(corpus.count()))
+    return both.select(
+        "wanted",
+        (F.col("found") >= 0.9 * F.col("wanted")).alias("recall_reached"),
+        (share < 1).alias("fewer_pairs_scored"),
+    )
+
+
 @query
 def hash_embed(spark, sf_dir):
     corpus = stored_corpus(spark, sf_dir)
@@ -974,10 +1029,9 @@ def folder_scan(spark, sf_dir):
 
 @query
 def inline_texts(spark, sf_dir):
-    """Texts given in the program, here five benchmark passages, matched like stored ones."""
+    """Texts given in the program, matched with the whole corpus like stored ones."""
     corpus = stored_corpus(spark, sf_dir)
-    turns = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(5).collect()
-    asked = text_queries(spark, {f"t{r.item_id}": r.text for r in turns})
+    asked = text_queries(spark, INLINE_TEXTS)
     return _shown(match_lite(asked, corpus, fitted(corpus), CFG))
 
 
