@@ -5,6 +5,7 @@ import random
 import pytest
 from brute import hits
 
+from textmatch.llm import decontaminate as decontaminate_module
 from textmatch.llm.decontaminate import decontaminate, without_spans
 
 
@@ -58,3 +59,45 @@ def test_very_long_text(spark, documents):
     text = "word " * 300_000 + ITEMS[0][1]
     found = decontaminate(documents([(1, text)]), bench(spark, ITEMS)).first()
     assert (found.n_words, found.n_hit, found.hit_items) == (300_012, 12, ["1"])
+
+
+def test_one_block_is_held_at_a_time(spark, documents, monkeypatch):
+    from pyspark import SparkContext
+    from pyspark.core.broadcast import Broadcast
+
+    alive, most, made = [0], [0], [0]
+    broadcast, destroy = SparkContext.broadcast, Broadcast.destroy
+
+    def counted(self, value):
+        if isinstance(value, decontaminate_module.Windows):
+            alive[0] += 1
+            made[0] += 1
+            most[0] = max(most[0], alive[0])
+        return broadcast(self, value)
+
+    def gone(self, *a, **b):
+        alive[0] -= 1
+        return destroy(self, *a, **b)
+
+    monkeypatch.setattr(SparkContext, "broadcast", counted)
+    monkeypatch.setattr(Broadcast, "destroy", gone)
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(14))) for i in range(12)]
+    rows = [(i, f"a {t} b") for i, t in items] * 3 + [(99, "clean")]
+    found = decontaminate(documents(rows), bench(spark, items), block_bytes=500).collect()
+    assert most[0] == 1 and made[0] > 3 and alive[0] == 0
+    assert sorted((r.doc_id, r.n_hit, tuple(r.hit_items)) for r in found) == sorted(
+        [(i, 14, (str(i),)) for i, _ in items] * 3 + [(99, 0, ())]
+    )
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+def test_long_items_in_pieces(spark, documents, monkeypatch, block_bytes):
+    monkeypatch.setattr(decontaminate_module, "PIECE", 16)
+    for size in (9, 10, 16, 25, 26, 100):
+        words = [f"w{i}" for i in range(size)]
+        rows = [(i, "x " + " ".join(words[i : i + 12]) + " y") for i in range(0, size, 5)]
+        found = decontaminate(documents(rows), bench(spark, [(1, " ".join(words))]), block_bytes=block_bytes)
+        got = {r.doc_id: (r.n_hit, r.hit_items) for r in found.collect()}
+        for i, text in rows:
+            _, n, items = hits(text, [(1, " ".join(words))])
+            assert got[i] == (n, items)

@@ -1,11 +1,16 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams over training texts.
 
 Every benchmark item gives its windows of ``n`` neighbouring words (an item of fewer words is
-one window). The windows, as numbers of a small vocabulary, and their hashes go to the
-executors as a broadcast whose size is bounded by ``block_bytes`` of benchmark text; a larger
-benchmark is scanned in several such blocks, one after another in the same pass, so that any
-size gives the same result. A document is one row of words; a window whose hash is in the set
-is compared word by word before it counts. No row is shuffled.
+one window). The windows, as numbers of a small vocabulary, and their hashes go to the executors
+as a broadcast set; a document is one row of words, and a window whose hash is in the set is
+compared word by word before it counts.
+
+The set comes from some ``block_bytes`` of benchmark text at most; items longer than ``PIECE``
+words are cut into pieces that share ``n - 1`` words, which have the same windows. A benchmark of
+one block is one pass, in which no row is shuffled. A larger one is as many passes, one after
+another: the driver and every worker hold one block at a time, each pass writes what it found by
+the digest of the text and lets go of its block, and a last pass puts the finds of each text
+together. Any size gives the same result.
 
 Defined results: a null or empty text has no words and is clean. Benchmark rows without text
 or words are ignored; a null item id is matched but not listed. Repeated items list their id
@@ -16,6 +21,7 @@ as one of the results is replaced.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -24,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmatch.llm.common import plain_words, rows_with, run_hashes, table, utf8
+from textmatch.config import materialize
+from textmatch.llm.common import join_groups, plain_words, rows_with, run_hashes, table, utf8
 
 N = 10
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+PIECE = 1 << 16  # words of an item taken together
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -74,16 +82,81 @@ class Windows:
         return np.cumsum(edges[:-1]) > 0, found
 
 
-def _blocks(bench: DataFrame, item_col: str, text_col: str, n: int, block_bytes: int):
-    """The benchmark as a few bounded blocks of whole items, one collect each."""
+def _pieces(bench: DataFrame, item_col: str, text_col: str, n: int) -> DataFrame:
+    """(item, body): the items, long ones in pieces with the same windows."""
     items = bench.select(
         F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("body")
     ).where("body IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("body") + 64)).first()[0] or 0
+
+    def run(columns: list[pa.Array]) -> list[pa.Array]:
+        out = []
+        for text in utf8(columns[0]):
+            words = plain_words(text)
+            starts = range(0, max(1, len(words) - n + 1), PIECE)
+            out.append([b" ".join(words[i : i + PIECE + n - 1]).decode() for i in starts])
+        return [pa.array(out, pa.list_(pa.string()))]
+
+    made = rows_with(items, ["body"], [T.StructField("bodies", T.ArrayType(T.StringType()))], run, carry=["item"])
+    return made.select("item", F.explode("bodies").alias("body")).where("body <> ''")
+
+
+def _blocks(
+    bench: DataFrame, item_col: str, text_col: str, n: int, block_bytes: int
+) -> tuple[int, Iterator[Windows]]:
+    """How many bounded blocks the benchmark has, and one after another, a collect each."""
+    pieces = _pieces(bench, item_col, text_col, n)
+    total = pieces.agg(F.sum(F.octet_length("body") + 64)).first()[0] or 0
     count = max(1, -(-total // block_bytes))
-    for k in range(count):
-        block = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(count)) == k)
-        yield Windows([(r.item, r.body.encode()) for r in block.collect()], n)
+
+    def each() -> Iterator[Windows]:
+        for k in range(count):
+            block = pieces.where(F.pmod(F.xxhash64("item", "body"), F.lit(count)) == k)
+            yield Windows([(r.item, r.body.encode()) for r in block.collect()], n)
+
+    return count, each()
+
+
+def _found(windows: Windows, split: list[list[bytes]]) -> tuple[list[np.ndarray], list[set[str]]]:
+    """For each text the mask of its hit words, and the items that occur."""
+    words: list[bytes | None] = []
+    starts = []
+    for w in split:
+        starts.append(len(words))
+        words += w
+        words.append(None)  # no window spans two documents
+    hit, found = windows.hits(words)
+    items: list[set[str]] = [set() for _ in split]
+    edges = np.array(starts, np.int64)
+    for pos, owners in found:
+        items[int(np.searchsorted(edges, pos, side="right")) - 1].update(owners)
+    return [hit[start : start + len(w)] for w, start in zip(split, starts)], items
+
+
+def _runs(mask: np.ndarray) -> list[dict[str, int]]:
+    """(start, end) of the runs of hit words."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+    return [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)]
+
+
+_SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_RESULTS = [
+    T.StructField("n_words", T.LongType()),
+    T.StructField("n_hit", T.LongType()),
+    T.StructField("hit_items", T.ArrayType(T.StringType())),
+    T.StructField("hit_spans", T.ArrayType(_SPAN)),
+]
+
+
+def _results(texts: list, split: list, masks: list, items: list) -> list[pa.Array]:
+    counts = [int(m.sum()) for m in masks]
+    spans = [_spans(t.decode(), m) if c else [] for t, m, c in zip(texts, masks, counts)]
+    return [
+        pa.array([len(w) for w in split], pa.int64()),
+        pa.array(counts, pa.int64()),
+        pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+        pa.array(spans, _SPANS),
+    ]
 
 
 def decontaminate(
@@ -99,49 +172,76 @@ def decontaminate(
 
     ``hit_spans`` are the (start, end) character offsets of runs of hit words.
     """
-    context = docs.sparkSession.sparkContext
-    blocks = [
-        context.broadcast(w)
-        for w in _blocks(bench, item_col, bench_text_col, n, block_bytes)
-    ]
+    count, blocks = _blocks(bench, item_col, bench_text_col, n, block_bytes)
+    if count > 1:
+        return _in_passes(docs, blocks, text_col)
+    handle = docs.sparkSession.sparkContext.broadcast(next(blocks))
 
     def scan(columns: list[pa.Array]) -> list[pa.Array]:
         texts = utf8(columns[0])
         split = [plain_words(t) if t else [] for t in texts]
-        words: list[bytes | None] = []
-        starts = []
-        for w in split:
-            starts.append(len(words))
-            words += w
-            words.append(None)  # no window spans two documents
-        hit = np.zeros(len(words), bool)
-        items: list[set[str]] = [set() for _ in texts]
-        edges = np.array(starts, np.int64)
-        for block in blocks:
-            mask, found = block.value.hits(words)
-            hit |= mask
-            for pos, owners in found:
-                items[int(np.searchsorted(edges, pos, side="right")) - 1].update(owners)
-        counts, spans = [], []
-        for t, w, start in zip(texts, split, starts):
-            mask = hit[start : start + len(w)]
-            counts.append(int(mask.sum()))
-            spans.append(_spans(t.decode(), mask) if counts[-1] else [])
-        return [
-            pa.array([len(w) for w in split], pa.int64()),
-            pa.array(counts, pa.int64()),
-            pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-            pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-        ]
-
-    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+        return _results(texts, split, *_found(handle.value, split))
+
+    return rows_with(docs, [text_col], _RESULTS, scan, slice_rows=256)
+
+
+def _in_passes(docs: DataFrame, blocks: Iterator[Windows], text_col: str) -> DataFrame:
+    """One pass over the documents for each block, and one that puts the finds together."""
+    from xxhash import xxh3_128_digest
+
+    context = docs.sparkSession.sparkContext
     fields = [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("hit_items", T.ArrayType(T.StringType())),
-        T.StructField("hit_spans", T.ArrayType(span)),
+        T.StructField("digest", T.BinaryType()),
+        T.StructField("runs", T.ArrayType(_SPAN)),
+        T.StructField("items", T.ArrayType(T.StringType())),
     ]
-    return rows_with(docs, [text_col], fields, scan, slice_rows=256)
+    passes = []
+    for windows in blocks:
+        handle = context.broadcast(windows)
+
+        def scan(columns: list[pa.Array], handle=handle) -> list[pa.Array]:
+            texts = utf8(columns[0])
+            split = [plain_words(t) if t else [] for t in texts]
+            masks, items = _found(handle.value, split)
+            return [
+                pa.array([xxh3_128_digest(t) if t else None for t in texts], pa.binary()),
+                pa.array([_runs(m) for m in masks], _SPANS),
+                pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+            ]
+
+        hits = rows_with(docs, [text_col], fields, scan, carry=[], slice_rows=256).where(F.size("runs") > 0)
+        # Copies of a text have the same finds.
+        hits = hits.groupBy("digest").agg(F.first("runs").alias("runs"), F.first("items").alias("items"), F.count("*").alias("n"))
+        passes.append(materialize(hits, "hits"))
+        handle.destroy()
+    found = passes[0]
+    for more in passes[1:]:
+        found = found.unionByName(more)
+    found = found.groupBy("digest").agg(
+        F.flatten(F.collect_list("runs")).alias("_runs"),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("_items"),
+        F.max("n").alias("n"),
+    )
+    found = materialize(found.withColumnRenamed("digest", "_digest"), "found")
+
+    def name(columns: list[pa.Array]) -> list[pa.Array]:
+        return [pa.array([xxh3_128_digest(t or b"") for t in utf8(columns[0])], pa.binary())]
+
+    named = rows_with(docs, [text_col], [T.StructField("_digest", T.BinaryType())], name, slice_rows=256)
+    joined = join_groups(named, found, ["_digest"], docs.count(), "left")
+
+    def together(columns: list[pa.Array]) -> list[pa.Array]:
+        texts = utf8(columns[0])
+        split = [plain_words(t) if t else [] for t in texts]
+        masks = []
+        for words, runs in zip(split, columns[1].to_pylist()):
+            mask = np.zeros(len(words), bool)
+            for r in runs or ():
+                mask[r["start"] : r["end"]] = True
+            masks.append(mask)
+        return _results(texts, split, masks, [x or [] for x in columns[2].to_pylist()])
+
+    return rows_with(joined, [text_col, "_runs", "_items"], _RESULTS, together, carry=docs.columns, slice_rows=256)
 
 
 def _spans(text: str, mask: np.ndarray) -> list[dict[str, int]]:
