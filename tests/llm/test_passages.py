@@ -5,13 +5,14 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import repeated_words
 
 from textmatch.llm import suffix_dedup
 from textmatch.llm.spans import cut_spans
 from textmatch.llm.substring_dedup import op7_substring_dedup, repeated_passages, units
-from textmatch.llm.suffix_dedup import anchors, repeated_spans, word_hashes
+from textmatch.llm.suffix_dedup import anchors, matches, repeated_spans, word_hashes
 
 
 def texts(seed, n=60, vocabulary=4000):
@@ -41,8 +42,11 @@ def covered(spans):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_suffixes_find_every_repeated_window(documents, seed):
+@pytest.mark.parametrize("seed,chunk,most", [(1, 16_384, 4096), (2, 3, 4096), (3, 16_384, 1), (4, 50, 4)])
+def test_suffixes_find_every_repeated_window(documents, monkeypatch, seed, chunk, most):
+    """Whole, in small chunks, and with the frequent anchors dealt by digests."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(suffix_dedup, "MOST", most)
     rows = texts(seed)
     got = covered(repeated_spans(documents(rows)).collect())
     want = repeated_words(rows)
@@ -67,6 +71,37 @@ def test_blocks_and_neighbours(documents, monkeypatch):
     assert all(w == set(range(30, 100)) for w in got.values())
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_matches_equal_all_pairs_of_suffixes(seed):
+    """Words of one letter each on both sides of a few anchors, compared pair by pair."""
+    rng = random.Random(seed)
+    reach = suffix_dedup.REACH
+    side = lambda: bytes(rng.choice(b"ab") if rng.random() < 0.08 else 97 for _ in range(rng.choice([reach, reach, 9])))
+    rows = sorted((rng.randrange(3), side(), side(), rng.randrange(10**6), n) for n in range(60))
+    wide = lambda x: b"".join(b"\0" * 7 + bytes([c]) for c in x)
+    keys, ids, at = (np.array([r[c] for r in rows], np.int64) for c in (0, 3, 4))
+    right, left = (pa.array([wide(r[c]) for r in rows], pa.binary()) for c in (1, 2))
+    got = {}
+    for row, head, low, high in zip(*matches(ids, at, keys, right, left)):
+        assert (ids[head], at[head]) < (ids[row], at[row])
+        got.setdefault(row, set()).update(range(low, high + 1))
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    want = {}
+    for i, a in enumerate(rows):
+        for b in rows:
+            if a[0] == b[0] and (b[3], b[4]) < (a[3], a[4]):
+                reached = range(reach - common(a[2], b[2]), common(a[1], b[1]) + 1)
+                want.setdefault(i, set()).update(reached)
+    assert got == {i: r for i, r in want.items() if r}
+
+
+def test_very_long_texts(documents):
+    words = [f"w{i}" for i in range(200_000)]
+    rows = [(1, " ".join(words)), (2, "x " + " ".join(words[1000:150_000])), (3, "y " * 300_000)]
+    got = covered(repeated_spans(documents(rows)).collect())
+    assert got[2] == set(range(1, 149_001)) and got[3] == set(range(1, 300_000)) and 1 not in got
+
+
 def test_a_common_phrase_with_many_surroundings(documents):
     """Documents that share words beyond a phrase of all are far apart in any order by one side."""
     rng = random.Random(7)

@@ -2,22 +2,28 @@
 
 Words are runs without ASCII blanks, A-Z lower-cased. Of every ``GRAMS`` neighbouring runs of
 ``ANCHOR`` words the one with the least hash is an anchor, so two documents that share
-``MIN_WORDS = ANCHOR + GRAMS - 1`` words share an anchor inside them, and about one suffix in
-ten is kept. An anchor's context is the anchor with up to ``REACH`` words on each side, the
-farthest that a shared passage can go on without meeting the next shared anchor.
+``MIN_WORDS = ANCHOR + GRAMS - 1`` words share an anchor inside them. Only the suffixes that begin
+with an anchor are kept, about one in ten. A suffix reaches ``REACH`` words beyond its anchor and
+is extended as many to the left: farther on, a shared passage meets the next shared anchor.
 
 1. Texts that are equal collapse to the smallest id; the others are repeated as wholes.
-2. The kept suffixes are grouped by anchor and context. Suffixes with one context are repeated
-   as far as it reaches; the first stays.
-3. Of an anchor with several contexts, one suffix of each gives the hashes of the windows of
-   ``MIN_WORDS`` words whose least run is that anchor, at most ``GRAMS``. Every window of a text
-   belongs to one anchor, which equal windows have at the same place. The windows are grouped by
-   anchor and hash (combined on the map side); the first stays and all others are repeated.
-4. The marked pieces of a document that overlap make one span.
-
-The texts are read twice and not shuffled, but for the documents of step 3, which meet their
-anchors by id; all else moves hashes and positions. What is gathered in one place belongs to one
-document.
+2. Suffixes that are equal as far as they reach, on both sides, collapse to the first place; the
+   others are repeated as far as that.
+3. The suffixes left over whose anchor has several are sorted by (anchor, words to the right).
+   Neighbours are compared: the suffixes with ``r`` common words after the anchor are an interval
+   of this order, bounded by common prefixes shorter than that.
+4. Matches are extended to the left by a second order, by (anchor, words to the left, outward),
+   and its common prefixes. Two suffixes in one interval of ``r`` words to the right and in one of
+   ``REACH - r`` to the left share ``MIN_WORDS`` words. Of each such group the first place stays
+   and the others are repeated. All ``r`` are tried, so no match depends on which suffixes happen
+   to be next to each other.
+5. The marked pieces of a document that overlap make one span.
+
+The suffixes of an anchor are sorted in one task, as long as they are ``MOST`` at most. Those of a
+more frequent anchor are dealt by the digests of their ``MIN_WORDS`` words, which gives the groups
+of step 4 directly. Texts are read twice and not shuffled, but for the documents of step 3, which
+meet their anchors by id; all else moves hashes and positions. What is gathered in one place
+belongs to one document or is ``MOST`` suffixes.
 
 Defined results: a null, empty or blank text has no words. Repeated rows of an id and text are
 one document. Null ids rank first among equal texts and are left out elsewhere. Ties go to the
@@ -52,7 +58,9 @@ MIN_WORDS = 50
 ANCHOR = 32
 GRAMS = MIN_WORDS - ANCHOR + 1
 REACH = GRAMS - 1
+MOST = 4096  # suffixes of an anchor that are sorted in one task
 BLOCK = 64  # texts taken at a time
+CHUNK = 16_384  # sorted suffixes compared at a time, or the few more that end an anchor
 
 _hashes: list[WordHashes] = []
 
@@ -137,9 +145,10 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows_with(rows, ["body"], fields, run, carry=["id"])
 
 
-def _windows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, at, key, window): the windows that belong to the ``wanted`` (id, at, key) anchors."""
-    mine = wanted.groupBy("id").agg(F.collect_list(F.struct("at", "key")).alias("asked"))
+def _suffixes(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, at, key, n, right, left): the ``wanted`` (id, at, key, n) anchors with the hashes of
+    the words around them, big-endian, outward from the anchor."""
+    mine = wanted.groupBy("id").agg(F.collect_list(F.struct("at", "key", "n")).alias("asked"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("body"))
     rows = rows.join(mine, "id")
 
@@ -149,27 +158,134 @@ def _windows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                 part = whole.slice(start, BLOCK)
                 asked = part.column("asked")
                 starts = asked.offsets.to_numpy()
-                places, wants = (asked.values.field(n).to_numpy() for n in ("at", "key"))
-                out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
+                places, wants, sizes = (asked.values.field(n).to_numpy() for n in ("at", "key", "n"))
+                out: list[list] = [[] for _ in range(6)]
                 for i, (doc, text) in enumerate(zip(part.column("id").to_pylist(), utf8(part.column("body")))):
                     words = word_hashes(text)
-                    least, keys = _least(words)
-                    keys = keys.view(np.int64)
-                    here = slice(starts[i], starts[i + 1])
-                    at, want = places[here], wants[here]
-                    # An anchor that isn't here is that of another row of the same id.
-                    inside = at < len(keys)
-                    at, want = at[inside], want[inside]
-                    mark = np.zeros(len(keys), bool)
-                    mark[at[keys[at] == want]] = True
-                    low = np.flatnonzero(mark[least])
-                    sums = mix64(_sums(words, low, low + MIN_WORDS)).view(np.int64)
-                    for column, value in zip(out, (np.full(len(low), doc, np.int64), low, keys[least[low]], sums)):
-                        column.append(value)
-                columns = [pa.array(np.concatenate(column)) for column in out]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "at", "key", "window"])
-
-    return rows.mapInArrow(run, "id bigint, at bigint, key bigint, window bigint")
+                    keys = run_hashes(words, ANCHOR).view(np.int64)
+                    forward = words.astype(">u8").tobytes()
+                    back = words[::-1].astype(">u8").tobytes()
+                    for at, key, n in zip(*(x[starts[i] : starts[i + 1]].tolist() for x in (places, wants, sizes))):
+                        # An anchor that isn't here is that of another row of the same id.
+                        if at < len(keys) and keys[at] == key:
+                            right, left = 8 * (at + ANCHOR), 8 * (len(words) - at)
+                            row = (doc, at, key, n, forward[right : right + 8 * REACH], back[left : left + 8 * REACH])
+                            for column, value in zip(out, row):
+                                column.append(value)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(out, [pa.int64()] * 4 + [pa.binary()] * 2)],
+                    names=["id", "at", "key", "n", "right", "left"],
+                )
+
+    return rows.mapInArrow(run, "id bigint, at bigint, key bigint, n bigint, right binary, left binary")
+
+
+def _side(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of one side, zeros behind the last, and how many there are."""
+    values = column.to_pylist()
+    words = np.frombuffer(b"".join(x.ljust(8 * REACH, b"\0") for x in values), ">u8").reshape(-1, REACH)
+    return words, np.fromiter((len(x) // 8 for x in values), np.int64, len(values))
+
+
+def _common(keys: np.ndarray, words: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """By row, how many words it shares with the one before it in ``order``; -1 at a new anchor."""
+    a, b = order[:-1], order[1:]
+    same = words[a] == words[b]
+    same &= np.arange(REACH) < np.minimum(sizes[a], sizes[b])[:, None]
+    shared = np.full(len(keys), -1)
+    shared[b] = np.where(keys[a] == keys[b], np.cumprod(same, axis=1).sum(axis=1), -1)
+    return shared
+
+
+def matches(ids: np.ndarray, at: np.ndarray, keys: np.ndarray, right: pa.Array, left: pa.Array):
+    """(row, first row, least r, greatest r) of the repeated stretches among sorted suffixes.
+
+    The rows come sorted by (anchor, words to the right), each anchor complete. A stretch goes
+    from ``REACH - least r`` words before the anchor to ``greatest r`` words after it.
+    """
+    n = len(ids)
+    place = np.empty(n, np.int64)
+    place[np.lexsort((at, ids))] = np.arange(n)
+    ahead, ahead_size = _side(right)
+    back, back_size = _side(left)
+    rows = np.arange(n)
+    text = np.concatenate([keys.astype(">i8")[:, None].view(">u8"), back], axis=1)
+    by_left = np.argsort(np.ascontiguousarray(text).view(f"S{8 * (REACH + 1)}").ravel(), kind="stable")
+    # Equal keys are together in both orders.
+    after = _common(keys, ahead, ahead_size, rows)
+    before = _common(keys, back, back_size, by_left)
+    first = np.full((n, REACH + 1), -1)
+    for r in range(REACH + 1):
+        interval = np.cumsum(after < r)
+        extended = np.empty(n, np.int64)
+        extended[by_left] = np.cumsum(before[by_left] < REACH - r)
+        whole = np.flatnonzero((ahead_size >= r) & (back_size >= REACH - r))
+        group = interval[whole] * (n + 1) + extended[whole]
+        order = np.lexsort((place[whole], group))
+        group, whole = group[order], whole[order]
+        begins = np.concatenate([[True], group[1:] != group[:-1]])[: len(group)]
+        head = whole[np.maximum.accumulate(np.where(begins, np.arange(len(group)), 0))]
+        first[whole[~begins], r] = head[~begins]
+    fresh = np.ones_like(first, bool)
+    fresh[:, 1:] = first[:, 1:] != first[:, :-1]
+    last = np.ones_like(first, bool)
+    last[:, :-1] = fresh[:, 1:]
+    row, low = np.nonzero(fresh & (first >= 0))
+    high = np.nonzero(last & (first >= 0))[1]
+    return row, first[row, low], low, high
+
+
+def _sorted_matches(suffixes: DataFrame) -> DataFrame:
+    """(id, start, end, first_id, shift) of anchors with at most ``MOST`` suffixes."""
+    names = ["id", "at", "key", "right", "left"]
+
+    def found(part: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
+        ids, at, keys = (part.column(c).to_numpy() for c in names[:3])
+        sides = (part.column(c).combine_chunks() for c in names[3:])
+        row, head, low, high = matches(ids, at, keys, *sides)
+        columns = [ids[row], at[row] - (REACH - low), at[row] + ANCHOR + high, ids[head], at[head] - at[row]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in columns], names=["id", "start", "end", "first_id", "shift"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < CHUNK:
+                continue
+            part = pa.Table.from_batches(held)
+            keys = part.column("key").to_numpy()
+            # The last anchor may go on.
+            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+            if cut:
+                yield found(part.slice(0, cut))
+            held, rows = part.slice(cut).to_batches(), part.num_rows - cut
+        if rows:
+            yield found(pa.Table.from_batches(held))
+
+    dealt = suffixes.select(*names).repartition("key").sortWithinPartitions("key", "right", "left")
+    return dealt.mapInArrow(run, "id bigint, start bigint, end bigint, first_id bigint, shift bigint")
+
+
+def _dealt_matches(suffixes: DataFrame) -> DataFrame:
+    """The same for anchors of any frequency, by digests of the words of each stretch."""
+    r = F.col("r")
+    reach = F.explode(F.sequence(F.lit(0), F.lit(REACH))).alias("r")
+    each = suffixes.select("id", "at", "key", "right", "left", reach)
+    each = each.where((F.octet_length("right") >= 8 * r) & (F.octet_length("left") >= 8 * (REACH - r)))
+    words = F.concat(F.substring("right", F.lit(1), 8 * r), F.substring("left", F.lit(1), 8 * (REACH - r)))
+    each = materialize(each.select("id", "at", "key", "r", F.md5(words).alias("words")), "stretches")
+    keys = ["key", "r", "words"]
+    groups = each.groupBy(*keys).agg(F.min(place()).alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = groups.select(*keys, "n", place_id("first").alias("first_id"), place_at("first").alias("first_at"))
+    again = join_groups(each, materialize(groups, "repeated"), keys, each.count())
+    return again.where((F.col("id") != F.col("first_id")) | (F.col("at") != F.col("first_at"))).select(
+        "id", (F.col("at") - (REACH - r)).alias("start"), (F.col("at") + ANCHOR + r).alias("end"),
+        "first_id", (F.col("first_at") - F.col("at")).alias("shift"),
+    )
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,19 +325,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     several = contexts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     several = materialize(several, "several")
-    each = join_groups(contexts.select("key", "first.*"), several, ["key"], contexts.count())
-    windows = materialize(_windows(docs, each, id_col, text_col), "windows")
-    groups = windows.groupBy("key", "window").agg(F.min(place()).alias("first"), F.count("*").alias("n"))
-    groups = groups.where("n > 1").select(
-        "key", "window", "n", place_id("first").alias("first_id"), place_at("first").alias("first_at")
-    )
-    groups = materialize(groups, "repeated")
-    again = (
-        join_groups(windows, groups, ["key", "window"], windows.count())
-        .where((F.col("id") != F.col("first_id")) | (F.col("at") != F.col("first_at")))
-        .select("id", F.col("at").alias("start"), (F.col("at") + MIN_WORDS).alias("end"), "first_id",
-                (F.col("first_at") - F.col("at")).alias("shift"))
-    )
+    each = join_groups(contexts.select("key", "first.*"), several.withColumn("m", F.col("n")), ["key"], contexts.count())
+    wanted = each.select("id", "at", "key", F.col("m").alias("n"))
+    kept = materialize(_suffixes(docs, wanted, id_col, text_col), "suffixes")
+    again = _sorted_matches(kept.where(F.col("n") <= MOST)).union(_dealt_matches(kept.where(F.col("n") > MOST)))
     return _joined(copies.union(same).union(again))
 
 
