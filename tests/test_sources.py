@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from textmatch.config import EngineConfig
 from textmatch.plans.match import match_lite
 from textmatch.plans.scan import scan_documents
-from textmatch.sources import sinks
+from textmatch.sources import growing, sinks
 from textmatch.sources.documents import (
     extract_text,
     file_details,
@@ -23,6 +23,7 @@ from textmatch.sources.documents import (
     list_files,
     reject_unsupported,
 )
+from textmatch.sources.growing import compact, current_version, load_growing, update_index
 from textmatch.sources.index import build_index, corpus_fingerprint, load_index, open_index
 from textmatch.sources.tables import (
     load_ground_truth,
@@ -32,6 +33,7 @@ from textmatch.sources.tables import (
     read_person_tables,
     require_files,
 )
+from textmatch.streaming.files import committed, scan_stream, scanned_documents, scanned_matches
 from textmatch.streaming.match import index_matcher, match_stream
 
 CFG = EngineConfig(min_df=1, max_df=1.0, dim=64, top_n=2)
@@ -214,3 +216,112 @@ def test_stream_equals_batch(spark, tmp_path, corpus):
     streamed = spark.read.parquet(f"{tmp_path}/out").select(columns)
     batch = match_lite(asked, index.corpus, index.model, CFG, index.vectors).select(columns)
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def grown_rows(n, word="spark"):
+    return [(i, f"T{i % 7}", f"{word} data row{i % 11} alpha{i % 5} beta") for i in range(n)]
+
+
+def grown(spark, rows):
+    return spark.createDataFrame(rows, "id long, title string, embedding_text string")
+
+
+def contents(index):
+    rows = sorted(tuple(r) for r in index.corpus.select("id", "title", "embedding_text").collect())
+    terms = sorted((r.term, r.df, r.ctf, round(r.idf, 9)) for r in index.vocabulary.collect())
+    vectors = {r.id: [(x.term, round(x.weight, 9)) for x in r.vector] for r in index.vectors.collect()}
+    return rows, terms, vectors
+
+
+def test_an_index_grows_to_what_a_fresh_build_gives(spark, tmp_path):
+    cfg = EngineConfig(min_df=1, max_df=1.0, dim=32)
+    path = str(tmp_path / "grown")
+    first = grown_rows(60)
+    second = first[5:40] + [(i, t, f"changed {x}") for i, t, x in first[40:50]] + grown_rows(80, "new")[60:]
+    second += [(900, None, None), (901, "", "")]
+    third = [r if r[0] != 900 else (900, "", None) for r in second][3:]
+    done = [update_index(grown(spark, rows), path, cfg) for rows in (first, second, second, third)]
+    assert [(d.version, d.added, d.changed, d.removed) for d in done] == [
+        (1, 60, 0, 0), (2, 22, 10, 15), (2, 0, 0, 0), (3, 0, 1, 3),
+    ]
+    fresh = str(tmp_path / "fresh")
+    update_index(grown(spark, third), fresh, cfg)
+    want = contents(load_growing(spark, fresh))
+    assert want[0] == sorted(third, key=lambda r: r[0])
+    assert contents(load_growing(spark, path)) == want
+    assert compact(spark, path).segments != current_version(spark, fresh).segments
+    assert contents(load_growing(spark, path)) == want
+    again = update_index(grown(spark, third[:-1]), path, cfg)
+    assert (again.version, again.removed) == (5, 1)
+
+
+def test_an_update_that_dies_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    cfg = EngineConfig(min_df=1, max_df=1.0, dim=32)
+    path = str(tmp_path / "grown")
+    update_index(grown(spark, grown_rows(30)), path, cfg)
+    before = contents(load_growing(spark, path))
+
+    def dies(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(growing, "_write_manifest", dies)
+        with pytest.raises(OSError, match="lost"):
+            update_index(grown(spark, grown_rows(50, "other")), path, cfg)
+    (tmp_path / "grown" / "manifests" / "2-half" / "_temporary").mkdir(parents=True)
+    assert contents(load_growing(spark, path)) == before
+    assert update_index(grown(spark, grown_rows(50, "other")), path, cfg).version == 2
+    assert len(contents(load_growing(spark, path))[0]) == 50
+
+
+def test_an_index_refuses_other_settings_and_repeated_ids(spark, tmp_path):
+    path = str(tmp_path / "grown")
+    with pytest.raises(FileNotFoundError):
+        load_growing(spark, path)
+    with pytest.raises(ValueError, match="unique"):
+        update_index(grown(spark, grown_rows(3) + grown_rows(1)), path)
+    with pytest.raises(ValueError, match="unique"):
+        update_index(grown(spark, [(None, "a", "b")]), path)
+    assert update_index(grown(spark, []), path).version == 1
+    assert load_growing(spark, path).corpus.count() == 0
+    with pytest.raises(ValueError, match="settings"):
+        update_index(grown(spark, []), path, EngineConfig(min_df=2))
+
+
+def test_files_arriving_are_extracted_matched_and_committed(spark, tmp_path):
+    folder, out, state = (tmp_path / x for x in ("in", "out", "state"))
+    folder.mkdir()
+
+    def arrive(name, content):
+        (folder / name).write_bytes(content)
+
+    def matcher(asked):
+        return asked.select("query_id", F.length("text").cast("int").alias("score"))
+
+    def run():
+        scan_stream(spark, str(folder), matcher, str(out), str(state), html_pages).awaitTermination()
+
+    assert scanned_documents(spark, str(out)).count() == 0
+    arrive("a.pdf", b"<p>one</p><p>two</p>")
+    arrive("b.exe", b"x")
+    arrive("c.pdf", b"\xff\xfe broken")
+    run()
+    first = {r.query_id: (r.text, r.error) for r in scanned_documents(spark, str(out)).collect()}
+    assert first["a.pdf"] == ("one two", None) and set(first) == {"a.pdf", "b.exe", "c.pdf"}
+    assert "Unsupported" in first["b.exe"][1] and first["c.pdf"][0] is None and first["c.pdf"][1]
+    assert [tuple(r) for r in scanned_matches(spark, str(out)).collect()] == [("a.pdf", 7)]
+    arrive("d.pdf", b"<p>three</p>")
+    run()
+    run()
+    assert sorted(r.query_id for r in scanned_documents(spark, str(out)).collect()) == ["a.pdf", "b.exe", "c.pdf", "d.pdf"]
+    # A batch that wrote its rows but not its manifest is done again, over what it left.
+    batches = sorted(committed(spark, str(out)))
+    (last,) = [x for x in (out / "manifest").iterdir() if x.name == f"batch_id={batches[-1]}"]
+    moved = tmp_path / "moved"
+    last.rename(moved)
+    assert len(scanned_matches(spark, str(out)).collect()) == 1
+    (state / "commits" / str(batches[-1])).rename(tmp_path / "commit")
+    (state / "commits" / f".{batches[-1]}.crc").rename(tmp_path / "crc")
+    run()
+    assert sorted(tuple(r) for r in scanned_matches(spark, str(out)).collect()) == [("a.pdf", 7), ("d.pdf", 5)]
+    assert scanned_documents(spark, str(out)).count() == 4

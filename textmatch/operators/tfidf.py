@@ -51,9 +51,15 @@ def vocabulary(
 ) -> DataFrame:
     """``(term, df, ctf, idf)``: the ``max_features`` most frequent terms after pruning."""
     n = docs.count() if n_docs is None else n_docs
+    return pruned_vocabulary(term_statistics(docs, text_col, stop_words), n, cfg)
+
+
+def pruned_vocabulary(
+    statistics: DataFrame, n: int, cfg: EngineConfig = EngineConfig()
+) -> DataFrame:
+    """The vocabulary of ``n`` documents from their ``(term, df, ctf)``."""
     return (
-        term_statistics(docs, text_col, stop_words)
-        .filter((F.col("df") >= cfg.min_df) & (F.col("df") <= cfg.max_df * n))
+        statistics.filter((F.col("df") >= cfg.min_df) & (F.col("df") <= cfg.max_df * n))
         .orderBy(F.desc("ctf"), "term")
         .limit(cfg.max_features)
         .withColumn("idf", F.log((1.0 + F.lit(n)) / (1.0 + F.col("df"))) + 1.0)

@@ -28,15 +28,14 @@ TRUTH_COLUMNS = ["resume_id", "job_id", "relevance"]
 CORPUS_COLUMNS = ["person_id", "embedding_text"]
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def require_files(spark: SparkSession, paths: Sequence[str]) -> None:
     """Raise when a path is missing, before any job runs."""
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    missing = []
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        if not path.getFileSystem(conf).exists(path):
-            missing.append(p)
+    missing = [p for p in paths if not path_exists(spark, p)]
     if missing:
         raise FileNotFoundError(f"missing files: {missing}")
 

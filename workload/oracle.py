@@ -961,6 +961,15 @@ ORACLES: dict[str, str] = {
     "vocabulary_terms": statement(
         VOCAB, f"SELECT term, df, ctf, {r6('idf')} AS idf FROM vocab"
     ),
+    "index_terms_grown": statement(
+        VOCAB, f"SELECT term, df, ctf, {r6('idf')} AS idf FROM vocab"
+    ),
+    "index_changes": (
+        "WITH n AS (SELECT count(*) AS rows, sum((doc_id % 3 = 0)::INT)::BIGINT AS new, "
+        "sum((doc_id % 3 = 2 OR doc_id % 15 = 10)::INT)::BIGINT AS other FROM documents) "
+        "SELECT 1 AS step, 1 AS version, rows AS added, 0::BIGINT AS changed, 0::BIGINT AS removed "
+        "FROM n UNION ALL SELECT 2, 2, new, other, new FROM n UNION ALL SELECT 3, 2, 0, 0, 0 FROM n"
+    ),
     "tfidf_vectors": statement(
         VOCAB + vectors("corpus", "id"),
         f"SELECT id, term, {r6('w')} AS weight FROM corpus_vec",
@@ -1032,6 +1041,7 @@ ORACLES: dict[str, str] = {
         f"SELECT query_id, rank, id, {r6('score')} AS score FROM best",
     ),
     "match_lite_documents": statement(matched_lite(ASKED), SHOWN),
+    "index_grown": statement(matched_lite(ASKED), SHOWN),
     "match_benchmark": statement(matched(), SHOWN),
     "index_roundtrip": statement(matched(), SHOWN),
     "match_streamed": statement(
@@ -1181,6 +1191,19 @@ ORACLES: dict[str, str] = {
         "'Unsupported file format: .txt' END AS error, rank, title AS match_title, "
         "similarity_percentage AS similarity FROM files f LEFT JOIN shown ON query_id = f.path[7:]",
     ),
+    "files_streamed": statement(
+        [
+            (
+                "files",
+                "SELECT 'i' || item_id || CASE WHEN item_id % 2 = 0 THEN '.doc' ELSE '.txt' END AS "
+                f"name, {clean('text')} AS text FROM benchmark",
+            )
+        ]
+        + matched_lite([("asked", "SELECT name AS id, text FROM files WHERE name LIKE '%.doc'")]),
+        "SELECT name AS cv_file, CASE WHEN name LIKE '%.txt' THEN "
+        "'Unsupported file format: .txt' END AS error, rank, title AS match_title, "
+        "similarity_percentage AS similarity FROM files LEFT JOIN shown ON query_id = name",
+    ),
     "file_kinds": statement(
         PAGE_FILES,
         r"SELECT lower(regexp_extract(path, '(\.[^./]*)$', 1)) AS ext, count(*) AS files, "

@@ -77,6 +77,7 @@ from textmatch.sources.documents import (
     reject_unsupported,
     scan_folder,
 )
+from textmatch.sources.growing import compact, load_growing, update_index
 from textmatch.sources.index import build_index, corpus_fingerprint, open_index
 from textmatch.sources.sinks import (
     read_matches,
@@ -96,6 +97,7 @@ from textmatch.sources.tables import (
     read_lines,
     read_person_tables,
 )
+from textmatch.streaming.files import scan_stream, scanned_documents, scanned_matches
 from textmatch.streaming.match import match_stream
 from workload.texts import INLINE_TEXTS
 
@@ -367,11 +369,13 @@ def stopword_counts(spark, sf_dir):
     )
 
 
+def _terms(found: DataFrame) -> DataFrame:
+    return found.select("term", "df", "ctf", round6(F.col("idf")).alias("idf"))
+
+
 @query
 def vocabulary_terms(spark, sf_dir):
-    return vocabulary(corpus_of(spark, sf_dir), "embedding_text", CFG).select(
-        "term", "df", "ctf", round6(F.col("idf")).alias("idf")
-    )
+    return _terms(vocabulary(corpus_of(spark, sf_dir), "embedding_text", CFG))
 
 
 @query
@@ -891,6 +895,52 @@ def index_roundtrip(spark, sf_dir):
     return _shown(read_matches(spark, out, MATCH_SCHEMA))
 
 
+def _earlier(corpus: DataFrame) -> DataFrame:
+    """The corpus as it may have been: some rows not there yet, some with another text or title,
+    and some that have gone since."""
+    third = F.pmod("id", F.lit(3))
+    before = corpus.where(third != 0).select(
+        "id",
+        F.when(third == 1, F.col("title")).otherwise("Former Title").alias("title"),
+        F.when(F.pmod("id", F.lit(5)) == 0, F.concat(F.lit("former "), "embedding_text"))
+        .otherwise(F.col("embedding_text")).alias("embedding_text"),
+    )
+    gone = corpus.where(third == 0).select((-F.col("id") - 1).alias("id"), "title", "embedding_text")
+    return before.unionByName(gone)
+
+
+@query
+def index_grown(spark, sf_dir):
+    """An index brought up to date by its differences, and used like one built anew."""
+    corpus = stored_corpus(spark, sf_dir)
+    path = scratch_path(spark, "grown")
+    update_index(_earlier(corpus), path, CFG)
+    update_index(corpus, path, CFG)
+    compact(spark, path)
+    index = load_growing(spark, path)
+    return _shown(match_lite(queries_of(spark, sf_dir), index.corpus, index.model, CFG, index.vectors))
+
+
+@query
+def index_terms_grown(spark, sf_dir):
+    """The vocabulary of an index after rows were added, changed and removed."""
+    corpus = stored_corpus(spark, sf_dir)
+    path = scratch_path(spark, "grown")
+    update_index(_earlier(corpus), path, CFG)
+    update_index(corpus, path, CFG)
+    return _terms(load_growing(spark, path).vocabulary)
+
+
+@query
+def index_changes(spark, sf_dir):
+    """What each of three updates did to an index; the last one finds nothing to do."""
+    corpus = stored_corpus(spark, sf_dir)
+    path = scratch_path(spark, "grown")
+    done = [update_index(c, path, CFG) for c in (_earlier(corpus), corpus, corpus)]
+    rows = [(i, d.version, d.added, d.changed, d.removed) for i, d in enumerate(done, 1)]
+    return spark.createDataFrame(rows, "step int, version int, added bigint, changed bigint, removed bigint")
+
+
 @query
 def corpus_prints(spark, sf_dir):
     return corpus_fingerprint(corpus_of(spark, sf_dir))
@@ -1027,6 +1077,36 @@ def folder_scan(spark, sf_dir):
     )
 
 
+@query
+def files_streamed(spark, sf_dir):
+    """Passages that arrive as files in a few batches, matched and committed; every other file
+    is of a format that no extractor takes."""
+    path = scratch_path(spark, "arrivals")
+    items = table(spark, sf_dir, "benchmark")
+    ext = F.when(F.pmod("item_id", F.lit(2)) == 0, ".doc").otherwise(".txt")
+    named = items.select(F.col("text").alias("value"), F.concat(F.lit("i"), "item_id", ext).alias("name"))
+    named.write.partitionBy("name").text(f"{path}/in")
+    corpus = stored_corpus(spark, sf_dir)
+    model = fitted(corpus)
+    vectors = corpus.select("id", model.vector(F.col("embedding_text")).alias("vector"))
+    vectors = materialize(vectors, "vectors")
+    scan_stream(
+        spark,
+        f"{path}/in",
+        lambda batch: match_lite(batch, corpus, model, CFG, vectors),
+        f"{path}/out",
+        f"{path}/state",
+        lambda content: [content.decode()],
+        name=lambda p: F.regexp_extract(p, "name=([^/]+)/", 1),
+        max_files=500,
+    ).awaitTermination()
+    every = scanned_documents(spark, f"{path}/out").select(F.col("query_id").alias("cv_file"), "error")
+    summary = scan_summary(scanned_matches(spark, f"{path}/out"))
+    return every.join(summary, "cv_file", "left").select(
+        "cv_file", "error", F.col("rank").cast("bigint").alias("rank"), "match_title", "similarity"
+    )
+
+
 @query
 def inline_texts(spark, sf_dir):
     """Texts given in the program, matched with the whole corpus like stored ones."""
