@@ -187,10 +187,13 @@ def near_duplicates(
 
 def _settle(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of all links between members of a bucket."""
-    heads = members.groupBy("key").agg(F.min(F.struct("id", "n_shingles")).alias("h"))
+    heads = members.groupBy("key").agg(
+        F.min(F.struct("id", "n_shingles")).alias("h"), F.count("*").alias("n")
+    )
     n, m = F.col("n_shingles"), F.col("h.n_shingles")
+    total = members.count()
     pairs = (
-        members.join(heads, "key")
+        join_groups(members, materialize(heads, "heads"), ["key"], total)
         .where((F.col("id") != F.col("h.id")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)))
         .select(F.col("h.id").alias("a"), F.col("id").alias("b"))
         .distinct()
@@ -200,16 +203,19 @@ def _settle(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     named = members.join(forest.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
-    open_ = materialize(_open(named), "open")
+    open_ = materialize(_open(materialize(named, "named")), "open")
     within = _within(_possible(open_, sets, percent), sets, percent)
     more = within.union(forest.select(F.col("component").alias("a"), F.col("node").alias("b")))
     return components(more, "a", "b")
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """The buckets whose members are in several components."""
-    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    return members.join(mixed.where("lo < hi").select("key"), "key", "left_semi")
+    """The buckets whose members are in several components; ``members`` is a written table."""
+    mixed = members.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")
+    )
+    mixed = materialize(mixed.where("lo < hi").select("key", "n"), "mixed")
+    return join_groups(members, mixed, ["key"], members.count())
 
 
 def _possible(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -223,13 +229,15 @@ def _possible(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .groupBy("id")
         .agg(F.count("*").alias("alone"))
     )
-    least = open_.groupBy("key").agg(F.min("n_shingles").alias("least"))
+    least = open_.groupBy("key").agg(F.min("n_shingles").alias("least"), F.count("*").alias("n"))
     n = F.col("n_shingles")
     partner = F.greatest(F.col("least"), F.floor(n * percent / 100))
-    able = open_.join(only_once, "id", "left").join(least, "key").where(
+    placed = join_groups(open_, materialize(least, "least"), ["key"], open_.count())
+    able = placed.join(only_once, "id", "left").where(
         (100 + percent) * (n - F.coalesce("alone", F.lit(0))) >= percent * (n + partner)
     )
-    return materialize(_open(able.select("key", "id", "component")), "able")
+    able = materialize(able.select("key", "id", "component"), "able")
+    return materialize(_open(able), "able")
 
 
 def _within(able: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -239,8 +247,9 @@ def _within(able: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.min("id").alias("lo"), F.max("id").alias("hi"),
     )
     chosen = alike.groupBy("size", "print", "lo", "hi").agg(F.min("key").alias("key"))
+    chosen = materialize(chosen.select("key", "size", F.col("size").alias("n")), "chosen")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = able.join(chosen.select("key", "size"), "key").select(
+    dealt = join_groups(able, chosen, ["key"], able.count()).select(
         "key", "id", "component", blocks.alias("blocks"),
         F.pmod(F.xxhash64("id"), blocks).cast("int").alias("mine"),
     )
