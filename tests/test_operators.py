@@ -17,7 +17,7 @@ from textmatch.operators.chunking import chunks, register_chunks
 from textmatch.operators.nearest import build_inverted_file, scored_pairs, search
 from textmatch.operators.overlap import best_overlap, overlap_candidates, overlap_score, title_map
 from textmatch.operators.pooling import mean_pool
-from textmatch.operators.ranking import dedup_titles, rank_results
+from textmatch.operators.ranking import dedup_titles, rank_ranges, rank_results
 from textmatch.operators.relational import (
     clean_columns,
     column_profile,
@@ -269,6 +269,21 @@ def test_full_ranking_of_long_lists(spark):
     assert got == want
 
 
+def test_equal_scores_are_dealt_over_many_tasks(spark):
+    rng = random.Random(5)
+    scores = [0.0 if rng.random() < 0.9 else rng.random() for _ in range(20_000)]
+    rows = [("q", f"i{n:05}", s) for n, s in enumerate(scores)]
+    df = spark.createDataFrame(rows, "query_id string, item_id string, score double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in rank_ranges(df).groupBy("_range").count().collect()]
+        got = {r.item_id: r["rank"] for r in rank_results(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 4 and max(sizes) < 2 * len(rows) / len(sizes)
+    assert got == {r[1]: n for n, r in enumerate(sorted(rows, key=lambda r: (-r[2], r[1])), 1)}
+
+
 def test_all_scores_hold_every_pair(spark):
     rows = [(i, [float(i), 1.0]) for i in range(30)]
     corpus = spark.createDataFrame(rows, "id int, vector array<double>")

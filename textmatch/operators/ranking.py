@@ -62,34 +62,32 @@ def present_matches(
     )
 
 
-# Rank blocks of a full list. Their bounds are estimates; the ranks are exact.
-RANK_BLOCKS = 64
-
-
 def rank_results(
     results: DataFrame, depth: int | None = None, query: str = "query_id"
 ) -> DataFrame:
     """``rank`` from 1 by score, ties by item id, down to ``depth`` or to the end.
 
-    A full list may be any share of the table. It is cut at estimated quantiles of its scores
-    into ``RANK_BLOCKS`` blocks, which are sorted apart and begin where the blocks above end.
+    A full list may be any share of the table, and any share of it may have one score. Rows are
+    dealt by ranges of (query, score, item), which are sorted apart; the part of a list in a range
+    begins where the parts before it end.
     """
     order = [F.desc("score"), F.col("item_id")]
     if depth is not None:
         place = F.row_number().over(Window.partitionBy(query).orderBy(*order))
         return results.withColumn("rank", place).filter(F.col("rank") <= depth)
-    steps = F.array(*[F.lit(i / RANK_BLOCKS) for i in range(1, RANK_BLOCKS)])
-    bounds = results.groupBy(query).agg(
-        F.percentile_approx("score", steps, F.lit(1000)).alias("_bounds")
-    )
-    above = F.size(F.filter("_bounds", lambda b: b > F.col("score")))
-    dealt = results.join(bounds, query).withColumn("_block", above).drop("_bounds")
-    dealt = materialize(dealt, "dealt")
-    sizes = dealt.groupBy(query, "_block").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(query).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(query, "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(query, "_block").orderBy(*order))
-    ranked = dealt.withColumn("_inside", inside).join(starts, [query, "_block"])
+    # Ranges are found on a sample: what gives the scores shouldn't run twice.
+    dealt = materialize(rank_ranges(materialize(results, "scored"), query), "dealt")
+    sizes = dealt.groupBy(query, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(query).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(query, "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(query, "_range").orderBy(*order))
+    ranked = dealt.withColumn("_inside", inside).join(starts, [query, "_range"])
     return ranked.withColumn("rank", (F.col("_start") + F.col("_inside")).cast("bigint")).drop(
-        "_block", "_inside", "_start"
+        "_range", "_inside", "_start"
     )
+
+
+def rank_ranges(results: DataFrame, query: str = "query_id") -> DataFrame:
+    """``results`` with ``_range``: rows in equal shares, in the order of (query, rank)."""
+    dealt = results.repartitionByRange(F.col(query), F.desc("score"), F.col("item_id"))
+    return dealt.withColumn("_range", F.spark_partition_id())
