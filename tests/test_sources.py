@@ -23,6 +23,7 @@ from textmatch.sources.documents import (
     list_files,
     reject_unsupported,
 )
+from textmatch.sources.envelope import read_envelope_table, write_envelope_table
 from textmatch.sources.growing import compact, current_version, load_growing, update_index
 from textmatch.sources.index import build_index, corpus_fingerprint, load_index, open_index
 from textmatch.sources.tables import (
@@ -325,3 +326,35 @@ def test_files_arriving_are_extracted_matched_and_committed(spark, tmp_path):
     run()
     assert sorted(tuple(r) for r in scanned_matches(spark, str(out)).collect()) == [("a.pdf", 7), ("d.pdf", 5)]
     assert scanned_documents(spark, str(out)).count() == 4
+
+
+def test_an_envelope_of_many_tasks_is_one_document(spark, tmp_path):
+    path = tmp_path / "doc"
+    rows = [(i, f'line "{i}"\nwith ü', None if i % 5 else i / 4, [i, i + 1]) for i in range(3000)]
+    schema = "a long, b string, c double, d array<long>"
+    df = spark.createDataFrame(rows, schema).repartition(7)
+    for _ in range(2):  # written again, it replaces the first
+        write_envelope_table(df, str(path), {"k": 5})
+    whole = b"".join(f.read_bytes() for f in sorted(path.iterdir()) if f.name.endswith(".json"))
+    document = json.loads(whole)
+    assert set(document) == {"metadata", "created_at", "version", "data"} and document["metadata"] == {"k": "5"}
+    assert sorted(r["a"] for r in document["data"]) == list(range(3000))
+    for split in (97, 10_000, 1 << 25):
+        found = read_envelope_table(spark, str(path), schema, split)
+        assert sorted(tuple(r) for r in found.collect()) == rows
+    assert read_envelope_table(spark, str(path), schema, 10_000).rdd.getNumPartitions() > 7
+    # Head and records in one file, as another program would keep it.
+    one = tmp_path / "one.json"
+    one.write_text(json.dumps(document, indent=2))
+    assert read_envelope_table(spark, str(one), schema).count() == 3000
+    (path / "99999999-tail.json").unlink()
+    with pytest.raises(Exception, match="not a whole document"):
+        read_envelope_table(spark, str(path), schema).count()
+
+
+def test_an_envelope_without_records(spark, tmp_path):
+    path = tmp_path / "none"
+    write_envelope_table(spark.createDataFrame([], "a int"), str(path))
+    document = json.loads(b"".join(f.read_bytes() for f in sorted(path.iterdir()) if f.name.endswith(".json")))
+    assert document["data"] == []
+    assert read_envelope_table(spark, str(path), "a int").collect() == []

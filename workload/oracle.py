@@ -1041,6 +1041,7 @@ ORACLES: dict[str, str] = {
         f"SELECT query_id, rank, id, {r6('score')} AS score FROM best",
     ),
     "match_lite_documents": statement(matched_lite(ASKED), SHOWN),
+    "matches_envelope": statement(matched_lite(ASKED), SHOWN),
     "index_grown": statement(matched_lite(ASKED), SHOWN),
     "match_benchmark": statement(matched(), SHOWN),
     "index_roundtrip": statement(matched(), SHOWN),

@@ -77,6 +77,7 @@ from textmatch.sources.documents import (
     reject_unsupported,
     scan_folder,
 )
+from textmatch.sources.envelope import read_envelope_table, write_envelope_table
 from textmatch.sources.growing import compact, load_growing, update_index
 from textmatch.sources.index import build_index, corpus_fingerprint, open_index
 from textmatch.sources.sinks import (
@@ -998,6 +999,15 @@ def report_envelope(spark, sf_dir):
     return read_envelope(spark, path, ", ".join(f"{n}: {kind}" for n, kind in summary.dtypes))
 
 
+@query
+def matches_envelope(spark, sf_dir):
+    """A whole match table as one JSON document, written and read by several tasks."""
+    path = scratch_path(spark, "document")
+    shown = match_lite_documents(spark, sf_dir)
+    write_envelope_table(shown, path, {"top_n": CFG.top_n})
+    return read_envelope_table(spark, path, shown.schema, split_bytes=1 << 20)
+
+
 @query
 def metrics_written(spark, sf_dir):
     """The averages as written with their time, and read back without it."""
