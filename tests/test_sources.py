@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from textmatch.config import EngineConfig
 from textmatch.plans.match import match_lite
 from textmatch.plans.scan import scan_documents
+from textmatch.operators.ranking import present_matches
 from textmatch.sources import growing, sinks
+from textmatch.sources.bucketed import open_by_key, write_by_key
 from textmatch.sources.documents import (
     extract_text,
     file_details,
@@ -358,3 +360,35 @@ def test_an_envelope_without_records(spark, tmp_path):
     document = json.loads(b"".join(f.read_bytes() for f in sorted(path.iterdir()) if f.name.endswith(".json")))
     assert document["data"] == []
     assert read_envelope_table(spark, str(path), "a int").collect() == []
+
+
+def test_a_table_stored_by_key_is_not_exchanged(spark, tmp_path):
+    rows = [(i, f"T{i % 9}", f"text {i}") for i in range(500)] + [(None, "n", None)]
+    corpus = spark.createDataFrame(rows, "id long, title string, embedding_text string")
+    path = str(tmp_path / "by_key")
+    write_by_key(corpus, path, buckets=8)
+    stored = open_by_key(spark, path)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, corpus.collect()))
+    found = spark.range(0, 500, 7).selectExpr("id % 3 AS query_id", "id", "1 / (id + 1) AS score")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shown = present_matches(found, stored, 4)
+        plan = shown._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(str, shown.collect()))
+        want = sorted(map(str, present_matches(found, corpus, 4).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want and len(got) == 9
+    # Up from each scan of the table to the first join there is no exchange.
+    lines = plan.splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    scans = [i for i, line in enumerate(lines) if "Bucketed: true" in line]
+    assert len(scans) == 2
+    for i in scans:
+        above = i
+        while "Join" not in lines[above]:
+            above = next(j for j in range(above - 1, -1, -1) if depth[j] < depth[above])
+            assert "Exchange" not in lines[above]
+    (tmp_path / "by_key" / "layout" / "_SUCCESS").unlink()
+    with pytest.raises(FileNotFoundError):
+        open_by_key(spark, path)

@@ -1042,6 +1042,7 @@ ORACLES: dict[str, str] = {
     ),
     "match_lite_documents": statement(matched_lite(ASKED), SHOWN),
     "matches_envelope": statement(matched_lite(ASKED), SHOWN),
+    "index_by_key": statement(matched_lite(ASKED), SHOWN),
     "index_grown": statement(matched_lite(ASKED), SHOWN),
     "match_benchmark": statement(matched(), SHOWN),
     "index_roundtrip": statement(matched(), SHOWN),

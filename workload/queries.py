@@ -67,6 +67,7 @@ from textmatch.plans.match import (
     with_average,
 )
 from textmatch.plans.scan import process_documents
+from textmatch.sources.bucketed import open_by_key, write_by_key
 from textmatch.sources.documents import (
     describe_texts,
     extract_text,
@@ -896,6 +897,15 @@ def index_roundtrip(spark, sf_dir):
     return _shown(read_matches(spark, out, MATCH_SCHEMA))
 
 
+@query
+def index_by_key(spark, sf_dir):
+    """Titles and texts stored by id, opened again, and joined to the matches in place."""
+    path = scratch_path(spark, "by_key")
+    write_by_key(corpus_of(spark, sf_dir), path)
+    corpus = open_by_key(spark, path)
+    return _shown(match_lite(queries_of(spark, sf_dir), corpus, fitted(corpus), CFG))
+
+
 def _earlier(corpus: DataFrame) -> DataFrame:
     """The corpus as it may have been: some rows not there yet, some with another text or title,
     and some that have gone since."""
