@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +160,12 @@ def test_vectors(spark):
     ).first()
     assert row.unit == [0.6, 0.8] and row.zero == [0.0, 0.0] and row.none == 0.0
     assert math.isclose(row.half, math.sqrt(0.5))
+
+
+def test_white_space_of_any_kind_becomes_one_blank(spark):
+    rng = random.Random(3)
+    marks = [" ", " ", "  ", "\n", "\t ", "\xa0", "\u2003", "\u3000", "\x1c", "\x85", "a", "Z", "~", "!", "\xe9", "'", "\x7f", "\u200b"]
+    given = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    spaces = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    want = [re.sub(f"[{spaces}]+", " ", re.sub("['\"!]", "", t)).strip(" ") for t in given]
+    assert column(spark, given, X.clean_text) == want

@@ -19,9 +19,21 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+# A run of white space. Printable ASCII is ruled out first, and a blank before such a character,
+# which most blanks are, is no match: it stays as it is, at half the time.
+_RUN = f"(?! [!-~])[[^!-~]&&[{SPACE}]]+"
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space become one blank; the ends are trimmed."""
-    return F.trim(F.regexp_replace(text, f"{WS}+", " "))
+    return F.trim(F.regexp_replace(text, _RUN, " "))
+
+
+def without(text: Column, characters: str) -> Column:
+    """Delete each of a few characters; faster than to translate them."""
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def strip(text: Column) -> Column:
@@ -31,7 +43,7 @@ def strip(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Delete quotes and exclamation marks, collapse white space; null becomes ''."""
-    return F.coalesce(collapse(F.translate(text, "'\"!", "")), F.lit(""))
+    return F.coalesce(collapse(without(text, "'\"!")), F.lit(""))
 
 
 def clean_title_text(title: Column) -> Column:
