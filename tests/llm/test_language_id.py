@@ -72,6 +72,7 @@ def test_counts(monkeypatch):
         runs.update(" ab éb "[i : i + n] for i in range(len(" ab éb ") - n + 1))
     assert found.sum() == runs.total() and sorted(found[found > 0]) == sorted(runs.values())
     assert counts(None) is None and counts("") is None and counts("12 _ \n!") is None
+    assert counts("\u00bd \u00b2 \u2163") is None and counts("\u00b2x") is not None
     whole = features("abc déf " * 40_000)
     monkeypatch.setattr(language_id, "STEP", 1 << 10)
     assert np.abs(features("abc déf " * 40_000) - whole).max() < 0.05

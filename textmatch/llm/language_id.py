@@ -78,7 +78,8 @@ def counts(text: str | None) -> np.ndarray | None:
     rest = text or ""
     for start in range(0, len(rest), STEP):
         words = _LETTERS.findall(rest[start : start + STEP].lower())
-        if not words:
+        # Signs like a raised two or a half are in such runs, but aren't letters.
+        if not any(any(map(str.isalpha, w)) for w in words):
             continue
         run = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
         found = np.zeros(WIDTH, np.int64) if found is None else found
