@@ -55,7 +55,7 @@ def overlap_candidates(titles: DataFrame, mapping: DataFrame) -> DataFrame:
     title, among them the best one, if any shares a word; ``mapping`` as in
     :func:`best_overlap`."""
     wanted = titles.select(F.lower("title").alias("title")).distinct()
-    items = materialize(mapping.select("seq", title_words(F.col("title")).alias("words")), "items")
+    items = mapping.select("seq", title_words(F.col("title")).alias("words"))
     listed = items.select(F.explode("words").alias("word"), "seq", "words")
     rarity = listed.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
     own = wanted.select("title", F.explode(title_words(F.col("title"))).alias("word")).join(rarity, "word")
@@ -78,7 +78,7 @@ def best_overlap(titles: DataFrame, mapping: DataFrame) -> DataFrame:
     """``(title, item_id, overlap)`` per distinct lower-case title: the item sharing the
     most words, the first listed on ties, or a hashed id when none shares any.
 
-    ``mapping`` comes from :func:`title_map`.
+    ``mapping`` comes from :func:`title_map`, best as a written table: it is read four times.
     """
     titles = materialize(titles.select(F.lower("title").alias("title")).distinct(), "wanted")
     best = overlap_candidates(titles, mapping).groupBy("title").agg(
