@@ -101,7 +101,7 @@ def _with_cells(df: DataFrame, centres: np.ndarray, n: int, keep: list[str]) ->
 def build_inverted_file(
     corpus: DataFrame,
     k: int = 15,
-    recall: float = 0.96,
+    recall: float = 0.97,
     cells: int | None = None,
     sample: int = SAMPLE,
     trial: int = TRIAL,
