@@ -48,5 +48,12 @@ def test_query(name, spark, sf_dir, duck):
     assert normal(rows, df.columns) == normal(found.fetchall(), columns)
 
 
+def test_inline_texts_take_every_passage(spark, sf_dir):
+    shown = entry.queries()["inline_texts"](spark, sf_dir)
+    asked = {r.query_id for r in shown.select("query_id").distinct().collect()}
+    passages = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    assert {f"b{r.item_id}" for r in passages.collect()} <= asked
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -1281,7 +1281,8 @@ ORACLES: dict[str, str] = {
                     "asked",
                     f"SELECT id, {clean('text')} AS text FROM (VALUES "
                     + ", ".join(f"({lit(i)}, {lit(t)})" for i, t in INLINE_TEXTS.items())
-                    + ") given(id, text)",
+                    + f") given(id, text) UNION ALL SELECT 'b' || item_id AS id, {clean('text')} AS "
+                    "text FROM benchmark",
                 )
             ]
         ),

@@ -1129,9 +1129,10 @@ def files_streamed(spark, sf_dir):
 
 @query
 def inline_texts(spark, sf_dir):
-    """Texts given in the program, matched with the whole corpus like stored ones."""
+    """Texts given in the program and every benchmark passage, matched with the whole corpus."""
     corpus = stored_corpus(spark, sf_dir)
-    asked = text_queries(spark, INLINE_TEXTS)
+    passages = queries_of(spark, sf_dir).withColumn("query_id", F.concat(F.lit("b"), "query_id"))
+    asked = text_queries(spark, INLINE_TEXTS).unionByName(passages)
     return _shown(match_lite(asked, corpus, fitted(corpus), CFG))
 
 
