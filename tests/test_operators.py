@@ -484,3 +484,51 @@ def test_chunks_from_sql(spark):
     got = sorted(tuple(r) for r in spark.sql(sql, docs=docs).collect())
     want = [(i, *pair) for i, t in ((1, "aa bb cc dd"), (2, ""), (3, None), (4, "x" * 25)) for pair in enumerate(chunks(t, 6, 2))]
     assert got == want and got[0][2] == "aa bb" and got[-1][0] == 4
+
+
+def test_terms_are_weighed_and_counted_in_bounded_parts():
+    from textmatch.operators import tfidf as t
+
+    docs = [["red", "the", "cat"], None, [], ["red", "cat"] * 40, ["cat"], ["blue", "red", "cat"]]
+    found = pa.array(docs, pa.list_(pa.string()))
+    stop = pa.array(["the"], pa.string())
+    assert [len(x) for x in t._parts(found, 5)] == [3, 1, 2]
+    nested = pa.array([[d, d] for d in docs], pa.list_(pa.list_(pa.string())))
+    assert [len(x) for x in t._parts(nested, 10, 2)] == [2, 1, 1, 2]
+    counts = {r["term"]: (r["df"], r["ctf"]) for r in t._counted(found, stop).to_pylist()}
+    assert counts["cat"] == (4, 43) and counts["red cat"] == (3, 42) and counts["cat red"] == (1, 39)
+    assert "the" not in counts and "red the" not in counts
+    model = t._Lookup(["cat", "cat red", "red cat"], np.array([1.0, 2.0, 2.0]), 8, stop)
+    sizes = []
+
+    def weigh(part):
+        sizes.append(sum(len(x or []) for x in part.to_pylist()))
+        return model.vectors(*model.weigh(part), len(part))
+
+    whole = weigh(found)
+    sizes.clear()
+    many = pa.concat_arrays([found] * 2000)
+    assert t._worked(many, weigh, t._VECTORS).equals(pa.concat_arrays([whole] * 2000))
+    assert len(sizes) > 1 and max(sizes) <= t._WORDS
+
+
+def test_python_workers_get_small_batches(spark):
+    from textmatch.config import BATCH_BYTES
+
+    docs = spark.createDataFrame([(1, "red cat"), (2, "red dog")], "id bigint, text string")
+    TfidfModel.fit(docs, "text", EngineConfig(min_df=1, max_df=1.0))
+    size = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    assert 0 < size <= BATCH_BYTES
+
+
+def test_boosting_needs_the_heaviest_terms_only(spark):
+    words = [f"w{i:02d}" for i in range(30)]
+    rows = [(i, " ".join(words[: i + 1] + words[:i:3])) for i in range(30)]
+    docs = spark.createDataFrame(rows, "id bigint, text string")
+    model = TfidfModel.fit(docs, "text", EngineConfig(min_df=1, max_df=1.0))
+    text = F.col("text")
+    both = docs.select(
+        boost_text(text, model.vector(text)).alias("whole"),
+        boost_text(text, model.vector(text, 21)).alias("cut"),
+    )
+    assert both.where("whole <> cut OR whole IS NULL").isEmpty()

@@ -128,6 +128,18 @@ def ship_package(spark: SparkSession | None = None) -> None:
     context._textmatch_shipped = True
 
 
+# Bytes of an Arrow batch. A task may feed several Python workers, one behind the other.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand Python workers batches of at most ``BATCH_BYTES``; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give every core a share of a small input before expensive per-row work.
 

@@ -16,10 +16,15 @@ def default_stop_words() -> tuple[str, ...]:
     return ENGLISH
 
 
+def all_words(text: Column) -> Column:
+    """Lower-case words of two or more word characters."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"([{WORD}]{{2,}})"), F.lit(1))
+
+
 def words(text: Column, stop_words: Sequence[str] | None = None) -> Column:
-    """Lower-case words of two or more word characters, stop words removed."""
+    """The same without stop words."""
     stop = list(default_stop_words() if stop_words is None else stop_words)
-    found = F.regexp_extract_all(F.lower(text), F.lit(f"([{WORD}]{{2,}})"), F.lit(1))
+    found = all_words(text)
     return F.filter(found, lambda w: ~w.isin(stop)) if stop else found
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmatch.config import materialize, ship_package
+from textmatch.config import materialize, ship_package, small_batches
 from textmatch.operators.cells import in_cells
 
 # Queries, and numbers or terms of their vectors, that are broadcast.
@@ -30,8 +30,8 @@ CELL_ROWS = 16_384
 CELL_CELLS = 8 << 20
 # Pairs in a cell when all of them are wanted.
 CELL_PAIRS = 1 << 20
-# Score cells held at once by a task (queries x corpus rows of one step).
-_CELLS = 2_000_000
+# Score cells held at once by a task (queries x corpus rows of one step), and numbers of the rows.
+_CELLS = 500_000
 
 
 def _column(table: pa.Table | pa.RecordBatch, name: str) -> pa.Array:
@@ -193,7 +193,8 @@ def _steps(scorer, n: int, ids: pa.Array, vectors: pa.Array):
     if vectors.null_count:
         there = vectors.is_valid()
         ids, vectors = ids.filter(there), vectors.filter(there)
-    step = max(1, _CELLS // max(n, 1))
+    wide = len(vectors.flatten()) // max(len(vectors), 1)
+    step = max(1, _CELLS // max(n, wide, 1))
     for lo in range(0, len(ids), step):
         yield ids.slice(lo, step), scorer.scores(vectors.slice(lo, step))
 
@@ -264,6 +265,7 @@ def _scores(
     if kind not in ("dense", "sparse", "sparse_cosine"):
         raise ValueError(f"unknown kind: {kind}")
     ship_package(corpus.sparkSession)
+    small_batches(corpus.sparkSession)
     queries = materialize(queries.select("query_id", "vector"), "queries")
     queries = queries.where(F.col("vector").isNotNull())
     corpus = corpus.select("id", "vector")

@@ -1,14 +1,14 @@
 """TF-IDF: vocabulary, document vectors, term boosting.
 
 Fitting is one aggregation by term. Everything after it stays inside the document's row:
-Spark counts the terms, an Arrow function looks their weights up in the broadcast
-vocabulary (at most ``max_features`` rows), and no document is ever shuffled.
+Spark cuts the words, an Arrow function counts the terms and looks their weights up in the
+broadcast vocabulary (at most ``max_features`` rows), and no document is ever shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +16,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmatch.config import EngineConfig, materialize, ship_package
+from textmatch.config import EngineConfig, materialize, ship_package, small_batches
 from textmatch.functions.text import round6
-from textmatch.functions.tokens import count_terms, terms
+from textmatch.functions.tokens import all_words, default_stop_words, terms
 
 VECTOR = "array<struct<term:string,weight:double>>"
 _FLOATS = pa.list_(pa.float32())
-# Documents whose dense chunk vectors a task holds at once.
+_VECTORS = pa.list_(pa.struct([("term", pa.string()), ("weight", pa.float64())]))
+# Documents that a task works on at once, and their words.
 _EMBED_ROWS = 256
+_WORDS = 1 << 17
+# Words counted together when a vocabulary is fitted.
+_COUNT_WORDS = 1 << 18
 
 
 def term_statistics(
@@ -31,15 +35,22 @@ def term_statistics(
 ) -> DataFrame:
     """``(term, df, ctf)``: documents holding a term, and its occurrences.
 
-    Counts are made per row first, then combined on the map side, so a term found in most
-    documents costs one row per task in the shuffle.
+    Spark cuts the words; an Arrow function counts the terms of some documents at a time, as
+    numbers, and spells each distinct one once. The counts are combined on the map side, so a
+    term found in most documents costs one row per task in the shuffle.
     """
-    counted = docs.select(
-        F.explode(count_terms(terms(F.col(text_col), stop_words))).alias("t")
-    )
-    return counted.groupBy(F.col("t.term").alias("term")).agg(
-        F.count(F.lit(1)).alias("df"), F.sum("t.tf").alias("ctf")
-    )
+    ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
+    stop = _stop_array(stop_words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch.column("words"), _COUNT_WORDS):
+                yield _counted(part, stop)
+
+    found = docs.select(all_words(F.col(text_col)).alias("words"))
+    counted = found.mapInArrow(count, "term string, df bigint, ctf bigint")
+    return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
 
 
 def vocabulary(
@@ -66,49 +77,143 @@ def pruned_vocabulary(
     )
 
 
+def _stop_array(stop_words: Sequence[str] | None) -> pa.Array:
+    return pa.array(list(default_stop_words() if stop_words is None else stop_words), pa.string())
+
+
 def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """The row number of every list element, and the elements."""
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     return np.repeat(np.arange(len(lists)), sizes), lists.flatten()
 
 
+def _ends(lists: pa.Array) -> np.ndarray:
+    """How many words the rows up to each one hold, at whatever depth of lists."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    if pa.types.is_list(lists.type.value_type):
+        ends = np.concatenate([[0], _ends(lists.flatten())])[ends]
+    return ends
+
+
+def _parts(lists: pa.Array, words: int, rows: int | None = None) -> Iterator[pa.Array]:
+    """The rows in runs of at most ``words`` words and ``rows`` rows; a longer row is alone."""
+    ends, lo = _ends(lists), 0
+    while lo < len(lists):
+        held = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, held + words, "right")))
+        hi = hi if rows is None else min(hi, lo + rows)
+        yield lists.slice(lo, hi - lo)
+        lo = hi
+
+
+def _worked(lists: pa.Array, fn: Callable[[pa.Array], pa.Array], kind: pa.DataType) -> pa.Array:
+    """``fn`` of a few rows at a time."""
+    done = [fn(part) for part in _parts(lists, _WORDS, _EMBED_ROWS)]
+    return pa.concat_arrays(done) if done else pa.array([], kind)
+
+
 def _lists(rows: np.ndarray, n: int, values: pa.Array) -> pa.Array:
     """Lists from elements ordered by row number."""
     offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
+def _kept(found: pa.Array, stop: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Row number and word of all words but the stop words."""
+    rows, flat = _flat(found)
+    if not len(stop):
+        return rows, flat
+    kept = pc.invert(pc.is_in(flat, value_set=stop))
+    return rows[kept.to_numpy(zero_copy_only=False)], flat.filter(kept)
+
+
+def _counted(found: pa.Array, stop: pa.Array) -> pa.RecordBatch:
+    """``(term, df, ctf)`` of the unigrams and bigrams of some documents."""
+    rows, kept = _kept(found, stop)
+    coded = kept.dictionary_encode()
+    names, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    size, n = max(len(names), 1), max(len(found), 1)
+    near = rows[1:] == rows[:-1]
+    pairs = size + code[:-1][near] * size + code[1:][near]
+    cells = np.concatenate([code * n + rows, pairs * n + rows[1:][near]])
+    cells, tf = np.unique(cells, return_counts=True)
+    terms = cells // n
+    first = np.flatnonzero(np.diff(terms, prepend=-1))
+    terms, df = terms[first], np.diff(first, append=len(cells))
+    ctf = np.add.reduceat(tf, first) if len(first) else tf
+    cut = int(np.searchsorted(terms, size))
+    left, right = np.divmod(terms[cut:] - size, size)
+    two = pc.binary_join_element_wise(names.take(pa.array(left)), names.take(pa.array(right)), " ")
+    one = names.take(pa.array(terms[:cut]))
+    return pa.RecordBatch.from_pydict(
+        {
+            "term": pa.concat_arrays([one, two]),
+            "df": pa.array(df, pa.int64()),
+            "ctf": pa.array(ctf, pa.int64()),
+        }
+    )
+
+
 class _Lookup:
-    """Vocabulary as arrays; lives in a broadcast."""
+    """Vocabulary as arrays; lives in a broadcast. A bigram is looked up by its words' numbers."""
 
-    def __init__(self, names: list[str], idf: np.ndarray, dim: int):
+    def __init__(self, names: list[str], idf: np.ndarray, dim: int, stop: pa.Array):
         self.terms = pa.array(names, pa.string())
         self.idf = idf
+        self.stop = stop
         digests = [hashlib.md5(t.encode()).hexdigest() for t in names]
         self.dim = dim
         self.slot = np.array([int(d[:8], 16) % dim for d in digests], np.int64)
         self.sign = np.array([1.0 if d[8] < "8" else -1.0 for d in digests])
+        split = [t.split(" ") for t in names]
+        number = {w: i for i, w in enumerate(sorted({w for t in split for w in t}))}
+        self.words = pa.array(list(number), pa.string())
+        self.single = np.full(len(number), -1, np.int64)
+        pairs = []
+        for pos, t in enumerate(split):
+            if len(t) == 1:
+                self.single[number[t[0]]] = pos
+            elif len(t) == 2:
+                pairs.append((number[t[0]] * len(number) + number[t[1]], pos))
+        self.pairs = pa.array([key for key, _ in pairs], pa.int64())
+        self.pair_pos = np.array([pos for _, pos in pairs], np.int64)
 
     def weigh(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, vocabulary position and unit-length weight of the known terms."""
-        rows, flat = _flat(found)
-        pos = pc.fill_null(pc.index_in(flat, self.terms), -1)
-        pos = pos.to_numpy(zero_copy_only=False)
-        known = pos >= 0
+        """Row, vocabulary position and unit-length weight of the known terms of lists of words."""
+        rows, kept = _kept(found, self.stop)
+        word = pc.fill_null(pc.index_in(kept, self.words), -1)
+        word = word.to_numpy(zero_copy_only=False).astype(np.int64)
+        one = np.full(len(word), -1, np.int64)
+        one[word >= 0] = self.single[word[word >= 0]]
+        near = (rows[1:] == rows[:-1]) & (word[1:] >= 0) & (word[:-1] >= 0)
+        keys = word[:-1][near] * len(self.words) + word[1:][near]
+        at = pc.fill_null(pc.index_in(pa.array(keys, pa.int64()), self.pairs), -1)
+        at = at.to_numpy(zero_copy_only=False)
         size = max(len(self.terms), 1)
-        cells, tf = np.unique(rows[known] * size + pos[known], return_counts=True)
+        single = rows[one >= 0] * size + one[one >= 0]
+        double = rows[1:][near][at >= 0] * size + self.pair_pos[at[at >= 0]]
+        cells, tf = np.unique(np.concatenate([single, double]), return_counts=True)
         rows, pos = cells // size, cells % size
         weight = tf * self.idf[pos]
         length = np.sqrt(np.bincount(rows, weight * weight, len(found)))
         return rows, pos, weight / length[rows]
 
+    def heaviest(
+        self, rows: np.ndarray, pos: np.ndarray, weight: np.ndarray, n: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ``n`` heaviest terms of each row, in the order of :func:`top_terms`, by position."""
+        order = np.lexsort((pos, -np.floor(weight * 1e6 + 0.5), rows))
+        first = np.searchsorted(rows, rows, "left")
+        kept = np.sort(order[np.arange(len(rows)) - first < n])
+        return rows[kept], pos[kept], weight[kept]
+
     def embed(self, found: pa.Array) -> np.ndarray:
         """Pooled hashed vectors of documents given as lists of chunks."""
         owner, per_chunk = _flat(found)
         rows, pos, weight = self.weigh(per_chunk)
-        dense = np.zeros((len(per_chunk), self.dim))
-        np.add.at(dense, (rows, self.slot[pos]), weight * self.sign[pos])
-        return pool_unit(dense, owner, len(found))
+        slots, size = rows * self.dim + self.slot[pos], len(per_chunk) * self.dim
+        dense = np.bincount(slots, weight * self.sign[pos], size).astype(float, copy=False)
+        return pool_unit(dense.reshape(-1, self.dim), owner, len(found))
 
     def vectors(self, rows: np.ndarray, pos: np.ndarray, weight: np.ndarray, n: int):
         items = pa.StructArray.from_arrays(
@@ -128,6 +233,7 @@ class TfidfModel:
         stop_words: Sequence[str] | None = None,
     ):
         ship_package(table.sparkSession)
+        small_batches(table.sparkSession)
         self.table = table
         self.cfg = cfg
         self.stop_words = stop_words
@@ -138,7 +244,10 @@ class TfidfModel:
             raise ValueError(f"the vocabulary has more than max_features = {cfg.max_features} terms")
         kept = kept.sort_by("term")
         lookup = _Lookup(
-            kept["term"].to_pylist(), kept["idf"].to_numpy().astype(float), cfg.dim
+            kept["term"].to_pylist(),
+            kept["idf"].to_numpy().astype(float),
+            cfg.dim,
+            _stop_array(stop_words),
         )
         self.lookup = table.sparkSession.sparkContext.broadcast(lookup)
 
@@ -157,23 +266,29 @@ class TfidfModel:
     def terms(self, text: Column) -> Column:
         return terms(text, self.stop_words)
 
-    def vector(self, text: Column) -> Column:
-        """Unit-length TF-IDF vector in term order; unknown terms are dropped."""
+    def vector(self, text: Column, heaviest: int | None = None) -> Column:
+        """Unit-length TF-IDF vector in term order; unknown terms are dropped. With ``heaviest``
+        only so many terms of the vector."""
         shared = self.lookup
 
+        def part(found: pa.Array) -> pa.Array:
+            model = shared.value
+            cells = model.weigh(found)
+            if heaviest is not None:
+                cells = model.heaviest(*cells, heaviest)
+            return model.vectors(*cells, len(found))
+
         @F.arrow_udf(VECTOR)
         def weigh(found: pa.Array) -> pa.Array:
-            model = shared.value
-            return model.vectors(*model.weigh(found), len(found))
+            return _worked(found, part, _VECTORS)
 
-        return weigh(self.terms(text))
+        return weigh(all_words(text))
 
     def mean_vector(self, chunks: Column) -> Column:
         """Mean of the chunks' unit-length vectors, not scaled back to unit length."""
         shared = self.lookup
 
-        @F.arrow_udf(VECTOR)
-        def pool(found: pa.Array) -> pa.Array:
+        def part(found: pa.Array) -> pa.Array:
             model = shared.value
             owner, per_chunk = _flat(found)
             rows, pos, weight = model.weigh(per_chunk)
@@ -184,7 +299,11 @@ class TfidfModel:
             n_chunks = np.bincount(owner, minlength=len(found))
             return model.vectors(docs, pos, total / n_chunks[docs], len(found))
 
-        return pool(F.transform(chunks, self.terms))
+        @F.arrow_udf(VECTOR)
+        def pool(found: pa.Array) -> pa.Array:
+            return _worked(found, part, _VECTORS)
+
+        return pool(F.transform(chunks, all_words))
 
     def embedding(self, chunks: Column) -> Column:
         """The built-in encoder: weights hashed with a sign into ``dim`` slots per chunk,
@@ -194,14 +313,9 @@ class TfidfModel:
 
         @F.arrow_udf("array<float>")
         def embed(found: pa.Array) -> pa.Array:
-            model = shared.value
-            parts = [
-                to_float_lists(model.embed(found.slice(lo, _EMBED_ROWS)))
-                for lo in range(0, len(found), _EMBED_ROWS)
-            ]
-            return pa.concat_arrays(parts) if parts else pa.array([], _FLOATS)
+            return _worked(found, lambda part: to_float_lists(shared.value.embed(part)), _FLOATS)
 
-        return embed(F.transform(chunks, self.terms))
+        return embed(F.transform(chunks, all_words))
 
 
 def to_float_lists(matrix: np.ndarray) -> pa.Array:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textmatch.config import EngineConfig, ship_package
+from textmatch.config import EngineConfig, ship_package, small_batches
 from textmatch.functions.text import clean_text
 from textmatch.operators.chunking import chunk_text
 from textmatch.operators.ranking import present_matches
@@ -31,7 +31,8 @@ def text_queries(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
 
 def boosted(df: DataFrame, model: TfidfModel, text: str, cfg: EngineConfig) -> DataFrame:
     """Replace ``text`` by itself with its heaviest terms appended."""
-    weighted = df.withColumn("_vector", model.vector(F.col(text)))
+    # One term more than is appended tells a longer vector from one that is appended whole.
+    weighted = df.withColumn("_vector", model.vector(F.col(text), cfg.boost_terms + 1))
     new = boost_text(F.col(text), F.col("_vector"), cfg.boost_terms, cfg.boost_sep)
     return weighted.withColumn(text, new).drop("_vector")
 
@@ -40,6 +41,7 @@ def encode_chunks(chunks: Column, encoder: EncoderFactory, batch_size: int = 32)
     """Pooled unit vectors of a user's encoder; the model is made once per worker and is
     given ``batch_size`` texts at a time."""
     ship_package()
+    small_batches(SparkSession.active())
 
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
