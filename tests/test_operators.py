@@ -532,3 +532,22 @@ def test_boosting_needs_the_heaviest_terms_only(spark):
         boost_text(text, model.vector(text, 21)).alias("cut"),
     )
     assert both.where("whole <> cut OR whole IS NULL").isEmpty()
+
+
+def test_jobs_over_cells_leave_no_shuffle_files(spark, monkeypatch):
+    def files():
+        env = spark._jvm.org.apache.spark.SparkEnv.get()
+        found = env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {f for f in found if "/shuffle_" in f and f.endswith(".data")}
+
+    def pairs(a, b):
+        left, right = np.meshgrid(a["query_id"].to_numpy(), b["id"].to_numpy())
+        return pa.table({"q": left.ravel(), "i": right.ravel()})
+
+    monkeypatch.setattr(cells, "COPIES", 1)
+    items = spark.range(40)
+    before = files()
+    found = in_cells(items.withColumnRenamed("id", "query_id"), items, pairs, "q bigint, i bigint", 40, 40, 8, 40)
+    assert not files() - before
+    assert found.distinct().count() == 1600
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

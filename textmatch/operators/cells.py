@@ -4,17 +4,18 @@ Both sides are dealt into groups of a bounded size; a cell is one group of queri
 group of rows, and one task at a time holds one cell. Queries are copied to each group of rows
 and rows to each group of queries, so what is moved grows with the number of groups, not with
 the pairs. Nothing passes through the driver. One job holds at most ``COPIES`` copies of the
-rows; with more groups of queries, jobs follow one another, each written before the next, and
-the plan that reads them is one scan.
+rows; with more groups of queries, jobs follow one another, each written and its shuffle removed
+before the next, and the plan that reads them is one scan.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +26,7 @@ SMALL = 2048
 # Partitions of the shuffle; more cells than that take turns.
 MOST_PARTITIONS = 20_000
 # Groups of queries, so copies of the rows, in one job.
-COPIES = 8
+COPIES = 2
 
 
 def groups_of(rows: int, most: int, cores: int) -> int:
@@ -33,6 +34,19 @@ def groups_of(rows: int, most: int, cores: int) -> int:
     return max(1, math.ceil(rows / most), min(2 * cores, math.ceil(rows / SMALL)))
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What a query shuffles is removed when it ends. Otherwise it stays on disk until the driver
+    happens to collect its garbage, so jobs that follow one another would add up."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _dealt(df: DataFrame, groups: int, key: str) -> Column:
     """A group by hash. Rows that repeat a key are spread by the partition they come from."""
     return F.pmod(F.xxhash64(key, F.spark_partition_id()), F.lit(groups))
@@ -96,5 +110,6 @@ def in_cells(
     queries, items = materialize(queries, "queries"), materialize(items, "items")
     path = scratch_path(items.sparkSession, "cells")
     for low in range(0, down, COPIES):
-        job(low, min(low + COPIES, down)).write.mode("append").parquet(path)
+        with _shuffles_dropped(queries.sparkSession):
+            job(low, min(low + COPIES, down)).write.mode("append").parquet(path)
     return items.sparkSession.read.schema(schema).parquet(path)
