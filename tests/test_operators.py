@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textmatch.config import EngineConfig
-from textmatch.operators import cells
+from textmatch.operators import cells, tfidf
 from textmatch.operators.cells import in_cells
 from textmatch.operators.chunking import chunks, register_chunks
 from textmatch.operators.nearest import build_inverted_file, scored_pairs, search
@@ -551,3 +551,27 @@ def test_jobs_over_cells_leave_no_shuffle_files(spark, monkeypatch):
     assert not files() - before
     assert found.distinct().count() == 1600
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_a_vocabulary_spells_few_of_the_rare_terms(spark, monkeypatch):
+    draw = random.Random(5)
+    texts = [
+        " ".join(f"w{int(draw.paretovariate(0.7)) % 3000}" for _ in range(draw.randrange(1, 60)))
+        for _ in range(400)
+    ]
+    # Terms of a few documents that no draw shows, some of them as frequent as wanted ones.
+    for i in range(0, 40, 10):
+        texts[i] = "rare burst " * 80
+    texts[50], texts[60] = None, ""
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(5)
+    cfg = EngineConfig(max_features=60, min_df=3, max_df=0.9)
+    every = tfidf.term_statistics(docs)
+    wanted = {tuple(r) for r in tfidf.pruned_vocabulary(every, 400, cfg).collect()}
+    assert any(r[0] == "rare burst" for r in wanted)
+    for drawn in (2, 40):
+        monkeypatch.setattr(tfidf, "_DRAWN", drawn)
+        monkeypatch.setattr(tfidf, "_MANY", 0)
+        assert {tuple(r) for r in vocabulary(docs, cfg=cfg).collect()} == wanted
+    assert tfidf.frequent_statistics(docs, 400, cfg=cfg).count() < every.count() / 4
+    empty = docs.where("false")
+    assert vocabulary(empty, cfg=cfg).collect() == []

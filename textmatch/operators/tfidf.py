@@ -1,6 +1,7 @@
 """TF-IDF: vocabulary, document vectors, term boosting.
 
-Fitting is one aggregation by term. Everything after it stays inside the document's row:
+Fitting counts every term that may be in the vocabulary by number and adds up the others in cells.
+Everything after it stays inside the document's row:
 Spark cuts the words, an Arrow function counts the terms and looks their weights up in the
 broadcast vocabulary (at most ``max_features`` rows), and no document is ever shuffled.
 """
@@ -28,6 +29,15 @@ _EMBED_ROWS = 256
 _WORDS = 1 << 17
 # Words counted together when a vocabulary is fitted.
 _COUNT_WORDS = 1 << 18
+# Documents from which on terms that can't be in the vocabulary are no longer spelled: below, some
+# of them are as frequent as wanted ones in a single document, and all words are cut twice.
+_MANY = 1 << 16
+# Documents drawn to guess the frequent terms, guesses for each wanted term, cells that add up the
+# other terms, and numbers in a row of such sums.
+_DRAWN = 4096
+_LIKELY = 8
+_TERM_CELLS = 1 << 20
+_SUMS = 1 << 15
 
 
 def term_statistics(
@@ -62,7 +72,90 @@ def vocabulary(
 ) -> DataFrame:
     """``(term, df, ctf, idf)``: the ``max_features`` most frequent terms after pruning."""
     n = docs.count() if n_docs is None else n_docs
-    return pruned_vocabulary(term_statistics(docs, text_col, stop_words), n, cfg)
+    if n < _MANY:
+        return pruned_vocabulary(term_statistics(docs, text_col, stop_words), n, cfg)
+    return pruned_vocabulary(frequent_statistics(docs, n, text_col, cfg, stop_words), n, cfg)
+
+
+def frequent_statistics(
+    docs: DataFrame,
+    n: int,
+    text_col: str = "text",
+    cfg: EngineConfig = EngineConfig(),
+    stop_words: Sequence[str] | None = None,
+) -> DataFrame:
+    """The rows of :func:`term_statistics` that may be in the vocabulary of ``n`` documents.
+
+    Most terms are rare, and spelling, shuffling and grouping them is most of the work of counting.
+    A few drawn documents only say which terms are probably frequent. These are counted by number
+    over all documents; every other term adds its occurrences to a cell chosen by its hash. As
+    many likely terms as are wanted reach some count; a term below it isn't in the vocabulary, and a
+    cell below it holds no term that reaches it. The terms of all other cells are counted one by
+    one. So the counts are exact whatever was drawn.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    small_batches(spark)
+    stop = _stop_array(stop_words)
+    drawn = term_statistics(docs.sample(min(1.0, _DRAWN / max(n, 1)), 42), text_col, stop_words)
+    likely = drawn.orderBy(F.desc("ctf"), "term").limit(_LIKELY * cfg.max_features)
+    names = likely.select("term").toArrow().sort_by("term")["term"].to_pylist()
+    shared = spark.sparkContext.broadcast(_Terms(names))
+    size = len(names)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, sums = shared.value, np.zeros(2 * size + _TERM_CELLS, np.int64)
+        df, ctf, cells = np.split(sums, [size, 2 * size])
+        for batch in batches:
+            for part in _parts(batch.column("words"), _COUNT_WORDS):
+                names, codes, found, often = _tallied(part, stop)
+                at = terms.positions(names, codes)
+                known, rest = at >= 0, at < 0
+                df[at[known]] += found[known]
+                ctf[at[known]] += often[known]
+                np.add.at(cells, _term_cells(names, codes[rest]), often[rest])
+        yield _sum_rows(sums)
+
+    def add(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_SUMS, np.int64)
+        for some in rows:
+            for block in some.column("sums").to_pylist():
+                total += np.frombuffer(block, np.int64)
+        yield pa.RecordBatch.from_pydict({"block": [key[0].as_py()], "sums": [total.tobytes()]}, _SUM_SCHEMA)
+
+    words = docs.select(all_words(F.col(text_col)).alias("words"))
+    kind = "block int, sums binary"
+    blocks = words.mapInArrow(tally, kind).groupBy("block").applyInArrow(add, kind).toArrow().sort_by("block")
+    sums = np.frombuffer(b"".join(blocks["sums"].to_pylist()), np.int64)
+    df, ctf, cells = np.split(sums[: 2 * size + _TERM_CELLS], [size, 2 * size]) if len(sums) else (sums,) * 3
+    wanted = np.sort(ctf[(df >= cfg.min_df) & (df <= cfg.max_df * n)])[::-1]
+    least = max(1, cfg.min_df)
+    if len(wanted) >= cfg.max_features > 0:
+        least = max(least, int(wanted[cfg.max_features - 1]))
+    kept = np.flatnonzero(ctf >= least)
+    table = pa.table(
+        {
+            "term": pa.array([names[i] for i in kept], pa.string()),
+            "df": pa.array(df[kept], pa.int64()),
+            "ctf": pa.array(ctf[kept], pa.int64()),
+        }
+    )
+    counted = spark.createDataFrame(table, "term string, df bigint, ctf bigint")
+    heavy = cells >= least
+    if not heavy.any():
+        return counted
+    heavy = spark.sparkContext.broadcast(heavy)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch.column("words"), _COUNT_WORDS):
+                names, codes, found, often = _tallied(part, stop)
+                rest = heavy.value[_term_cells(names, codes)]
+                rest &= shared.value.positions(names, codes) < 0
+                yield _spelled(names, codes[rest], found[rest], often[rest])
+
+    more = words.mapInArrow(others, "term string, df bigint, ctf bigint").groupBy("term")
+    return counted.unionByName(more.agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf")))
 
 
 def pruned_vocabulary(
@@ -127,8 +220,12 @@ def _kept(found: pa.Array, stop: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return rows[kept.to_numpy(zero_copy_only=False)], flat.filter(kept)
 
 
-def _counted(found: pa.Array, stop: pa.Array) -> pa.RecordBatch:
-    """``(term, df, ctf)`` of the unigrams and bigrams of some documents."""
+def _tallied(found: pa.Array, stop: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of some documents, and ``(code, df, ctf)`` of their unigrams and bigrams.
+
+    With ``size`` words, the code of a unigram is its word's number, and that of a bigram
+    ``size + left * size + right``; codes ascend.
+    """
     rows, kept = _kept(found, stop)
     coded = kept.dictionary_encode()
     names, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -141,10 +238,21 @@ def _counted(found: pa.Array, stop: pa.Array) -> pa.RecordBatch:
     first = np.flatnonzero(np.diff(terms, prepend=-1))
     terms, df = terms[first], np.diff(first, append=len(cells))
     ctf = np.add.reduceat(tf, first) if len(first) else tf
-    cut = int(np.searchsorted(terms, size))
-    left, right = np.divmod(terms[cut:] - size, size)
+    return names, terms, df, ctf
+
+
+def _halves(names: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' numbers of the unigrams among ascending codes, and both of the bigrams."""
+    size = max(len(names), 1)
+    cut = int(np.searchsorted(codes, size))
+    return codes[:cut], *np.divmod(codes[cut:] - size, size)
+
+
+def _spelled(names: pa.Array, codes: np.ndarray, df: np.ndarray, ctf: np.ndarray) -> pa.RecordBatch:
+    """``(term, df, ctf)`` rows of terms given by code."""
+    single, left, right = _halves(names, codes)
     two = pc.binary_join_element_wise(names.take(pa.array(left)), names.take(pa.array(right)), " ")
-    one = names.take(pa.array(terms[:cut]))
+    one = names.take(pa.array(single))
     return pa.RecordBatch.from_pydict(
         {
             "term": pa.concat_arrays([one, two]),
@@ -154,17 +262,47 @@ def _counted(found: pa.Array, stop: pa.Array) -> pa.RecordBatch:
     )
 
 
-class _Lookup:
-    """Vocabulary as arrays; lives in a broadcast. A bigram is looked up by its words' numbers."""
+def _counted(found: pa.Array, stop: pa.Array) -> pa.RecordBatch:
+    """``(term, df, ctf)`` of the unigrams and bigrams of some documents."""
+    return _spelled(*_tallied(found, stop))
 
-    def __init__(self, names: list[str], idf: np.ndarray, dim: int, stop: pa.Array):
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """A polynomial in the bytes of each word; equal hashes of different words do no harm."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset :][: len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    ends -= ends[0]
+    sizes = np.diff(ends)
+    powers = np.cumprod(np.full(int(sizes.max()), 0x100000001B3, np.uint64))
+    return np.add.reduceat(data * powers[np.arange(len(data)) - np.repeat(ends[:-1], sizes)], ends[:-1])
+
+
+def _term_cells(names: pa.Array, codes: np.ndarray) -> np.ndarray:
+    """A cell for each term, the same in every task."""
+    word = _hashes(names)
+    single, left, right = _halves(names, codes)
+    mixed = np.concatenate([word[single], word[left] * np.uint64(0x9E3779B97F4A7C15) + word[right]])
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(32)) % np.uint64(_TERM_CELLS)).astype(np.int64)
+
+
+_SUM_SCHEMA = pa.schema([("block", pa.int32()), ("sums", pa.binary())])
+
+
+def _sum_rows(sums: np.ndarray) -> pa.RecordBatch:
+    """Numbers in rows of ``_SUMS``, the last one filled up with zeros."""
+    blocks = np.pad(sums, (0, -len(sums) % _SUMS)).reshape(-1, _SUMS)
+    rows = {"block": np.arange(len(blocks), dtype=np.int32), "sums": [b.tobytes() for b in blocks]}
+    return pa.RecordBatch.from_pydict(rows, _SUM_SCHEMA)
+
+
+class _Terms:
+    """Terms as arrays; lives in a broadcast. A bigram is looked up by its words' numbers."""
+
+    def __init__(self, names: list[str]):
         self.terms = pa.array(names, pa.string())
-        self.idf = idf
-        self.stop = stop
-        digests = [hashlib.md5(t.encode()).hexdigest() for t in names]
-        self.dim = dim
-        self.slot = np.array([int(d[:8], 16) % dim for d in digests], np.int64)
-        self.sign = np.array([1.0 if d[8] < "8" else -1.0 for d in digests])
         split = [t.split(" ") for t in names]
         number = {w: i for i, w in enumerate(sorted({w for t in split for w in t}))}
         self.words = pa.array(list(number), pa.string())
@@ -178,20 +316,59 @@ class _Lookup:
         self.pairs = pa.array([key for key, _ in pairs], pa.int64())
         self.pair_pos = np.array([pos for _, pos in pairs], np.int64)
 
-    def weigh(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, vocabulary position and unit-length weight of the known terms of lists of words."""
-        rows, kept = _kept(found, self.stop)
-        word = pc.fill_null(pc.index_in(kept, self.words), -1)
-        word = word.to_numpy(zero_copy_only=False).astype(np.int64)
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The number of each word, -1 for one that is in no term."""
+        word = pc.fill_null(pc.index_in(words, self.words), -1)
+        return word.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def of_single(self, word: np.ndarray) -> np.ndarray:
+        """The position of each word's unigram, -1 for none."""
         one = np.full(len(word), -1, np.int64)
         one[word >= 0] = self.single[word[word >= 0]]
-        near = (rows[1:] == rows[:-1]) & (word[1:] >= 0) & (word[:-1] >= 0)
-        keys = word[:-1][near] * len(self.words) + word[1:][near]
+        return one
+
+    def of_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The position of each bigram of known words, -1 for none."""
+        keys = left * len(self.words) + right
         at = pc.fill_null(pc.index_in(pa.array(keys, pa.int64()), self.pairs), -1)
         at = at.to_numpy(zero_copy_only=False)
+        out = np.full(len(at), -1, np.int64)
+        out[at >= 0] = self.pair_pos[at[at >= 0]]
+        return out
+
+    def positions(self, names: pa.Array, codes: np.ndarray) -> np.ndarray:
+        """The position of each term given by code, -1 for none."""
+        word = self.numbers(names)
+        single, left, right = _halves(names, codes)
+        left, right = word[left], word[right]
+        known = (left >= 0) & (right >= 0)
+        two = np.full(len(left), -1, np.int64)
+        two[known] = self.of_pairs(left[known], right[known])
+        return np.concatenate([self.of_single(word[single]), two])
+
+
+class _Lookup(_Terms):
+    """Vocabulary with its weights and places in a hashed vector."""
+
+    def __init__(self, names: list[str], idf: np.ndarray, dim: int, stop: pa.Array):
+        super().__init__(names)
+        self.idf = idf
+        self.stop = stop
+        digests = [hashlib.md5(t.encode()).hexdigest() for t in names]
+        self.dim = dim
+        self.slot = np.array([int(d[:8], 16) % dim for d in digests], np.int64)
+        self.sign = np.array([1.0 if d[8] < "8" else -1.0 for d in digests])
+
+    def weigh(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, vocabulary position and unit-length weight of the known terms of lists of words."""
+        rows, kept = _kept(found, self.stop)
+        word = self.numbers(kept)
+        one = self.of_single(word)
+        near = (rows[1:] == rows[:-1]) & (word[1:] >= 0) & (word[:-1] >= 0)
+        two = self.of_pairs(word[:-1][near], word[1:][near])
         size = max(len(self.terms), 1)
         single = rows[one >= 0] * size + one[one >= 0]
-        double = rows[1:][near][at >= 0] * size + self.pair_pos[at[at >= 0]]
+        double = rows[1:][near][two >= 0] * size + two[two >= 0]
         cells, tf = np.unique(np.concatenate([single, double]), return_counts=True)
         rows, pos = cells // size, cells % size
         weight = tf * self.idf[pos]
