@@ -277,6 +277,26 @@ def test_an_update_that_dies_leaves_the_version_before(spark, tmp_path, monkeypa
     assert len(contents(load_growing(spark, path))[0]) == 50
 
 
+def test_counts_are_summed_when_read(spark, tmp_path):
+    path, cfg = str(tmp_path / "index"), EngineConfig(min_df=1, dim=32)
+
+    def copies():
+        last = current_version(spark, path).segments[-1]
+        counts = spark.read.parquet(f"{path}/segments/{last}/counts")
+        return counts.count() - counts.select("term").distinct().count()
+
+    rows = grown_rows(40)
+    update_index(grown(spark, rows).repartition(4), path, cfg)
+    assert copies() > 0 and not current_version(spark, path).summed
+    want = contents(load_growing(spark, path))
+    assert compact(spark, path).summed and copies() == 0
+    assert contents(load_growing(spark, path)) == want
+    update_index(grown(spark, rows[:30] + grown_rows(45, "new")[30:]), path, cfg)
+    assert not current_version(spark, path).summed
+    update_index(grown(spark, rows), path, cfg)
+    assert contents(load_growing(spark, path)) == want
+
+
 def test_an_index_refuses_other_settings_and_repeated_ids(spark, tmp_path):
     path = str(tmp_path / "grown")
     with pytest.raises(FileNotFoundError):

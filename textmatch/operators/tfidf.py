@@ -45,9 +45,24 @@ def term_statistics(
 ) -> DataFrame:
     """``(term, df, ctf)``: documents holding a term, and its occurrences.
 
+    The counts are combined on the map side, so a term found in most documents costs one row per
+    task in the shuffle.
+    """
+    return summed(partial_statistics(docs, text_col, stop_words))
+
+
+def summed(counts: DataFrame) -> DataFrame:
+    """One row for each term from ``(term, df, ctf)`` rows."""
+    return counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
+
+
+def partial_statistics(
+    docs: DataFrame, text_col: str = "text", stop_words: Sequence[str] | None = None
+) -> DataFrame:
+    """The same as rows that are still to be summed by term; nothing is shuffled.
+
     Spark cuts the words; an Arrow function counts the terms of some documents at a time, as
-    numbers, and spells each distinct one once. The counts are combined on the map side, so a
-    term found in most documents costs one row per task in the shuffle.
+    numbers, and spells each distinct one once.
     """
     ship_package(docs.sparkSession)
     small_batches(docs.sparkSession)
@@ -59,8 +74,7 @@ def term_statistics(
                 yield _counted(part, stop)
 
     found = docs.select(all_words(F.col(text_col)).alias("words"))
-    counted = found.mapInArrow(count, "term string, df bigint, ctf bigint")
-    return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
+    return found.mapInArrow(count, "term string, df bigint, ctf bigint")
 
 
 def vocabulary(
@@ -154,8 +168,8 @@ def frequent_statistics(
                 rest &= shared.value.positions(names, codes) < 0
                 yield _spelled(names, codes[rest], found[rest], often[rest])
 
-    more = words.mapInArrow(others, "term string, df bigint, ctf bigint").groupBy("term")
-    return counted.unionByName(more.agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf")))
+    more = words.mapInArrow(others, "term string, df bigint, ctf bigint")
+    return counted.unionByName(summed(more))
 
 
 def pruned_vocabulary(

@@ -8,8 +8,10 @@ vectors and embeddings, follows from the rows and the vocabulary when it is read
 
     <path>/segments/<name>/rows      id, title, embedding_text, digest
     <path>/segments/<name>/gone      ids of earlier segments that hold no longer
-    <path>/segments/<name>/counts    term, df, ctf: added, or taken back (below zero)
-    <path>/manifests/<version>-*     the segments in order, the number of rows, the settings
+    <path>/segments/<name>/counts    term, df, ctf: added, or taken back (below zero); an update writes
+                                     what its tasks counted, a compacted segment a row for each term
+    <path>/manifests/<version>-*     the segments in order, the number of rows, the settings,
+                                     whether the counts are summed
 
 A manifest is written last and names all that its version consists of. One job writes at a time. A job that dies before
 leaves a segment that no version names; readers see the version before. Segments never change, so
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmatch.config import EngineConfig, materialize
-from textmatch.operators.tfidf import TfidfModel, pruned_vocabulary, term_statistics
+from textmatch.operators.tfidf import TfidfModel, partial_statistics, pruned_vocabulary, summed
 from textmatch.plans.match import EncoderFactory, embed
 from textmatch.sources.index import Index
 from textmatch.sources.tables import path_exists
@@ -43,6 +45,8 @@ class Version:
     segments: tuple[str, ...]
     n_rows: int
     settings: str
+    # One segment whose counts have a row for each term.
+    summed: bool = False
 
 
 @dataclass(frozen=True)
@@ -71,7 +75,8 @@ def current_version(spark: SparkSession, path: str) -> Version | None:
     if not rows:
         return None
     last = max(rows, key=lambda r: r["number"])
-    return Version(last["number"], tuple(last["segments"]), last["n_rows"], last["settings"])
+    last["segments"] = tuple(last["segments"])
+    return Version(**last)
 
 
 def _write_manifest(spark: SparkSession, path: str, version: Version) -> None:
@@ -107,8 +112,8 @@ def _alive(spark: SparkSession, path: str, version: Version) -> DataFrame:
 
 def _statistics(spark: SparkSession, path: str, version: Version) -> DataFrame:
     """``(term, df, ctf)`` of the rows that hold."""
-    counts = _read(spark, path, version, "counts").groupBy("term")
-    return counts.agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf")).where("df > 0")
+    counts = _read(spark, path, version, "counts").drop("segment")
+    return (counts if version.summed else summed(counts)).where("df > 0")
 
 
 def update_index(
@@ -152,13 +157,12 @@ def update_index(
     fresh = spark.read.parquet(f"{folder}/rows")
     gone = both.where("old IS NOT NULL").select("id")
     gone.write.parquet(f"{folder}/gone")
-    counts = term_statistics(fresh, "embedding_text", stop_words)
+    # Not summed here: readers sum over the segments anyway.
+    counts = partial_statistics(fresh, "embedding_text", stop_words)
     if version is not None:
         lost = _alive(spark, path, version).join(gone, "id", "left_semi")
-        minus = term_statistics(lost, "embedding_text", stop_words)
+        minus = partial_statistics(lost, "embedding_text", stop_words)
         counts = counts.unionByName(minus.select("term", (-F.col("df")).alias("df"), (-F.col("ctf")).alias("ctf")))
-        counts = counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
-        counts = counts.where("df <> 0 OR ctf <> 0")
     counts.write.parquet(f"{folder}/counts")
     before = (version.number, version.segments, version.n_rows) if version else (0, (), 0)
     made = Version(before[0] + 1, (*before[1], name), before[2] + sizes.added - sizes.removed, settings)
@@ -177,7 +181,7 @@ def compact(spark: SparkSession, path: str) -> Version:
     rows.write.parquet(f"{folder}/rows")
     rows.select("id").where("false").write.parquet(f"{folder}/gone")
     _statistics(spark, path, version).write.parquet(f"{folder}/counts")
-    made = Version(version.number + 1, (name,), version.n_rows, version.settings)
+    made = Version(version.number + 1, (name,), version.n_rows, version.settings, summed=True)
     _write_manifest(spark, path, made)
     return made
 
