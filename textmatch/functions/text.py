@@ -19,9 +19,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-# A run of white space. Printable ASCII is ruled out first, and a blank before such a character,
-# which most blanks are, is no match: it stays as it is, at half the time.
-_RUN = f"(?! [!-~])[[^!-~]&&[{SPACE}]]+"
+# A run of white space; a single blank, as most are, is no match and stays as it is. Characters below
+# 256 are listed one by one, as Java looks these up in a table; one comparison rules out most others.
+_NEAR = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
+_FAR = rf"[\x{{1680}}-\x{{3000}}&&[{SPACE}]]"
+_ANY = f"[ {_NEAR}{_FAR}]"
+_RUN = f"[{_NEAR}{_FAR}]{_ANY}*+| {_ANY}++"
 
 
 def collapse(text: Column) -> Column:

@@ -21,6 +21,20 @@ def all_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"([{WORD}]{{2,}})"), F.lit(1))
 
 
+# What is in no word, with the ASCII characters one by one: Java looks these up in a table.
+_ASCII = "".join(rf"\x{i:02x}" for i in range(128) if not (chr(i).isalnum() or chr(i) == "_"))
+_OUTSIDE = rf"[{_ASCII}[\x{{80}}-\x{{10ffff}}&&[^{WORD}]]]+"
+
+
+def spaced_words(text: Column) -> Column:
+    """The lower-case text with one blank for all between two words: for steps that cut it there.
+
+    That takes less than half the time of :func:`all_words`, as a text stays one value. Its pieces
+    of two or more characters are the words.
+    """
+    return F.regexp_replace(F.lower(text), _OUTSIDE, " ")
+
+
 def words(text: Column, stop_words: Sequence[str] | None = None) -> Column:
     """The same without stop words."""
     stop = list(default_stop_words() if stop_words is None else stop_words)

@@ -2,7 +2,7 @@
 
 Fitting counts every term that may be in the vocabulary by number and adds up the others in cells.
 Everything after it stays inside the document's row:
-Spark cuts the words, an Arrow function counts the terms and looks their weights up in the
+Spark parts the words by blanks, an Arrow function cuts there, counts the terms and looks their weights up in the
 broadcast vocabulary (at most ``max_features`` rows), and no document is ever shuffled.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from textmatch.config import EngineConfig, materialize, ship_package, small_batches
 from textmatch.functions.text import round6
-from textmatch.functions.tokens import all_words, default_stop_words, terms
+from textmatch.functions.tokens import default_stop_words, spaced_words, terms
 
 VECTOR = "array<struct<term:string,weight:double>>"
 _FLOATS = pa.list_(pa.float32())
@@ -61,7 +61,7 @@ def partial_statistics(
 ) -> DataFrame:
     """The same as rows that are still to be summed by term; nothing is shuffled.
 
-    Spark cuts the words; an Arrow function counts the terms of some documents at a time, as
+    Spark parts the words; an Arrow function counts the terms of some documents at a time, as
     numbers, and spells each distinct one once.
     """
     ship_package(docs.sparkSession)
@@ -70,10 +70,10 @@ def partial_statistics(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch.column("words"), _COUNT_WORDS):
+            for part in _parts(_cut(batch.column("words")), _COUNT_WORDS):
                 yield _counted(part, stop)
 
-    found = docs.select(all_words(F.col(text_col)).alias("words"))
+    found = docs.select(spaced_words(F.col(text_col)).alias("words"))
     return found.mapInArrow(count, "term string, df bigint, ctf bigint")
 
 
@@ -121,7 +121,7 @@ def frequent_statistics(
         terms, sums = shared.value, np.zeros(2 * size + _TERM_CELLS, np.int64)
         df, ctf, cells = np.split(sums, [size, 2 * size])
         for batch in batches:
-            for part in _parts(batch.column("words"), _COUNT_WORDS):
+            for part in _parts(_cut(batch.column("words")), _COUNT_WORDS):
                 names, codes, found, often = _tallied(part, stop)
                 at = terms.positions(names, codes)
                 known, rest = at >= 0, at < 0
@@ -137,7 +137,7 @@ def frequent_statistics(
                 total += np.frombuffer(block, np.int64)
         yield pa.RecordBatch.from_pydict({"block": [key[0].as_py()], "sums": [total.tobytes()]}, _SUM_SCHEMA)
 
-    words = docs.select(all_words(F.col(text_col)).alias("words"))
+    words = docs.select(spaced_words(F.col(text_col)).alias("words"))
     kind = "block int, sums binary"
     blocks = words.mapInArrow(tally, kind).groupBy("block").applyInArrow(add, kind).toArrow().sort_by("block")
     sums = np.frombuffer(b"".join(blocks["sums"].to_pylist()), np.int64)
@@ -162,7 +162,7 @@ def frequent_statistics(
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch.column("words"), _COUNT_WORDS):
+            for part in _parts(_cut(batch.column("words")), _COUNT_WORDS):
                 names, codes, found, often = _tallied(part, stop)
                 rest = heavy.value[_term_cells(names, codes)]
                 rest &= shared.value.positions(names, codes) < 0
@@ -225,6 +225,19 @@ def _lists(rows: np.ndarray, n: int, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
+def _cut(spaced: pa.Array) -> pa.Array:
+    """Lists of the words of :func:`spaced_words`."""
+    rows, pieces = _flat(pc.split_pattern(spaced, " "))
+    long = pc.greater(pc.utf8_length(pieces), 1)
+    return _lists(rows[long.to_numpy(zero_copy_only=False)], len(spaced), pieces.filter(long))
+
+
+def _cut_lists(spaced: pa.Array) -> pa.Array:
+    """The same for lists of chunks."""
+    rows, flat = _flat(spaced)
+    return _lists(rows, len(spaced), _cut(flat))
+
+
 def _kept(found: pa.Array, stop: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Row number and word of all words but the stop words."""
     rows, flat = _flat(found)
@@ -471,9 +484,9 @@ class TfidfModel:
 
         @F.arrow_udf(VECTOR)
         def weigh(found: pa.Array) -> pa.Array:
-            return _worked(found, part, _VECTORS)
+            return _worked(_cut(found), part, _VECTORS)
 
-        return weigh(all_words(text))
+        return weigh(spaced_words(text))
 
     def mean_vector(self, chunks: Column) -> Column:
         """Mean of the chunks' unit-length vectors, not scaled back to unit length."""
@@ -492,9 +505,9 @@ class TfidfModel:
 
         @F.arrow_udf(VECTOR)
         def pool(found: pa.Array) -> pa.Array:
-            return _worked(found, part, _VECTORS)
+            return _worked(_cut_lists(found), part, _VECTORS)
 
-        return pool(F.transform(chunks, all_words))
+        return pool(F.transform(chunks, spaced_words))
 
     def embedding(self, chunks: Column) -> Column:
         """The built-in encoder: weights hashed with a sign into ``dim`` slots per chunk,
@@ -504,9 +517,10 @@ class TfidfModel:
 
         @F.arrow_udf("array<float>")
         def embed(found: pa.Array) -> pa.Array:
-            return _worked(found, lambda part: to_float_lists(shared.value.embed(part)), _FLOATS)
+            cut = _cut_lists(found)
+            return _worked(cut, lambda part: to_float_lists(shared.value.embed(part)), _FLOATS)
 
-        return embed(F.transform(chunks, all_words))
+        return embed(F.transform(chunks, spaced_words))
 
 
 def to_float_lists(matrix: np.ndarray) -> pa.Array:
