@@ -134,6 +134,13 @@ def test_white_space_is_found_among_all_characters(spark):
     assert column(spark, given, X.collapse) == column(spark, given, plain)
 
 
+def test_strip_takes_white_space_of_any_kind(spark):
+    marks = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    given = [t for m in marks for t in (f"{m}a{m} b {m}", f" {m}", f"\n{m}x\r\n")] + ["", None]
+    plain = lambda c: F.regexp_replace(c, f"^{X.WS}+|{X.WS}+$", "")
+    assert column(spark, given, X.strip) == column(spark, given, plain)
+
+
 def loop_chunks(text, size=512, overlap=50):
     """The rule, written as a plain loop over characters."""
     window, back = size * 4, overlap * 4

@@ -12,6 +12,11 @@ SPACE = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 WS = f"[{SPACE}]"
+# The same characters as a text.
+SPACES = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def let(value: Column, body) -> Column:
@@ -40,8 +45,8 @@ def without(text: Column, characters: str) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Remove white space, of any kind, from both ends."""
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    """Remove white space, of any kind, from both ends; what is between isn't searched."""
+    return F.trim(text, F.lit(SPACES))
 
 
 def clean_text(text: Column) -> Column:

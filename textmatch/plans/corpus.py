@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmatch.config import EngineConfig
+from textmatch.config import EngineConfig, materialize
 from textmatch.functions.text import clean_text, clean_title_text, first_of_list
 from textmatch.functions.titles import standardize_title
 from textmatch.operators.relational import (
@@ -65,7 +65,9 @@ def prepare_corpus(
     cfg: EngineConfig = EngineConfig(),
 ) -> DataFrame:
     """``(person_id, ability, title, skill, embedding_text)``, one row per content."""
-    profiles = content_dedup(join_profiles(people, abilities, experience, skills, cfg))
+    # Read twice, for the digests and for the rows that stay: grouped and joined once.
+    profiles = materialize(join_profiles(people, abilities, experience, skills, cfg), "profiles")
+    profiles = content_dedup(profiles)
     filled = profiles.select(
         "person_id",
         F.coalesce("ability", F.lit("Unknown ability")).alias("ability"),

@@ -40,19 +40,25 @@ def require_files(spark: SparkSession, paths: Sequence[str]) -> None:
         raise FileNotFoundError(f"missing files: {missing}")
 
 
-def with_file_order(df: DataFrame) -> DataFrame:
-    """Add ``seq``, the listing order of the rows of a file source.
+def with_file_order(df: DataFrame, path: str) -> DataFrame:
+    """Add ``seq``, the listing order of the rows of the files read from ``path``.
 
-    File, split and position in the split; no row numbering across the table is needed.
+    File, split and position in the split; no row numbering across the table is needed. A file goes
+    by its number in the listing, as its path would be most of what is shuffled and compared.
     """
-    return df.select(
+    spark = df.sparkSession
+    listed = spark.read.format("binaryFile").load(path).select("_metadata.file_path").distinct()
+    paths = sorted(listed.toArrow()["file_path"].to_pylist())
+    files = spark.createDataFrame(list(enumerate(paths)), "file int, file_path string")
+    rows = df.select(
         "*",
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("split"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("seq"),
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_row"),
     )
+    seq = F.struct("file", F.col("_split").alias("split"), F.col("_row").alias("row"))
+    numbered = rows.join(F.broadcast(files), rows["_path"] == files["file_path"], "left")
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], seq.alias("seq"))
 
 
 def csv_rows(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -71,7 +77,7 @@ def read_csv(
     wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     found = csv_rows(spark, path, multi_line)
     require_columns(found, [f.name for f in wanted.fields if f.name in ("person_id",)])
-    return with_file_order(found).select(
+    return with_file_order(found, path).select(
         *[
             F.col(f.name).cast(f.dataType).alias(f.name)
             for f in wanted.fields
@@ -99,7 +105,7 @@ def load_ground_truth(spark: SparkSession, path: str, multi_line: bool = False)
     row wins."""
     found = csv_rows(spark, path, multi_line)
     require_columns(found, TRUTH_COLUMNS)
-    rows = with_file_order(found)
+    rows = with_file_order(found, path)
     keys = [
         F.col("resume_id").cast("string").alias("query_id"),
         F.col("job_id").cast("string").alias("item_id"),
@@ -109,7 +115,7 @@ def load_ground_truth(spark: SparkSession, path: str, multi_line: bool = False)
         aggs.append(F.max_by("job_title", "seq").alias("item_title"))
     place = F.concat_ws(
         "|",
-        F.col("seq.file"),
+        F.lpad(F.col("seq.file").cast("string"), 20, "0"),
         F.lpad(F.col("seq.split").cast("string"), 20, "0"),
         F.lpad(F.col("seq.row").cast("string"), 20, "0"),
     )
