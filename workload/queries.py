@@ -895,7 +895,8 @@ def json_roundtrip(spark, sf_dir):
 @query
 def index_roundtrip(spark, sf_dir):
     """The index written, reopened without a rebuild, and used."""
-    corpus = corpus_of(spark, sf_dir)
+    # Read for two versions and for the index.
+    corpus = stored_corpus(spark, sf_dir)
     path = scratch_path(spark, "index")
     open_index(corpus, path, CFG)
     index = open_index(corpus, path, CFG)
