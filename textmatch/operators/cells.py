@@ -95,12 +95,16 @@ def in_cells(
         right = items.withColumn("_across", _dealt(items, across, item_key))
         one = F.lit(low).cast("bigint")
         right = right.withColumn("_down", every(low, high) if high - low > 1 else one)
-        parts = min(across * (high - low), MOST_PARTITIONS)
+        n_cells = across * (high - low)
+        parts = min(n_cells, MOST_PARTITIONS)
 
         def put(df: DataFrame) -> DataFrame:
-            number = ((F.col("_down") - low) * across + F.col("_across")).alias("_cell")
+            number = ((F.col("_down") - low) * across + F.col("_across")).cast("int").alias("_cell")
             dealt = df.select(*[c for c in df.columns if c not in ("_down", "_across")], number)
-            return dealt.repartitionById(parts, F.pmod("_cell", F.lit(parts)).cast("int"))
+            # A partition for each cell is what grouping by cell needs: nothing is shuffled twice, and no
+            # cells that take as long as others are put into one task because they hold few bytes.
+            own = F.col("_cell") if parts == n_cells else F.pmod("_cell", F.lit(parts)).cast("int")
+            return dealt.repartitionById(parts, own)
 
         grouped = put(left).groupBy("_cell").cogroup(put(right).groupBy("_cell"))
         return grouped.applyInArrow(cell, schema)
