@@ -30,8 +30,17 @@ CELL_ROWS = 16_384
 CELL_CELLS = 8 << 20
 # Pairs in a cell when all of them are wanted.
 CELL_PAIRS = 1 << 20
-# Score cells held at once by a task (queries x corpus rows of one step), and numbers of the rows.
-_CELLS = 500_000
+# Score cells of one step (queries x corpus rows), its queries, and the numbers of its rows or terms that
+# they share with the queries, at most; about what a core's cache holds.
+_CELLS = 1 << 18
+_ACROSS = 4096
+_NUMBERS = 1 << 20
+# A term that this share of the pairs have in common is multiplied for all pairs, and such terms of a
+# cell hold so many numbers at most; the other terms are looked up in the queries that hold them.
+_COMMON = 0.006
+_COMMON_CELLS = 6 << 20
+# Corpus rows by which common terms are told.
+_JUDGED = 1024
 
 
 def _column(table: pa.Table | pa.RecordBatch, name: str) -> pa.Array:
@@ -57,13 +66,25 @@ class _Dense:
 
     def __init__(self, vectors: pa.Array):
         self.q = unit_rows(vectors)
+        self.n = len(self.q)
 
-    def scores(self, vectors: pa.Array) -> np.ndarray:
-        return unit_rows(vectors) @ self.q.T
+    def prepare(self, vectors: pa.Array) -> None:
+        """Nothing depends on the corpus."""
+
+    def scores(self, vectors: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """Scores against some queries at a time, with the place of the first."""
+        rows = unit_rows(vectors)
+        for lo in range(0, self.n, _ACROSS):
+            yield lo, rows @ self.q[lo : lo + _ACROSS].T
 
 
 class _Sparse:
-    """Inner product (or cosine) against a block of sparse queries held by term."""
+    """Inner product (or cosine) against a block of sparse queries.
+
+    Terms that many pairs have in common are columns of matrices, which are multiplied; the
+    others are held by term. Which ones are common is judged by some rows; the scores are the
+    same, but for the order of summing.
+    """
 
     def __init__(self, vectors: pa.Array, cosine: bool):
         rows, flat = _list_rows(vectors)
@@ -74,18 +95,47 @@ class _Sparse:
         if cosine:
             weight = self._scaled(rows, weight, self.n)
         self.terms = pc.unique(term)
-        pos = pc.index_in(term, self.terms).to_numpy(zero_copy_only=False)
-        order = np.argsort(pos, kind="stable")
-        self.rows, self.weight = rows[order], weight[order]
-        self.size = np.bincount(pos, minlength=len(self.terms))
-        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
+        pos = pc.index_in(term, self.terms).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.held = rows, pos, weight
+        self.place: np.ndarray | None = None
 
     @staticmethod
     def _scaled(rows: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
         length = np.sqrt(np.bincount(rows, weight * weight, n))[rows]
         return np.divide(weight, length, out=np.zeros(len(weight)), where=length > 0)
 
-    def scores(self, vectors: pa.Array) -> np.ndarray:
+    def prepare(self, vectors: pa.Array) -> None:
+        """Part the queries into blocks and their terms into common and other ones, by some of
+        the corpus rows to come; once."""
+        if self.place is not None:
+            return
+        some = vectors.take(pa.array(np.arange(0, len(vectors), max(1, len(vectors) // _JUDGED))))
+        seen = pc.index_in(pc.struct_field(_list_rows(some)[1], "term"), self.terms).drop_null().to_numpy()
+        rows, pos, weight = self.held
+        size = len(self.terms)
+        shared = np.bincount(pos, minlength=size) / max(self.n, 1)
+        shared = shared * np.bincount(seen, minlength=size) / max(len(some), 1)
+        most = max(1, _COMMON_CELLS // max(self.n, 1))
+        common = np.argsort(-shared, kind="stable")[:most]
+        common = common[shared[common] >= _COMMON]
+        self.place = np.full(size, -1, np.int64)
+        self.place[common] = np.arange(len(common))
+        self.width = len(common)
+        self.matrix = np.zeros((self.width, self.n))
+        at = self.place[pos]
+        self.matrix[at[at >= 0], rows[at >= 0]] = weight[at >= 0]
+        rows, pos, weight = rows[at < 0], pos[at < 0], weight[at < 0]
+        self.blocks = []
+        for lo in range(0, self.n, _ACROSS):
+            low, high = np.searchsorted(rows, [lo, lo + _ACROSS])
+            order = low + np.argsort(pos[low:high], kind="stable")
+            fan = np.bincount(pos[low:high], minlength=size)
+            start = np.concatenate([[0], np.cumsum(fan)[:-1]]).astype(np.int64)
+            self.blocks.append((lo, min(_ACROSS, self.n - lo), fan, start, rows[order] - lo, weight[order]))
+        self.held = None
+
+    def scores(self, vectors: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """Scores against some queries at a time, with the place of the first."""
         rows, flat = _list_rows(vectors)
         n = len(vectors)
         weight = pc.struct_field(flat, "weight").to_numpy(zero_copy_only=False)
@@ -94,22 +144,33 @@ class _Sparse:
         pos = pc.fill_null(pc.index_in(pc.struct_field(flat, "term"), self.terms), -1)
         pos = pos.to_numpy(zero_copy_only=False)
         known = pos >= 0
-        rows, weight, pos = rows[known], weight[known], pos[known]
-        out = np.zeros(n * self.n)
-        # Each known term meets the queries holding it; expanded in bounded slices.
-        fan = self.size[pos]
-        ends = np.cumsum(fan)
-        lo = 0
-        while lo < len(pos):
-            base = ends[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(ends, base + _CELLS, "right")))
-            f = fan[lo:hi]
-            first = np.cumsum(f) - f
-            at = np.repeat(self.start[pos[lo:hi]] - first, f) + np.arange(f.sum())
-            cell = np.repeat(rows[lo:hi] * self.n, f) + self.rows[at]
-            out += np.bincount(cell, np.repeat(weight[lo:hi], f) * self.weight[at], len(out))
-            lo = hi
-        return out.reshape(n, self.n)
+        rows, weight, pos = rows[known], weight[known], pos[known].astype(np.int64)
+        at = self.place[pos]
+        common = at >= 0
+        matrix = np.zeros((n, self.width))
+        matrix[rows[common], at[common]] = weight[common]
+        rows, weight, pos = rows[~common], weight[~common], pos[~common]
+        for lo, wide, fan, start, asked, asked_weight in self.blocks:
+            out = matrix @ self.matrix[:, lo : lo + wide]
+            flat = out.reshape(-1)
+            # Each known term meets the queries holding it; expanded in bounded slices.
+            met = np.flatnonzero(fan[pos])
+            many = fan[pos[met]]
+            ends = np.cumsum(many)
+            first = 0
+            while first < len(met):
+                base = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, base + _NUMBERS, "right")))
+                some, f = met[first:last], many[first:last]
+                held = np.repeat(start[pos[some]] - (ends[first:last] - f - base), f)
+                held += np.arange(len(held))
+                cell = np.repeat(rows[some] * wide, f)
+                cell += asked[held]
+                value = np.repeat(weight[some], f)
+                value *= asked_weight[held]
+                flat += np.bincount(cell, value, len(flat))
+                first = last
+            yield lo, out
 
 
 def _scorer(kind: str, vectors: pa.Array):
@@ -125,56 +186,69 @@ def _codes(ids: pa.Array) -> np.ndarray:
     return pc.rank(ids, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
 
 
+def _keys(scores: np.ndarray) -> np.ndarray:
+    """What scores are ranked by: six places."""
+    return np.floor(scores * 1e6 + 0.5)
+
+
 class _Best:
-    """Running best ``k`` per query, by score to six places, then id."""
+    """Running best ``k`` per query, by score to six places, then id.
+
+    With ``ascending``, each row offered has a larger id than those before; then one that only
+    equals the last of ``k`` held isn't among the best.
+    """
 
-    def __init__(self, n_queries: int, k: int):
-        self.k, self.n = k, n_queries
-        # Per query, the key a row must reach once k better ones are held.
-        self.floor: np.ndarray | None = None
+    def __init__(self, n_queries: int, k: int, ascending: bool = False):
+        self.k, self.n, self.ascending = k, n_queries, ascending
+        # Per query, the key a row must reach (or pass) once k better ones are held.
+        self.floor = np.full(n_queries, -np.inf)
+        self.settled = False
         self.query: list[np.ndarray] = []
         self.ids: list[pa.Array] = []
         self.score: list[np.ndarray] = []
         self.held = 0
 
-    def offer(self, ids: pa.Array, scores: np.ndarray) -> None:
-        """Scores of a few corpus rows against every query."""
-        order = np.argsort(_codes(ids), kind="stable")
-        ids, scores = ids.take(pa.array(order)), scores[order]
-        key = np.floor(scores * 1e6 + 0.5)
-        keep = self._candidates(key)
-        row, query = np.nonzero(keep)
-        self._push(query, ids.take(pa.array(row)), scores[row, query])
-        if self.floor is None or self.held > 4 * self.k * self.n + 1_000_000:
-            self.settle()
+    def offer(self, ids: pa.Array, scores: np.ndarray, lo: int = 0) -> None:
+        """Scores of a few corpus rows, in the order of their ids, against the queries from ``lo`` on."""
+        floor = self.floor[lo : lo + scores.shape[1]]
+        row, query = np.nonzero(self._candidates(scores, floor))
+        score = scores[row, query]
+        # The bar below is a little low.
+        key = _keys(score)
+        good = key > floor[query] if self.ascending else key >= floor[query]
+        row, query, score = row[good], query[good], score[good]
+        self.query.append(query + lo)
+        self.ids.append(ids.take(pa.array(row)))
+        self.score.append(score)
+        self.held += len(query)
 
-    def _candidates(self, key: np.ndarray) -> np.ndarray:
-        """Which cells can still be among the best; rows are in id order."""
-        n, k = key.shape[0], self.k
-        if self.floor is not None:
-            keep = key >= self.floor
-            if np.count_nonzero(keep) <= 2 * k * self.n:
-                return keep
-        if n <= k:
-            return np.ones(key.shape, bool)
-        kth = np.partition(key, n - k, axis=0)[n - k]
+    def _candidates(self, scores: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        """Which cells can still be among the best; a few more are let through."""
+        k = self.k
+        bar = (floor + (0.5 if self.ascending else -0.5)) / 1e6
+        keep = scores >= bar - 1e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(bar), bar, 0.0)))
+        if np.count_nonzero(keep) <= 2 * k * len(floor):
+            return keep
+        many = np.flatnonzero(np.count_nonzero(keep, axis=0) > k)
+        key = _keys(scores[:, many])
+        kth = np.partition(key, len(key) - k, axis=0)[len(key) - k]
         above = key > kth
         level = key == kth
         room = k - above.sum(axis=0)
-        return above | (level & (np.cumsum(level, axis=0) <= room))
+        keep[:, many] &= above | (level & (np.cumsum(level, axis=0) <= room))
+        return keep
 
-    def _push(self, query: np.ndarray, ids: pa.Array, score: np.ndarray) -> None:
-        self.query.append(query)
-        self.ids.append(ids)
-        self.score.append(score)
-        self.held += len(query)
+    def rest(self) -> None:
+        """To be called between steps: drops what is no longer among the best, now and then."""
+        if not self.settled or self.held > 3 * self.k * self.n + 100_000:
+            self.settle()
 
     def settle(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         """Reduce what is held to the best ``k`` per query."""
         query = np.concatenate(self.query)
         ids = pa.concat_arrays(self.ids)
         score = np.concatenate(self.score)
-        order = np.lexsort((_codes(ids), -np.floor(score * 1e6 + 0.5), query))
+        order = self._order(query, ids, _keys(score))
         sorted_query = query[order]
         first = np.searchsorted(sorted_query, sorted_query, "left")
         order = order[np.arange(len(order)) - first < self.k]
@@ -182,26 +256,50 @@ class _Best:
         self.floor = np.full(self.n, -np.inf)
         full = np.flatnonzero(np.bincount(out[0], minlength=self.n) == self.k)
         last = np.searchsorted(out[0], full, "right") - 1
-        self.floor[full] = np.floor(out[2][last] * 1e6 + 0.5)
+        self.floor[full] = _keys(out[2][last])
         self.query, self.ids, self.score = [out[0]], [out[1]], [out[2]]
         self.held = len(out[0])
+        self.settled = True
         return out
 
-
-def _steps(scorer, n: int, ids: pa.Array, vectors: pa.Array):
-    """(ids, scores) of a few rows at a time; rows without a vector are left out."""
-    if vectors.null_count:
-        there = vectors.is_valid()
-        ids, vectors = ids.filter(there), vectors.filter(there)
+    def _order(self, query: np.ndarray, ids: pa.Array, key: np.ndarray) -> np.ndarray:
+        """By query, key and id."""
+        by_id = None if self.ascending else np.argsort(_codes(ids), kind="stable")
+        if len(key):
+            top, n = key.max(), len(key)
+            span = top - key.min() + 1
+            # All in one number each, where they fit: sorting these takes much less time.
+            if span * self.n * n < 2.0**62:
+                one = query * int(span) + (top - key).astype(np.int64)
+                one = (one if by_id is None else one[by_id]) * n + np.arange(n)
+                one.sort()
+                return one % n if by_id is None else by_id[one % n]
+        last = np.arange(len(key)) if by_id is None else np.argsort(by_id)
+        return np.lexsort((last, -key, query))
+
+
+def _steps(scorer, ids: pa.Array, vectors: pa.Array, order: np.ndarray | None = None):
+    """(ids, scores by blocks of queries) of a few rows at a time, in the order of their ids;
+    rows without a vector are left out. ``order`` sorts all rows; otherwise each step is sorted."""
+    scorer.prepare(vectors)
     wide = len(vectors.flatten()) // max(len(vectors), 1)
-    step = max(1, _CELLS // max(n, wide, 1))
+    step = max(1, min(_CELLS // max(min(scorer.n, _ACROSS), 1), _NUMBERS // max(wide, 1)))
     for lo in range(0, len(ids), step):
-        yield ids.slice(lo, step), scorer.scores(vectors.slice(lo, step))
+        some = np.arange(lo, min(lo + step, len(ids))) if order is None else order[lo : lo + step]
+        if vectors.null_count:
+            some = some[vectors.is_valid().to_numpy(zero_copy_only=False)[some]]
+        if order is None:
+            some = some[np.argsort(_codes(ids.take(pa.array(some))), kind="stable")]
+        if len(some):
+            some = pa.array(some)
+            yield ids.take(some), scorer.scores(vectors.take(some))
 
 
-def _feed(best: _Best, scorer, ids: pa.Array, vectors: pa.Array) -> None:
-    for some, scores in _steps(scorer, best.n, ids, vectors):
-        best.offer(some, scores)
+def _feed(best: _Best, scorer, ids: pa.Array, vectors: pa.Array, order: np.ndarray | None = None) -> None:
+    for some, blocks in _steps(scorer, ids, vectors, order):
+        for lo, scores in blocks:
+            best.offer(some, scores, lo)
+        best.rest()
 
 
 def _result(best: _Best, query_ids: pa.Array) -> dict[str, pa.Array]:
@@ -215,14 +313,18 @@ def _result(best: _Best, query_ids: pa.Array) -> dict[str, pa.Array]:
 
 def best_in_table(queries: pa.Table, items: pa.Table, k: int, kind: str = "dense") -> pa.Table:
     """(query_id, id, score): the best ``k`` of (id, vector) for each (query_id, vector)."""
-    query_ids = _column(queries, "query_id")
-    best = _Best(len(query_ids), k)
+    query_ids, ids = _column(queries, "query_id"), _column(items, "id")
+    best = _Best(len(query_ids), k, ascending=True)
+    order = pc.sort_indices(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    # Places in that order stand for the ids.
+    places = np.empty(len(order), np.int64)
+    places[order] = np.arange(len(order))
     scorer = _scorer(kind, _column(queries, "vector"))
-    _feed(best, scorer, _column(items, "id"), _column(items, "vector"))
-    if best.held:
-        return pa.table(_result(best, query_ids))
-    none = _column(items, "id").slice(0, 0)
-    return pa.table({"query_id": query_ids.slice(0, 0), "id": none, "score": pa.array([], pa.float64())})
+    _feed(best, scorer, pa.array(places), _column(items, "vector"), order)
+    if not best.held:
+        return pa.table({"query_id": query_ids.slice(0, 0), "id": ids.slice(0, 0), "score": pa.array([], pa.float64())})
+    found = _result(best, query_ids)
+    return pa.table({**found, "id": ids.take(pa.array(order[found["id"].to_numpy()]))})
 
 
 def merge_best(partial: DataFrame, k: int) -> DataFrame:
@@ -289,7 +391,7 @@ def _scores(
         if k is not None:
             return best_in_table(a, b, k, kind)
         ids, scorer = _column(a, "query_id"), _scorer(kind, _column(a, "vector"))
-        found = list(_every(scorer, len(ids), ids, _column(b, "id"), _column(b, "vector")))
+        found = list(_every(scorer, ids, _column(b, "id"), _column(b, "vector")))
         return pa.Table.from_batches(found) if found else best_in_table(a, b.slice(0, 0), 1, kind)
 
     total = corpus.select("id").count()
@@ -312,7 +414,7 @@ def _by_broadcast(
                 continue
             ids, items = _column(batch, "id"), _column(batch, "vector")
             if k is None:
-                yield from _every(scorer, best.n, query_ids, ids, items)
+                yield from _every(scorer, query_ids, ids, items)
             else:
                 _feed(best, scorer, ids, items)
         if best.held:
@@ -321,13 +423,14 @@ def _by_broadcast(
     return corpus.mapInArrow(run, schema)
 
 
-def _every(scorer, n: int, query_ids: pa.Array, ids: pa.Array, vectors: pa.Array):
-    for ids, scores in _steps(scorer, n, ids, vectors):
-        row, query = np.indices(scores.shape).reshape(2, -1)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "query_id": query_ids.take(pa.array(query)),
-                "id": ids.take(pa.array(row)),
-                "score": pa.array(scores.reshape(-1), pa.float64()),
-            }
-        )
+def _every(scorer, query_ids: pa.Array, ids: pa.Array, vectors: pa.Array):
+    for some, blocks in _steps(scorer, ids, vectors):
+        for lo, scores in blocks:
+            row, query = np.indices(scores.shape).reshape(2, -1)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "query_id": query_ids.take(pa.array(query + lo)),
+                    "id": some.take(pa.array(row)),
+                    "score": pa.array(scores.reshape(-1), pa.float64()),
+                }
+            )
