@@ -62,8 +62,10 @@ def _centres(rows: DataFrame, cells: int, seed: int) -> np.ndarray:
     from pyspark.ml.functions import array_to_vector
 
     length = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    some = rows.where(length > 0).select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    some = materialize(some, "sample")
+    some = rows.where(length > 0).select("id", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+    # The smallest hashes come as one partition, of which every round would be one task.
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    some = materialize(some.repartition(cores, "id").drop("id"), "sample")
     if some.isEmpty():
         return np.zeros((0, 0))
     model = KMeans(k=cells, seed=seed, maxIter=8, distanceMeasure="cosine", initMode="random").fit(some)

@@ -529,11 +529,12 @@ def index_recall(spark, sf_dir):
     both = exact.join(found, ["query_id", "id"], "left").agg(
         F.count(F.lit(1)).alias("wanted"), F.count("found").alias("found")
     )
-    share = F.lit(scored_pairs(index, asked)) / (F.lit(asked.count()) * F.lit(corpus.count()))
+    # Numbers of pairs don't fit in the type of a literal.
+    pairs = asked.count() * corpus.count()
     return both.select(
         "wanted",
         (F.col("found") >= 0.9 * F.col("wanted")).alias("recall_reached"),
-        (share < 1).alias("fewer_pairs_scored"),
+        F.lit(scored_pairs(index, asked) < pairs).alias("fewer_pairs_scored"),
     )
 
 
