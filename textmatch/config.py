@@ -8,6 +8,8 @@ import shutil
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -109,6 +111,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What a table that is written shuffles is removed when it is done. Otherwise it stays on disk until
+    the driver happens to collect its garbage, so jobs that follow one another would add up."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ship_package(spark: SparkSession | None = None) -> None:
     """Give the Python workers this package, once per application.
 

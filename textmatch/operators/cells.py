@@ -11,15 +11,14 @@ before the next, and the plan that reads them is one scan.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmatch.config import materialize, scratch_path, ship_package
+from textmatch.config import materialize, scratch_path, ship_package, shuffles_dropped
 
 # Rows below which a side isn't cut only to give more cores a share.
 SMALL = 2048
@@ -34,19 +33,6 @@ def groups_of(rows: int, most: int, cores: int) -> int:
     return max(1, math.ceil(rows / most), min(2 * cores, math.ceil(rows / SMALL)))
 
 
-@contextmanager
-def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """What a query shuffles is removed when it ends. Otherwise it stays on disk until the driver
-    happens to collect its garbage, so jobs that follow one another would add up."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def _dealt(df: DataFrame, groups: int, key: str) -> Column:
     """A group by hash. Rows that repeat a key are spread by the partition they come from."""
     return F.pmod(F.xxhash64(key, F.spark_partition_id()), F.lit(groups))
@@ -114,6 +100,6 @@ def in_cells(
     queries, items = materialize(queries, "queries"), materialize(items, "items")
     path = scratch_path(items.sparkSession, "cells")
     for low in range(0, down, COPIES):
-        with _shuffles_dropped(queries.sparkSession):
+        with shuffles_dropped(queries.sparkSession):
             job(low, min(low + COPIES, down)).write.mode("append").parquet(path)
     return items.sparkSession.read.schema(schema).parquet(path)

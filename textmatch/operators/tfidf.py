@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmatch.config import EngineConfig, materialize, ship_package, small_batches
+from textmatch.config import EngineConfig, materialize, ship_package, shuffles_dropped, small_batches
 from textmatch.functions.text import round6
 from textmatch.functions.tokens import default_stop_words, spaced_words, terms
 
@@ -36,7 +36,7 @@ _MANY = 1 << 16
 # other terms, and numbers in a row of such sums.
 _DRAWN = 4096
 _LIKELY = 8
-_TERM_CELLS = 1 << 20
+TERM_CELLS = 1 << 20
 _SUMS = 1 << 15
 
 
@@ -107,18 +107,39 @@ def frequent_statistics(
     cell below it holds no term that reaches it. The terms of all other cells are counted one by
     one. So the counts are exact whatever was drawn.
     """
+    names = likely_terms(docs, n, text_col, cfg, stop_words)
+    sums = tallied(docs, names, text_col, stop_words)
+    return settled_statistics(docs, n, names, sums, text_col, cfg, stop_words)
+
+
+def likely_terms(
+    docs: DataFrame,
+    n: int,
+    text_col: str = "text",
+    cfg: EngineConfig = EngineConfig(),
+    stop_words: Sequence[str] | None = None,
+) -> list[str]:
+    """Terms that are probably frequent in ``n`` documents, by a few of these, in order."""
+    drawn = term_statistics(docs.sample(min(1.0, _DRAWN / max(n, 1)), 42), text_col, stop_words)
+    likely = drawn.orderBy(F.desc("ctf"), "term").limit(_LIKELY * cfg.max_features)
+    return likely.select("term").toArrow().sort_by("term")["term"].to_pylist()
+
+
+def tallied(
+    docs: DataFrame, names: list[str], text_col: str = "text", stop_words: Sequence[str] | None = None
+) -> np.ndarray:
+    """``df`` and ``ctf`` of each of the ``names``, and the occurrences of all other terms added up
+    in cells: one after the other in an array whose size doesn't depend on the documents. Tallies
+    of several tables, with the same names, add up to that of their union."""
     spark = docs.sparkSession
     ship_package(spark)
     small_batches(spark)
     stop = _stop_array(stop_words)
-    drawn = term_statistics(docs.sample(min(1.0, _DRAWN / max(n, 1)), 42), text_col, stop_words)
-    likely = drawn.orderBy(F.desc("ctf"), "term").limit(_LIKELY * cfg.max_features)
-    names = likely.select("term").toArrow().sort_by("term")["term"].to_pylist()
     shared = spark.sparkContext.broadcast(_Terms(names))
     size = len(names)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, sums = shared.value, np.zeros(2 * size + _TERM_CELLS, np.int64)
+        terms, sums = shared.value, np.zeros(2 * size + TERM_CELLS, np.int64)
         df, ctf, cells = np.split(sums, [size, 2 * size])
         for batch in batches:
             for part in _parts(_cut(batch.column("words")), _COUNT_WORDS):
@@ -128,7 +149,16 @@ def frequent_statistics(
                 df[at[known]] += found[known]
                 ctf[at[known]] += often[known]
                 np.add.at(cells, _term_cells(names, codes[rest]), often[rest])
-        yield _sum_rows(sums)
+        yield sum_rows(sums)
+
+    words = docs.select(spaced_words(F.col(text_col)).alias("words"))
+    with shuffles_dropped(spark):
+        blocks = materialize(added(words.mapInArrow(tally, SUMS)), "sums")
+    return sums_of(blocks, 2 * size + TERM_CELLS)
+
+
+def added(blocks: DataFrame) -> DataFrame:
+    """The sums of rows as made by :func:`sum_rows`, block by block."""
 
     def add(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_SUMS, np.int64)
@@ -137,11 +167,31 @@ def frequent_statistics(
                 total += np.frombuffer(block, np.int64)
         yield pa.RecordBatch.from_pydict({"block": [key[0].as_py()], "sums": [total.tobytes()]}, _SUM_SCHEMA)
 
-    words = docs.select(spaced_words(F.col(text_col)).alias("words"))
-    kind = "block int, sums binary"
-    blocks = words.mapInArrow(tally, kind).groupBy("block").applyInArrow(add, kind).toArrow().sort_by("block")
-    sums = np.frombuffer(b"".join(blocks["sums"].to_pylist()), np.int64)
-    df, ctf, cells = np.split(sums[: 2 * size + _TERM_CELLS], [size, 2 * size]) if len(sums) else (sums,) * 3
+    return blocks.groupBy("block").applyInArrow(add, SUMS)
+
+
+def sums_of(blocks: DataFrame, size: int) -> np.ndarray:
+    """The numbers that added blocks hold; zeros for none."""
+    found = np.frombuffer(b"".join(blocks.toArrow().sort_by("block")["sums"].to_pylist()), np.int64)
+    return found[:size] if len(found) else np.zeros(size, np.int64)
+
+
+def settled_statistics(
+    docs: DataFrame,
+    n: int,
+    names: list[str],
+    sums: np.ndarray,
+    text_col: str = "text",
+    cfg: EngineConfig = EngineConfig(),
+    stop_words: Sequence[str] | None = None,
+) -> DataFrame:
+    """What :func:`frequent_statistics` says, from the tally of all ``docs``."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    small_batches(spark)
+    stop = _stop_array(stop_words)
+    size = len(names)
+    df, ctf, cells = np.split(sums, [size, 2 * size])
     wanted = np.sort(ctf[(df >= cfg.min_df) & (df <= cfg.max_df * n)])[::-1]
     least = max(1, cfg.min_df)
     if len(wanted) >= cfg.max_features > 0:
@@ -158,16 +208,18 @@ def frequent_statistics(
     heavy = cells >= least
     if not heavy.any():
         return counted
-    heavy = spark.sparkContext.broadcast(heavy)
+    shared = spark.sparkContext.broadcast((_Terms(names), heavy))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, heavy = shared.value
         for batch in batches:
             for part in _parts(_cut(batch.column("words")), _COUNT_WORDS):
                 names, codes, found, often = _tallied(part, stop)
-                rest = heavy.value[_term_cells(names, codes)]
-                rest &= shared.value.positions(names, codes) < 0
+                rest = heavy[_term_cells(names, codes)]
+                rest &= terms.positions(names, codes) < 0
                 yield _spelled(names, codes[rest], found[rest], often[rest])
 
+    words = docs.select(spaced_words(F.col(text_col)).alias("words"))
     more = words.mapInArrow(others, "term string, df bigint, ctf bigint")
     return counted.unionByName(summed(more))
 
@@ -312,13 +364,14 @@ def _term_cells(names: pa.Array, codes: np.ndarray) -> np.ndarray:
     single, left, right = _halves(names, codes)
     mixed = np.concatenate([word[single], word[left] * np.uint64(0x9E3779B97F4A7C15) + word[right]])
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((mixed >> np.uint64(32)) % np.uint64(_TERM_CELLS)).astype(np.int64)
+    return ((mixed >> np.uint64(32)) % np.uint64(TERM_CELLS)).astype(np.int64)
 
 
+SUMS = "block int, sums binary"
 _SUM_SCHEMA = pa.schema([("block", pa.int32()), ("sums", pa.binary())])
 
 
-def _sum_rows(sums: np.ndarray) -> pa.RecordBatch:
+def sum_rows(sums: np.ndarray) -> pa.RecordBatch:
     """Numbers in rows of ``_SUMS``, the last one filled up with zeros."""
     blocks = np.pad(sums, (0, -len(sums) % _SUMS)).reshape(-1, _SUMS)
     rows = {"block": np.arange(len(blocks), dtype=np.int32), "sums": [b.tobytes() for b in blocks]}
