@@ -346,6 +346,8 @@ def test_a_large_index_counts_by_a_list(spark, tmp_path, monkeypatch, features,
         if i:
             assert len(version.counted) == i and size(version, "counts") <= 20 * i and size(version, "cells") <= 32 * i
     assert compact(spark, path).counted == current_version(spark, path).segments
+    kept = [f for name in current_version(spark, path).segments for f in os.listdir(f"{path}/segments/{name}/rows")]
+    assert all(f.endswith(".zstd.parquet") for f in kept if f.startswith("part-"))
     assert contents(load_growing(spark, path)) == want[3]
     update_index(grown(spark, steps[0]), path, cfg)
     assert contents(load_growing(spark, path)) == want[0]

@@ -63,6 +63,8 @@ COLUMNS = ("id", "title", "embedding_text")
 _MANY = 1 << 14
 # Ids that are broadcast to find their rows; more are dealt with the rows, without sorting these.
 _FEW_IDS = 1 << 18
+# Texts of a segment stay as long as the index: a quarter less room than by the usual codec.
+ROWS_CODEC = "zstd"
 
 
 @dataclass(frozen=True)
@@ -246,7 +248,7 @@ def update_index(
     # All rows are new to an index that holds none.
     fresh = given if version is None else _by_id(given, both.where("new IS NOT NULL").select("id"), "left_semi")
     with shuffles_dropped(spark):
-        fresh.write.parquet(f"{folder}/rows")
+        fresh.write.option("compression", ROWS_CODEC).parquet(f"{folder}/rows")
     fresh = spark.read.parquet(f"{folder}/rows")
 
     def lost() -> DataFrame:
@@ -285,7 +287,7 @@ def compact(spark: SparkSession, path: str) -> Version:
     folder = f"{path}/segments/{name}"
     rows = _alive(spark, path, version)
     with shuffles_dropped(spark):
-        rows.write.parquet(f"{folder}/rows")
+        rows.write.option("compression", ROWS_CODEC).parquet(f"{folder}/rows")
         rows.select("id").where("false").write.parquet(f"{folder}/gone")
         if version.terms:
             names, sums = _tally(spark, path, version)
